@@ -1,0 +1,5 @@
+"""Day-by-day incremental runs.
+
+The work covered here is batch throughout: it has no streams, watermarks or
+state, so this part holds only the per-day job.
+"""
