@@ -79,11 +79,10 @@ def row_numbers(
     return running(blocked, group, order, {name: F.lit(1).cast("bigint")}).drop(BLOCK)
 
 
-def percent_ranks(df: DataFrame, group: str, value: str, name: str, key: str) -> DataFrame:
+def percent_ranks(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """percent_rank() over (partition by group order by value desc), NULL values last.
 
-    Ties share a rank, so ranks are worked out on (group, value) counts and
-    joined back; key is a row id that is unique within the group.
+    Ties share a rank, so ranks are worked out on (group, value) counts and joined back.
     """
     order = F.col("_value").desc_nulls_last()
     counts = df.groupBy(group, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
