@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 def ratio_of_means(x: Column, y: Column) -> Column:
     """avg(x)/avg(y); 0 when avg(y) is 0."""
+    x, y = x.cast("double"), y.cast("double")
     return F.coalesce(F.try_divide(F.avg(x), F.avg(y)), F.lit(0.0))
 
 
 def ratio_variance(x: Column, y: Column) -> Column:
     """Delta-method variance of ratio_of_means; 0 when avg(y) is 0 or there is one row."""
+    x, y = x.cast("double"), y.cast("double")
     return combine(
         F.avg(x), F.avg(y), F.var_pop(x), F.var_pop(y), F.covar_samp(x, y), F.count(y)
     )

@@ -24,7 +24,8 @@ ARMS = ("control", "treatment")
 
 
 def total(column: Column | str) -> Column:
-    return F.coalesce(F.sum(column), F.lit(0)).cast("double")
+    """Sum with 0 for nothing, in the type of the input: decimals stay exact."""
+    return F.coalesce(F.sum(column), F.lit(0))
 
 
 # --- roll-ups -----------------------------------------------------------------
@@ -59,7 +60,7 @@ def _traffic_sums() -> list[Column]:
         F.sum("impressions").alias("impressions"),
         total(p.window_conversions()).alias("conversions"),
         total(p.goal_prediction()).alias("predicted_conversions"),
-        F.sum("revenue").cast("double").alias("revenue"),
+        F.sum("revenue").alias("revenue"),
     ]
 
 
@@ -152,7 +153,7 @@ def arm_moments() -> list[Column]:
         pred, conv, rev = (
             F.col(f"{m}_{arm}") for m in ("predicted_conversions", "conversions", "revenue")
         )
-        inside = F.when(p.in_band(pred, conv), rev).otherwise(F.lit(0.0))
+        inside = F.when(p.in_band(pred, conv), rev).otherwise(F.lit(0))
         columns += [
             delta.ratio_of_means(pred, conv).alias(f"cali_{arm[0]}"),
             delta.ratio_variance(pred, conv).alias(f"cali_{arm[0]}_var"),
@@ -301,21 +302,24 @@ def totals(items: DataFrame, by: Sequence[str] = ("sim_id",)) -> DataFrame:
     )
 
 
-def percentile_interval(df: DataFrame, metric: str, confidence: float = 0.95) -> DataFrame:
-    """Mean of a metric with the length and half length of its percentile interval."""
-    ends = ordering.exact_percentiles(df, metric, [(1 - confidence) / 2, (1 + confidence) / 2]).scalar()
-    length = F.col("_ends")[1] - F.col("_ends")[0]
-    return (
-        df.agg(F.avg(metric).alias("mean"))
-        .withColumn("_ends", ends)
-        .select(
-            F.lit(metric).alias("metric"),
-            "mean",
-            length.alias("ci_length"),
-            (length / 2).alias("half_ci"),
-            num.ratio(length, F.col("mean")).alias("relative_length"),
+def percentile_interval(df: DataFrame, metrics: Sequence[str], confidence: float = 0.95) -> DataFrame:
+    """Mean of each metric with the length and half length of its percentile interval."""
+    df = ordering.settle(df.select(*metrics))
+    shares = [(1 - confidence) / 2, (1 + confidence) / 2]
+    ends = ordering.exact_percentiles(df, {m: shares for m in metrics})
+    lines = []
+    for m in metrics:
+        length = F.lit(ends[m][1]) - F.lit(ends[m][0])
+        lines.append(
+            F.struct(
+                F.lit(m).alias("metric"),
+                F.avg(m).alias("mean"),
+                length.alias("ci_length"),
+                (length / 2).alias("half_ci"),
+                num.ratio(length, F.avg(m)).alias("relative_length"),
+            )
         )
-    )
+    return df.agg(F.array(*lines).alias("_lines")).select(F.inline("_lines"))
 
 
 def simulation_variance(items: DataFrame) -> DataFrame:
@@ -346,17 +350,20 @@ def simulation_variance(items: DataFrame) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> DataFrame:
     """Add <column>_outlier: outside reach x the interquartile range, on raw values."""
+    df = ordering.settle(df)
+    ends = ordering.exact_percentiles(df, {c: [0.25, 0.75] for c in columns})
     flags = {}
     for name in columns:
-        ends = ordering.exact_percentiles(df, name, [0.25, 0.75]).scalar()
-        margin = F.lit(reach) * (ends[1] - ends[0])
-        flags[f"{name}_outlier"] = (F.col(name) < ends[0] - margin) | (F.col(name) > ends[1] + margin)
+        low, high = (F.lit(q) for q in ends[name])
+        margin = F.lit(reach) * (high - low)
+        flags[f"{name}_outlier"] = (F.col(name) < low - margin) | (F.col(name) > high + margin)
     return df.withColumns(flags)
 
 
 def histogram(df: DataFrame, value: Column, by: Sequence[str] = (), bins: int = 50) -> DataFrame:
     """Counts in equal-width bins 1..bins between the least and the greatest value."""
     rows = df.select(*by, value.cast("double").alias("_value")).where(F.col("_value").isNotNull())
+    rows = ordering.settle(rows)
     ends = rows.agg(F.struct(F.min("_value").alias("low"), F.max("_value").alias("high"))).scalar()
     low, high = ends.getField("low"), ends.getField("high")
     width = (high - low) / bins
@@ -372,18 +379,23 @@ def histogram(df: DataFrame, value: Column, by: Sequence[str] = (), bins: int =
     )
 
 
-def cumulative_deciles(df: DataFrame, rank_by: str, metric: str, tie: Sequence[str]) -> DataFrame:
-    """Equal-count deciles by rank_by and the running share of metric, in percent."""
+def cumulative_deciles(
+    df: DataFrame, rank_by: str, metrics: Sequence[str], tie: Sequence[str], buckets: int = 10
+) -> DataFrame:
+    """Equal-count deciles by rank_by: sum and running share (in percent) of each metric."""
     ranked = ordering.row_numbers(df, [], [rank_by, *tie], "_rank")
-    size = df.agg(F.count("*")).scalar()
-    parts = ranked.groupBy(
-        ordering.equal_count_bucket(F.col("_rank"), size).alias("decile")
-    ).agg(F.count("*").alias("rows"), F.sum(metric).alias("metric"))
-    # Ten rows from here on.
+    decile = ordering.equal_count_bucket(F.col("_rank"), df.agg(F.count("*")).scalar(), buckets)
+    parts = ranked.groupBy(decile.alias("decile")).agg(
+        F.count("*").alias("rows"), *[F.sum(m).cast("double").alias(m) for m in metrics]
+    )
+    # One row per decile from here on.
     upto = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.sum("metric").over(Window.partitionBy())
-    return parts.withColumn(
-        "cum_pct", F.try_divide(F.sum("metric").over(upto), whole) * F.lit(100.0)
+    whole = Window.partitionBy()
+    return parts.withColumns(
+        {
+            f"{m}_cum_pct": F.try_divide(F.sum(m).over(upto), F.sum(m).over(whole)) * F.lit(100.0)
+            for m in metrics
+        }
     )
 
 
@@ -446,4 +458,5 @@ def weekly_size_share(by_size: DataFrame, period: str = "week") -> DataFrame:
 def weekly_size_pivot(by_size: DataFrame, sizes: Sequence[str], period: str = "week") -> DataFrame:
     """Revenue in millions, one column per account size, 0 where a size has none."""
     wide = by_size.groupBy(period).pivot("adv_size_by_revenue", list(sizes)).agg(F.sum("revenue"))
-    return wide.na.fill(0.0).select(period, *[(F.col(s) / 1e6).alias(s) for s in sizes])
+    millions = [(F.coalesce(F.col(s), F.lit(0)).cast("double") / 1e6).alias(s) for s in sizes]
+    return wide.select(period, *millions)

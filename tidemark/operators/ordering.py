@@ -9,6 +9,7 @@ carried table has one row per group and block.
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Mapping, Sequence
 
@@ -29,6 +30,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Work out a roll-up once and keep it in the checkpoint folder, for use by several passes."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def range_blocks(df: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
     """Spread rows by key order and number the parts.
 
@@ -101,41 +108,48 @@ def percent_ranks(df: DataFrame, group: str, value: str, name: str) -> DataFrame
     return df.join(ranked, same).drop("_group", "_value")
 
 
-def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """One row, one array column p: linearly interpolated percentiles of value over df.
+def exact_percentiles(
+    df: DataFrame, shares: Mapping[str, Sequence[float]]
+) -> dict[str, list[float | None]]:
+    """Linearly interpolated percentiles per column, exact for any number of rows.
 
-    Equal values are counted first, then ordered in blocks; no task holds them all.
+    Equal values are counted first, then ordered in blocks; no task holds them
+    all. Only the asked-for numbers, at most two values per share, reach the
+    driver, where they become literals of the plan that uses them.
     """
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in shares]
+    )
     counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("double").alias("_value"))
+        df.select(F.inline(pairs))
+        .where(F.col("_value").isNotNull())
+        .groupBy("_column", "_value")
         .agg(F.count("*").alias("_n"))
     )
-    blocked = range_blocks(counts, ["_value"])
-    upto = running(blocked, [], ["_value"], {"_upto": F.col("_n")})
-    size = blocked.agg(F.sum("_n").alias("size")).scalar()
-
-    def position(share: float) -> Column:
-        return F.lit(float(share)) * (size - 1)
-
-    def value_at(index: Column) -> Column:
-        here = (F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto"))
-        return F.max(F.when(here, F.col("_value")))
-
-    picked = []
-    for i, share in enumerate(shares):
-        low = F.floor(position(share))
-        picked += [
-            value_at(low).alias(f"low_{i}"),
-            value_at(F.least(low + 1, size - 1)).alias(f"high_{i}"),
+    blocked = range_blocks(counts, ["_column", "_value"])
+    sizes = dict(blocked.groupBy("_column").agg(F.sum("_n")).collect())
+    places = {c: [s * (sizes[c] - 1) for s in shares[c]] for c in sizes}
+    wanted = sorted({(c, end(x)) for c, xs in places.items() for x in xs for end in (math.floor, math.ceil)})
+    if not wanted:
+        return {c: [None] * len(s) for c, s in shares.items()}
+    upto = running(blocked, ["_column"], ["_value"], {"_upto": F.col("_n")})
+    first = F.col("_upto") - F.col("_n")
+    found = upto.agg(
+        *[
+            F.max(F.when((F.col("_column") == c) & (first <= i) & (F.col("_upto") > i), F.col("_value")))
+            for c, i in wanted
         ]
-    ends = upto.agg(*picked)
-    between = [
-        F.col(f"low_{i}")
-        + (F.col(f"high_{i}") - F.col(f"low_{i}")) * (position(s) - F.floor(position(s)))
-        for i, s in enumerate(shares)
-    ]
-    return ends.select(F.array(*between).alias("p"))
+    ).first()
+    at = dict(zip(wanted, found))
+
+    def between(column: str, place: float) -> float:
+        low, high = at[column, math.floor(place)], at[column, math.ceil(place)]
+        return low + (high - low) * (place - math.floor(place))
+
+    return {
+        c: [between(c, x) for x in places[c]] if c in places else [None] * len(s)
+        for c, s in shares.items()
+    }
 
 
 def equal_count_bucket(rank: Column, size: Column, buckets: int = 10) -> Column:
