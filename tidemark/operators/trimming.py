@@ -1,8 +1,7 @@
 """Dropping the tails of a dimension, and how the read-out changes with the cut.
 
 Each row is sent once to the partition of its line item and only there spread
-over the cells of the grid that keep it, so the shuffle does not grow with the
-grid. Cells then meet as merged moments, a handful of rows.
+over the cuts that keep it, so the shuffle does not grow with the grid. Cells then meet as merged moments, a handful of rows.
 """
 
 from __future__ import annotations
@@ -51,66 +50,92 @@ def readouts(
     dimensions: Sequence[str],
     directions: Sequence[str],
     pcts: Sequence[float],
+    goals: Sequence[str] | None = None,
     confidence: float = 95,
     item: str = "line_item_id",
 ) -> DataFrame:
     """A/B read-out of every grid cell and, with direction 'none', of the uncut rows.
 
+    A larger cut keeps a subset of a smaller one, so a row is described by the
+    number of cuts that keep it. Rows of an item that agree in it are summed
+    before they are spread over the cuts.
+
     rows_kept, revenue_kept and conversions_kept are those of the whole cell.
     Cells left with fewer than two rows are dropped.
     """
     for dimension in dimensions:
         _check(wide, dimension, directions)
-    wide = ordering.settle(wide)
-    shares = [s for pct in pcts for s in (pct / 100, (100 - pct) / 100)]
+    cuts = sorted(float(pct) for pct in pcts)
+    wide = ordering.settle(wide.where(F.col(item).isNotNull()))
+    shares = [s for cut in cuts for s in (cut / 100, (100 - cut) / 100)]
     thresholds = ordering.exact_percentiles(wide, {d: shares for d in dimensions})
-    cells = []
+    series = []
     for dimension in dimensions:
-        ends = [F.lit(e) for e in thresholds[dimension]]
         value = F.col(dimension).cast("double")
-        cells.append(_cell(dimension, UNCUT, None, value.isNotNull()))
+        series.append(_series(dimension, UNCUT, value.isNotNull().cast("int")))
         for direction in directions:
-            for i, pct in enumerate(pcts):
-                keep = _kept(value, direction, ends[2 * i], ends[2 * i + 1])
-                cells.append(_cell(dimension, direction, pct, keep))
-    placed = wide.where(F.col(item).isNotNull()).repartition(item)
-    spread = placed.select(
-        item,
-        *calibration.PAIRED,
-        F.explode(calibration.goal_labels(wide)).alias("optimization_goal"),
-        F.array_compact(F.array(*cells)).alias("_cells"),
-    ).select("*", F.inline("_cells")).drop("_cells")
-    items = spread.groupBy(*CELL, item).agg(
-        F.count("*").alias("_rows"), *[calibration.total(c).alias(c) for c in calibration.PAIRED]
-    )
-    moments = items.groupBy(*CELL).agg(
+            ends = thresholds[dimension]
+            series.append(
+                _series(dimension, direction, _cuts_survived(value, direction, ends[::2], ends[1::2]))
+            )
+    labels = calibration.goal_labels(wide)
+    if goals is not None:
+        wanted = [fixed.OVERALL, *goals]
+        labels = F.filter(labels, lambda g: g.isin(wanted))
+    sums = [
+        F.sum("_rows").alias("_rows"),
+        *[calibration.total(c).alias(c) for c in calibration.PAIRED],
+    ]
+    keys = ["dimension", "direction", "optimization_goal", item]
+    placed = wide.select(item, *{*dimensions, *calibration.PAIRED}, *_goal_column(wide)).repartition(item)
+    rows = placed.select(
+        "*", F.lit(1).alias("_rows"), F.explode(labels).alias("_goal"), F.array(*series).alias("_series")
+    ).select("*", F.inline("_series"))
+    rows = rows.drop("optimization_goal").withColumnRenamed("_goal", "optimization_goal")
+    survived = rows.where(F.col("_cuts") > 0).groupBy(*keys, "_cuts").agg(*sums)
+    spread = survived.withColumn("_cut", F.explode(F.sequence(F.lit(1), F.col("_cuts"))))
+    items = spread.groupBy(*keys, "_cut").agg(*sums)
+    moments = items.groupBy("dimension", "direction", "optimization_goal", "_cut").agg(
         *calibration.arm_moments(),
         F.sum("_rows").alias("rows_kept"),
         F.sum(F.col("revenue_control") + F.col("revenue_treatment")).alias("revenue_kept"),
         F.sum(F.col("conversions_control") + F.col("conversions_treatment")).alias("conversions_kept"),
     )
     # One row per cell and goal from here on: the size of the grid, not of the data.
-    same_cell = Window.partitionBy("dimension", "direction", "pct_cut")
+    same_cell = Window.partitionBy("dimension", "direction", "_cut")
     overall = F.col("optimization_goal") == fixed.OVERALL
     whole = {
         c: F.max(F.when(overall, F.col(c))).over(same_cell)
         for c in ("rows_kept", "revenue_kept", "conversions_kept")
     }
-    cells_out = moments.withColumns(whole).where(F.col("rows_kept") >= 2)
-    return calibration.with_differences(cells_out, confidence)
-
-
-def _cell(dimension: str, direction: str, pct: float | None, keep: Column) -> Column:
-    return F.when(
-        keep,
-        F.struct(
-            F.lit(dimension).alias("dimension"),
-            F.lit(direction).alias("direction"),
-            F.lit(pct).cast("double").alias("pct_cut"),
-        ),
+    pct = F.when(
+        F.col("direction") != UNCUT, F.element_at(F.array(*[F.lit(c) for c in cuts]), F.col("_cut"))
+    )
+    cells = moments.withColumns(whole).where(F.col("rows_kept") >= 2).withColumn("pct_cut", pct)
+    return calibration.with_differences(cells.drop("_cut"), confidence)
+
+
+def _goal_column(wide: DataFrame) -> list[str]:
+    return ["optimization_goal"] if "optimization_goal" in wide.columns else []
+
+
+def _series(dimension: str, direction: str, cuts: Column) -> Column:
+    return F.struct(
+        F.lit(dimension).alias("dimension"), F.lit(direction).alias("direction"), cuts.alias("_cuts")
     )
 
 
+def _cuts_survived(
+    value: Column, direction: str, lows: Sequence[float | None], highs: Sequence[float | None]
+) -> Column:
+    """How many of the nested cuts keep the value; NULL values survive none."""
+    survived = F.lit(0)
+    for low, high in zip(lows, highs):
+        kept = _kept(value, direction, F.lit(low), F.lit(high))
+        survived = survived + F.coalesce(kept, F.lit(False)).cast("int")
+    return survived
+
+
 def revenue_summary(cells: DataFrame, goals: Sequence[str] = (fixed.OVERALL,)) -> DataFrame:
     """What each cut costs in revenue and conversions and gains in interval width."""
     uncut = F.col("direction") == UNCUT

@@ -112,7 +112,7 @@ def trim_rows(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    return trimming.readouts(op.ab_wide(_ab(spark, sf_dir)), DIMENSIONS, ("left", "right"), PCTS)
+    return trimming.readouts(op.ab_wide(_ab(spark, sf_dir)), DIMENSIONS, ("left", "right"), PCTS, GOALS)
 
 
 def trim_grid(spark, sf_dir):
