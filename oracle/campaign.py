@@ -2,8 +2,8 @@
 
 from oracle.roles import with_roles
 
-START, END, NOW = "1998-12-31", "2000-12-31", "2000Q4"
-QUARTERS = ["1998Q4"] + [f"{y}Q{q}" for y in (1999, 2000) for q in (1, 2, 3, 4)]
+START, END, NOW = "1998-03-31", "2000-03-31", "2000Q1"
+QUARTERS = [f"{y}Q{q}" for y in (1998, 1999) for q in (1, 2, 3, 4)] + ["2000Q1"]
 SURFACES = ["FEED_HEADER_PROMPT", "PROFILE_ACTIVITY_CARD", "FULL_SCREEN_TAKEOVER"]
 ROWS = f""", r AS (SELECT * FROM campaign_daily WHERE ds BETWEEN DATE '{START}' AND DATE '{END}' AND campaign_id <> ''
     AND action IN ('IMPRESSION', 'CLICK', 'DISMISS'))"""
@@ -69,7 +69,8 @@ SQL = {
     "campaign_summary": q(f"""SELECT quarter, campaign_count, coalesce({change('campaign_count', 'quarter')}, 0) AS campaign_count_qoq,
         impression_count, coalesce({change('impression_count', 'quarter')}, 0) AS impression_count_qoq FROM (
           SELECT quarter, COUNT(DISTINCT campaign_id) AS campaign_count,
-            CAST(SUM(action_cnt) FILTER (action = 'IMPRESSION') AS BIGINT) AS impression_count FROM r GROUP BY 1)"""),
+            CAST(SUM(action_cnt) FILTER (action = 'IMPRESSION') AS BIGINT) AS impression_count FROM r GROUP BY 1)
+        WHERE impression_count IS NOT NULL"""),
     "campaign_monthly": q(f"""SELECT month, impression_count, {change('impression_count', 'month')} AS impression_count_mom FROM (
         SELECT month, CAST(SUM(action_cnt) AS BIGINT) AS impression_count FROM r WHERE action = 'IMPRESSION' GROUP BY 1)"""),
     "surface_share": q(SURFACE),
