@@ -150,7 +150,7 @@ ROLES = {
         SELECT experiment_id, arm, row_number() OVER (PARTITION BY experiment_id, arm ORDER BY ts, event_id) AS step, x
         FROM (SELECT event_type AS experiment_id, CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS arm,
                 ts, event_id,
-                value + CASE WHEN user_id % 2 = 1 AND event_type IN ('purchase', 'click') THEN 15 ELSE 0 END AS x
+                10 * sqrt(value) + CASE WHEN user_id % 2 = 1 AND event_type IN ('purchase', 'click') THEN 15 ELSE 0 END AS x
               FROM events)""",
     "stories": """
         SELECT CASE k % 3 WHEN 0 THEN 'Europe' WHEN 1 THEN 'America' ELSE 'Asia' END AS continent,

@@ -28,10 +28,9 @@ def cdf(x: float) -> float:
     return _NORMAL.cdf(x)
 
 
-@F.pandas_udf("double")
-def _cdf_batch(x: pd.Series) -> pd.Series:
-    return x.map(_NORMAL.cdf, na_action="ignore")
-
-
 def cdf_column(x: Column) -> Column:
-    return _cdf_batch(x.cast("double"))
+    @F.pandas_udf("double")
+    def batch(values: pd.Series) -> pd.Series:
+        return values.map(NormalDist().cdf, na_action="ignore")
+
+    return batch(x.cast("double"))

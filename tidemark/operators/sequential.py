@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import normal
+from tidemark.functions.alpha import bonferroni_alpha, naive_alpha, obrien_fleming_alpha, z_for
 from tidemark.operators import ordering
 from tidemark.operators.ordering import BLOCK
 
@@ -24,28 +25,7 @@ BLOCK_STEPS = 250_000
 Policy = Callable[[int, int, Sequence[int]], float]
 
 
-# --- alpha policies ---------------------------------------------------------------
-
-
-def naive_alpha(peek: int, n: int, peeks: Sequence[int], alpha: float = 0.05) -> float:
-    return alpha
-
-
-def bonferroni_alpha(peek: int, n: int, peeks: Sequence[int], alpha: float = 0.05) -> float:
-    return alpha / len(peeks)
-
-
-def obrien_fleming_alpha(
-    peek: int, n: int, peeks: Sequence[int], alpha: float = 0.05, rho: float = 0.5
-) -> float:
-    """Alpha spent up to a peek at share t of the steps: 4 - 4 cdf(z / t^(rho/2))."""
-    boundary = normal.quantile(1 - alpha / 4) / (peek / n) ** (rho / 2)
-    return 4 * normal.cdf(-boundary)
-
-
-def z_for(alpha: float) -> float:
-    """Two-sided z; worked out in the lower tail, where small alphas keep their digits."""
-    return -normal.quantile(alpha / 2) if alpha > 0 else math.inf
+# --- alpha schedules ---------------------------------------------------------------
 
 
 def alpha_schedule(sizes: DataFrame, every: int, policy: Policy) -> DataFrame:
@@ -164,8 +144,8 @@ def expanding_moments(obs: DataFrame, block_steps: int = BLOCK_STEPS) -> DataFra
         total = F.col(f"_s_{a}") + F.sum(centered).over(inside)
         squares = F.col(f"_q_{a}") + F.sum(centered * centered).over(inside)
         columns[f"mean_{a}"] = F.col(f"_center_{a}") + total / count
-        columns[f"var_{a}"] = F.greatest(
-            F.try_divide(squares - total * total / count, count - 1), F.lit(0.0)
+        columns[f"var_{a}"] = F.when(
+            count > 1, F.greatest(F.try_divide(squares - total * total / count, count - 1), F.lit(0.0))
         )
     return joined.withColumns(columns).select(
         EXPERIMENT, BLOCK, "step", "n", "full_c", "full_t", "x_c", "x_t", *columns

@@ -327,7 +327,7 @@ def experiment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS arm",
         "ts",
         "event_id",
-        "value + CASE WHEN user_id % 2 = 1 AND event_type IN ('purchase', 'click') THEN 15 ELSE 0 END AS x",
+        "10 * sqrt(value) + CASE WHEN user_id % 2 = 1 AND event_type IN ('purchase', 'click') THEN 15 ELSE 0 END AS x",
     )
 
 
