@@ -91,15 +91,15 @@ both = ["stories", "story_media"]
 SQL = {
     "story_scores": with_roles(
         both,
-        SCORES + f"""SELECT place_id, place_name, story_snap_id, venue_name, media_url, {R('time_viewed_total_day', 'time_viewed_total_day')},
-        views_total_day, {R('story_views_rank', 'story_views_rank')}, {R('story_freshness_rank', 'story_freshness_rank')}, {R('score', 'score')},
+        SCORES + f"""SELECT place_id, place_name, story_snap_id, venue_name, media_url, {R('time_viewed_total_day', 'time_viewed_total_day', 9)},
+        views_total_day, {R('story_views_rank', 'story_views_rank', 9)}, {R('story_freshness_rank', 'story_freshness_rank', 9)}, {R('score', 'score', 9)},
         strftime(detection_start_time, '%Y-%m-%d %H:%M:%S') AS detection_start_time,
         strftime(detection_end_time, '%Y-%m-%d %H:%M:%S') AS detection_end_time FROM scored""",
     ),
-    "story_topk": with_roles(both, SCORES + f"SELECT place_id, story_snap_id, {R('score', 'score')} FROM best"),
+    "story_topk": with_roles(both, SCORES + f"SELECT place_id, story_snap_id, {R('score', 'score', 9)} FROM best"),
     "story_topk_lowest": with_roles(
         both,
-        SCORES + f"""SELECT place_id, story_snap_id, venue_name, {R('score', 'score')} FROM (SELECT *, row_number() OVER (
+        SCORES + f"""SELECT place_id, story_snap_id, venue_name, {R('score', 'score', 9)} FROM (SELECT *, row_number() OVER (
         PARTITION BY place_id ORDER BY score, story_snap_id) AS r FROM scored WHERE venue_name <> '') WHERE r <= 3""",
     ),
     "label_parse": PART,
@@ -108,7 +108,7 @@ SQL = {
         both,
         SCORES + LABELLED + f""", c AS ({CONSOLIDATED}), h AS (SELECT place_id, {', '.join(head(c) for c in HEADS)} FROM l GROUP BY 1)
         SELECT c.place_id, c.place_name, c.event_type, l.story_snap_id, l.event_type AS video_event_type,
-          CASE WHEN l.story_snap_id IS NOT NULL THEN 'Story ' || l.event_id END AS video_short_description, {R('l.score', 'score')}
+          CASE WHEN l.story_snap_id IS NOT NULL THEN 'Story ' || l.event_id END AS video_short_description, {R('l.score', 'score', 9)}
         FROM c JOIN h ON h.place_id = c.place_id LEFT JOIN l ON l.place_id = c.place_id AND l.place_name = c.place_name
           AND l.continent IS NOT DISTINCT FROM c.continent AND l.place_country_code IS NOT DISTINCT FROM c.place_country_code""",
     ),

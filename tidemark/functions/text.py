@@ -21,13 +21,13 @@ def title_case(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Comma-separated text to an array of trimmed, non-empty tokens."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda t: F.trim(t))
     return F.coalesce(F.filter(parts, lambda t: t != ""), F.array().cast("array<string>"))
 
 
 def joined_title_case(items: Column, sep: str = ", ") -> Column:
     """Title-case every non-blank token and join."""
-    kept = F.filter(F.transform(items, F.trim), lambda t: t != "")
+    kept = F.filter(F.transform(items, lambda t: F.trim(t)), lambda t: t != "")
     return F.array_join(F.transform(kept, title_case), sep)
 
 

@@ -25,7 +25,8 @@ def story_scores(spark, sf_dir):
         scored.select(
             "place_id", "place_name", "story_snap_id", "venue_name", "media_url", "time_viewed_total_day",
             "views_total_day", "story_views_rank", "story_freshness_rank", "score", *spans,
-        )
+        ),
+        9,
     )
 
 
@@ -34,12 +35,12 @@ def _best(spark, sf_dir):
 
 
 def story_topk(spark, sf_dir):
-    return rounded(_best(spark, sf_dir).select("place_id", "story_snap_id", "score"))
+    return rounded(_best(spark, sf_dir).select("place_id", "story_snap_id", "score"), 9)
 
 
 def story_topk_lowest(spark, sf_dir):
     best = op.best_stories(_scores(spark, sf_dir), k=3, ascending=True, filled="venue_name")
-    return rounded(best.select("place_id", "story_snap_id", "venue_name", "score"))
+    return rounded(best.select("place_id", "story_snap_id", "venue_name", "score"), 9)
 
 
 def label_parse(spark, sf_dir):
@@ -69,7 +70,8 @@ def place_story_join(spark, sf_dir):
     places = op.consolidate(stories).select(*fixed.PLACE_STORY_KEYS, "event_type")
     rows = op.place_story_rows(places, stories)
     return rounded(
-        rows.select("place_id", "place_name", "event_type", "story_snap_id", "video_event_type", "video_short_description", "score")
+        rows.select("place_id", "place_name", "event_type", "story_snap_id", "video_event_type", "video_short_description", "score"),
+        9,
     )
 
 
