@@ -112,27 +112,25 @@ ROLES = {
           CASE WHEN h < 5 THEN 'BG_C' WHEN h < 9 THEN 'BG_T' ELSE 'BG_X' END AS bgid,
           CASE WHEN h < 5 THEN 'BG_C' WHEN h < 9 THEN 'BG_T' ELSE 'BG_X' END AS winner_bgid,
           CAST(l_shipdate AS DATE) AS served_date, CAST(1 + l_linenumber AS BIGINT) AS impressions,
-          CAST(c0 AS DECIMAL(18,4)) AS conversions_7_0, CAST(c0 * 1.02::DOUBLE AS DECIMAL(18,4)) AS conversions_2_0,
-          CAST(c0 * 0.98::DOUBLE AS DECIMAL(18,4)) AS conversions_2_1, CAST(c0 * 0.99::DOUBLE AS DECIMAL(18,4)) AS conversions_1_1,
-          CAST(c0 * 2 AS DECIMAL(18,4)) AS conversions_value_7_0, CAST(c0 * 2.04::DOUBLE AS DECIMAL(18,4)) AS conversions_value_2_0,
-          CAST(c0 * 1.96::DOUBLE AS DECIMAL(18,4)) AS conversions_value_2_1, CAST(c0 * 1.98::DOUBLE AS DECIMAL(18,4)) AS conversions_value_1_1,
-          CAST(p0 AS DECIMAL(18,4)) AS predicted_conversions, CAST(2 * p0 AS DECIMAL(18,4)) AS predicted_conversions_value,
-          CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS revenue,
+          c0 * 100 AS conversions_7_0, c0 * 102 AS conversions_2_0, c0 * 98 AS conversions_2_1, c0 * 99 AS conversions_1_1,
+          c0 * 200 AS conversions_value_7_0, c0 * 204 AS conversions_value_2_0, c0 * 196 AS conversions_value_2_1,
+          c0 * 198 AS conversions_value_1_1, p0 AS predicted_conversions, p0 * 2 AS predicted_conversions_value,
+          floor(l_extendedprice * (1 - l_discount)) AS revenue,
           CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN [1, 2] WHEN 3 THEN [] ELSE [1, 3] END AS app_anomaly_severity,
           CASE WHEN l_suppkey % 17 = 0 THEN true WHEN l_suppkey % 19 = 0 THEN NULL ELSE false END AS is_house_ad,
           CASE WHEN l_suppkey % 23 = 0 THEN true WHEN l_suppkey % 29 = 0 THEN NULL ELSE false END AS is_pixel_spammy
         FROM (
           SELECT *, CASE WHEN l_partkey % 50 = 0 THEN 0 ELSE l_quantity END AS c0,
-            l_quantity * (0.7::DOUBLE + (l_partkey % 7) * 0.1::DOUBLE + (l_discount - 0.05::DOUBLE) * 2) AS p0,
+            l_quantity * (70 + (l_partkey % 7) * 10 + (round(l_discount * 100) - 5) * 2) AS p0,
             CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10 AS h
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)""",
     "served_items": """
         SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('s', l_orderkey, '-', l_linenumber) END AS serve_item_id,
           'li' || l_partkey AS line_item_id,
           CASE l_returnflag WHEN 'A' THEN 'APP_INSTALLS' WHEN 'N' THEN 'PIXEL_PURCHASE' ELSE 'APP_PURCHASE' END AS optimization_goal,
-          CAST(CASE WHEN l_partkey % 50 = 0 THEN 0 ELSE l_quantity END AS DECIMAL(18,4)) AS conversions,
-          CAST(l_quantity * (0.7::DOUBLE + (l_partkey % 7) * 0.1::DOUBLE + (l_discount - 0.05::DOUBLE) * 2) AS DECIMAL(18,4)) AS predicted_conversions,
-          CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS revenue,
+          CASE WHEN l_partkey % 50 = 0 THEN 0 ELSE l_quantity * 100 / 128.0::DOUBLE END AS conversions,
+          l_quantity * (70 + (l_partkey % 7) * 10 + (round(l_discount * 100) - 5) * 2) / 128.0::DOUBLE AS predicted_conversions,
+          floor(l_extendedprice * (1 - l_discount)) AS revenue,
           CAST(l_orderkey % 50 AS INTEGER) AS sim_id
         FROM lineitem""",
     "aa_wide": """

@@ -61,8 +61,8 @@ SQL = {
     "priors": with_roles(served, POP + prior("pop") + f"SELECT line_item_id, {R('alpha', 'alpha')}, {R('beta', 'beta')} FROM pr"),
     "posteriors": with_roles(
         served,
-        items(True) + GOAL + f"SELECT sim_id, line_item_id, {R('post_sla_li', 'post_sla_li', 5)}, {R('rev_sla_li', 'rev_sla_li', 5)}, "
-        f"{R('prior_p', 'prior_p', 5)} FROM ({posterior('items')})",
+        items(True) + GOAL + f"SELECT sim_id, line_item_id, {R('post_sla_li', 'post_sla_li', 8)}, {R('rev_sla_li', 'rev_sla_li', 2)}, "
+        f"{R('prior_p', 'prior_p', 8)} FROM ({posterior('items')})",
     ),
     "posterior_totals": with_roles(served, SIMS + f"SELECT sim_id, {TOTALS_OUT} FROM sims"),
     "posterior_population": with_roles(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import calibration
 from tidemark.operators import shrinkage as op
 from tidemark.plans.calibration_queries import rounded
@@ -27,7 +29,8 @@ def priors(spark, sf_dir):
 
 def posteriors(spark, sf_dir):
     found = op.posteriors(_sampled(spark, sf_dir), _goal_priors(spark, sf_dir))
-    return rounded(found.select("sim_id", "line_item_id", "post_sla_li", "rev_sla_li", "prior_p"), 5)
+    found = found.withColumn("rev_sla_li", F.round("rev_sla_li", 2))
+    return rounded(found.select("sim_id", "line_item_id", "post_sla_li", "rev_sla_li", "prior_p"), 8)
 
 
 def _sims(spark, sf_dir):

@@ -236,65 +236,67 @@ def campaign_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Prediction in percent of the quantity: 70 to 130 by part, plus or minus 10 by discount.
+PREDICTED_PERCENT = "(70 + (l_partkey % 7) * 10 + (round(l_discount * 100) - 5) * 2)"
+
+
 def ad_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
-    conv = "(CASE WHEN l_partkey % 50 = 0 THEN 0 ELSE l_quantity END)"
-    pred = "l_quantity * (0.7D + (l_partkey % 7) * 0.1D + (l_discount - 0.05D) * 2)"
-    arm = "(cast(conv(substr(md5(cast(l_orderkey as string)), 1, 8), 16, 10) as bigint) % 10)"
-    money = "cast({} as decimal(18,4))"
-    return (
-        lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
-        .join(customer, orders.o_custkey == customer.c_custkey)
-        .selectExpr(
-            "concat('li', l_partkey) AS line_item_id",
-            "concat('ac', o_custkey) AS ad_account_id",
-            "CASE WHEN year(o_orderdate) % 2 = 0 THEN c_mktsegment ELSE 'GROWTH' END AS adv_size_by_revenue",
-            "o_orderdate AS account_updated_at",
-            """CASE WHEN l_linenumber = 7 THEN 'M7x0' WHEN l_linenumber % 2 = 0 THEN 'M_7_0'
-               ELSE 'M_28_1' END AS model_type""",
-            "CASE l_suppkey % 3 WHEN 0 THEN 'AUTO' WHEN 1 THEN 'TARGET' ELSE 'MIN' END AS bid_strategy",
-            """CASE o_orderpriority WHEN '1-URGENT' THEN 'APP_PURCHASE_VO' WHEN '2-HIGH' THEN 'APP_INSTALLS'
-               WHEN '3-MEDIUM' THEN 'PIXEL_PURCHASE'
-               WHEN '4-NOT SPECIFIED' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'PIXEL_PURCHASE_ROAS' ELSE 'APP_SIGNUP' END
-               ELSE CASE WHEN o_orderkey % 4 = 0 THEN 'IMPRESSIONS' WHEN o_orderkey % 4 = 1 THEN NULL ELSE 'SWIPES' END
-               END AS optimization_goal""",
-            f"CASE WHEN {arm} < 5 THEN 'BG_C' WHEN {arm} < 9 THEN 'BG_T' ELSE 'BG_X' END AS bgid",
-            f"CASE WHEN {arm} < 5 THEN 'BG_C' WHEN {arm} < 9 THEN 'BG_T' ELSE 'BG_X' END AS winner_bgid",
-            "to_date(l_shipdate) AS served_date",
-            "cast(1 + l_linenumber as bigint) AS impressions",
-            f"{money.format(conv)} AS conversions_7_0",
-            f"{money.format(conv + ' * 1.02D')} AS conversions_2_0",
-            f"{money.format(conv + ' * 0.98D')} AS conversions_2_1",
-            f"{money.format(conv + ' * 0.99D')} AS conversions_1_1",
-            f"{money.format(conv + ' * 2')} AS conversions_value_7_0",
-            f"{money.format(conv + ' * 2.04D')} AS conversions_value_2_0",
-            f"{money.format(conv + ' * 1.96D')} AS conversions_value_2_1",
-            f"{money.format(conv + ' * 1.98D')} AS conversions_value_1_1",
-            f"{money.format(pred)} AS predicted_conversions",
-            f"{money.format('2 * ' + pred)} AS predicted_conversions_value",
-            f"{money.format('l_extendedprice * (1 - l_discount)')} AS revenue",
-            """CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN array(1, 2)
-               WHEN 3 THEN cast(array() as array<int>) ELSE array(1, 3) END AS app_anomaly_severity""",
-            "CASE WHEN l_suppkey % 17 = 0 THEN true WHEN l_suppkey % 19 = 0 THEN NULL ELSE false END AS is_house_ad",
-            """CASE WHEN l_suppkey % 23 = 0 THEN true WHEN l_suppkey % 29 = 0 THEN NULL
-               ELSE false END AS is_pixel_spammy""",
-        )
+    # Amounts are whole numbers, so that sums are the same in any order.
+    conv = "(CASE WHEN l_partkey % 50 = 0 THEN 0D ELSE l_quantity END)"
+    pred = f"(l_quantity * {PREDICTED_PERCENT})"
+    arm = "cast(conv(substr(md5(cast(l_orderkey as string)), 1, 8), 16, 10) as bigint) % 10"
+    joined = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).join(
+        customer, orders.o_custkey == customer.c_custkey
+    )
+    return joined.withColumn("_arm", F.expr(arm)).selectExpr(
+        "concat('li', l_partkey) AS line_item_id",
+        "concat('ac', o_custkey) AS ad_account_id",
+        "CASE WHEN year(o_orderdate) % 2 = 0 THEN c_mktsegment ELSE 'GROWTH' END AS adv_size_by_revenue",
+        "o_orderdate AS account_updated_at",
+        """CASE WHEN l_linenumber = 7 THEN 'M7x0' WHEN l_linenumber % 2 = 0 THEN 'M_7_0'
+           ELSE 'M_28_1' END AS model_type""",
+        "CASE l_suppkey % 3 WHEN 0 THEN 'AUTO' WHEN 1 THEN 'TARGET' ELSE 'MIN' END AS bid_strategy",
+        """CASE o_orderpriority WHEN '1-URGENT' THEN 'APP_PURCHASE_VO' WHEN '2-HIGH' THEN 'APP_INSTALLS'
+           WHEN '3-MEDIUM' THEN 'PIXEL_PURCHASE'
+           WHEN '4-NOT SPECIFIED' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'PIXEL_PURCHASE_ROAS' ELSE 'APP_SIGNUP' END
+           ELSE CASE WHEN o_orderkey % 4 = 0 THEN 'IMPRESSIONS' WHEN o_orderkey % 4 = 1 THEN NULL ELSE 'SWIPES' END
+           END AS optimization_goal""",
+        "CASE WHEN _arm < 5 THEN 'BG_C' WHEN _arm < 9 THEN 'BG_T' ELSE 'BG_X' END AS bgid",
+        "CASE WHEN _arm < 5 THEN 'BG_C' WHEN _arm < 9 THEN 'BG_T' ELSE 'BG_X' END AS winner_bgid",
+        "to_date(l_shipdate) AS served_date",
+        "cast(1 + l_linenumber as bigint) AS impressions",
+        f"{conv} * 100 AS conversions_7_0",
+        f"{conv} * 102 AS conversions_2_0",
+        f"{conv} * 98 AS conversions_2_1",
+        f"{conv} * 99 AS conversions_1_1",
+        f"{conv} * 200 AS conversions_value_7_0",
+        f"{conv} * 204 AS conversions_value_2_0",
+        f"{conv} * 196 AS conversions_value_2_1",
+        f"{conv} * 198 AS conversions_value_1_1",
+        f"{pred} AS predicted_conversions",
+        f"{pred} * 2 AS predicted_conversions_value",
+        "cast(floor(l_extendedprice * (1 - l_discount)) as double) AS revenue",
+        """CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN array(1, 2)
+           WHEN 3 THEN cast(array() as array<int>) ELSE array(1, 3) END AS app_anomaly_severity""",
+        "CASE WHEN l_suppkey % 17 = 0 THEN true WHEN l_suppkey % 19 = 0 THEN NULL ELSE false END AS is_house_ad",
+        """CASE WHEN l_suppkey % 23 = 0 THEN true WHEN l_suppkey % 29 = 0 THEN NULL
+           ELSE false END AS is_pixel_spammy""",
     )
 
 
 def served_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per served item, with a simulation id."""
+    """One row per served item, with a simulation id. Amounts are multiples of 1/128: sums are exact."""
     return table(spark, sf_dir, "lineitem").selectExpr(
         "CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('s', l_orderkey, '-', l_linenumber) END AS serve_item_id",
         "concat('li', l_partkey) AS line_item_id",
         """CASE l_returnflag WHEN 'A' THEN 'APP_INSTALLS' WHEN 'N' THEN 'PIXEL_PURCHASE'
            ELSE 'APP_PURCHASE' END AS optimization_goal""",
-        "cast(CASE WHEN l_partkey % 50 = 0 THEN 0 ELSE l_quantity END as decimal(18,4)) AS conversions",
-        """cast(l_quantity * (0.7D + (l_partkey % 7) * 0.1D + (l_discount - 0.05D) * 2) as decimal(18,4))
-           AS predicted_conversions""",
-        "cast(l_extendedprice * (1 - l_discount) as decimal(18,4)) AS revenue",
+        "CASE WHEN l_partkey % 50 = 0 THEN 0D ELSE l_quantity * 100 / 128D END AS conversions",
+        f"l_quantity * {PREDICTED_PERCENT} / 128D AS predicted_conversions",
+        "cast(floor(l_extendedprice * (1 - l_discount)) as double) AS revenue",
         "cast(l_orderkey % 50 as int) AS sim_id",
     )
 
@@ -307,7 +309,7 @@ def aa_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def total(column: str, arm: int):
         value = F.when(F.col("arm") == arm, F.col(column)).otherwise(F.lit(0))
-        return F.sum(value).cast("double")
+        return F.sum(value)
 
     return rows.groupBy(F.col("sim_id").alias("iteration_id"), "line_item_id").agg(
         *[
