@@ -154,6 +154,7 @@ def expanding_moments(obs: DataFrame, block_steps: int = BLOCK_STEPS) -> DataFra
 
 def with_own_mean_spread(moments: DataFrame) -> DataFrame:
     """Add stdev per arm: root of the mean squared distance of each value to its own running mean."""
+    moments = ordering.settle(moments)
     squared = {
         f"_d_{a}": F.pow(F.col(f"x_{a}") - F.col(f"mean_{a}"), F.lit(2.0)) for a in "ct"
     }
@@ -174,7 +175,7 @@ def peek_intervals(
     obs: DataFrame, every: int, policy: Policy, mu: float = 1.0, block_steps: int = BLOCK_STEPS
 ) -> DataFrame:
     """Interval of the mean difference at each peek, with coverage of mu and sticky decisions."""
-    moments = with_own_mean_spread(expanding_moments(obs, block_steps))
+    moments = ordering.settle(with_own_mean_spread(expanding_moments(obs, block_steps)))
     schedule = alpha_schedule(experiment_sizes(moments), every, policy)
     # Experiment and step together are unique, so no key is hot in this join.
     peeks = moments.drop("n").join(
@@ -244,7 +245,9 @@ def msprt_steps(obs: DataFrame, alpha: float = 0.05, block_steps: int = BLOCK_ST
         moments.withColumns({"_v": v, "tau": tau, "delta": F.col("mean_t") - F.col("mean_c")})
         .withColumn("ci", F.when(known, half))
         .withColumn("decision", (F.abs("delta") > F.col("ci")).cast("int"))
+        .select(EXPERIMENT, BLOCK, "step", "delta", "tau", "ci", "decision", "full_t")
     )
+    decided = ordering.settle(decided)
     parts = decided.groupBy(EXPERIMENT, BLOCK).agg(
         F.min(F.when(F.col("decision") == 1, F.col("step"))).alias("_first")
     )

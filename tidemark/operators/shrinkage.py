@@ -272,7 +272,11 @@ def aa_beta(frame: DataFrame, prior: DataFrame, samples: int = 300, seed: int =
         "sim_id", "arm", "alpha_post", "beta_post", F.col("revenue").cast("double"),
         F.xxhash64("sim_id", "arm", ITEM).alias("_key"),
     )
-    parts = rows.mapInPandas(draw, "sim_id int, arm string, draws array<double>, revenue double")
+    # Rows without revenue add nothing. Drawing is bound by the processor, so the
+    # rows, small as they are, go over all cores.
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    dealt = rows.where(F.col("revenue") != 0).repartition(cores, "_key")
+    parts = dealt.mapInPandas(draw, "sim_id int, arm string, draws array<double>, revenue double")
     sums = (
         parts.select("sim_id", "arm", "revenue", F.posexplode("draws").alias("draw", "value"))
         .groupBy("sim_id", "draw")

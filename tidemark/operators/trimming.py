@@ -69,15 +69,16 @@ def readouts(
     wide = ordering.settle(wide.where(F.col(item).isNotNull()))
     shares = [s for cut in cuts for s in (cut / 100, (100 - cut) / 100)]
     thresholds = ordering.exact_percentiles(wide, {d: shares for d in dimensions})
-    series = []
+    names, survived_cuts = [], []
     for dimension in dimensions:
-        value = F.col(dimension).cast("double")
-        series.append(_series(dimension, UNCUT, value.isNotNull().cast("int")))
+        value, ends = F.col(dimension).cast("double"), thresholds[dimension]
+        names.append((dimension, UNCUT))
+        survived_cuts.append(value.isNotNull().cast("int"))
         for direction in directions:
-            ends = thresholds[dimension]
-            series.append(
-                _series(dimension, direction, _cuts_survived(value, direction, ends[::2], ends[1::2]))
-            )
+            names.append((dimension, direction))
+            survived_cuts.append(_cuts_survived(value, direction, ends[::2], ends[1::2]))
+    # A small number stands for (dimension, direction) until the rows are few.
+    series = [F.struct(F.lit(i).alias("_no"), c.alias("_cuts")) for i, c in enumerate(survived_cuts, 1)]
     labels = calibration.goal_labels(wide)
     if goals is not None:
         wanted = [fixed.OVERALL, *goals]
@@ -86,7 +87,7 @@ def readouts(
         F.sum("_rows").alias("_rows"),
         *[calibration.total(c).alias(c) for c in calibration.PAIRED],
     ]
-    keys = ["dimension", "direction", "optimization_goal", item]
+    keys = ["_no", "optimization_goal", item]
     placed = wide.select(item, *{*dimensions, *calibration.PAIRED}, *_goal_column(wide)).repartition(item)
     rows = placed.select(
         "*", F.lit(1).alias("_rows"), F.explode(labels).alias("_goal"), F.array(*series).alias("_series")
@@ -95,14 +96,14 @@ def readouts(
     survived = rows.where(F.col("_cuts") > 0).groupBy(*keys, "_cuts").agg(*sums)
     spread = survived.withColumn("_cut", F.explode(F.sequence(F.lit(1), F.col("_cuts"))))
     items = spread.groupBy(*keys, "_cut").agg(*sums)
-    moments = items.groupBy("dimension", "direction", "optimization_goal", "_cut").agg(
+    moments = items.groupBy("_no", "optimization_goal", "_cut").agg(
         *calibration.arm_moments(),
         F.sum("_rows").alias("rows_kept"),
         F.sum(F.col("revenue_control") + F.col("revenue_treatment")).alias("revenue_kept"),
         F.sum(F.col("conversions_control") + F.col("conversions_treatment")).alias("conversions_kept"),
     )
     # One row per cell and goal from here on: the size of the grid, not of the data.
-    same_cell = Window.partitionBy("dimension", "direction", "_cut")
+    same_cell = Window.partitionBy("_no", "_cut")
     overall = F.col("optimization_goal") == fixed.OVERALL
     whole = {
         c: F.max(F.when(overall, F.col(c))).over(same_cell)
@@ -111,20 +112,19 @@ def readouts(
     pct = F.when(
         F.col("direction") != UNCUT, F.element_at(F.array(*[F.lit(c) for c in cuts]), F.col("_cut"))
     )
-    cells = moments.withColumns(whole).where(F.col("rows_kept") >= 2).withColumn("pct_cut", pct)
-    return calibration.with_differences(cells.drop("_cut"), confidence)
+    named = {
+        part: F.element_at(F.array(*[F.lit(n[i]) for n in names]), F.col("_no"))
+        for i, part in enumerate(("dimension", "direction"))
+    }
+    cells = moments.withColumns(whole).where(F.col("rows_kept") >= 2)
+    cells = cells.withColumns(named).withColumn("pct_cut", pct).drop("_no", "_cut")
+    return calibration.with_differences(cells, confidence)
 
 
 def _goal_column(wide: DataFrame) -> list[str]:
     return ["optimization_goal"] if "optimization_goal" in wide.columns else []
 
 
-def _series(dimension: str, direction: str, cuts: Column) -> Column:
-    return F.struct(
-        F.lit(dimension).alias("dimension"), F.lit(direction).alias("direction"), cuts.alias("_cuts")
-    )
-
-
 def _cuts_survived(
     value: Column, direction: str, lows: Sequence[float | None], highs: Sequence[float | None]
 ) -> Column:

@@ -182,7 +182,7 @@ def weekly_sla_by_size(spark, sf_dir):
 
 
 def weekly_cv(spark, sf_dir):
-    weeks = _traffic_weeks(spark, sf_dir)
+    weeks = ordering.settle(_traffic_weeks(spark, sf_dir))
     return rounded(op.weekly_variation(op.weekly_overall(weeks), op.weekly_by_size(weeks)), 8)
 
 

@@ -14,8 +14,17 @@ RUN_DATE = "2024-01-28"
 ACTIVITY_AS_OF = "2001-07-30"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A test table. With spread, one that comes in fewer parts than there are cores is dealt out.
+
+    The small test tables are single row groups, which one task would read and
+    work on alone. A table of many files has parts enough and is left as it is.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +250,7 @@ PREDICTED_PERCENT = "(70 + (l_partkey % 7) * 10 + (round(l_discount * 100) - 5)
 
 
 def ad_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = table(spark, sf_dir, "lineitem")
+    lineitem = table(spark, sf_dir, "lineitem", spread=True)
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     # Amounts are whole numbers, so that sums are the same in any order.
@@ -289,7 +298,7 @@ def ad_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def served_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per served item, with a simulation id. Amounts are multiples of 1/128: sums are exact."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return table(spark, sf_dir, "lineitem", spread=True).selectExpr(
         "CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('s', l_orderkey, '-', l_linenumber) END AS serve_item_id",
         "concat('li', l_partkey) AS line_item_id",
         """CASE l_returnflag WHEN 'A' THEN 'APP_INSTALLS' WHEN 'N' THEN 'PIXEL_PURCHASE'
@@ -386,7 +395,7 @@ def story_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label texts written from known columns: good, truncated, with Timestamp('...'), with bare tokens."""
-    return table(spark, sf_dir, "part").selectExpr(
+    return table(spark, sf_dir, "part", spread=True).selectExpr(
         "p_partkey",
         """CASE
              WHEN p_partkey % 5 = 1 THEN concat('{\\'short description\\': \\'', p_name, '\\', \\'event_type\\': ', p_type,
