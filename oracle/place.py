@@ -5,18 +5,18 @@ from oracle.roles import with_roles
 
 START, END = "2024-01-05", "2024-01-25"
 SCORES = f""", d AS (SELECT * FROM stories WHERE CAST(event_time AS DATE) BETWEEN DATE '{START}' AND DATE '{END}'),
-  media AS (SELECT * FROM (SELECT story_snap_id, max(CAST(submit_ts AS BIGINT)) AS submitted,
+  media AS (SELECT * FROM (SELECT story_id, max(CAST(submit_ts AS BIGINT)) AS submitted,
       max(CASE WHEN flat_url <> '' THEN flat_url ELSE media_url END) AS media_url
     FROM story_media WHERE ds BETWEEN DATE '{START}' - 1 AND DATE '{END}' GROUP BY 1) WHERE media_url <> ''),
   span AS (SELECT place_id, min(event_time) AS detection_start_time, max(event_time) AS detection_end_time FROM d GROUP BY 1),
-  each AS (SELECT continent, inclusive_region, place_country_code, place_id, place_name, place_region, place_country, story_snap_id,
+  each AS (SELECT continent, inclusive_region, place_country_code, place_id, place_name, place_region, place_country, story_id,
       story_link, venue_name, max(time_viewed_total_day) AS time_viewed_total_day, max(views_total_day) AS views_total_day FROM d GROUP BY ALL),
   ranked AS (SELECT e.*, m.media_url, s.detection_start_time, s.detection_end_time,
       percent_rank() OVER (PARTITION BY e.place_id ORDER BY views_total_day DESC NULLS LAST) AS story_views_rank,
       percent_rank() OVER (PARTITION BY e.place_id ORDER BY submitted DESC NULLS LAST) AS story_freshness_rank
-    FROM each e JOIN media m ON m.story_snap_id = e.story_snap_id JOIN span s ON s.place_id = e.place_id),
+    FROM each e JOIN media m ON m.story_id = e.story_id JOIN span s ON s.place_id = e.place_id),
   scored AS (SELECT *, story_views_rank * 0.7 + story_freshness_rank * 0.3 AS score FROM ranked),
-  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, story_snap_id) AS place_rank
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, story_id) AS place_rank
     FROM scored WHERE inclusive_region = 'North America') WHERE place_rank <= 5)"""
 
 
@@ -33,7 +33,7 @@ def brand_title(text: str) -> str:
 LABELLED = """, l AS (SELECT b.*, e.event_type, e.user_id, e.event_id,
     CASE WHEN e.user_id % 3 = 0 THEN '' ELSE 'scale ' || (e.user_id % 3) END AS event_scale,
     (e.event_id % 10) / 10.0 AS virality
-  FROM best b JOIN events e ON 's' || e.event_id = b.story_snap_id)"""
+  FROM best b JOIN events e ON 's' || e.event_id = b.story_id)"""
 
 
 def vote(column: str) -> str:
@@ -54,7 +54,7 @@ TOKENS = {
     "key_objects": "['Obj ' || (user_id % 4)]",
     "activity_type": "['Act ' || (event_id % 6)]",
 }
-ORDER = "ORDER BY score DESC, story_snap_id"
+ORDER = "ORDER BY score DESC, story_id"
 HEADS = ("continent", "place_name", "place_country_code")
 
 
@@ -71,7 +71,7 @@ CONSOLIDATED = f"""SELECT c.*, {', '.join(f'v_{n}.v AS {n}' for n in VOTES)} FRO
       '' AS contributing_context,
       string_agg('Story ' || event_id, ' | ' {ORDER}) AS short_description,
       string_agg('Seen by ' || user_id, ' | ' {ORDER}) AS long_description,
-      coalesce(first(story_link ORDER BY views_total_day DESC NULLS LAST, story_snap_id) FILTER (views_total_day IS NOT NULL), NULL) AS most_viewed_link
+      coalesce(first(story_link ORDER BY views_total_day DESC NULLS LAST, story_id) FILTER (views_total_day IS NOT NULL), NULL) AS most_viewed_link
     FROM l GROUP BY place_id) c {' '.join(f'JOIN {vote(t)} v_{n} ON v_{n}.place_id = c.place_id' for n, t in VOTES.items())}"""
 
 # Which part rows carry which kind of text, straight from the source columns.
@@ -91,24 +91,24 @@ both = ["stories", "story_media"]
 SQL = {
     "story_scores": with_roles(
         both,
-        SCORES + f"""SELECT place_id, place_name, story_snap_id, venue_name, media_url, {R('time_viewed_total_day', 'time_viewed_total_day', 9)},
+        SCORES + f"""SELECT place_id, place_name, story_id, venue_name, media_url, {R('time_viewed_total_day', 'time_viewed_total_day', 9)},
         views_total_day, {R('story_views_rank', 'story_views_rank', 9)}, {R('story_freshness_rank', 'story_freshness_rank', 9)}, {R('score', 'score', 9)},
         strftime(detection_start_time, '%Y-%m-%d %H:%M:%S') AS detection_start_time,
         strftime(detection_end_time, '%Y-%m-%d %H:%M:%S') AS detection_end_time FROM scored""",
     ),
-    "story_topk": with_roles(both, SCORES + f"SELECT place_id, story_snap_id, {R('score', 'score', 9)} FROM best"),
+    "story_topk": with_roles(both, SCORES + f"SELECT place_id, story_id, {R('score', 'score', 9)} FROM best"),
     "story_topk_lowest": with_roles(
         both,
-        SCORES + f"""SELECT place_id, story_snap_id, venue_name, {R('score', 'score', 9)} FROM (SELECT *, row_number() OVER (
-        PARTITION BY place_id ORDER BY score, story_snap_id) AS r FROM scored WHERE venue_name <> '') WHERE r <= 3""",
+        SCORES + f"""SELECT place_id, story_id, venue_name, {R('score', 'score', 9)} FROM (SELECT *, row_number() OVER (
+        PARTITION BY place_id ORDER BY score, story_id) AS r FROM scored WHERE venue_name <> '') WHERE r <= 3""",
     ),
     "label_parse": PART,
     "place_consolidated": with_roles(both, SCORES + LABELLED + CONSOLIDATED),
     "place_story_join": with_roles(
         both,
         SCORES + LABELLED + f""", c AS ({CONSOLIDATED}), h AS (SELECT place_id, {', '.join(head(c) for c in HEADS)} FROM l GROUP BY 1)
-        SELECT c.place_id, c.place_name, c.event_type, l.story_snap_id, l.event_type AS video_event_type,
-          CASE WHEN l.story_snap_id IS NOT NULL THEN 'Story ' || l.event_id END AS video_short_description, {R('l.score', 'score', 9)}
+        SELECT c.place_id, c.place_name, c.event_type, l.story_id, l.event_type AS video_event_type,
+          CASE WHEN l.story_id IS NOT NULL THEN 'Story ' || l.event_id END AS video_short_description, {R('l.score', 'score', 9)}
         FROM c JOIN h ON h.place_id = c.place_id LEFT JOIN l ON l.place_id = c.place_id AND l.place_name = c.place_name
           AND l.continent IS NOT DISTINCT FROM c.continent AND l.place_country_code IS NOT DISTINCT FROM c.place_country_code""",
     ),

@@ -157,13 +157,13 @@ ROLES = {
           'p' || k AS place_id,
           CASE WHEN event_id % 97 = 0 THEN 'Old Place ' || k ELSE 'Place ' || k END AS place_name,
           'R' || (k % 8) AS place_region, 'Country ' || (k % 9) AS place_country,
-          's' || event_id AS story_snap_id, 'link/' || event_id AS story_link,
+          's' || event_id AS story_id, 'link/' || event_id AS story_link,
           CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'venue ' || user_id END AS venue_name,
           ts AS event_time, CAST(ts AS DATE) AS ds, value AS time_viewed_total_day,
           CASE WHEN event_id % 53 = 0 THEN NULL ELSE CAST(floor(value * 10) AS BIGINT) END AS views_total_day
         FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events)""",
     "story_media": """
-        SELECT 's' || event_id AS story_snap_id,
+        SELECT 's' || event_id AS story_id,
           CAST(1704067200000 + (event_id % 5000) * 60000 + copy * 1000 AS VARCHAR) AS submit_ts,
           CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 11 = 0 THEN NULL ELSE 'flat/' || event_id END AS flat_url,
           CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 44 = 4 THEN '' ELSE concat('media/', event_id, '-', copy) END AS media_url,

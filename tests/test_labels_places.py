@@ -87,12 +87,12 @@ def scored(spark):
     )
     media_rows = [(f"s{i}", str(1704800000000 + i), "" if i else None, f"m{i}", dt.date(2024, 1, 10)) for i in (0, 1, 2, 3, 9)]
     media_rows.append(("s0", "1704800009999", "flat", "m", dt.date(2024, 1, 9)))
-    media = spark.createDataFrame(media_rows, "story_snap_id string, submit_ts string, flat_url string, media_url string, ds date")
+    media = spark.createDataFrame(media_rows, "story_id string, submit_ts string, flat_url string, media_url string, ds date")
     return places.story_scores(stories, media, "2024-01-10", "2024-01-10", 0.6, 0.4)
 
 
 def test_story_scores(scored):
-    rows = {r["story_snap_id"]: r for r in scored.collect()}
+    rows = {r["story_id"]: r for r in scored.collect()}
     assert [rows[f"s{i}"]["story_views_rank"] for i in range(4)] == [0.0, 0.0, pytest.approx(2 / 3), 1.0]
     assert [rows[f"s{i}"]["story_freshness_rank"] for i in range(4)] == [0.0, 1.0, pytest.approx(2 / 3), pytest.approx(1 / 3)]
     assert rows["s1"]["score"] == pytest.approx(0.4)
@@ -105,7 +105,7 @@ def test_consolidation_and_join(spark, scored):
     texts = [("s2", "{'event_type': 'a', 'keywords': ['x', 'y'], 'virality_potential': 0.2, 'short_description': 'two'}"),
              ("s3", "{'event_type': 'b', 'keywords': ['y'], 'virality_potential': 0.4, 'short_description': 'three'}"),
              ("s1", "{'event_type': 'b', 'keywords': [], 'virality_potential': 0.6, 'short_description': 'one'}")]
-    label_rows = spark.createDataFrame(texts, "story_snap_id string, labels string")
+    label_rows = spark.createDataFrame(texts, "story_id string, labels string")
     stories = places.labelled_stories(best, label_rows).withColumns({"prompt_tokens": F.lit(3), "completion_tokens": F.lit(1)})
     row = places.consolidate(stories).collect()
     assert len(row) == 1

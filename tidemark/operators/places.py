@@ -15,7 +15,7 @@ from tidemark.sources import tables
 
 STORY_KEYS = (
     "continent", "inclusive_region", "place_country_code", "place_id", "place_name", "place_region",
-    "place_country", "story_snap_id", "story_link", "venue_name",
+    "place_country", "story_id", "story_link", "venue_name",
 )
 
 
@@ -27,7 +27,7 @@ def media_per_story(media: DataFrame, start, end) -> DataFrame:
     address = F.when(F.col("flat_url") != "", F.col("flat_url")).otherwise(F.col("media_url"))
     days = tables.between_days(media, F.date_sub(dates.day(start), 1), dates.day(end))
     return (
-        days.groupBy("story_snap_id")
+        days.groupBy("story_id")
         .agg(
             F.max(dates.from_epoch_millis(F.col("submit_ts"))).alias("submit_ts"),
             F.max(address).alias("media_url"),
@@ -56,7 +56,7 @@ def story_scores(
         F.max("time_viewed_total_day").alias("time_viewed_total_day"),
         F.max("views_total_day").alias("views_total_day"),
     )
-    found = each.join(media_per_story(media, start, end), "story_snap_id").join(place_spans(days), "place_id")
+    found = each.join(media_per_story(media, start, end), "story_id").join(place_spans(days), "place_id")
     found = ordering.settle(found)
     ranked = ordering.percent_ranks(found, "place_id", "views_total_day", "story_views_rank")
     ranked = ordering.percent_ranks(ranked, "place_id", "submit_ts", "story_freshness_rank")
@@ -72,12 +72,12 @@ def best_stories(
     scored: DataFrame, k: int = 5, ascending: bool = False, filled: str | None = None
 ) -> DataFrame:
     """The k first stories of each place by score, the highest first unless asked otherwise."""
-    return ordering.top_k(scored, "place_id", "score", ["story_snap_id"], k, ascending, filled)
+    return ordering.top_k(scored, "place_id", "score", ["story_id"], k, ascending, filled)
 
 
 def labelled_stories(stories: DataFrame, story_labels: DataFrame) -> DataFrame:
     """Stories with their parsed label; a story without one keeps the defaults."""
-    return labels.parse(stories.join(story_labels, "story_snap_id", "left"), "labels", fixed.STORY_LABEL_FIELDS)
+    return labels.parse(stories.join(story_labels, "story_id", "left"), "labels", fixed.STORY_LABEL_FIELDS)
 
 
 def distinct_tokens(column: str) -> Column:
@@ -108,7 +108,7 @@ def consolidate(stories: DataFrame) -> DataFrame:
     Reads the few stories kept per place, so the lists built per group are short.
     Attributes are those of the first story by score.
     """
-    order = F.struct((-F.col("score")).alias("s"), F.col("story_snap_id").alias("id"))
+    order = F.struct((-F.col("score")).alias("s"), F.col("story_id").alias("id"))
 
     def first(column: str) -> Column:
         return F.min_by(column, F.when(F.col(column).isNotNull(), order)).alias(column)
@@ -120,10 +120,10 @@ def consolidate(stories: DataFrame) -> DataFrame:
         *[majority(c).alias(c) for c in fixed.PLACE_VOTE_FIELDS],
         *[distinct_tokens(c).alias(c) for c in fixed.LABEL_LIST_FIELDS],
         *[
-            joined_text(c, ["score DESC", "story_snap_id"]).alias(c)
+            joined_text(c, ["score DESC", "story_id"]).alias(c)
             for c in ("short_description", "long_description")
         ],
-        attribute_of_best("story_link", "views_total_day", "story_snap_id").alias("most_viewed_link"),
+        attribute_of_best("story_link", "views_total_day", "story_id").alias("most_viewed_link"),
     )
 
 

@@ -23,7 +23,7 @@ def story_scores(spark, sf_dir):
     spans = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("detection_start_time", "detection_end_time")]
     return rounded(
         scored.select(
-            "place_id", "place_name", "story_snap_id", "venue_name", "media_url", "time_viewed_total_day",
+            "place_id", "place_name", "story_id", "venue_name", "media_url", "time_viewed_total_day",
             "views_total_day", "story_views_rank", "story_freshness_rank", "score", *spans,
         ),
         9,
@@ -35,12 +35,12 @@ def _best(spark, sf_dir):
 
 
 def story_topk(spark, sf_dir):
-    return rounded(_best(spark, sf_dir).select("place_id", "story_snap_id", "score"), 9)
+    return rounded(_best(spark, sf_dir).select("place_id", "story_id", "score"), 9)
 
 
 def story_topk_lowest(spark, sf_dir):
     best = op.best_stories(_scores(spark, sf_dir), k=3, ascending=True, filled="venue_name")
-    return rounded(best.select("place_id", "story_snap_id", "venue_name", "score"), 9)
+    return rounded(best.select("place_id", "story_id", "venue_name", "score"), 9)
 
 
 def label_parse(spark, sf_dir):
@@ -70,7 +70,7 @@ def place_story_join(spark, sf_dir):
     places = op.consolidate(stories).select(*fixed.PLACE_STORY_KEYS, "event_type")
     rows = op.place_story_rows(places, stories)
     return rounded(
-        rows.select("place_id", "place_name", "event_type", "story_snap_id", "video_event_type", "video_short_description", "score"),
+        rows.select("place_id", "place_name", "event_type", "story_id", "video_event_type", "video_short_description", "score"),
         9,
     )
 

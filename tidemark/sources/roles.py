@@ -352,7 +352,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE WHEN event_id % 97 = 0 THEN concat('Old Place ', {k}) ELSE concat('Place ', {k}) END AS place_name",
         f"concat('R', {k} % 8) AS place_region",
         f"concat('Country ', {k} % 9) AS place_country",
-        "concat('s', event_id) AS story_snap_id",
+        "concat('s', event_id) AS story_id",
         "concat('link/', event_id) AS story_link",
         "CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('venue ', user_id) END AS venue_name",
         "ts AS event_time",
@@ -369,7 +369,7 @@ def story_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "to_date(ts) AS ds",
         "explode(CASE WHEN event_id % 5 = 0 THEN array(0, 1) ELSE array(0) END) AS copy",
     ).selectExpr(
-        "concat('s', event_id) AS story_snap_id",
+        "concat('s', event_id) AS story_id",
         "cast(1704067200000 + (event_id % 5000) * 60000 + copy * 1000 as string) AS submit_ts",
         "CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 11 = 0 THEN NULL ELSE concat('flat/', event_id) END AS flat_url",
         "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 44 = 4 THEN '' ELSE concat('media/', event_id, '-', copy) END AS media_url",
@@ -380,7 +380,7 @@ def story_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def story_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label text per story, with the token use of the call that made it."""
     return table(spark, sf_dir, "events").selectExpr(
-        "concat('s', event_id) AS story_snap_id",
+        "concat('s', event_id) AS story_id",
         """concat('{\\'short_description\\': \\'Story ', event_id, '\\', \\'long_description\\': \\'Seen by ', user_id,
            '\\', \\'keywords\\': [\\'', event_type, ' wave\\', \\'user ', user_id % 7, '\\'], \\'event_type\\': \\'', event_type,
            '\\', \\'event_scale\\': ', CASE WHEN user_id % 3 = 0 THEN 'None' ELSE concat('\\'scale ', user_id % 3, '\\'') END,
