@@ -213,9 +213,14 @@ def gain(m: str) -> str:
     )
 
 
+def whole(name: str) -> str:
+    """Counts stay whole numbers, amounts are rounded."""
+    return f"CAST({name} AS BIGINT) AS {name}" if name.startswith("impressions") else R(name, name)
+
+
 SUM_LIST = ("revenue", "impressions", "rev_sla", "conversions", "conversions_pred")
 TOTALS = ", ".join(f"CAST(SUM({c}) AS DOUBLE) AS {c}" for c in SUM_LIST)
-TOTALS_OUT = ", ".join(R(c, c) for c in SUM_LIST) + ", " + R("rev_sla / revenue", "pct_rev_sla") + ", " + R(
+TOTALS_OUT = ", ".join(whole(c) for c in SUM_LIST) + ", " + R("rev_sla / revenue", "pct_rev_sla") + ", " + R(
     "CASE WHEN conversions = 0 THEN 0 ELSE conversions_pred / conversions END", "calibration"
 )
 SIMS = """, sims AS (SELECT sim_id, SUM(rev_sla) / SUM(revenue) AS pct_rev_sla,
@@ -307,7 +312,7 @@ SQL = {
     ),
     "ab_wide": with_roles(
         facts,
-        WIDE + f"SELECT {WIDE_KEYS}, " + ", ".join(R(f"{m}_{a}", f"{m}_{a}") for m in METRICS for a in ("control", "treatment")) + " FROM wide",
+        WIDE + f"SELECT {WIDE_KEYS}, " + ", ".join(whole(f"{m}_{a}") for m in METRICS for a in ("control", "treatment")) + " FROM wide",
     ),
     "ab_readout": with_roles(facts, WIDE + ab_readout("line_item_id")),
     "ab_readout_by_size": with_roles(
@@ -331,7 +336,7 @@ SQL = {
     ),
     "trim_rows": with_roles(
         facts,
-        WIDE + f"SELECT {WIDE_KEYS}, " + ", ".join(R(f"{m}_{a}", f"{m}_{a}") for m in METRICS for a in ("control", "treatment"))
+        WIDE + f"SELECT {WIDE_KEYS}, " + ", ".join(whole(f"{m}_{a}") for m in METRICS for a in ("control", "treatment"))
         + """ FROM wide, (SELECT quantile_cont(revenue_control, 0.05::DOUBLE) AS lo, quantile_cont(revenue_control, 0.95::DOUBLE) AS hi FROM wide)
         WHERE revenue_control BETWEEN lo AND hi""",
     ),
