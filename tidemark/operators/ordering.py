@@ -10,7 +10,6 @@ carried table has one row per group and block.
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,12 +19,12 @@ BLOCK = "_block"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The checkpoint folder of the session; where none is set, one under the session's warehouse."""
+    folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
