@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.llm.licenses import NOTICES
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _DEDUP = f"""
@@ -49,7 +51,54 @@ SELECT doc_id, size, plan.source_size, plan.target,
 FROM run JOIN plan ON run.source IS NOT DISTINCT FROM plan.source
 """
 
+_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_LEAKS = f"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, w[k:k + 9] AS gram
+      FROM i, LATERAL (SELECT unnest(generate_series(1, len(w) - 9)) AS k) WHERE len(w) >= 10
+      UNION SELECT item_id, w FROM i WHERE len(w) BETWEEN 1 AND 9),
+n AS (SELECT DISTINCT len(gram) AS n FROM g),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, k, n, w[k:k + n - 1] AS gram FROM d, n,
+      LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS k) WHERE len(w) >= n),
+h AS (SELECT p.doc_id, p.k, p.n, g.item_id FROM p JOIN g ON p.gram = g.gram),
+hit AS (SELECT doc_id, count(DISTINCT k + o) AS n_hit FROM h, LATERAL (SELECT unnest(range(n)) AS o) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_NOTICES = ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in NOTICES)
+
+_LICENSES = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ph AS (SELECT * FROM (VALUES ('mit', ['mit', 'license']), ('apache', ['apache', 'license']),
+                             ('gpl', ['general', 'public', 'license'])) AS t(label, phrase)),
+base AS (SELECT doc_id, label, k - 1 AS place FROM d, ph,
+         LATERAL (SELECT unnest(generate_series(1, len(w) - len(phrase) + 1)) AS k)
+         WHERE len(w) >= len(phrase) AND w[k:k + len(phrase) - 1] = phrase),
+b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM base GROUP BY doc_id),
+notices AS (SELECT label, list_distinct(words) AS words FROM (VALUES {_NOTICES}) AS t(label, words)),
+blocks AS (SELECT doc_id, list_distinct(w[k + 1:k + 64]) AS held FROM d,
+           LATERAL (SELECT unnest(generate_series(0, greatest(len(w) - 33, 0), 32)) AS k)),
+found AS (SELECT doc_id, label, len(list_intersect(held, words)) / len(words) AS share FROM blocks, notices
+          WHERE len(list_intersect(held, words)) >= ceil(0.9 * len(words) - 1e-9)),
+best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
+bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+       FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id)
+"""
+
 SQL = {
     "op2_exact_dedup": _DEDUP,
+    "op6_license_scan": _LICENSES,
     "op9_mix_sources": _MIX,
+    "op10_decontaminate": _LEAKS,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import decontaminate, exact_dedup, licenses, mixing
 from tidemark.llm.oracle import SQL as SQL
 
 
@@ -17,13 +17,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = mixing.label_weights(_table(spark, sf_dir, "labels"))
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_license_scan": op6_license_scan,
     "op9_mix_sources": op9_mix_sources,
+    "op10_decontaminate": op10_decontaminate,
 }
