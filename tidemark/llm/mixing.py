@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.text import size_of
 from tidemark.operators.ordering import settle
 
-BUCKETS = 65_536
+BUCKETS = 4_096
 MAX_EPOCHS = 3
 CYCLE = 3
 SEED = "mix-1"
