@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, licenses, mixing
+from tidemark.llm import decontaminate, exact_dedup, language, licenses, mixing, tokens
 from tidemark.llm.oracle import SQL as SQL
 
+#: Public vocabulary of the token counts.
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,10 +20,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = mixing.label_weights(_table(spark, sf_dir, "labels"))
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights)
@@ -34,7 +47,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_language": op5_language,
     "op6_license_scan": op6_license_scan,
+    "op8_token_counts": op8_token_counts,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
 }
