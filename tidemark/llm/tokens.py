@@ -139,7 +139,7 @@ def _spliced(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
         "left",
     )
     common = F.array_min(F.array_intersect(F.col("tail.at"), F.col("head.at")))
-    n_at = lambda side: F.filter(side, lambda p: p["at"] == F.col("common"))[0]["n"]
+    n_at = lambda side: F.get(F.filter(side, lambda p: p["at"] == F.col("common")), 0)["n"]
     joined = joined.select("r._row_id", "r._row_hash", "r.no", "r.head", "l.tail", "r.n", "r.last")
     joined = joined.withColumn("common", common)
     gained = F.when(F.col("no") == 0, 0).otherwise(n_at("tail") - n_at("head"))
