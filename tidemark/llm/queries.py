@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, language, licenses, mixing, tokens
+from tidemark.llm import decontaminate, exact_dedup, language, licenses, mixing, ngram_join, tokens
 from tidemark.llm.oracle import SQL as SQL
 
 #: Public vocabulary of the token counts.
@@ -20,6 +20,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_join": op3_ngram_join,
     "op5_language": op5_language,
     "op6_license_scan": op6_license_scan,
     "op8_token_counts": op8_token_counts,
