@@ -96,9 +96,45 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id)
 """
 
+_HOST = "lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'))"
+_PATH = "regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+
+# Labels travel along the edges until each url knows the smallest one it can reach.
+_URLS = f"""
+WITH RECURSIVE rules AS (
+  SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                        ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(verdict, rhost, rpath)),
+p AS (SELECT page_id, url, html, {_HOST} AS host, {_PATH} AS path FROM pages),
+known AS (SELECT DISTINCT url FROM p WHERE url LIKE '%://%'),
+links AS (SELECT url AS src, regexp_extract(html, '<link[^>]*rel="canonical"[^>]*href="([^"]+)"', 1, 'is') AS dst FROM p
+          WHERE url LIKE '%://%'),
+found AS (SELECT DISTINCT src, dst FROM links WHERE dst LIKE '%://%'),
+urls AS (SELECT url FROM known UNION SELECT dst FROM found),
+plain AS (SELECT url, regexp_replace({_HOST}, '^www\\.', '')
+                      || regexp_replace({_PATH}, '(/index\\.html?|\\.html?|/)$', '')
+                      || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS form
+          FROM (SELECT url, list_filter(string_split(regexp_extract(url, '^.*?://[^?#]*\\?([^#]*)', 1, 's'), '&'),
+                            lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')) AS q
+                FROM urls)),
+pairs AS (SELECT url AS a, form AS b FROM plain UNION SELECT src, dst FROM found),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a),
+comp AS (SELECT node, min(seen) AS root FROM reach GROUP BY node),
+ranked AS (SELECT u.url, verdict, rhost || rpath AS rule,
+                  row_number() OVER (PARTITION BY u.url ORDER BY length(rhost || rpath) DESC, verdict) AS n
+           FROM (SELECT url, {_HOST} AS host, {_PATH} AS path FROM urls) u, rules
+           WHERE (host = rhost OR suffix(host, '.' || rhost)) AND prefix(path, rpath)),
+best AS (SELECT * FROM ranked WHERE n = 1),
+spread AS (SELECT root, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict
+           FROM best JOIN comp ON comp.node = best.url GROUP BY root)
+SELECT p.page_id, host, path, rule, coalesce(best.verdict, spread.verdict, 'allow') AS verdict
+FROM p LEFT JOIN best ON p.url = best.url LEFT JOIN comp ON comp.node = p.url LEFT JOIN spread ON spread.root = comp.root
+"""
+
 SQL = {
     "op2_exact_dedup": _DEDUP,
     "op6_license_scan": _LICENSES,
+    "op7_url_filter": _URLS,
     "op9_mix_sources": _MIX,
     "op10_decontaminate": _LEAKS,
 }

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, language, licenses, mixing, ngram_join, tokens
+from tidemark.llm import decontaminate, exact_dedup, language, licenses, mixing, ngram_join, tokens, url_filter
 from tidemark.llm.oracle import SQL as SQL
 
 #: Public vocabulary of the token counts.
 TOKENIZER = "byte_bpe_50k.json"
 
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +40,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +67,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op5_language": op5_language,
     "op6_license_scan": op6_license_scan,
+    "op7_url_filter": op7_url_filter,
     "op8_token_counts": op8_token_counts,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
