@@ -28,6 +28,8 @@ PROFILE = 300
 #: One in FOLDS of the labelled documents is held out.
 FOLDS = 5
 _SHIFT = 21
+#: n-grams of a language that a task gathers before it counts them.
+_AT_ONCE = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -78,14 +80,34 @@ def counted(texts: DataFrame) -> DataFrame:
     """lang, gram, n over all rows of texts (lang, text): counted per batch, then summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[str, list[np.ndarray]] = {}
+        done: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[str, int] = {}
+
+        def close(lang: str) -> None:
+            found, n = np.unique(np.concatenate(open_.pop(lang)), return_counts=True)
+            waiting[lang] = 0
+            if lang in done:
+                old, old_n = done[lang]
+                found, at = np.unique(np.concatenate((old, found)), return_inverse=True)
+                n = np.bincount(at, np.concatenate((old_n, n))).astype(np.int64)
+            done[lang] = found, n
+
         for batch in batches:
-            by_lang: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                lang, text = lang.as_py(), text.as_py()
                 if text:
-                    by_lang.setdefault(lang, []).append(grams_of(text))
-            for lang, parts in by_lang.items():
-                found, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "gram", "n"])
+                    held = open_.setdefault(lang, [])
+                    held.append(grams_of(text))
+                    waiting[lang] = waiting.get(lang, 0) + len(held[-1])
+                    if waiting[lang] >= _AT_ONCE:
+                        close(lang)
+        for lang in list(open_):
+            close(lang)
+        for lang, (found, n) in done.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n, pa.int64())], ["lang", "gram", "n"]
+            )
 
     parts = texts.select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
