@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their first 4, 5 and 6 bytes. The model is fitted on at most SAMPLE labelled documents per label
-(those with the smallest hash of doc_id, near copies of one another taken once); the terms that speak for label 1
+(those with the smallest hash of doc_id, near copies of one another taken once, at least three documents a term); the terms that speak for label 1
 there (chi-square of at least CHI2, at most TERMS of them) span the vectors. Inverse document frequencies of the terms
 are counted over all documents.
 
@@ -40,27 +40,32 @@ K = 15
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 PREFIXES = (4, 5, 6)
+#: Near copies share a MinHash value of theirs with high probability; they are told by several, one after the other.
+TWIN_HASHES = 4
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
 
 
-def _terms(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each part of the column: (text of each term occurrence, term hash, and each text's smallest word 3-gram)."""
+def _terms(texts: pa.Array, twins: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each part of the column: (text of each term occurrence, term hash, and TWIN_HASHES MinHash values of each
+    text's word 3-grams, as one row per text)."""
     for words in parts_of(texts):
         docs, terms = [words.doc], [words.hash]
         for length in PREFIXES:
             at, hashes = words.prefixes(length)
             docs.append(words.doc[at])
             terms.append(hashes)
-        runs, bounds = mixed(words.runs(3)), words.bounds()
-        least = np.zeros(words.n_texts, np.uint64)
-        for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
-            if high - low >= 3:
-                least[i] = runs[low : high - 2].min()
-            elif high > low:
-                least[i] = words.hash[low:high].sum(dtype=np.uint64)
+        runs, bounds = words.runs(3), words.bounds()
+        least = np.zeros((words.n_texts, TWIN_HASHES), np.uint64)
+        for k in range(TWIN_HASHES if twins else 0):
+            stirred = mixed(runs + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
+            for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
+                if high - low >= 3:
+                    least[i, k] = stirred[low : high - 2].min()
+                elif high > low:
+                    least[i, k] = words.hash[low:high].sum(dtype=np.uint64)
         yield words.first + np.concatenate(docs), np.concatenate(terms), least
 
 
@@ -179,18 +184,18 @@ def _examples(sample: DataFrame) -> DataFrame:
         for batch in batches:
             least, terms, counts = [], [], []
             first = 0
-            for doc, term, low in _terms(batch.column(2)):
+            for doc, term, low in _terms(batch.column(2), twins=True):
                 doc, term, n = _counted(doc - first, term)
                 cuts = np.searchsorted(doc, np.arange(len(low) + 1))
                 for i in range(len(low)):
                     terms.append(term[cuts[i] : cuts[i + 1]].view(np.int64))
                     counts.append(n[cuts[i] : cuts[i + 1]])
-                least.append(low.view(np.int64))
+                least += list(low.view(np.int64))
                 first += len(low)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
-                    pa.array(np.concatenate(least) if least else np.empty(0, np.int64)),
+                    pa.array(least, pa.list_(pa.int64())),
                     pa.array(terms, pa.list_(pa.int64())),
                     pa.array(counts, pa.list_(pa.int64())),
                 ],
@@ -199,7 +204,7 @@ def _examples(sample: DataFrame) -> DataFrame:
 
     key = sample.schema["doc_id"].dataType.simpleString()
     return sample.select("doc_id", "toxic", "text").mapInArrow(
-        read, f"doc_id {key}, toxic int, least bigint, terms array<bigint>, counts array<bigint>"
+        read, f"doc_id {key}, toxic int, least array<bigint>, terms array<bigint>, counts array<bigint>"
     )
 
 
@@ -227,10 +232,14 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms: int = TERMS, chi2: float = CHI2) -> Index:
     sampled, totals = _sample(docs, labels, sample)
-    rows = _examples(sampled).withColumn("twin", F.concat_ws("-", "least", "toxic"))
-    # Of near copies, which share their smallest 3-gram, one example; the others count through its weight.
-    firsts = rows.groupBy("twin").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("twins"))
-    rows = settle(rows.drop("twin").join(firsts, "doc_id"))
+    rows = settle(_examples(sampled).dropDuplicates(["doc_id"]))
+    # Of near copies one example stays; the others count through its weight.
+    firsts = rows.select("doc_id", "toxic", "least", F.lit(1).cast("long").alias("twins"))
+    for k in range(TWIN_HASHES):
+        firsts = firsts.groupBy("toxic", F.col("least")[k]).agg(
+            F.min_by("least", "doc_id").alias("least"), F.sum("twins").alias("twins"), F.min("doc_id").alias("doc_id")
+        ).select("doc_id", "toxic", "least", "twins")
+    rows = settle(rows.drop("least").join(firsts.select("doc_id", "twins"), "doc_id"))
     seen = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum("twins").alias("n")).collect()}
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
 
@@ -243,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms: in
     )
     gap = with_1 * (n0 - with_0) - with_0 * (n1 - with_1)
     spread = (with_1 + with_0) * (n - with_1 - with_0) * float(max(n1, 1)) * float(max(n0, 1))
-    per_term = per_term.filter((gap > 0) & (with_1 >= 2)).withColumn("chi2", n * gap * gap / F.greatest(spread, F.lit(1.0)))
+    per_term = per_term.filter((gap > 0) & (with_1 >= 3)).withColumn("chi2", n * gap * gap / F.greatest(spread, F.lit(1.0)))
     best = per_term.filter(F.col("chi2") >= chi2).orderBy(F.desc("chi2"), "term").limit(most_terms).collect()
     terms = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
 
