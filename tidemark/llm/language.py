@@ -123,16 +123,17 @@ def learn(texts: DataFrame, most: int = PROFILE) -> dict[str, np.ndarray]:
     return {lang: np.array(grams, np.int64) for lang, grams in profiles.items()}
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", most: int = PROFILE) -> DataFrame:
-    """All columns of docs but the text, and lang_pred and score of the whole text."""
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = PROFILE) -> DataFrame:
+    """All columns of docs, and _lang_pred and _lang_score of the whole text."""
     names = sorted(profiles)
     known = [profiles[n] for n in names]
-    kept = [c for c in docs.columns if c != text and c not in ("lang_pred", "score")]
+    columns = [c for c in docs.columns if c not in ("_lang_pred", "_lang_score")]
+    at = columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, scores = [], []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(at):
                 own = ranked(grams_of(value.as_py() or ""), most) if known else np.empty(0, np.int64)
                 if not len(own):
                     found.append("und")
@@ -143,13 +144,13 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
                 found.append(names[best])
                 scores.append(1.0 - far[best] / (most * len(own)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                [*kept, "lang_pred", "score"],
+                [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                [*columns, "_lang_pred", "_lang_score"],
             )
 
-    source = docs.select(*kept, text)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    return source.mapInArrow(predict, ", ".join([*fields, "lang_pred string", "score double"]))
+    source = docs.select(*(f"`{c}`" for c in columns))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
+    return source.mapInArrow(predict, ", ".join([*fields, "_lang_pred string", "_lang_score double"]))
 
 
 def held_out(folds: int = FOLDS):
@@ -165,11 +166,16 @@ def languages(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
     profiles = learn(training_part(docs, folds))
     found = identify(docs.select("doc_id", "text"), profiles)
-    return found.select("doc_id", F.coalesce(held_out(folds), F.lit(True)).alias("held_out"), "lang_pred", "score")
+    return found.select(
+        "doc_id",
+        F.coalesce(held_out(folds), F.lit(True)).alias("held_out"),
+        F.col("_lang_pred").alias("lang_pred"),
+        F.col("_lang_score").alias("score"),
+    )
 
 
 def in_a_language(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """The documents that have a language, all columns; those of `und` go."""
     profiles = learn(training_part(docs, folds))
-    marked = identify(docs.withColumn("_copy", F.col("text")), profiles, "_copy").filter("lang_pred <> 'und'")
+    marked = identify(docs, profiles).filter("_lang_pred <> 'und'")
     return marked.select(*(f"`{c}`" for c in docs.columns))
