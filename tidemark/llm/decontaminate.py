@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import NOT_WORD, lowered, row_columns, same_row, words_of
+from tidemark.llm.text import lowered, row_columns, same_row, words_of
 from tidemark.operators.ordering import settle
 
 WINDOW = 10
@@ -127,20 +127,28 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
 
 def without_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """All documents; words under a hit are taken out of their text, what stands between words stays."""
+    spans, gaps, words = (_free(name, docs.columns) for name in ("spans", "gaps", "words"))
     marked = hits(docs, items, window).groupBy("_row_id", "_row_hash").agg(
-        F.collect_set(F.struct("start", "length")).alias("_spans")
+        F.collect_set(F.struct("start", "length")).alias(spans)
     )
     joined = docs.join(marked, _row_is(docs, marked), "left")
     # Between the words: one piece more than there are words.
-    gaps = F.split("text", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    words = F.array_remove(F.split("text", NOT_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")), "")
-    joined = joined.withColumns({"_gaps": gaps, "_words": words})
-    under = lambda i: F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["length"]))
-    rebuilt = F.concat(
-        F.array_join(
-            F.transform("_words", lambda w, i: F.concat(F.get("_gaps", i), F.when(under(i), "").otherwise(w))), ""
-        ),
-        F.element_at("_gaps", -1),
+    cased = r"\x30-\x39\x41-\x5A\x61-\x7A"
+    text = docs["text"]
+    joined = joined.withColumns(
+        {
+            gaps: F.split(text, rf"[{cased}[^\x00-\x7F]]+"),
+            words: F.array_remove(F.split(text, rf"[\x00-\x7F&&[^{cased}]]+"), ""),
+        }
     )
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rebuilt)
-    return joined.withColumn("text", text).select(*docs.columns)
+    under = lambda i: F.exists(spans, lambda s: (i >= s["start"]) & (i < s["start"] + s["length"]))
+    pieces = F.transform(words, lambda w, i: F.concat(F.get(gaps, i), F.when(under(i), "").otherwise(w)))
+    rebuilt = F.concat(F.array_join(pieces, ""), F.element_at(gaps, -1))
+    whole = F.when(F.col(spans).isNull(), text).otherwise(rebuilt)
+    return joined.select(*(whole.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
