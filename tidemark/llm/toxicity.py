@@ -2,7 +2,7 @@
 
 Terms are words and their first 4, 5 and 6 bytes. The model is fitted on at most SAMPLE labelled documents per label
 (those with the smallest hash of doc_id, near copies of one another taken once, at least three documents a term); the terms that speak for label 1
-there (chi-square of at least CHI2, at most TERMS of them) span the vectors. Inverse document frequencies of the terms
+there (chi-square of at least CHI2 and a lift of at least LIFT, at most TERMS of them) span the vectors. Inverse document frequencies of the terms
 are counted over all documents.
 
 Examples are sorted by their strongest term and cut into blocks of BLOCK. The index has, for each term, the largest
@@ -35,6 +35,8 @@ from tidemark.operators.ordering import settle
 SAMPLE = 4_000
 TERMS = 2_000
 CHI2 = 15.0
+#: A term must make label 1 this many times likelier; at the usual rate of label 1 that is what THRESHOLD asks for.
+LIFT = 4.0
 BLOCK = 64
 K = 15
 THRESHOLD = 0.3
@@ -253,7 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms: in
     gap = with_1 * (n0 - with_0) - with_0 * (n1 - with_1)
     spread = (with_1 + with_0) * (n - with_1 - with_0) * float(max(n1, 1)) * float(max(n0, 1))
     per_term = per_term.filter((gap > 0) & (with_1 >= 3)).withColumn("chi2", n * gap * gap / F.greatest(spread, F.lit(1.0)))
-    best = per_term.filter(F.col("chi2") >= chi2).orderBy(F.desc("chi2"), "term").limit(most_terms).collect()
+    lifted = with_1 * float(n0) >= LIFT * (with_0 + 1) * float(n1)
+    best = per_term.filter((F.col("chi2") >= chi2) & lifted).orderBy(F.desc("chi2"), "term").limit(most_terms).collect()
     terms = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
 
     n_docs, df = document_frequencies(docs, terms)
