@@ -65,7 +65,7 @@ CONVERSIONS = f"""CASE
   WHEN optimization_goal IN {DEEP} AND optimization_goal LIKE '%_VO' THEN conversions_value_2_1
   WHEN optimization_goal IN {DEEP} THEN conversions_2_1
   WHEN optimization_goal LIKE '%_VO' THEN conversions_value_1_1
-  WHEN optimization_goal LIKE 'PIXEL%' THEN conversions_1_1
+  WHEN optimization_goal IS NULL OR optimization_goal LIKE 'PIXEL%' THEN conversions_1_1
   ELSE conversions_2_1 END"""
 PREDICTED = """CASE WHEN optimization_goal LIKE '%_VO' OR optimization_goal LIKE '%ROAS'
   THEN predicted_conversions_value ELSE predicted_conversions END"""
@@ -224,7 +224,7 @@ TOTALS_OUT = ", ".join(whole(c) for c in SUM_LIST) + ", " + R("rev_sla / revenue
     "CASE WHEN conversions = 0 THEN 0 ELSE conversions_pred / conversions END", "calibration"
 )
 SIMS = """, sims AS (SELECT sim_id, SUM(rev_sla) / SUM(revenue) AS pct_rev_sla,
-    SUM(conversions_pred) / SUM(conversions) AS calibration FROM items GROUP BY 1)"""
+    SUM(conversions_pred) / SUM(conversions) AS calibration FROM items WHERE sim_id IS NOT NULL GROUP BY 1)"""
 
 
 def interval(m: str) -> str:
@@ -284,7 +284,14 @@ SQL = {
     "calibration_by_goal": with_roles(
         served,
         items(where="optimization_goal = 'APP_INSTALLS'", name="a") + items(where="optimization_goal = 'PIXEL_PURCHASE'", name="b")
-        + f"SELECT 'APP_INSTALLS' AS goal, {readout()} FROM a UNION ALL SELECT 'PIXEL_PURCHASE', {readout()} FROM b",
+        + items(where="optimization_goal = 'APP_PURCHASE'", name="c")
+        + f"""SELECT 'APP_INSTALLS' AS goal, {readout()} FROM a UNION ALL SELECT 'PIXEL_PURCHASE', {readout()} FROM b
+        UNION ALL SELECT 'APP_PURCHASE', {readout()} FROM c""",
+    ),
+    "item_sample": with_roles(
+        served,
+        items() + f"""SELECT line_item_id, {R('revenue', 'revenue')} FROM items
+        WHERE ('0x' || substr(md5('0:' || line_item_id), 1, 8))::BIGINT < 429496729.6::DOUBLE""",
     ),
     "line_item_sla": with_roles(
         served,
@@ -332,7 +339,7 @@ SQL = {
         items(True) + WEIGHTED + f"""SELECT sim_id, {R(ratio('w * abs(r - 1)', 'wd'), 'weighted_abs_error', 8)},
         {R(variance('w * abs(r - 1)', 'wd'), 'weighted_abs_error_var', 8)},
         {R(ratio(f'w * ({ERR_SYM})', 'wd'), 'weighted_abs_error_symmetric', 8)},
-        {R(variance(f'(w * ({ERR_SYM}))', 'wd'), 'weighted_abs_error_symmetric_var', 8)} FROM w GROUP BY 1""",
+        {R(variance(f'(w * ({ERR_SYM}))', 'wd'), 'weighted_abs_error_symmetric_var', 8)} FROM w WHERE sim_id IS NOT NULL GROUP BY 1""",
     ),
     "trim_rows": with_roles(
         facts,
@@ -355,7 +362,7 @@ SQL = {
         + " FROM cells WHERE direction <> 'none'",
     ),
     "sim_totals": with_roles(
-        served, items(True) + f"SELECT sim_id, {TOTALS_OUT} FROM (SELECT sim_id, {TOTALS} FROM items GROUP BY 1)"
+        served, items(True) + f"SELECT sim_id, {TOTALS_OUT} FROM (SELECT sim_id, {TOTALS} FROM items WHERE sim_id IS NOT NULL GROUP BY 1)"
     ),
     "population_totals": with_roles(served, items() + f"SELECT {TOTALS_OUT} FROM (SELECT {TOTALS} FROM items)"),
     "sim_interval": with_roles(
@@ -365,7 +372,7 @@ SQL = {
         served,
         items(True) + SIMS + f""", a AS (SELECT var_samp(calibration) AS c, var_samp(pct_rev_sla) AS p FROM sims),
         b AS (SELECT avg(cv) AS c, avg(pv) AS p FROM (SELECT sim_id, {variance('conversions_pred', 'conversions')} AS cv,
-          {variance(IN_BAND, 'revenue')} AS pv FROM items GROUP BY 1))
+          {variance(IN_BAND, 'revenue')} AS pv FROM items WHERE sim_id IS NOT NULL GROUP BY 1))
         SELECT 'calibration' AS metric, {R('a.c', 'empirical_var', 9)}, {R('b.c', 'delta_var', 9)}, {R('a.c / b.c', 'ratio', 9)} FROM a, b
         UNION ALL SELECT 'pct_rev_sla', round(a.p, 9), round(b.p, 9), round(a.p / b.p, 9) FROM a, b""",
     ),

@@ -26,7 +26,7 @@ SURFACE = """SELECT *, {dist} AS impression_distribution, {bn} AS impression_bil
     SELECT *, CAST(SUM(surface_impression_count) OVER (PARTITION BY quarter) AS BIGINT) AS impression_count FROM (
       SELECT quarter, surface, COUNT(DISTINCT campaign_id) AS surface_campaign_count,
         CAST(SUM(action_cnt) FILTER (action = 'IMPRESSION') AS BIGINT) AS surface_impression_count FROM r GROUP BY 1, 2))
-    WHERE surface_impression_count IS NOT NULL""".format(
+    WHERE surface_impression_count IS NOT NULL AND surface IS NOT NULL""".format(
     dist=even("CAST(surface_impression_count AS DOUBLE) / impression_count * 100", 2),
     bn=even("surface_impression_count / 1e9", 2),
 )
@@ -38,7 +38,7 @@ def counts(keys: str, prefix: str, where: str = "true") -> str:
     )
     return f"""SELECT *, {even('CAST(CLICK AS DOUBLE) / nullif(IMPRESSION, 0)', 4)} AS {prefix}_ctr,
       {even('CAST(DISMISS AS DOUBLE) / nullif(IMPRESSION, 0)', 4)} AS {prefix}_dismiss_rate
-      FROM (SELECT {keys}, {three} FROM r WHERE {where} GROUP BY ALL)"""
+      FROM (SELECT {keys}, {three} FROM r WHERE {where} AND surface IS NOT NULL GROUP BY ALL)"""
 
 
 RATES = f"""SELECT c.*, o.overall_ctr, o.overall_dismiss_rate
@@ -80,7 +80,7 @@ SQL = {
     "surface_pivot_billions": q("SELECT quarter, " + ", ".join(
         f"coalesce(SUM(impression_billionth) FILTER (surface = '{s}'), 0) AS {s}" for s in SURFACES
     ) + f" FROM ({SURFACE}) GROUP BY 1"),
-    "action_qoq": q(f"SELECT *, {QUARTER_CHANGES} FROM (SELECT surface, action, {QUARTER_SUMS} FROM r GROUP BY 1, 2)"),
+    "action_qoq": q(f"SELECT *, {QUARTER_CHANGES} FROM (SELECT surface, action, {QUARTER_SUMS} FROM r WHERE surface IS NOT NULL GROUP BY 1, 2)"),
     "overall_rates": q(counts("surface, quarter", "overall")),
     "campaign_rates": q(RATES),
     "campaign_top_bottom": q(f""", c AS (SELECT *,

@@ -14,7 +14,7 @@ SCORES = f""", d AS (SELECT * FROM stories WHERE CAST(event_time AS DATE) BETWEE
   ranked AS (SELECT e.*, m.media_url, s.detection_start_time, s.detection_end_time,
       percent_rank() OVER (PARTITION BY e.place_id ORDER BY views_total_day DESC NULLS LAST) AS story_views_rank,
       percent_rank() OVER (PARTITION BY e.place_id ORDER BY submitted DESC NULLS LAST) AS story_freshness_rank
-    FROM each e JOIN media m ON m.story_id = e.story_id JOIN span s ON s.place_id = e.place_id),
+    FROM each e JOIN media m ON m.story_id = e.story_id JOIN span s ON s.place_id IS NOT DISTINCT FROM e.place_id),
   scored AS (SELECT *, story_views_rank * 0.7 + story_freshness_rank * 0.3 AS score FROM ranked),
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, story_id) AS place_rank
     FROM scored WHERE inclusive_region = 'North America') WHERE place_rank <= 5)"""
@@ -72,7 +72,7 @@ CONSOLIDATED = f"""SELECT c.*, {', '.join(f'v_{n}.v AS {n}' for n in VOTES)} FRO
       string_agg('Story ' || event_id, ' | ' {ORDER}) AS short_description,
       string_agg('Seen by ' || user_id, ' | ' {ORDER}) AS long_description,
       coalesce(first(story_link ORDER BY views_total_day DESC NULLS LAST, story_id) FILTER (views_total_day IS NOT NULL), NULL) AS most_viewed_link
-    FROM l GROUP BY place_id) c {' '.join(f'JOIN {vote(t)} v_{n} ON v_{n}.place_id = c.place_id' for n, t in VOTES.items())}"""
+    FROM l GROUP BY place_id) c {' '.join(f'JOIN {vote(t)} v_{n} ON v_{n}.place_id IS NOT DISTINCT FROM c.place_id' for n, t in VOTES.items())}"""
 
 # Which part rows carry which kind of text, straight from the source columns.
 KIND = """CASE WHEN p_partkey % 5 = 1 THEN 'cut' WHEN p_partkey % 5 = 2 THEN 'stamp' WHEN p_partkey % 5 = 3 THEN 'none'
@@ -109,7 +109,7 @@ SQL = {
         SCORES + LABELLED + f""", c AS ({CONSOLIDATED}), h AS (SELECT place_id, {', '.join(head(c) for c in HEADS)} FROM l GROUP BY 1)
         SELECT c.place_id, c.place_name, c.event_type, l.story_id, l.event_type AS video_event_type,
           CASE WHEN l.story_id IS NOT NULL THEN 'Story ' || l.event_id END AS video_short_description, {R('l.score', 'score', 9)}
-        FROM c JOIN h ON h.place_id = c.place_id LEFT JOIN l ON l.place_id = c.place_id AND l.place_name = c.place_name
+        FROM c JOIN h ON h.place_id IS NOT DISTINCT FROM c.place_id LEFT JOIN l ON l.place_id IS NOT DISTINCT FROM c.place_id AND l.place_name = c.place_name
           AND l.continent IS NOT DISTINCT FROM c.continent AND l.place_country_code IS NOT DISTINCT FROM c.place_country_code""",
     ),
     "token_use": with_roles(

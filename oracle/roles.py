@@ -79,7 +79,7 @@ ROLES = {
           CASE WHEN o_orderkey % 41 = 0 THEN '' WHEN (o_custkey % 97) % 2 = 0 THEN 'C' || (o_custkey % 97)
             ELSE 'c' || (o_custkey % 97) || '-' || year(o_orderdate) END AS campaign_id,
           CASE o_orderkey % 3 WHEN 0 THEN 'FEED_HEADER_PROMPT' WHEN 1 THEN 'PROFILE_ACTIVITY_CARD'
-            ELSE 'FULL_SCREEN_TAKEOVER' END AS surface,
+            WHEN 2 THEN CASE WHEN o_orderkey % 43 <> 0 THEN 'FULL_SCREEN_TAKEOVER' END END AS surface,
           CASE o_orderstatus WHEN 'F' THEN 'IMPRESSION' WHEN 'O' THEN 'CLICK' ELSE 'DISMISS' END AS action,
           CAST(floor(o_totalprice) AS BIGINT) AS action_cnt,
           year(o_orderdate) || 'Q' || quarter(o_orderdate) AS quarter,
@@ -131,7 +131,7 @@ ROLES = {
           CASE WHEN l_partkey % 50 = 0 THEN 0 ELSE l_quantity * 100 / 128.0::DOUBLE END AS conversions,
           l_quantity * (70 + (l_partkey % 7) * 10 + (round(l_discount * 100) - 5) * 2) / 128.0::DOUBLE AS predicted_conversions,
           floor(l_extendedprice * (1 - l_discount)) AS revenue,
-          CAST(l_orderkey % 50 AS INTEGER) AS sim_id
+          CASE WHEN l_orderkey % 101 <> 0 THEN CAST(l_orderkey % 50 AS INTEGER) END AS sim_id
         FROM lineitem""",
     "aa_wide": """
         SELECT sim_id AS iteration_id, line_item_id,
@@ -154,7 +154,7 @@ ROLES = {
         SELECT CASE k % 3 WHEN 0 THEN 'Europe' WHEN 1 THEN 'America' ELSE 'Asia' END AS continent,
           CASE k % 4 WHEN 0 THEN 'Elsewhere' ELSE 'North America' END AS inclusive_region,
           CASE WHEN k % 5 = 0 THEN NULL ELSE 'K' || (k % 9) END AS place_country_code,
-          'p' || k AS place_id,
+          CASE WHEN event_id % 89 <> 0 THEN 'p' || k END AS place_id,
           CASE WHEN event_id % 97 = 0 THEN 'Old Place ' || k ELSE 'Place ' || k END AS place_name,
           'R' || (k % 8) AS place_region, 'Country ' || (k % 9) AS place_country,
           's' || event_id AS story_id, 'link/' || event_id AS story_link,

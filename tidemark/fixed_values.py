@@ -19,21 +19,6 @@ AUDIENCE_KINDS = ["broadcast- one time", "broadcast- recurring", "email"]
 # Text that switches an optional filter off.
 NOT_REQUIRED = "not required"
 
-# Click rules: (column, text looked for in lower case, label). First match wins.
-CLICK_RULES = [
-    ("deep_link_url", "email", "Email"),
-    ("deep_link_url", "unread_messages_reminder", "Unread messages reminder"),
-    ("deep_link_url", "unseen_pending_request_email", "Add Friend"),
-    ("short_link_url", "DgVX5KpT", "Memories"),
-    ("short_link_url", "Fgi7mMuE", "Memories"),
-    ("short_link_url", "GcOzMyLE", "Friend Story"),
-    ("short_link_url", "6Y6i0zyQ", "Add Friend"),
-    ("deep_link_url", "DgVX5KpT", "Memories"),
-    ("deep_link_url", "Fgi7mMuE", "Memories"),
-    ("deep_link_url", "GcOzMyLE", "Friend Story"),
-    ("deep_link_url", "6Y6i0zyQ", "Add Friend"),
-]
-
 # Campaign measurement.
 CAMPAIGN_ACTIONS = ["IMPRESSION", "CLICK", "DISMISS"]
 CAMPAIGN_SURFACES = ["FEED_HEADER_PROMPT", "PROFILE_ACTIVITY_CARD", "FULL_SCREEN_TAKEOVER"]

@@ -62,6 +62,13 @@ def quarter_label(value: Column) -> Column:
     return F.concat(F.year(value), F.lit("Q"), F.quarter(value))
 
 
+def quarter_bounds(label: str) -> tuple[dt.date, dt.date]:
+    """First and last day of a quarter such as 2000Q1."""
+    year, quarter = (int(part) for part in label.split("Q"))
+    after = dt.date(year + quarter // 4, 3 * (quarter % 4) + 1, 1)
+    return dt.date(year, 3 * quarter - 2, 1), after - dt.timedelta(days=1)
+
+
 def month_label(value: Column) -> Column:
     return F.date_format(value, "yyyy-MM")
 

@@ -1,14 +1,13 @@
 """Normal quantile and distribution function.
 
-Scalars come from the standard library on the driver. Row values use a pandas
-UDF; it only ever runs over small schedule tables (peeks), not over facts.
+Scalars come from the standard library on the driver; row values are a column expression.
 """
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +27,15 @@ def cdf(x: float) -> float:
     return _NORMAL.cdf(x)
 
 
-def cdf_column(x: Column) -> Column:
-    @F.pandas_udf("double")
-    def batch(values: pd.Series) -> pd.Series:
-        return values.map(NormalDist().cdf, na_action="ignore")
+# The polynomial of formula 26.2.17 in Abramowitz and Stegun, with errors below 7.5e-8.
+_STEP = 0.2316419
+_TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
 
-    return batch(x.cast("double"))
+def cdf_column(x: Column) -> Column:
+    t = 1 / (1 + _STEP * F.abs(x))
+    tail = F.lit(0.0)
+    for factor in reversed(_TAIL):
+        tail = (tail + factor) * t
+    tail = tail * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    return F.when(x < 0, tail).otherwise(1 - tail)

@@ -73,7 +73,7 @@ def any_positive(*counters: Column) -> Column:
     return found
 
 
-def click_label(rules: Sequence[tuple[str, str, str]] = tuple(fixed.CLICK_RULES)) -> Column:
+def click_label(rules: Sequence[tuple[str, str, str]]) -> Column:
     """Label of the first rule (column, text, label) that matches, else NULL."""
     if not rules:
         raise ValueError("at least one click rule is needed")

@@ -41,11 +41,13 @@ def with_sla(df: DataFrame, pred: str = "conversions_pred", conv: str = "convers
     ).withColumn("rev_sla", F.col("sla_flag") * F.col("revenue"))
 
 
-def line_items(served: DataFrame, by_sim: bool = False, goal: str | None = None) -> DataFrame:
-    """One row per (simulation and) line item with its band flag."""
+def line_items(
+    served: DataFrame, by_sim: bool = False, goal: str | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """One row per (simulation, further key and) line item with its band flag."""
     if goal is not None:
         served = served.where(F.col("optimization_goal") == goal)
-    keys = [*(["sim_id"] if by_sim else []), "line_item_id"]
+    keys = [*(["sim_id"] if by_sim else []), *by, "line_item_id"]
     rolled = served.groupBy(*keys).agg(
         F.count("serve_item_id").alias("impressions"),
         total("conversions").alias("conversions"),
@@ -55,6 +57,13 @@ def line_items(served: DataFrame, by_sim: bool = False, goal: str | None = None)
     return with_sla(rolled)
 
 
+def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that have all keys: a NULL key is no group."""
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
+    return df
+
+
 def _traffic_sums() -> list[Column]:
     return [
         F.sum("impressions").alias("impressions"),
@@ -244,7 +253,7 @@ def calibration_readout(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Calibration and share of revenue in the closed band over line items, with variances."""
     pred, conv, rev = F.col("conversions_pred"), F.col("conversions"), F.col("revenue")
     inside = F.when(p.in_band(pred, conv), rev).otherwise(F.lit(0.0))
-    return items.groupBy(*by).agg(
+    return keyed(items, by).groupBy(*by).agg(
         F.count("*").alias("line_items"),
         delta.ratio_of_means(pred, conv).alias("calibration"),
         delta.ratio_variance(pred, conv).alias("calibration_var"),
@@ -280,7 +289,7 @@ def weighted_calibration(
             delta.ratio_of_means(value, defined).alias(name),
             delta.ratio_variance(value, defined).alias(f"{name}_var"),
         ]
-    return items.groupBy(*by).agg(
+    return keyed(items, by).groupBy(*by).agg(
         *columns,
         num.ratio(F.avg(w * smoothed), F.avg(w)).alias("weighted_calibration_smoothed"),
         F.count(F.when(rate.isNull(), 1)).alias("rows_without_conversions"),
@@ -293,7 +302,7 @@ def weighted_calibration(
 def totals(items: DataFrame, by: Sequence[str] = ("sim_id",)) -> DataFrame:
     """Sums, calibration and share of revenue in the band, per simulation or (by=()) overall."""
     sums = ("revenue", "impressions", "rev_sla", "conversions", "conversions_pred")
-    rolled = items.groupBy(*by).agg(*[total(c).alias(c) for c in sums])
+    rolled = keyed(items, by).groupBy(*by).agg(*[total(c).alias(c) for c in sums])
     return rolled.withColumns(
         {
             "pct_rev_sla": num.ratio(F.col("rev_sla"), F.col("revenue")),
@@ -363,7 +372,6 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> D
 def histogram(df: DataFrame, value: Column, by: Sequence[str] = (), bins: int = 50) -> DataFrame:
     """Counts in equal-width bins 1..bins between the least and the greatest value."""
     rows = df.select(*by, value.cast("double").alias("_value")).where(F.col("_value").isNotNull())
-    rows = ordering.settle(rows)
     ends = rows.agg(F.struct(F.min("_value").alias("low"), F.max("_value").alias("high"))).scalar()
     low, high = ends.getField("low"), ends.getField("high")
     width = (high - low) / bins
@@ -403,9 +411,7 @@ def cumulative_deciles(
 
 
 def _weekly(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    for key in keys:
-        df = df.where(F.col(key).isNotNull())
-    rolled = df.groupBy(*keys).agg(
+    rolled = keyed(df, keys).groupBy(*keys).agg(
         *[total(c).alias(c) for c in ("conversions", "predicted_conversions", "revenue")]
     )
     return with_sla(rolled, pred="predicted_conversions")

@@ -106,6 +106,7 @@ def action_change(rows: DataFrame, quarters: Sequence[str]) -> DataFrame:
 
     Missing counts are zero; changes from zero are undefined and shown as zero.
     """
+    rows = rows.where(F.col("surface").isNotNull() & F.col("action").isNotNull())
     wide = rows.groupBy("surface", "action").pivot("quarter", list(quarters)).agg(F.sum("action_cnt"))
     wide = wide.na.fill(0)
     changes = {
@@ -120,6 +121,8 @@ def action_change(rows: DataFrame, quarters: Sequence[str]) -> DataFrame:
 
 def _with_rates(rows: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     """Counts by action side by side, click and dismiss rate to four places."""
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
     wide = rows.groupBy(*keys).pivot("action", fixed.CAMPAIGN_ACTIONS).agg(F.sum("action_cnt"))
     wide = wide.na.fill(0, fixed.CAMPAIGN_ACTIONS)
     return wide.withColumns(
@@ -136,7 +139,7 @@ def overall_rates(rows: DataFrame) -> DataFrame:
 
 def campaign_rates(rows: DataFrame, quarter: str) -> DataFrame:
     """Rates per campaign of a quarter next to the rates of its surface."""
-    current = rows.where(F.col("quarter") == quarter)
+    current = tables.between_days(rows, *dates.quarter_bounds(quarter))
     surface = _with_rates(current, ["surface"], "overall").drop(*fixed.CAMPAIGN_ACTIONS)
     return _with_rates(current, ["surface", "campaign_id"], "campaign").join(surface, "surface")
 

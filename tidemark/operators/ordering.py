@@ -85,26 +85,40 @@ def row_numbers(
     return running(blocked, group, order, {name: F.lit(1).cast("bigint")}).drop(BLOCK)
 
 
-def percent_ranks(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """percent_rank() over (partition by group order by value desc), NULL values last.
+def percent_ranks(df: DataFrame, group: str, value: str, name: str, tie: Sequence[str]) -> DataFrame:
+    """percent_rank() over (partition by group order by value desc), NULL values last; NULL is a group.
 
-    Ties share a rank, so ranks are worked out on (group, value) counts and joined back.
+    tie columns split equal values over blocks. A row's place is the number of
+    rows before the first of its value: known inside a block, and carried in
+    where the value began in an earlier block.
     """
-    order = F.col("_value").desc_nulls_last()
-    counts = df.groupBy(group, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
-    blocked = range_blocks(counts, [group, order])
-    upto = running(blocked, [group], [order], {"_upto": F.col("_n")})
-    sizes = blocked.groupBy(group).agg(F.sum("_n").alias("_size"))
-    ranked = upto.join(sizes, group).select(
-        F.col(group).alias("_group"),
-        "_value",
-        F.when(F.col("_size") == 1, F.lit(0.0))
-        .otherwise(F.try_divide(F.col("_upto") - F.col("_n"), F.col("_size") - 1))
-        .cast("double")
-        .alias(name),
+    order = F.col(value).desc_nulls_last()
+    blocked = range_blocks(df, [group, order, *tie])
+    inside = Window.partitionBy(group, BLOCK).orderBy(order)
+    placed = blocked.withColumn("_at", F.rank().over(inside) - 1)
+    last = F.when(F.count(value) == F.count(F.lit(1)), F.min(value))
+    parts = placed.groupBy(group, BLOCK).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_at").alias("_last_at"), last.alias("_last")
+    )
+    # One row per group and block from here on.
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy(BLOCK)
+    begun = F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"_before": begun, "_size": F.sum("_n").over(whole)})
+    parts = parts.withColumn(
+        "_start", F.min(F.col("_before") + F.col("_last_at")).over(Window.partitionBy(group, "_last"))
+    )
+    carry = parts.select(
+        F.col(group).alias("_group"), F.col(BLOCK).alias("_part"), "_before", "_size",
+        F.lag("_last").over(earlier).alias("_open"), F.lag("_start").over(earlier).alias("_open_at"),
+    )
+    joined = placed.join(carry, placed[group].eqNullSafe(carry["_group"]) & (placed[BLOCK] == carry["_part"]))
+    goes_on = F.col("_open_at").isNotNull() & F.col("_open").eqNullSafe(F.col(value))
+    place = F.when(goes_on, F.col("_open_at")).otherwise(F.col("_before") + F.col("_at"))
+    rank = F.when(F.col("_size") == 1, F.lit(0.0)).otherwise(F.try_divide(place, F.col("_size") - 1))
+    return joined.withColumn(name, rank.cast("double")).drop(
+        BLOCK, "_at", "_group", "_part", "_before", "_size", "_open", "_open_at"
     )
-    same = (df[group] == ranked["_group"]) & df[value].eqNullSafe(ranked["_value"])
-    return df.join(ranked, same).drop("_group", "_value")
 
 
 def exact_percentiles(
@@ -183,6 +197,8 @@ def top_k(
     return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def sample_rows(df: DataFrame, rows: int, key: str, seed: int = 0) -> DataFrame:
-    """At most `rows` rows, chosen by a seeded hash of the key: a repeatable capped sample."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(rows)
+def sample_share(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """A repeatable share of the rows, by a seeded hash of the key: no sort, no shuffle, no bound on rows."""
+    text = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))
+    drawn = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return df.where(drawn < share * 2**32)

@@ -51,15 +51,20 @@ def story_scores(
     Ranks run from 0 for the most viewed and the newest story, so a low score
     is a good story.
     """
-    days = stories.where(F.to_date("event_time").between(dates.day(start), dates.day(end)))
+    # A range of times, not of dates, reaches the scan.
+    after = F.date_add(dates.day(end), 1).cast("timestamp")
+    days = stories.where((F.col("event_time") >= dates.day(start).cast("timestamp")) & (F.col("event_time") < after))
     each = days.groupBy(*STORY_KEYS).agg(
         F.max("time_viewed_total_day").alias("time_viewed_total_day"),
         F.max("views_total_day").alias("views_total_day"),
     )
-    found = each.join(media_per_story(media, start, end), "story_id").join(place_spans(days), "place_id")
-    found = ordering.settle(found)
-    ranked = ordering.percent_ranks(found, "place_id", "views_total_day", "story_views_rank")
-    ranked = ordering.percent_ranks(ranked, "place_id", "submit_ts", "story_freshness_rank")
+    spans = place_spans(days).withColumnRenamed("place_id", "_place")
+    found = each.join(media_per_story(media, start, end), "story_id")
+    # A story of no place is kept: NULL is a place of its own.
+    found = found.join(spans, found["place_id"].eqNullSafe(spans["_place"]), "left").drop("_place")
+    unique = ["story_id", "place_name"]
+    ranked = ordering.percent_ranks(found, "place_id", "views_total_day", "story_views_rank", unique)
+    ranked = ordering.percent_ranks(ranked, "place_id", "submit_ts", "story_freshness_rank", unique)
     score = F.col("story_views_rank") * view_weight + F.col("story_freshness_rank") * freshness_weight
     return ranked.withColumn("score", score)
 
@@ -80,10 +85,12 @@ def labelled_stories(stories: DataFrame, story_labels: DataFrame) -> DataFrame:
     return labels.parse(stories.join(story_labels, "story_id", "left"), "labels", fixed.STORY_LABEL_FIELDS)
 
 
-def distinct_tokens(column: str) -> Column:
-    """Sorted distinct tokens of comma-separated texts of a group."""
-    lists = F.collect_list(F.split(F.when(F.col(column) != "", F.col(column)), ", "))
-    return F.array_sort(F.array_distinct(F.flatten(lists)))
+def distinct_tokens(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """Sorted distinct tokens of comma-separated texts per group, made distinct before they are gathered."""
+    lists = [F.struct(F.lit(c).alias("_field"), F.split(F.nullif(F.col(c), F.lit("")), ", ").alias("_list")) for c in columns]
+    tokens = df.select(group, F.inline(F.array(*lists))).select(group, "_field", F.explode("_list").alias("_token"))
+    own = lambda c: F.collect_list(F.when(F.col("_field") == c, F.col("_token")))
+    return tokens.distinct().groupBy(group).agg(*[F.array_sort(own(c)).alias(c) for c in columns])
 
 
 def joined_text(column: str, order: Sequence[str]) -> Column:
@@ -114,17 +121,20 @@ def consolidate(stories: DataFrame) -> DataFrame:
         return F.min_by(column, F.when(F.col(column).isNotNull(), order)).alias(column)
 
     heads = [k for k in fixed.PLACE_STORY_KEYS if k != "place_id"]
-    return stories.groupBy("place_id").agg(
+    tokens = distinct_tokens(stories, "place_id", fixed.LABEL_LIST_FIELDS).withColumnRenamed("place_id", "_place")
+    places = stories.groupBy("place_id").agg(
         *[first(c) for c in heads],
         F.avg("virality_potential").alias("virality_potential"),
         *[majority(c).alias(c) for c in fixed.PLACE_VOTE_FIELDS],
-        *[distinct_tokens(c).alias(c) for c in fixed.LABEL_LIST_FIELDS],
         *[
             joined_text(c, ["score DESC", "story_id"]).alias(c)
             for c in ("short_description", "long_description")
         ],
         attribute_of_best("story_link", "views_total_day", "story_id").alias("most_viewed_link"),
     )
+    joined = places.join(tokens, places["place_id"].eqNullSafe(tokens["_place"]), "left").drop("_place")
+    none = F.array().cast("array<string>")
+    return joined.withColumns({c: F.coalesce(c, none) for c in fixed.LABEL_LIST_FIELDS})
 
 
 def token_use(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

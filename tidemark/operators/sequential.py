@@ -9,7 +9,7 @@ the cluster.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,44 +28,43 @@ Policy = Callable[[int, int, Sequence[int]], float]
 # --- alpha schedules ---------------------------------------------------------------
 
 
-def alpha_schedule(sizes: DataFrame, every: int, policy: Policy) -> DataFrame:
-    """Peeks of each experiment (experiment_id, n) with their alpha and z.
+def with_alpha(peeks: DataFrame, every: int, policy: Policy) -> DataFrame:
+    """Rows (peek, n, ...), one per peek of an experiment of n steps, with peek_window, last_peek, alpha and z.
 
-    The policy is any Python callable (peek, n, peeks); it runs once per peek,
-    on a table with one row per experiment.
+    The policy is any Python callable (peek, n, peeks). It runs on even batches
+    of peeks; those of one experiment need not meet.
     """
 
-    def peeks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for experiment, n in zip(batch[EXPERIMENT], batch["n"]):
-                peeks = range(every, int(n) + 1, every)
-                if len(peeks):
-                    alphas = [policy(i, int(n), peeks) for i in peeks]
-                    yield pd.DataFrame(
-                        {
-                            EXPERIMENT: experiment,
-                            "n": int(n),
-                            "peek_window": range(1, len(peeks) + 1),
-                            "peek": list(peeks),
-                            "last_peek": peeks[-1],
-                            "alpha": alphas,
-                            "z": [z_for(a) for a in alphas],
-                        }
-                    )
-
-    schema = f"{EXPERIMENT} string, n long, peek_window long, peek long, last_peek long, alpha double, z double"
-    return sizes.select(EXPERIMENT, "n").mapInPandas(peeks_of, schema)
+    @F.pandas_udf("alpha double, z double")
+    def spent(peek: pd.Series, n: pd.Series) -> pd.DataFrame:
+        alphas = [policy(int(i), int(m), range(every, int(m) + 1, every)) for i, m in zip(peek, n)]
+        return pd.DataFrame({"alpha": alphas, "z": [z_for(a) for a in alphas]})
+
+    found = peeks.withColumn("_spent", spent(F.col("peek"), F.col("n")))
+    return found.withColumns(
+        {
+            "peek_window": (F.col("peek") / every).cast("long"),
+            "last_peek": (F.col("n") - F.col("n") % every).cast("long"),
+            "alpha": F.col("_spent.alpha"),
+            "z": F.col("_spent.z"),
+        }
+    ).drop("_spent")
+
+
+def alpha_schedule(sizes: DataFrame, every: int, policy: Policy) -> DataFrame:
+    """Peeks of each experiment (experiment_id, n) with their alpha and z."""
+    long_enough = sizes.select(EXPERIMENT, "n").where(F.col("n") >= every)
+    steps = F.sequence(F.lit(every).cast("long"), F.col("n").cast("long"), F.lit(every).cast("long"))
+    return with_alpha(long_enough.withColumn("peek", F.explode(steps)), every, policy)
 
 
 def alpha_comparison(sizes: DataFrame, every: int) -> DataFrame:
     """Bonferroni and O'Brien-Fleming alpha side by side per peek."""
-    bonferroni = alpha_schedule(sizes, every, bonferroni_alpha).select(
-        EXPERIMENT, "peek_window", "peek", F.col("alpha").alias("bonferroni_correction")
-    )
-    spending = alpha_schedule(sizes, every, obrien_fleming_alpha).select(
-        EXPERIMENT, "peek", F.col("alpha").alias("obrien_fleming")
+    first = alpha_schedule(sizes, every, bonferroni_alpha).withColumnRenamed("alpha", "bonferroni_correction")
+    both = with_alpha(first.drop("z"), every, obrien_fleming_alpha)
+    return both.select(
+        EXPERIMENT, "peek", "peek_window", "bonferroni_correction", F.col("alpha").alias("obrien_fleming")
     )
-    return bonferroni.join(spending, [EXPERIMENT, "peek"])
 
 
 # --- expanding moments --------------------------------------------------------------
@@ -73,7 +72,7 @@ def alpha_comparison(sizes: DataFrame, every: int) -> DataFrame:
 
 def numbered(events: DataFrame, order: Sequence[str]) -> DataFrame:
     """Give observations their step within experiment and arm."""
-    return ordering.row_numbers(events, [EXPERIMENT, "arm"], order, "step").select(
+    return ordering.row_numbers(events.where(F.col(EXPERIMENT).isNotNull()), [EXPERIMENT, "arm"], order, "step").select(
         EXPERIMENT, "arm", "step", "x"
     )
 
@@ -154,7 +153,6 @@ def expanding_moments(obs: DataFrame, block_steps: int = BLOCK_STEPS) -> DataFra
 
 def with_own_mean_spread(moments: DataFrame) -> DataFrame:
     """Add stdev per arm: root of the mean squared distance of each value to its own running mean."""
-    moments = ordering.settle(moments)
     squared = {
         f"_d_{a}": F.pow(F.col(f"x_{a}") - F.col(f"mean_{a}"), F.lit(2.0)) for a in "ct"
     }
@@ -164,8 +162,11 @@ def with_own_mean_spread(moments: DataFrame) -> DataFrame:
     ).drop("_d_c", "_d_t")
 
 
-def experiment_sizes(moments: DataFrame) -> DataFrame:
-    return moments.groupBy(EXPERIMENT).agg(F.max("n").alias("n"))
+def experiment_sizes(events: DataFrame) -> DataFrame:
+    """Steps that both arms reach, from counts per arm."""
+    arm = lambda name: F.count(F.when(F.col("arm") == name, 1))
+    counted = events.where(F.col(EXPERIMENT).isNotNull()).groupBy(EXPERIMENT)
+    return counted.agg(F.least(arm("control"), arm("treatment")).alias("n"))
 
 
 # --- peeks ----------------------------------------------------------------------------
@@ -174,13 +175,14 @@ def experiment_sizes(moments: DataFrame) -> DataFrame:
 def peek_intervals(
     obs: DataFrame, every: int, policy: Policy, mu: float = 1.0, block_steps: int = BLOCK_STEPS
 ) -> DataFrame:
-    """Interval of the mean difference at each peek, with coverage of mu and sticky decisions."""
-    moments = ordering.settle(with_own_mean_spread(expanding_moments(obs, block_steps)))
-    schedule = alpha_schedule(experiment_sizes(moments), every, policy)
-    # Experiment and step together are unique, so no key is hot in this join.
-    peeks = moments.drop("n").join(
-        schedule, (moments[EXPERIMENT] == schedule[EXPERIMENT]) & (moments["step"] == schedule["peek"])
-    ).drop(schedule[EXPERIMENT])
+    """Interval of the mean difference at each peek, with coverage of mu and sticky decisions.
+
+    Only peek steps go on from the running values; what sticks is the first
+    peek of its kind, one number per experiment.
+    """
+    moments = with_own_mean_spread(expanding_moments(obs, block_steps))
+    peeks = moments.where(F.col("step") % every == 0).withColumn("peek", F.col("step").cast("long"))
+    peeks = with_alpha(peeks, every, policy)
     spread = F.sqrt(F.pow("stdev_c", F.lit(2.0)) + F.pow("stdev_t", F.lit(2.0)))
     bounded = (
         peeks.withColumns(
@@ -199,14 +201,17 @@ def peek_intervals(
             }
         )
     )
-    # A window over the peeks of one experiment: n / every rows.
-    so_far = Window.partitionBy(EXPERIMENT).orderBy("peek").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.min(F.when(F.col("_rejects") == 1, F.col("peek"))).over(so_far)
-    return bounded.select(
+    bounded = ordering.settle(bounded)
+    firsts = bounded.groupBy(EXPERIMENT).agg(
+        F.min(F.when(F.col("_rejects") == 1, F.col("peek"))).alias("_rejected"),
+        F.min(F.when(F.col("coverage") == 0, F.col("peek"))).alias("_missed"),
+    )
+    since = lambda first: F.coalesce(F.col("peek") >= F.col(first), F.lit(False))
+    return bounded.join(firsts, EXPERIMENT).select(
         EXPERIMENT, "peek_window", "peek", "alpha", "mean_diff", "width", "lower", "upper", "coverage",
-        F.max("_rejects").over(so_far).alias("power"),
-        F.max(F.lit(1) - F.col("coverage")).over(so_far).alias("falsepos"),
-        F.coalesce(first, F.col("last_peek")).alias("length"),
+        since("_rejected").cast("int").alias("power"),
+        since("_missed").cast("int").alias("falsepos"),
+        F.when(since("_rejected"), F.col("_rejected")).otherwise(F.col("last_peek")).alias("length"),
     )
 
 
@@ -247,7 +252,6 @@ def msprt_steps(obs: DataFrame, alpha: float = 0.05, block_steps: int = BLOCK_ST
         .withColumn("decision", (F.abs("delta") > F.col("ci")).cast("int"))
         .select(EXPERIMENT, BLOCK, "step", "delta", "tau", "ci", "decision", "full_t")
     )
-    decided = ordering.settle(decided)
     parts = decided.groupBy(EXPERIMENT, BLOCK).agg(
         F.min(F.when(F.col("decision") == 1, F.col("step"))).alias("_first")
     )

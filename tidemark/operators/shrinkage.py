@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from tidemark.operators import calibration
 
 TINY = 1e-6
 ITEM = "line_item_id"
+_DRAWN_AT_ONCE = 4_096
 
 
 def priors(items: DataFrame, flag: str = "sla_flag", weight: str = "conversions") -> DataFrame:
@@ -52,7 +53,7 @@ def posteriors(items: DataFrame, prior: DataFrame) -> DataFrame:
 def posterior_totals(found: DataFrame, by: Sequence[str] = ("sim_id",)) -> DataFrame:
     """Totals and shares, raw and shrunk, per simulation or (by=()) overall."""
     sums = ("revenue", "conversions", "conversions_pred", "rev_sla", "rev_sla_li")
-    rolled = found.groupBy(*by).agg(
+    rolled = calibration.keyed(found, by).groupBy(*by).agg(
         *[calibration.total(c).alias(c) for c in sums], F.avg("sla_flag").alias("avg_sla_rate")
     )
     ratio = F.when(F.col("conversions") > 0, num.ratio(F.col("conversions_pred"), F.col("conversions")))
@@ -199,8 +200,8 @@ def aa_frame(wide: DataFrame, arms: Sequence[str] = ("a1", "a2")) -> DataFrame:
 
 
 def _with_known_prior(frame: DataFrame, prior: DataFrame) -> DataFrame:
-    """Items without a prior are left out; id_overlap tells how many."""
-    return frame.join(prior, ITEM).withColumns(_posterior())
+    """Items without a prior are left out (id_overlap tells how many), and rows of no simulation."""
+    return calibration.keyed(frame, ["sim_id"]).join(prior, ITEM).withColumns(_posterior())
 
 
 def aa_normal(frame: DataFrame, prior: DataFrame, confidence: float = 95) -> DataFrame:
@@ -245,38 +246,37 @@ def aa_verdict(sims: DataFrame, bound: float = 0.05) -> DataFrame:
     ).withColumn("verdict", F.when(F.col("fp_rate") <= bound, "SAFE").otherwise("NOISY"))
 
 
-def aa_beta(frame: DataFrame, prior: DataFrame, samples: int = 300, seed: int = 0) -> DataFrame:
+def aa_beta(
+    frame: DataFrame, prior: DataFrame, samples: int = 300, seed: int = 0, buckets: int = 4
+) -> DataFrame:
     """Per simulation: share of Beta draws in which the second arm wins, and the decision.
 
-    Each batch of rows, wherever it lies, draws for its own items and adds up
-    its revenue-weighted draws; sums then meet by simulation, arm and draw.
-    A row's draws depend on its key and the seed alone, so a retried task gives
-    the same numbers.
+    Items are dealt by simulation, arm and bucket; a bucket draws for all of its
+    items at once and sends one array of revenue-weighted sums. Its draws depend
+    on the bucket, the seed and the items in order alone, so the number of
+    partitions and retried tasks change nothing.
     """
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            drawn = np.empty((len(batch), samples))
-            for i, (key, a, b) in enumerate(zip(batch["_key"], batch["alpha_post"], batch["beta_post"])):
-                rng = np.random.Generator(np.random.Philox(key=[seed, int(key) & 0xFFFFFFFFFFFFFFFF]))
-                drawn[i] = rng.beta(a, b, samples)
-            weighted = drawn * batch["revenue"].to_numpy()[:, None]
-            groups = batch.groupby(["sim_id", "arm"], sort=False).indices
-            for (sim_id, arm), rows in groups.items():
-                yield pd.DataFrame(
-                    {"sim_id": [sim_id], "arm": [arm], "draws": [weighted[rows].sum(axis=0)],
-                     "revenue": [batch["revenue"].to_numpy()[rows].sum()]}
-                )
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sim_id, arm, bucket = key
+        rng = np.random.default_rng([seed, int(sim_id) & 0xFFFFFFFF, *arm.encode(), int(bucket)])
+        rows = rows.sort_values(ITEM)
+        sums = np.zeros(samples)
+        for start in range(0, len(rows), _DRAWN_AT_ONCE):
+            part = rows.iloc[start : start + _DRAWN_AT_ONCE]
+            a, b = (part[c].to_numpy()[:, None] for c in ("alpha_post", "beta_post"))
+            sums += part["revenue"].to_numpy() @ rng.beta(a, b, (len(part), samples))
+        return pd.DataFrame(
+            {"sim_id": [sim_id], "arm": [arm], "draws": [sums], "revenue": [rows["revenue"].sum()]}
+        )
 
     rows = _with_known_prior(frame, prior).select(
-        "sim_id", "arm", "alpha_post", "beta_post", F.col("revenue").cast("double"),
-        F.xxhash64("sim_id", "arm", ITEM).alias("_key"),
+        "sim_id", "arm", ITEM, "alpha_post", "beta_post", F.col("revenue").cast("double"),
+        F.pmod(F.xxhash64(ITEM), F.lit(buckets)).alias("bucket"),
     )
-    # Rows without revenue add nothing. Drawing is bound by the processor, so the
-    # rows, small as they are, go over all cores.
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    dealt = rows.where(F.col("revenue") != 0).repartition(cores, "_key")
-    parts = dealt.mapInPandas(draw, "sim_id int, arm string, draws array<double>, revenue double")
+    # Rows without revenue add nothing.
+    dealt = rows.where(F.col("revenue") != 0).groupBy("sim_id", "arm", "bucket")
+    parts = dealt.applyInPandas(draw, "sim_id int, arm string, draws array<double>, revenue double")
     sums = (
         parts.select("sim_id", "arm", "revenue", F.posexplode("draws").alias("draw", "value"))
         .groupBy("sim_id", "draw")
@@ -293,3 +293,21 @@ def aa_beta(frame: DataFrame, prior: DataFrame, samples: int = 300, seed: int =
     wins = sums.groupBy("sim_id").agg(F.avg((F.col("a2") > F.col("a1")).cast("int")).alias("a2_wins"))
     outside = (F.col("a2_wins") > 0.975) | (F.col("a2_wins") < 0.025)
     return wins.withColumn("false_positive", F.coalesce(outside, F.lit(False)).cast("int"))
+
+
+def aa_agreement(drawn: DataFrame, normal_sims: DataFrame, near: float = 0.15, clear: float = 0.6) -> DataFrame:
+    """Drawn check against the normal one, per simulation.
+
+    near_normal: the drawn share lies within `near` of the normal probability (300
+    draws have a standard error of 0.03 at most). false_positive: the drawn
+    decision where the normal z is more than `clear` off the bound of 1.96, NULL
+    where draws may fall on either side.
+    """
+    both = drawn.join(normal_sims.select("sim_id", "z"), "sim_id")
+    expected = normal.cdf_column(F.col("z"))
+    decided = F.abs(F.abs("z") - normal.two_sided_z(95)) > clear
+    return both.select(
+        "sim_id",
+        (F.abs(F.col("a2_wins") - expected) <= near).cast("int").alias("near_normal"),
+        F.when(decided, F.col("false_positive")).alias("false_positive"),
+    )

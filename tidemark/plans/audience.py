@@ -69,7 +69,7 @@ def build(
     spec: AudienceSpec,
     role: Mapping[str, DataFrame],
     run_date,
-    rules: Rules = tuple(fixed.CLICK_RULES),
+    rules: Rules = (),
 ) -> DataFrame:
     """Distinct users that pass every filter that is switched on.
 

@@ -38,11 +38,14 @@ def calibration_overall(spark, sf_dir):
 
 
 def calibration_by_goal(spark, sf_dir):
-    parts = [
-        op.calibration_readout(_items(spark, sf_dir, goal=goal)).withColumn("goal", F.lit(goal))
-        for goal in ("APP_INSTALLS", "PIXEL_PURCHASE")
-    ]
-    return rounded(parts[0].unionByName(parts[1]), 10)
+    found = op.calibration_readout(_items(spark, sf_dir, by=["optimization_goal"]), ["optimization_goal"])
+    return rounded(found.withColumnRenamed("optimization_goal", "goal"), 10)
+
+
+def item_sample(spark, sf_dir):
+    """A repeatable tenth of the line items."""
+    found = ordering.sample_share(_items(spark, sf_dir), "line_item_id", 0.1)
+    return rounded(found.select("line_item_id", "revenue"))
 
 
 def line_item_sla(spark, sf_dir):
@@ -197,7 +200,7 @@ def weekly_size_pivot(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        calibration_overall, calibration_by_goal, line_item_sla, traffic_total, traffic_daily, traffic_weekly,
+        calibration_overall, calibration_by_goal, item_sample, line_item_sla, traffic_total, traffic_daily, traffic_weekly,
         account_sizes, ab_rollup, ab_rollup_goal_unfiltered, ab_wide, ab_readout, ab_readout_by_size,
         weighted_calibration, weighted_abs_error, trim_rows, trim_grid, trim_estimates, sim_totals,
         population_totals, sim_interval, sim_variance, iqr_outliers, histogram_bins, histogram_impressions,

@@ -49,7 +49,7 @@ def peek_length(spark, sf_dir):
 
 
 def alpha_table(spark, sf_dir):
-    sizes = op.experiment_sizes(op.expanding_moments(experiment_obs(spark, sf_dir), STEPS))
+    sizes = op.experiment_sizes(roles.experiment_events(spark, sf_dir))
     return rounded(op.alpha_comparison(sizes, EVERY), 8)
 
 

@@ -83,9 +83,18 @@ def aa_normal_verdict(spark, sf_dir):
     return rounded(op.aa_verdict(sims))
 
 
+def _drawn(spark, sf_dir):
+    frame, prior = op.aa_frame(roles.aa_wide(spark, sf_dir)), op.priors(_population(spark, sf_dir))
+    return op.aa_agreement(op.aa_beta(frame, prior, samples=300), op.aa_normal(frame, prior))
+
+
 def aa_beta(spark, sf_dir):
-    frame = op.aa_frame(roles.aa_wide(spark, sf_dir))
-    return op.aa_beta(frame, op.priors(_population(spark, sf_dir)), samples=300)
+    return _drawn(spark, sf_dir)
+
+
+def aa_beta_verdict(spark, sf_dir):
+    """Over the simulations whose decision is clear."""
+    return rounded(op.aa_verdict(_drawn(spark, sf_dir).where("false_positive IS NOT NULL")))
 
 
 QUERIES = {
@@ -93,6 +102,6 @@ QUERIES = {
     for f in (
         priors, posteriors, posterior_totals, posterior_population, posterior_summary, variance_reduction,
         overdispersion, prior_strength, conversion_buckets, id_overlap, aa_frame, aa_normal, aa_normal_verdict,
-        aa_beta,
+        aa_beta, aa_beta_verdict,
     )
 }

@@ -14,17 +14,8 @@ RUN_DATE = "2024-01-28"
 ACTIVITY_AS_OF = "2001-07-30"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A test table. With spread, one that comes in fewer parts than there are cores is dealt out.
-
-    The small test tables are single row groups, which one task would read and
-    work on alone. A table of many files has parts enough and is left as it is.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores)
-    return rows
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +183,7 @@ def campaign_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         """CASE WHEN o_orderkey % 41 = 0 THEN '' WHEN (o_custkey % 97) % 2 = 0 THEN concat('C', o_custkey % 97)
            ELSE concat('c', o_custkey % 97, '-', year(o_orderdate)) END AS campaign_id""",
         """CASE o_orderkey % 3 WHEN 0 THEN 'FEED_HEADER_PROMPT' WHEN 1 THEN 'PROFILE_ACTIVITY_CARD'
-           ELSE 'FULL_SCREEN_TAKEOVER' END AS surface""",
+ WHEN 2 THEN CASE WHEN o_orderkey % 43 <> 0 THEN 'FULL_SCREEN_TAKEOVER' END END AS surface""",
         "CASE o_orderstatus WHEN 'F' THEN 'IMPRESSION' WHEN 'O' THEN 'CLICK' ELSE 'DISMISS' END AS action",
         "cast(floor(o_totalprice) as bigint) AS action_cnt",
     )
@@ -250,7 +241,7 @@ PREDICTED_PERCENT = "(70 + (l_partkey % 7) * 10 + (round(l_discount * 100) - 5)
 
 
 def ad_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = table(spark, sf_dir, "lineitem", spread=True)
+    lineitem = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     # Amounts are whole numbers, so that sums are the same in any order.
@@ -298,7 +289,7 @@ def ad_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def served_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per served item, with a simulation id. Amounts are multiples of 1/128: sums are exact."""
-    return table(spark, sf_dir, "lineitem", spread=True).selectExpr(
+    return table(spark, sf_dir, "lineitem").selectExpr(
         "CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('s', l_orderkey, '-', l_linenumber) END AS serve_item_id",
         "concat('li', l_partkey) AS line_item_id",
         """CASE l_returnflag WHEN 'A' THEN 'APP_INSTALLS' WHEN 'N' THEN 'PIXEL_PURCHASE'
@@ -306,7 +297,7 @@ def served_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_partkey % 50 = 0 THEN 0D ELSE l_quantity * 100 / 128D END AS conversions",
         f"l_quantity * {PREDICTED_PERCENT} / 128D AS predicted_conversions",
         "cast(floor(l_extendedprice * (1 - l_discount)) as double) AS revenue",
-        "cast(l_orderkey % 50 as int) AS sim_id",
+        "CASE WHEN l_orderkey % 101 <> 0 THEN cast(l_orderkey % 50 as int) END AS sim_id",
     )
 
 
@@ -348,7 +339,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE {k} % 3 WHEN 0 THEN 'Europe' WHEN 1 THEN 'America' ELSE 'Asia' END AS continent",
         f"CASE {k} % 4 WHEN 0 THEN 'Elsewhere' ELSE 'North America' END AS inclusive_region",
         f"CASE WHEN {k} % 5 = 0 THEN NULL ELSE concat('K', {k} % 9) END AS place_country_code",
-        f"concat('p', {k}) AS place_id",
+        f"CASE WHEN event_id % 89 <> 0 THEN concat('p', {k}) END AS place_id",
         f"CASE WHEN event_id % 97 = 0 THEN concat('Old Place ', {k}) ELSE concat('Place ', {k}) END AS place_name",
         f"concat('R', {k} % 8) AS place_region",
         f"concat('Country ', {k} % 9) AS place_country",
@@ -395,7 +386,7 @@ def story_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label texts written from known columns: good, truncated, with Timestamp('...'), with bare tokens."""
-    return table(spark, sf_dir, "part", spread=True).selectExpr(
+    return table(spark, sf_dir, "part").selectExpr(
         "p_partkey",
         """CASE
              WHEN p_partkey % 5 = 1 THEN concat('{\\'short description\\': \\'', p_name, '\\', \\'event_type\\': ', p_type,
