@@ -124,3 +124,28 @@ def test_consolidation_and_join(spark, scored):
 def test_majority_ties_go_to_the_smallest(spark):
     df = spark.createDataFrame([("g", v) for v in ("b", "a", "a", "b", None)], "g string, v string")
     assert df.groupBy("g").agg(places.majority("v").alias("m")).first()["m"] == "a"
+
+
+LITERALS = [
+    (r"{'short_description': 'a\x41b'}", "short_description", "aAb"),
+    (r"{'short_description': 'a\qb \\x41 \'s'}", "short_description", r"a\qb \x41 's"),
+    ("{'keywords': ('a b', 'c')}", "keywords", "A B, C"),
+    ("{'keywords': ('a b',), 'event_type': ('x'),}", "keywords", "A B"),
+    ("{'virality_potential': .5, 'event_type': 'v .5, (x) }'}", "virality_potential", 0.5),
+    ("{'short_description': 'one ' 'two' ' three', 'virality_potential': 1e-3}", "virality_potential", 0.001),
+    ("{'short_description': 'one ' 'two' ' three', 'virality_potential': 1e-3}", "short_description", "one two three"),
+    ("{'place_id': 0, 'event_type': 'x'}", "place_id", ""),
+    ("{'place_id': '0'}", "place_id", "0"),
+    ("{'place_id': 0, 'event_type': 'x", "place_id", ""),
+    ("{'detection_start_time': '2024/01/05 10:00'}", "detection_start_time", "2024-01-05 10:00:00"),
+    ("{'detection_start_time': 'Jan 5, 2024'}", "detection_start_time", "2024-01-05 00:00:00"),
+]
+
+
+def test_literals_that_json_writes_otherwise(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(LITERALS)], "i int, t string")
+    fields = sorted({name for _, name, _ in LITERALS})
+    got = {r["i"]: r for r in labels.parse(rows, "t", fields).collect()}
+    for i, (_, name, want) in enumerate(LITERALS):
+        assert (str(got[i][name]) if name.endswith("time") else got[i][name]) == want
+    assert {r["parse_path"] for i, r in got.items() if LITERALS[i][0].endswith("}")} == {"literal"}

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 DEFAULT_ZONE = "America/Los_Angeles"
 RUN_LAG_DAYS = 2
+#: Ways to write a time besides ISO, tried in this order.
+TIME_FORMATS = (
+    "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
+    "MMM d, yyyy H:mm:ss", "MMM d, yyyy H:mm", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+)
 
 
 def default_run_date(now: dt.datetime | None = None, zone: str = DEFAULT_ZONE) -> dt.date:
@@ -78,5 +83,5 @@ def from_epoch_millis(text: Column) -> Column:
 
 
 def lenient_timestamp(text: Column) -> Column:
-    """Timestamp, or NULL for text that is none."""
-    return F.try_to_timestamp(text)
+    """Timestamp of ISO text or of one of TIME_FORMATS, or NULL for text that is none."""
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])

@@ -20,6 +20,26 @@ from tidemark.functions import text as tx
 _QUOTED = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
 # Everything up to a bare None, quoted strings passed over whole.
 _BARE_NONE = rf"""\G((?:[^'"N]++|{_QUOTED}|N(?!one\b))*+)None\b"""
+# Strings passed over whole up to a bracket, a point before a number, or a comma before a closing bracket.
+_BARE = r"""\G((?:[^'"%s]++|%s)*+)"""
+_OPEN = _BARE % (r"\(", _QUOTED) + r"\("
+_CLOSE = _BARE % (r"\)", _QUOTED) + r"\)"
+_POINT = rf"""\G((?:[^'".]++|{_QUOTED}|(?<=\d)\.|\.(?!\d))*+)\.(?=\d)"""
+_COMMA = rf"""\G((?:[^'",]++|{_QUOTED}|,(?!\s*[\]\}}\)]))*+),(?=\s*[\]\}}\)])"""
+# One string in brackets is no list.
+_ONE_IN_BRACKETS = rf"""\G((?:[^'"(]++|{_QUOTED}|\((?!\s*(?:{_QUOTED})\s*\)))*+)\(\s*({_QUOTED})\s*\)"""
+# The first two strings that stand side by side, with the same quotes.
+_BESIDE = [
+    rf"""^((?:[^'"]++|(?:{_QUOTED})(?!\s*['"]))*+{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+){q}\s*{q}""" for q in ("'", '"')
+]
+_JOINS = 4
+# Escapes that JSON has otherwise: backslashes before them are in pairs.
+_ESCAPES = [
+    (r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2"),
+    (r"(?<!\\)((?:\\\\)*)\\a", r"$1\\u0007"),
+    (r"(?<!\\)((?:\\\\)*)\\v", r"$1\\u000b"),
+    (r"(?<!\\)((?:\\\\)*)\\([^\\'\"nrtbfuxav0-7])", r"$1\\\\$2"),
+]
 _READ_KEYS = (
     *fixed.LABEL_FIELDS,
     "short description",
@@ -45,11 +65,26 @@ def _literal(text: Column) -> Column:
     """The record when the text is one complete literal, else NULL.
 
     A look at the text without its strings tells whether it holds words that
-    no such literal has; None becomes null.
+    no such literal has, and what has to be put the JSON way: None, brackets
+    of tuples, numbers that start with a point, strings side by side, escapes.
     """
     bare = F.regexp_replace(text, _QUOTED, "''")
-    plausible = bare.rlike(r"^\{[\s\S]*\}$") & ~bare.rlike(r"\b(?:null|true|false)\b|\(")
+    plausible = bare.rlike(r"^\{[\s\S]*\}$") & ~bare.rlike(r"\b(?:null|true|false)\b|\w\s*\(")
     as_json = F.when(bare.rlike(r"\bNone\b"), F.regexp_replace(text, _BARE_NONE, "$1null")).otherwise(text)
+    beside = as_json
+    for _ in range(_JOINS):
+        for pattern in _BESIDE:
+            beside = F.regexp_replace(beside, pattern, "$1")
+    as_json = F.when(bare.rlike(r"''\s*''"), beside).otherwise(as_json)
+    listed = F.regexp_replace(as_json, _ONE_IN_BRACKETS, "$1$2")
+    listed = F.regexp_replace(F.regexp_replace(listed, _OPEN, "$1["), _CLOSE, "$1]")
+    as_json = F.when(bare.rlike(r"\("), listed).otherwise(as_json)
+    as_json = F.when(bare.rlike(r",\s*[\])}]"), F.regexp_replace(as_json, _COMMA, "$1")).otherwise(as_json)
+    as_json = F.when(bare.rlike(r"(?<!\d)\.\d"), F.regexp_replace(as_json, _POINT, "$10.")).otherwise(as_json)
+    escaped = as_json
+    for pattern, put in _ESCAPES:
+        escaped = F.regexp_replace(escaped, pattern, put)
+    as_json = F.when(F.contains(text, F.lit("\\")), escaped).otherwise(as_json)
     record = F.from_json(F.when(plausible, as_json), _SCHEMA, _OPTIONS)
     return F.when(record[_BROKEN].isNull() & record.isNotNull() & plausible, record)
 
@@ -149,4 +184,8 @@ def parse(df: DataFrame, text: str, fields: Sequence[str] = tuple(fixed.LABEL_FI
         F.when(F.col("_text") == "", "empty").when(is_whole, "literal").otherwise("pattern")
     )
     values = {name: F.when(is_whole, whole[name]).otherwise(broken[name]) for name in fields}
+    for name in set(fields) & set(fixed.LABEL_ID_FIELDS):
+        # A bare zero or False is no id.
+        nothing = F.col("_text").rlike(_key(name) + r"(?:-?0+(?:\.0*)?|False)\s*[,}]")
+        values[name] = F.when(nothing, "").otherwise(values[name])
     return read.withColumns({**values, "parse_path": path}).drop("_text", "_record")
