@@ -34,7 +34,7 @@ from tidemark.llm.packed import mixed, parts_of, runs_of
 ORDER = 3
 ALPHA = 0.4
 KEEP = 2
-BLOCK = 8 << 20
+BLOCK = 12 << 20
 PART_GRAMS = 2_000_000
 _ORDER_BITS = np.uint64(7)
 _CODEC = pa.Codec("zstd", compression_level=1)
