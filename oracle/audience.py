@@ -34,7 +34,7 @@ SQL = {
         {HERE} AND left(upper(c.locale), 2) = 'EN' AND a.l_90 >= 1 AND {VERSION} >= 5.1
         AND upper(i.device_type) = 'IOS' AND i.age BETWEEN 15 AND 60
         AND c.creator_tier IN ('3 - Elementary', '4 - Intermediate', '5 - Advanced', '6 - Expert')
-        AND c.is_subscriber = false AND '{COUNTRIES}' LIKE concat('%', CASE WHEN c.country IS NOT NULL THEN c.country END, '%')
+        AND c.is_subscriber = false AND '{FULL_COUNTRIES}' LIKE concat('%', CASE WHEN c.country IS NOT NULL THEN c.country END, '%')
         AND c.country IS NOT NULL
         AND upper('Africa,ASIA,europe') LIKE upper('%' || r.region || '%')""",
     ),

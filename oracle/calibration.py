@@ -155,13 +155,17 @@ def differences(digits: int) -> str:
     return ", ".join(out)
 
 
-def ab_readout(item: str, by: str = "", digits: int = 8) -> str:
+def ab_levels(item: str, by: str = "") -> str:
     lead = f"{by}, " if by else ""
     return f""", level1 AS (
         SELECT {lead}'Overall' AS optimization_goal, {item}, {PAIRED_SUMS} FROM wide GROUP BY ALL
         UNION ALL SELECT {lead}optimization_goal, {item}, {PAIRED_SUMS} FROM wide GROUP BY ALL),
-      level2 AS (SELECT {lead}optimization_goal, {moments()} FROM level1 GROUP BY ALL)
-      SELECT {lead}optimization_goal, {differences(digits)} FROM level2"""
+      level2 AS (SELECT {lead}optimization_goal, {moments()} FROM level1 GROUP BY ALL)"""
+
+
+def ab_readout(item: str, by: str = "", digits: int = 8) -> str:
+    lead = f"{by}, " if by else ""
+    return f"{ab_levels(item, by)} SELECT {lead}optimization_goal, {differences(digits)} FROM level2"
 
 
 ERR_SYM = "CASE WHEN r > 1 THEN 1 - 1 / r ELSE 1 - r END"
@@ -322,6 +326,15 @@ SQL = {
         WIDE + f"SELECT {WIDE_KEYS}, " + ", ".join(whole(f"{m}_{a}") for m in METRICS for a in ("control", "treatment")) + " FROM wide",
     ),
     "ab_readout": with_roles(facts, WIDE + ab_readout("line_item_id")),
+    "ab_readout_text": with_roles(
+        facts,
+        WIDE + ab_levels("line_item_id") + f", shown AS (SELECT optimization_goal, {differences(8)} FROM level2) SELECT optimization_goal, "
+        + ", ".join(
+            f"printf('%.3f (%.3f, %.3f)', cali_{a}, cali_{a}_lo, cali_{a}_hi) AS cali_{a}_text, "
+            f"printf('%.2f%% (%.2f%%, %.2f%%)', perc_rev_sla_{a} * 100, perc_rev_sla_{a}_lo * 100, perc_rev_sla_{a}_hi * 100) AS perc_rev_sla_{a}_text"
+            for a in "tc"
+        ) + " FROM shown",
+    ),
     "ab_readout_by_size": with_roles(
         facts,
         f", ab AS ({ab(SPAM)}), wide AS ({wide('ad_account_id, adv_size_by_revenue, optimization_goal')})"

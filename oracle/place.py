@@ -103,6 +103,22 @@ SQL = {
         PARTITION BY place_id ORDER BY score, story_id) AS r FROM scored WHERE venue_name <> '') WHERE r <= 3""",
     ),
     "label_parse": PART,
+    "file_endings": """SELECT CASE event_id % 6 WHEN 0 THEN '.mp4' WHEN 1 THEN '.jpg' WHEN 2 THEN '.png' WHEN 4 THEN '.png'
+        ELSE '' END AS ending, COUNT(*) AS stories FROM events GROUP BY 1""",
+    "daily_stories": with_roles(
+        ["stories"],
+        "SELECT CAST(ds AS VARCHAR) AS ds, place_region, COUNT(*) AS stories FROM stories WHERE ds = DATE '2024-01-14' GROUP BY 1, 2",
+    ),
+    "place_labels": with_roles(
+        both,
+        SCORES + LABELLED + f""", c AS ({CONSOLIDATED})
+        SELECT place_id, place_name, event_type, CASE WHEN place_id IS NULL THEN '' ELSE 'About ' || place_id[2:] END AS short_description,
+          CASE WHEN place_id IS NULL THEN '' WHEN CAST(place_id[2:] AS INTEGER) % 4 = 0 THEN ''
+            ELSE 'Word ' || (CAST(place_id[2:] AS INTEGER) % 7) || ', More' END AS keywords,
+          CASE WHEN place_id IS NULL THEN '' ELSE 'Thing ' || (CAST(place_id[2:] AS INTEGER) % 3) END AS key_objects,
+          CASE WHEN place_id IS NULL THEN 'empty' WHEN CAST(place_id[2:] AS INTEGER) % 4 = 0 THEN 'pattern' ELSE 'literal' END AS parse_path
+        FROM c""",
+    ),
     "place_consolidated": with_roles(both, SCORES + LABELLED + CONSOLIDATED),
     "place_story_join": with_roles(
         both,

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import audience as op
 from tidemark.operators import campaigns
 from tidemark.plans import audience as plan
-from tidemark.plans import audience_queries
+from tidemark.plans import audience_queries, daily
 from tidemark.plans.specs import AudienceSpec, CampaignSpec, LookBack
 from tidemark.sources import roles, tables
-from tidemark.streaming import daily
 
 SF_DIR = "/root/testdata/sf0.001"
 RUN = roles.RUN_DATE
@@ -167,3 +166,16 @@ def test_frequency_bounds(spark):
     df = spark.createDataFrame(rows, "quarter string, campaign_id string, impression int, uu long, total_click long, total_dismiss long")
     got = campaigns.frequency_efficiency(df, "a").collect()
     assert sorted((r["impression"], r["uu"]) for r in got) == [(1, 101), (15, 101)]
+
+
+def test_opened_and_not_bounced_is_one_scan(spark, tmp_path):
+    rows = [("a", "2024-01-28", 1, 0), ("b", "2024-01-28", 1, 0), ("b", "2024-01-27", 0, 1), ("c", "2024-01-20", 1, 1), ("d", "2024-01-27", 0, 0), ("e", "2024-01-01", 1, 0)]
+    schema = "user_id string, ds string, campaign_open long, campaign_bounce long"
+    touches = spark.createDataFrame(rows, schema).withColumn("ds", F.col("ds").cast("date"))
+    touches = touches.withColumns({c: F.lit(None).cast("long") for c in ("transactional_open", "transactional_bounce", "campaign_unsubscribe", "transactional_unsubscribe")})
+    touches.write.partitionBy("ds").parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    found = op.openers_without_bounce(stored, "2024-01-28", LookBack(10, 0), 1)
+    assert sorted(r[0] for r in found.collect()) == ["a", "c"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(ds" in plan

@@ -18,6 +18,9 @@ from tidemark.sources import tables
 USER = "user_id"
 
 
+_OPENS = ("campaign_open", "transactional_open")
+
+
 def users(df: DataFrame, condition: Column | None = None) -> DataFrame:
     """Distinct users of the rows that meet the condition."""
     kept = df if condition is None else df.where(condition)
@@ -37,7 +40,7 @@ def _window(df: DataFrame, run_date, days: LookBack) -> DataFrame:
 
 
 def openers(touches: DataFrame, run_date, days: LookBack) -> DataFrame:
-    opened = p.any_positive(F.col("campaign_open"), F.col("transactional_open"))
+    opened = p.any_positive(*map(F.col, _OPENS))
     return users(_window(touches, run_date, days), opened)
 
 
@@ -46,6 +49,19 @@ def bouncers(touches: DataFrame, run_date, days: int) -> DataFrame:
     return users(_window(touches, run_date, LookBack(days)), _bounced())
 
 
+def openers_without_bounce(touches: DataFrame, run_date, opened: LookBack, bounced_days: int) -> DataFrame:
+    """Openers of their window who did not bounce in theirs, from one scan over both windows."""
+    spans = {
+        "_opened": (dates.look_back(run_date, opened.upper, opened.lower), p.any_positive(*map(F.col, _OPENS))),
+        "_bounced": (dates.look_back(run_date, bounced_days, 0), _bounced()),
+    }
+    first = F.least(*[low for (low, _), _ in spans.values()])
+    last = F.greatest(*[high for (_, high), _ in spans.values()])
+    flags = [F.max(F.col(tables.DAY).between(*days) & seen).alias(name) for name, (days, seen) in spans.items()]
+    found = tables.between_days(touches, first, last).groupBy(USER).agg(*flags)
+    return found.where(F.col("_opened") & ~F.col("_bounced")).select(USER)
+
+
 def bouncers_of_years(touches: DataFrame, run_date, years: int = 2) -> DataFrame:
     """The long look-back: from that many years before today to the run date."""
     run = dates.day(run_date)

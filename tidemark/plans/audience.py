@@ -90,7 +90,10 @@ def build(
         found = op.keep(found, op.frequent_users(role["feature_usage"], run_date, spec.usage_min_days))
     if spec.region_text is not None:
         found = op.keep(found, op.users_of_region(role["region_dim"], run_date, spec.region_text))
-    if spec.opened:
+    if spec.opened and spec.bounced_days is not None:
+        listed = op.openers_without_bounce(role["email_touch"], run_date, spec.opened, spec.bounced_days)
+        found = op.keep(found, listed)
+    elif spec.opened:
         found = op.keep(found, op.openers(role["email_touch"], run_date, spec.opened))
     if spec.clicked:
         clicked = op.clickers(role["email_click"], role["deep_link"], run_date, spec.clicked, rules)
@@ -98,7 +101,7 @@ def build(
     if spec.member is not None:
         listed = op.users(tables.on_day(role["members"], run_date))
         found = op.keep(found, listed) if spec.member else op.drop(found, listed)
-    if spec.bounced_days is not None:
+    if spec.bounced_days is not None and not spec.opened:
         found = op.drop(found, op.bouncers(role["email_touch"], run_date, spec.bounced_days))
     if spec.exclude_listed:
         found = op.drop(found, op.users(role["exclusion"]))

@@ -20,7 +20,7 @@ COUNTRIES = "NATION_10,NATION_12,NATION_3,NATION_21,NATION_17,NATION_5"
 SPECS = {
     "audience_filters": AudienceSpec(
         kind="broadcast- one time", locale="EN", l90=(">=", 1), minimum_version=5.1, device_type="ios",
-        age=(15, 60), creator_tier="Elementary+", subscriber=False, country_text=COUNTRIES,
+        age=(15, 60), creator_tier="Elementary+", subscriber=False, country_text=MOST_COUNTRIES,
         region_text="Africa,ASIA,europe",
     ),
     "audience_not_english": AudienceSpec(locale="not EN", creator_tier="Beginner", subscriber=True),

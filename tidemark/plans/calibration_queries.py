@@ -89,6 +89,12 @@ def ab_readout(spark, sf_dir):
     return rounded(op.ab_readout(op.ab_wide(_ab(spark, sf_dir))), 8)
 
 
+def ab_readout_text(spark, sf_dir):
+    """Display columns of the read-out, from its rounded numbers."""
+    shown = op.readout_text(rounded(op.ab_readout(op.ab_wide(_ab(spark, sf_dir))), 8))
+    return shown.select("optimization_goal", *[c for c in shown.columns if c.endswith("_text")])
+
+
 def ab_readout_by_size(spark, sf_dir):
     wide = op.ab_wide(_ab(spark, sf_dir), ("ad_account_id", "adv_size_by_revenue", "optimization_goal"))
     return rounded(op.ab_readout(wide, item="ad_account_id", by=["adv_size_by_revenue"]), 8)
@@ -201,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         calibration_overall, calibration_by_goal, item_sample, line_item_sla, traffic_total, traffic_daily, traffic_weekly,
-        account_sizes, ab_rollup, ab_rollup_goal_unfiltered, ab_wide, ab_readout, ab_readout_by_size,
+        account_sizes, ab_rollup, ab_rollup_goal_unfiltered, ab_wide, ab_readout, ab_readout_text, ab_readout_by_size,
         weighted_calibration, weighted_abs_error, trim_rows, trim_grid, trim_estimates, sim_totals,
         population_totals, sim_interval, sim_variance, iqr_outliers, histogram_bins, histogram_impressions,
         decile_cumulative, weekly_sla, weekly_sla_by_size, weekly_cv, weekly_size_share, weekly_size_pivot,

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
+from tidemark.functions import text as tx
 from tidemark.operators import labels, ordering
 from tidemark.operators import places as op
+from tidemark.plans import daily
 from tidemark.plans.calibration_queries import rounded
-from tidemark.sources import roles
+from tidemark.sources import roles, tables
 
-START, END = "2024-01-05", "2024-01-25"
+START, END, DAY = "2024-01-05", "2024-01-25", "2024-01-14"
 REGIONS = ("North America",)
 
 
@@ -75,6 +79,31 @@ def place_story_join(spark, sf_dir):
     )
 
 
+def file_endings(spark, sf_dir):
+    """Stories by the file ending of their content type."""
+    typed = roles.story_content(spark, sf_dir).withColumn("ending", tx.file_ending(F.col("content_type")))
+    return typed.groupBy("ending").agg(F.count("*").alias("stories"))
+
+
+def place_labels(spark, sf_dir):
+    """Consolidated places with the fields of their own label text in place of the merged ones."""
+    places = op.with_place_labels(op.consolidate(_labelled(spark, sf_dir)), roles.place_labels(spark, sf_dir))
+    return rounded(
+        places.select("place_id", "place_name", "event_type", "short_description", "keywords", "key_objects", "parse_path")
+    )
+
+
+def daily_stories(spark, sf_dir):
+    """Stories per region of a range of days, written as a dated table day by day; one day is read back.
+
+    The table lies in the shared folder. The day is a partition filter of its scan.
+    """
+    path = f"{ordering.ensure_checkpoint_dir(spark)}/daily-{uuid.uuid4().hex}"
+    per_day = lambda rows: rows.groupBy("ds", "place_region").agg(F.count("*").alias("stories"))
+    daily.run_days(roles.stories(spark, sf_dir), START, END, per_day, path)
+    return tables.scan_day(spark, path, DAY).select(F.col("ds").cast("string").alias("ds"), "place_region", "stories")
+
+
 def token_use(spark, sf_dir):
     return op.token_use(_labelled(spark, sf_dir), ["place_id"])
 
@@ -82,6 +111,6 @@ def token_use(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        story_scores, story_topk, story_topk_lowest, label_parse, place_consolidated, place_story_join, token_use,
+        story_scores, story_topk, story_topk_lowest, label_parse, file_endings, place_labels, daily_stories, place_consolidated, place_story_join, token_use,
     )
 }

@@ -384,6 +384,26 @@ def story_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def story_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content type of each story's file."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('s', event_id) AS story_id",
+        """CASE event_id % 6 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/png'
+           WHEN 3 THEN 'text/html' WHEN 4 THEN 'image/webp' END AS content_type""",
+    )
+
+
+def place_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label text per place; every fourth is cut off."""
+    places = table(spark, sf_dir, "events").selectExpr("cast(get_json_object(props, '$.k') as int) AS k").distinct()
+    return places.selectExpr(
+        "concat('p', k) AS place_id",
+        """concat('{\\'short_description\\': \\'About ', k, '\\', \\'long_description\\': \\'All of ', k,
+           '\\', \\'keywords\\': (\\'word ', k % 7, '\\', \\'more\\'), \\'key_objects\\': [\\'thing ', k % 3, '\\']',
+           CASE WHEN k % 4 = 0 THEN '' ELSE '}' END) AS labels""",
+    )
+
+
 def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label texts written from known columns: good, truncated, with Timestamp('...'), with bare tokens."""
     return table(spark, sf_dir, "part").selectExpr(
