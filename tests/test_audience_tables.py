@@ -176,6 +176,6 @@ def test_opened_and_not_bounced_is_one_scan(spark, tmp_path):
     touches.write.partitionBy("ds").parquet(str(tmp_path / "t"))
     stored = spark.read.parquet(str(tmp_path / "t"))
     found = op.openers_without_bounce(stored, "2024-01-28", LookBack(10, 0), 1)
+    planned = found._jdf.queryExecution().executedPlan().toString()
+    assert planned.count("FileScan") == 1 and "PartitionFilters: [isnotnull(ds" in planned
     assert sorted(r[0] for r in found.collect()) == ["a", "c"]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(ds" in plan
