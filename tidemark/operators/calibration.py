@@ -313,22 +313,22 @@ def totals(items: DataFrame, by: Sequence[str] = ("sim_id",)) -> DataFrame:
 
 def percentile_interval(df: DataFrame, metrics: Sequence[str], confidence: float = 0.95) -> DataFrame:
     """Mean of each metric with the length and half length of its percentile interval."""
-    df = ordering.settle(df.select(*metrics))
+    df = df.select(*metrics)
     shares = [(1 - confidence) / 2, (1 + confidence) / 2]
     ends = ordering.exact_percentiles(df, {m: shares for m in metrics})
     lines = []
     for m in metrics:
-        length = F.lit(ends[m][1]) - F.lit(ends[m][0])
+        length = ends[m][1] - ends[m][0]
         lines.append(
             F.struct(
                 F.lit(m).alias("metric"),
-                F.avg(m).alias("mean"),
+                F.col(m).alias("mean"),
                 length.alias("ci_length"),
                 (length / 2).alias("half_ci"),
-                num.ratio(length, F.avg(m)).alias("relative_length"),
+                num.ratio(length, F.col(m)).alias("relative_length"),
             )
         )
-    return df.agg(F.array(*lines).alias("_lines")).select(F.inline("_lines"))
+    return df.agg(*[F.avg(m).alias(m) for m in metrics]).select(F.inline(F.array(*lines)))
 
 
 def simulation_variance(items: DataFrame) -> DataFrame:
@@ -359,11 +359,10 @@ def simulation_variance(items: DataFrame) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> DataFrame:
     """Add <column>_outlier: outside reach x the interquartile range, on raw values."""
-    df = ordering.settle(df)
     ends = ordering.exact_percentiles(df, {c: [0.25, 0.75] for c in columns})
     flags = {}
     for name in columns:
-        low, high = (F.lit(q) for q in ends[name])
+        low, high = ends[name]
         margin = F.lit(reach) * (high - low)
         flags[f"{name}_outlier"] = (F.col(name) < low - margin) | (F.col(name) > high + margin)
     return df.withColumns(flags)
@@ -388,17 +387,22 @@ def histogram(df: DataFrame, value: Column, by: Sequence[str] = (), bins: int =
 
 
 def cumulative_deciles(
-    df: DataFrame, rank_by: str, metrics: Sequence[str], tie: Sequence[str], buckets: int = 10
+    df: DataFrame, rank_by: Sequence[str], metrics: Sequence[str], tie: Sequence[str], buckets: int = 10
 ) -> DataFrame:
-    """Equal-count deciles by rank_by: sum and running share (in percent) of each metric."""
-    ranked = ordering.row_numbers(df, [], [rank_by, *tie], "_rank")
-    decile = ordering.equal_count_bucket(F.col("_rank"), df.agg(F.count("*")).scalar(), buckets)
-    parts = ranked.groupBy(decile.alias("decile")).agg(
+    """Equal-count deciles by each rank_by column: sum and running share (in percent) of each metric.
+
+    All columns are ranked in one pass over rows stacked by column.
+    """
+    stacked = F.array(*[F.struct(F.lit(c).alias("rank_by"), F.col(c).cast("double").alias("_value")) for c in rank_by])
+    rows = df.select(*tie, *metrics, F.inline(stacked))
+    ranked = ordering.row_numbers(rows, ["rank_by"], ["_value", *tie], "_rank", size="_size")
+    decile = ordering.equal_count_bucket(F.col("_rank"), F.col("_size"), buckets)
+    parts = ranked.groupBy("rank_by", decile.alias("decile")).agg(
         F.count("*").alias("rows"), *[F.sum(m).cast("double").alias(m) for m in metrics]
     )
-    # One row per decile from here on.
-    upto = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
+    # One row per column and decile from here on.
+    whole = Window.partitionBy("rank_by")
+    upto = whole.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
     return parts.withColumns(
         {
             f"{m}_cum_pct": F.try_divide(F.sum(m).over(upto), F.sum(m).over(whole)) * F.lit(100.0)

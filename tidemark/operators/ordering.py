@@ -9,7 +9,6 @@ carried table has one row per group and block.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,8 +52,9 @@ def running(
     order: Sequence[Column | str],
     sums: Mapping[str, Column],
     block: str = BLOCK,
+    whole: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add running sums, the row itself included, in group order.
+    """Add running sums, the row itself included, in group order; whole names sums over the group.
 
     blocked has a block column that never falls in that order. Rows with a NULL
     group key are left out, as a group-by on the Python side would.
@@ -68,6 +68,7 @@ def running(
     carry = parts.select(
         *keys,
         *[F.coalesce(F.sum(f"_part_{n}").over(earlier), F.lit(0)).alias(f"_carry_{n}") for n in sums],
+        *[F.sum(f"_part_{n}").over(Window.partitionBy(*group)).alias(name) for name, n in (whole or {}).items()],
     )
     inside = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -78,11 +79,12 @@ def running(
 
 
 def row_numbers(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str
+    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str, size: str | None = None
 ) -> DataFrame:
-    """row_number() over (partition by group order by order) for groups of any size."""
+    """row_number() over (partition by group order by order) for groups of any size; size names the group's rows."""
     blocked = range_blocks(df, [*group, *order])
-    return running(blocked, group, order, {name: F.lit(1).cast("bigint")}).drop(BLOCK)
+    whole = {size: name} if size else None
+    return running(blocked, group, order, {name: F.lit(1).cast("bigint")}, whole=whole).drop(BLOCK)
 
 
 def percent_ranks(df: DataFrame, group: str, value: str, name: str, tie: Sequence[str]) -> DataFrame:
@@ -121,14 +123,12 @@ def percent_ranks(df: DataFrame, group: str, value: str, name: str, tie: Sequenc
     )
 
 
-def exact_percentiles(
-    df: DataFrame, shares: Mapping[str, Sequence[float]]
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated percentiles per column, exact for any number of rows.
+def exact_percentiles(df: DataFrame, shares: Mapping[str, Sequence[float]]) -> dict[str, list[Column]]:
+    """Linearly interpolated percentiles per column, exact for any number of rows; NULL without any.
 
     Equal values are counted first, then ordered in blocks; no task holds them
-    all. Only the asked-for numbers, at most two values per share, reach the
-    driver, where they become literals of the plan that uses them.
+    all. What is asked for comes back as a scalar subquery of the plan that
+    uses it: nothing reaches the driver.
     """
     pairs = F.array(
         *[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in shares]
@@ -140,29 +140,26 @@ def exact_percentiles(
         .agg(F.count("*").alias("_n"))
     )
     blocked = range_blocks(counts, ["_column", "_value"])
-    sizes = dict(blocked.groupBy("_column").agg(F.sum("_n")).collect())
-    places = {c: [s * (sizes[c] - 1) for s in shares[c]] for c in sizes}
-    wanted = sorted({(c, end(x)) for c, xs in places.items() for x in xs for end in (math.floor, math.ceil)})
-    if not wanted:
-        return {c: [None] * len(s) for c, s in shares.items()}
-    upto = running(blocked, ["_column"], ["_value"], {"_upto": F.col("_n")})
+    upto = running(blocked, ["_column"], ["_value"], {"_upto": F.col("_n")}, whole={"_size": "_upto"})
     first = F.col("_upto") - F.col("_n")
-    found = upto.agg(
-        *[
-            F.max(F.when((F.col("_column") == c) & (first <= i) & (F.col("_upto") > i), F.col("_value")))
-            for c, i in wanted
-        ]
-    ).first()
-    at = dict(zip(wanted, found))
-
-    def between(column: str, place: float) -> float:
-        low, high = at[column, math.floor(place)], at[column, math.ceil(place)]
-        return low + (high - low) * (place - math.floor(place))
-
-    return {
-        c: [between(c, x) for x in places[c]] if c in places else [None] * len(s)
-        for c, s in shares.items()
-    }
+    found = []
+    for c, wanted in shares.items():
+        for i, share in enumerate(wanted):
+            place = F.when(F.col("_column") == c, F.lit(float(share)) * (F.col("_size") - 1))
+            ends = {"low": F.floor(place), "high": F.ceil(place)}
+            found += [
+                F.max(F.when((first <= at) & (F.col("_upto") > at), F.col("_value"))).alias(f"{c}_{i}_{end}")
+                for end, at in ends.items()
+            ]
+            found.append(F.max(place - F.floor(place)).alias(f"{c}_{i}_part"))
+
+    def between(c: str, i: int) -> Column:
+        low, high, part = (F.col(f"`{c}_{i}_{x}`") for x in ("low", "high", "part"))
+        return low + (high - low) * part
+
+    lists = [F.array(*[between(c, i) for i in range(len(wanted))]).alias(c) for c, wanted in shares.items()]
+    row = upto.agg(*found).select(F.struct(*lists).alias("_ends")).scalar()
+    return {c: [row.getField(c)[i] for i in range(len(wanted))] for c, wanted in shares.items()}
 
 
 def equal_count_bucket(rank: Column, size: Column, buckets: int = 10) -> Column:

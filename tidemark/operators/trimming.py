@@ -42,7 +42,7 @@ def trim(wide: DataFrame, dimension: str, pct: float, direction: str = "left") -
     _check(wide, dimension, [direction])
     wide = ordering.settle(wide)
     low, high = ordering.exact_percentiles(wide, {dimension: [pct / 100, (100 - pct) / 100]})[dimension]
-    return wide.where(_kept(F.col(dimension).cast("double"), direction, F.lit(low), F.lit(high)))
+    return wide.where(_kept(F.col(dimension).cast("double"), direction, low, high))
 
 
 def readouts(
@@ -126,12 +126,12 @@ def _goal_column(wide: DataFrame) -> list[str]:
 
 
 def _cuts_survived(
-    value: Column, direction: str, lows: Sequence[float | None], highs: Sequence[float | None]
+    value: Column, direction: str, lows: Sequence[Column], highs: Sequence[Column]
 ) -> Column:
     """How many of the nested cuts keep the value; NULL values survive none."""
     survived = F.lit(0)
     for low, high in zip(lows, highs):
-        kept = _kept(value, direction, F.lit(low), F.lit(high))
+        kept = _kept(value, direction, low, high)
         survived = survived + F.coalesce(kept, F.lit(False)).cast("int")
     return survived
 

@@ -167,15 +167,9 @@ def histogram_impressions(spark, sf_dir):
 
 
 def decile_cumulative(spark, sf_dir):
-    wide = ordering.settle(op.ab_wide(_ab(spark, sf_dir)))
+    wide = op.ab_wide(_ab(spark, sf_dir))
     ties = ("line_item_id", "bid_strategy", "optimization_goal")
-    parts = [
-        op.cumulative_deciles(wide, rank_by, ("revenue_control", "conversions_control"), ties).withColumn(
-            "rank_by", F.lit(rank_by)
-        )
-        for rank_by in DIMENSIONS
-    ]
-    return rounded(parts[0].unionByName(parts[1]))
+    return rounded(op.cumulative_deciles(wide, DIMENSIONS, ("revenue_control", "conversions_control"), ties))
 
 
 def _traffic_weeks(spark, sf_dir):
