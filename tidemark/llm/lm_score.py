@@ -34,10 +34,11 @@ from tidemark.llm.packed import mixed, parts_of, runs_of
 ORDER = 3
 ALPHA = 0.4
 KEEP = 2
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 PART_GRAMS = 2_000_000
 _ORDER_BITS = np.uint64(7)
 _CODEC = pa.Codec("zstd", compression_level=1)
+_EMPTY = b"\0" * 8
 
 
 def _block_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -60,21 +61,30 @@ def _block_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarr
     return doc, grams
 
 
-def _asked(grams: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of a block in order of (part, hash), their counts, and where each part starts."""
-    found, counts = np.unique(np.concatenate(grams), return_counts=True)
-    if len(found) and found[0] == 0:
-        found, counts = found[1:], counts[1:]
-    # A part is a range of hashes, so the sorted hashes are sorted by part as well.
+def _distinct(grams: list[np.ndarray], places: bool = False) -> tuple[np.ndarray, np.ndarray | None, list[np.ndarray]]:
+    """Sorted distinct n-gram hashes of a block, and their counts or the place of each n-gram in them, -1 for none."""
+    every = np.concatenate(grams)
+    if not places:
+        found, counts = np.unique(every, return_counts=True)
+        none = int(len(found) > 0 and found[0] == 0)
+        return found[none:], counts[none:], []
+    found, place = np.unique(every, return_inverse=True)
+    none = int(len(found) > 0 and found[0] == 0)
+    return found[none:], None, np.split(place - none, np.cumsum([len(g) for g in grams])[:-1])
+
+
+def _cuts(found: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part starts, and the end: a part is a range of hashes."""
     edges = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)
-    return found, counts, np.concatenate(([0], np.searchsorted(found, edges), [len(found)]))
+    return np.concatenate(([0], np.searchsorted(found, edges), [len(found)]))
 
 
 def _ask(order: int, parts: int):
     def ask(table: pa.Table) -> pa.Table:
         table = _ordered(table)
-        _, grams = _block_grams(table.column("text").combine_chunks(), order)
-        found, counts, cuts = _asked(grams, parts)
+        _, grams = _block_grams(_texts(table), order)
+        found, counts, _ = _distinct(grams)
+        cuts = _cuts(found, parts)
         some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
         block = table.column("block")[0].as_py()
         return pa.table(
@@ -90,11 +100,11 @@ def _ask(order: int, parts: int):
 
 
 def _squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True) if data else _EMPTY
 
 
 def _whole(data: bytes) -> bytes:
-    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True) if len(data) > 8 else b""
 
 
 def _packed(found: np.ndarray) -> bytes:
@@ -149,17 +159,19 @@ def _score(order: int, parts: int, alpha: float, tokens: int):
     def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
         docs = _ordered(docs)
         n_docs = docs.num_rows
-        doc, grams = _block_grams(docs.column("text").combine_chunks(), order)
-        found, _, cuts = _asked(grams, parts)
-        total = np.zeros(len(found), np.int64)
+        doc, grams = _block_grams(_texts(docs), order)
+        there = [g != 0 for g in grams]
+        found, _, places = _distinct(grams, places=True)
+        del grams
+        cuts = _cuts(found, parts)
+        # The last one is for n-grams that a text is too short for.
+        total = np.zeros(len(found) + 1, np.int64)
         for part, data in zip(totals.column("part").to_pylist(), totals.column("totals").to_pylist()):
             low, high = cuts[part], cuts[part + 1]
             total[low:high] = _large(data, high - low)
         # Corpus count of the n-gram that ends in each word, per order; 0 where it is not kept or not there.
-        by_order = []
-        for runs in grams:
-            at = np.minimum(np.searchsorted(found, runs), max(0, len(found) - 1))
-            by_order.append(np.where(runs != 0, total[at] if len(found) else 0, 0))
+        by_order = [total[place] for place in places]
+        del places, found
         logs = np.log(by_order[0] / max(1, tokens))
         used = np.ones(len(doc), np.int64)
         for n in range(2, order + 1):
@@ -167,8 +179,7 @@ def _score(order: int, parts: int, alpha: float, tokens: int):
             context = np.zeros(len(doc), np.int64)
             context[1:] = by_order[n - 2][:-1]
             kept = by_order[n - 1] > 0
-            there = grams[n - 1] != 0
-            logs = np.where(there & ~kept, logs + np.log(alpha), logs)
+            logs = np.where(there[n - 1] & ~kept, logs + np.log(alpha), logs)
             logs[kept] = np.log(by_order[n - 1][kept] / context[kept])
             used[kept] = n
         words = np.bincount(doc, minlength=n_docs)
@@ -189,6 +200,17 @@ def _score(order: int, parts: int, alpha: float, tokens: int):
     return score
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, last column, squeezed for the shuffle."""
+    for batch in batches:
+        packed = [_squeezed(t.as_buffer().to_pybytes()) if t.is_valid else _EMPTY for t in batch.columns[-1].cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], ["doc_id", "row_hash", "block", "zipped"])
+
+
+def _texts(table: pa.Table) -> pa.Array:
+    return pa.array([_whole(z) for z in table.column("zipped").to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
 def _ordered(table: pa.Table) -> pa.Table:
     """Rows of a block in an order of their own, whatever order a shuffle brought them in."""
     return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("row_hash", "ascending")]))
@@ -224,7 +246,10 @@ def lm_scores(
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("row_hash", F.xxhash64("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(blocks)))
+    block = F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(blocks)).cast("bigint")
+    rows = rows.select("doc_id", "row_hash", block.alias("block"), "text").mapInArrow(
+        _zipped, f"doc_id {key}, row_hash bigint, block bigint, zipped binary"
+    )
     rows = rows.repartition(blocks, "block")
     asked = rows.groupBy("block").applyInArrow(
         _ask(order, parts), "block bigint, part bigint, grams binary, counts binary"
