@@ -131,8 +131,50 @@ SELECT p.page_id, host, path, rule, coalesce(best.verdict, spread.verdict, 'allo
 FROM p LEFT JOIN best ON p.url = best.url LEFT JOIN comp ON comp.node = p.url LEFT JOIN spread ON spread.root = comp.root
 """
 
+_BACKOFF = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT r, k, w[k] AS w1, CASE WHEN k >= 2 THEN w[k - 1:k] END AS w2, CASE WHEN k >= 3 THEN w[k - 2:k] END AS w3
+      FROM d, LATERAL (SELECT unnest(generate_series(1, len(w))) AS k)),
+total AS (SELECT count(*)::DOUBLE AS n FROM p),
+c1 AS (SELECT w1, count(*)::DOUBLE AS n FROM p GROUP BY 1),
+c2 AS (SELECT w2, count(*)::DOUBLE AS n FROM p WHERE w2 IS NOT NULL GROUP BY 1),
+c3 AS (SELECT w3, count(*)::DOUBLE AS n FROM p WHERE w3 IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+s AS (SELECT r, c3.n IS NOT NULL AS whole,
+             CASE WHEN c3.n IS NOT NULL THEN ln(c3.n / h2.n)
+                  ELSE CASE WHEN p.w3 IS NULL THEN 0.0::DOUBLE ELSE ln(0.4::DOUBLE) END
+                       + CASE WHEN c2.n >= 2 THEN ln(c2.n / h1.n)
+                              ELSE CASE WHEN p.w2 IS NULL THEN 0.0::DOUBLE ELSE ln(0.4::DOUBLE) END + ln(c1.n / (SELECT n FROM total))
+                         END END AS l
+      FROM p JOIN c1 ON c1.w1 = p.w1 LEFT JOIN c2 ON c2.w2 = p.w2 LEFT JOIN c3 ON c3.w3 = p.w3
+      LEFT JOIN c1 h1 ON h1.w1 = p.w2[1] LEFT JOIN c2 h2 ON h2.w2 = p.w3[1:2]),
+sums AS (SELECT r, count(*) FILTER (whole) AS n_full, sum(l) AS l FROM s GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_full, 0) AS n_full, round(l, 3) AS log_score,
+       round(l / len(w), 6) AS mean_log_score
+FROM d LEFT JOIN sums USING (r)
+"""
+
+# All pairs of sets that share an n-gram, with the exact similarity.
+_NEAR = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5
+               THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))
+               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END)) AS grams FROM d),
+s AS (SELECT doc_id, len(grams) AS n, grams, CASE WHEN len(grams) > 0 THEN md5(array_to_string(grams, '|')) ELSE doc_id::VARCHAR END AS key FROM g),
+c AS (SELECT key, min(doc_id) AS copy_id, count(*) AS n_copies, any_value(grams) AS grams, any_value(n) AS n FROM s GROUP BY key),
+e AS (SELECT copy_id, n, unnest(grams) AS gram FROM c),
+links AS (SELECT a.copy_id AS a, b.copy_id AS b FROM e a JOIN e b ON a.gram = b.gram AND a.copy_id <> b.copy_id
+          GROUP BY a.copy_id, b.copy_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+reach AS (SELECT copy_id AS node, copy_id AS seen FROM c UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+classes AS (SELECT node, min(seen) AS class_id FROM reach GROUP BY node),
+degrees AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT s.doc_id, class_id, c.copy_id, n_copies, coalesce(n_links, 0) AS n_links, s.n AS n_grams
+FROM s JOIN c USING (key) JOIN classes ON node = c.copy_id LEFT JOIN degrees ON a = c.copy_id
+"""
+
 SQL = {
+    "op1_lm_score": _BACKOFF,
     "op2_exact_dedup": _DEDUP,
+    "op3_ngram_join": _NEAR,
     "op6_license_scan": _LICENSES,
     "op7_url_filter": _URLS,
     "op9_mix_sources": _MIX,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, exact_dedup, language, licenses, lm_score, mixing, ngram_join, tokens, toxicity, url_filter
 from tidemark.llm.oracle import SQL as SQL
@@ -24,7 +25,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(_table(spark, sf_dir, "documents"))
+    found = lm_score.lm_scores(_table(spark, sf_dir, "documents"))
+    rounded = {"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 6)}
+    return found.withColumns(rounded)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
