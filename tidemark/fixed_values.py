@@ -127,3 +127,14 @@ PLACE_STORY_KEYS = [
     "detection_start_time",
     "detection_end_time",
 ]
+
+# Patterns that find label fields in broken text; {key} is the field's name.
+LABEL_KEY = r"""['"]{key}['"]\s*:\s*"""
+LABEL_SCALAR = r"""(?:Timestamp\(['"]([^'"]+)['"]\)|['"]([^'"]+)['"]|([A-Za-z0-9_\-:.]+))"""
+LABEL_OPEN_LIST = r"\["
+LABEL_LIST_INSIDE = r"([^\]]*)"
+LABEL_QUOTED_TOKEN = r"""['"]([^'"]+)['"]"""
+LABEL_NUMBER = r"""['"]?(-?\d+(?:\.\d+)?)"""
+
+# The first number in noisy text.
+LENIENT_NUMBER = r"([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"

@@ -25,11 +25,6 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
-def positive_or_zero(value: Column) -> Column:
-    """0 in place of NULL or NaN."""
-    return F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))
-
-
 def log1p(value: Column) -> Column:
     return F.log1p(value.cast("double"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark import fixed_values as fixed
+
 _CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
 _RUNS = rf"({_CASED}+|[^\p{{Lu}}\p{{Ll}}\p{{Lt}}]+)"
-_NUMBER = r"([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
 
 
 def title_case(text: Column) -> Column:
@@ -33,7 +34,7 @@ def joined_title_case(items: Column, sep: str = ", ") -> Column:
 
 def lenient_double(value: Column, default: float | None = 0.0) -> Column:
     """First number found in noisy text such as '12%' or '~0.8'."""
-    found = F.nullif(F.regexp_extract(value.cast("string"), _NUMBER, 1), F.lit(""))
+    found = F.nullif(F.regexp_extract(value.cast("string"), fixed.LENIENT_NUMBER, 1), F.lit(""))
     return F.coalesce(found.try_cast("double"), F.lit(default).cast("double"))
 
 

@@ -122,27 +122,27 @@ def _from_literal(r: Column) -> dict[str, Column]:
 
 
 def _key(name: str) -> str:
-    return rf"""['"]{name}['"]\s*:\s*"""
+    return fixed.LABEL_KEY.format(key=name)
 
 
 def _scalar(text: Column, name: str) -> Column:
     """Value after a key: Timestamp('...'), quoted, or a bare token; NULL when there is none."""
-    pattern = _key(name) + r"""(?:Timestamp\(['"]([^'"]+)['"]\)|['"]([^'"]+)['"]|([A-Za-z0-9_\-:.]+))"""
+    pattern = _key(name) + fixed.LABEL_SCALAR
     found = [_filled(F.regexp_extract(text, pattern, group)) for group in (1, 2, 3)]
     return F.trim(F.coalesce(*found))
 
 
 def _tokens_of(text: Column, name: str) -> Column:
     """Quoted tokens of a list, also of one that never closes; else comma-separated quoted text."""
-    opened = _key(name) + r"\["
-    inside = F.regexp_extract(text, opened + r"([^\]]*)", 1)
-    listed = F.regexp_extract_all(inside, F.lit(r"""['"]([^'"]+)['"]"""), F.lit(1))
-    plain = _filled(F.regexp_extract(text, _key(name) + r"""['"]([^'"]+)['"]""", 1))
+    opened = _key(name) + fixed.LABEL_OPEN_LIST
+    inside = F.regexp_extract(text, opened + fixed.LABEL_LIST_INSIDE, 1)
+    listed = F.regexp_extract_all(inside, F.lit(fixed.LABEL_QUOTED_TOKEN), F.lit(1))
+    plain = _filled(F.regexp_extract(text, _key(name) + fixed.LABEL_QUOTED_TOKEN, 1))
     return F.when(text.rlike(opened), listed).when(plain.isNotNull(), F.split(plain, ",")).otherwise(_nothing())
 
 
 def _number(text: Column, name: str) -> Column:
-    pattern = _key(name) + r"""['"]?(-?\d+(?:\.\d+)?)"""
+    pattern = _key(name) + fixed.LABEL_NUMBER
     return _filled(F.regexp_extract(text, pattern, 1)).try_cast("double")
 
 
