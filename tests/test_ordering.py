@@ -53,10 +53,10 @@ def test_exact_percentiles(skewed, spark):
     shares = [0.0, 0.05, 0.25, 0.5, 0.975, 1.0]
     got = ordering.exact_percentiles(df, {"v": shares, "x": shares})
     for column in ("v", "x"):
-        row = spark.range(1).select(*got[column]).first()
+        row = spark.range(1).select(got[column]).first()[0]
         assert np.allclose(row, np.percentile(frame[column], [s * 100 for s in shares]))
     empty = spark.createDataFrame([], "v double")
-    assert tuple(spark.range(1).select(*ordering.exact_percentiles(empty, {"v": [0.5]})["v"]).first()) == (None,)
+    assert tuple(spark.range(1).select(ordering.exact_percentiles(empty, {"v": [0.5]})["v"][0]).first()) == (None,)
 
 
 @pytest.mark.parametrize("n", [1, 9, 10, 25, 101])

@@ -362,7 +362,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> D
     ends = ordering.exact_percentiles(df, {c: [0.25, 0.75] for c in columns})
     flags = {}
     for name in columns:
-        low, high = ends[name]
+        low, high = ends[name][0], ends[name][1]
         margin = F.lit(reach) * (high - low)
         flags[f"{name}_outlier"] = (F.col(name) < low - margin) | (F.col(name) > high + margin)
     return df.withColumns(flags)

@@ -123,12 +123,12 @@ def percent_ranks(df: DataFrame, group: str, value: str, name: str, tie: Sequenc
     )
 
 
-def exact_percentiles(df: DataFrame, shares: Mapping[str, Sequence[float]]) -> dict[str, list[Column]]:
-    """Linearly interpolated percentiles per column, exact for any number of rows; NULL without any.
+def exact_percentiles(df: DataFrame, shares: Mapping[str, Sequence[float]]) -> dict[str, Column]:
+    """Linearly interpolated percentiles, exact for any number of rows: an array per column, NULL without any value.
 
     Equal values are counted first, then ordered in blocks; no task holds them
-    all. What is asked for comes back as a scalar subquery of the plan that
-    uses it: nothing reaches the driver.
+    all. Rows that hold a wanted place are kept, and the arrays come back as a
+    scalar subquery of the plan that uses them: nothing reaches the driver.
     """
     pairs = F.array(
         *[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in shares]
@@ -141,25 +141,28 @@ def exact_percentiles(df: DataFrame, shares: Mapping[str, Sequence[float]]) -> d
     )
     blocked = range_blocks(counts, ["_column", "_value"])
     upto = running(blocked, ["_column"], ["_value"], {"_upto": F.col("_n")}, whole={"_size": "_upto"})
-    first = F.col("_upto") - F.col("_n")
-    found = []
-    for c, wanted in shares.items():
-        for i, share in enumerate(wanted):
-            place = F.when(F.col("_column") == c, F.lit(float(share)) * (F.col("_size") - 1))
-            ends = {"low": F.floor(place), "high": F.ceil(place)}
-            found += [
-                F.max(F.when((first <= at) & (F.col("_upto") > at), F.col("_value"))).alias(f"{c}_{i}_{end}")
-                for end, at in ends.items()
-            ]
-            found.append(F.max(place - F.floor(place)).alias(f"{c}_{i}_part"))
-
-    def between(c: str, i: int) -> Column:
-        low, high, part = (F.col(f"`{c}_{i}_{x}`") for x in ("low", "high", "part"))
-        return low + (high - low) * part
-
-    lists = [F.array(*[between(c, i) for i in range(len(wanted))]).alias(c) for c, wanted in shares.items()]
-    row = upto.agg(*found).select(F.struct(*lists).alias("_ends")).scalar()
-    return {c: [row.getField(c)[i] for i in range(len(wanted))] for c, wanted in shares.items()}
+    named = [x for c, wanted in shares.items() for x in (F.lit(c), F.array(*[F.lit(float(s)) for s in wanted]))]
+    wanted = F.element_at(F.create_map(*named), F.col("_column"))
+    places = F.transform(wanted, lambda s, i: F.struct(i.alias("no"), (s * (F.col("_size") - 1)).alias("at")))
+
+    def held(place: Column) -> Column:
+        return (place >= F.col("_upto") - F.col("_n")) & (place < F.col("_upto"))
+
+    found = upto.withColumn(
+        "_place", F.explode(F.filter(places, lambda w: held(F.floor(w["at"])) | held(F.ceil(w["at"]))))
+    )
+    at = F.col("_place.at")
+    ends = found.groupBy("_column", "_place.no").agg(
+        F.max(F.when(held(F.floor(at)), F.col("_value"))).alias("low"),
+        F.max(F.when(held(F.ceil(at)), F.col("_value"))).alias("high"),
+        F.max(at - F.floor(at)).alias("part"),
+    )
+    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    lists = ends.groupBy("_column").agg(F.array_sort(F.collect_list(F.struct("no", value.alias("value")))).alias("list"))
+    lists = lists.select("_column", F.transform("list", lambda x: x["value"]).alias("list"))
+    # One row per column.
+    row = lists.agg(F.map_from_entries(F.collect_list(F.struct("_column", "list")))).scalar()
+    return {c: F.try_element_at(row, F.lit(c)) for c in shares}
 
 
 def equal_count_bucket(rank: Column, size: Column, buckets: int = 10) -> Column:

@@ -41,8 +41,8 @@ def trim(wide: DataFrame, dimension: str, pct: float, direction: str = "left") -
     """Rows outside the cut tail(s); rows with a NULL dimension fall out."""
     _check(wide, dimension, [direction])
     wide = ordering.settle(wide)
-    low, high = ordering.exact_percentiles(wide, {dimension: [pct / 100, (100 - pct) / 100]})[dimension]
-    return wide.where(_kept(F.col(dimension).cast("double"), direction, low, high))
+    ends = ordering.exact_percentiles(wide, {dimension: [pct / 100, (100 - pct) / 100]})[dimension]
+    return wide.where(_kept(F.col(dimension).cast("double"), direction, ends[0], ends[1]))
 
 
 def readouts(
@@ -67,18 +67,19 @@ def readouts(
         _check(wide, dimension, directions)
     cuts = sorted(float(pct) for pct in pcts)
     wide = ordering.settle(wide.where(F.col(item).isNotNull()))
-    shares = [s for cut in cuts for s in (cut / 100, (100 - cut) / 100)]
+    shares = [*(cut / 100 for cut in cuts), *((100 - cut) / 100 for cut in cuts)]
     thresholds = ordering.exact_percentiles(wide, {d: shares for d in dimensions})
     names, survived_cuts = [], []
     for dimension in dimensions:
-        value, ends = F.col(dimension).cast("double"), thresholds[dimension]
+        value, ends = F.col(dimension).cast("double"), F.col(f"_ends_{dimension}")
         names.append((dimension, UNCUT))
         survived_cuts.append(value.isNotNull().cast("int"))
         for direction in directions:
             names.append((dimension, direction))
-            survived_cuts.append(_cuts_survived(value, direction, ends[::2], ends[1::2]))
+            survived_cuts.append(_cuts_survived(value, direction, ends, len(cuts)))
     # A small number stands for (dimension, direction) until the rows are few.
-    series = [F.struct(F.lit(i).alias("_no"), c.alias("_cuts")) for i, c in enumerate(survived_cuts, 1)]
+    survived = {f"_cuts_{i}": c for i, c in enumerate(survived_cuts, 1)}
+    series = [F.struct(F.lit(i).alias("_no"), F.col(f"_cuts_{i}").alias("_cuts")) for i in range(1, len(names) + 1)]
     labels = calibration.goal_labels(wide)
     if goals is not None:
         wanted = [fixed.OVERALL, *goals]
@@ -89,6 +90,8 @@ def readouts(
     ]
     keys = ["_no", "optimization_goal", item]
     placed = wide.select(item, *{*dimensions, *calibration.PAIRED}, *_goal_column(wide)).repartition(item)
+    placed = placed.withColumns({f"_ends_{d}": thresholds[d] for d in dimensions}).withColumns(survived)
+    placed = placed.drop(*[f"_ends_{d}" for d in dimensions])
     rows = placed.select(
         "*", F.lit(1).alias("_rows"), F.explode(labels).alias("_goal"), F.array(*series).alias("_series")
     ).select("*", F.inline("_series"))
@@ -125,15 +128,11 @@ def _goal_column(wide: DataFrame) -> list[str]:
     return ["optimization_goal"] if "optimization_goal" in wide.columns else []
 
 
-def _cuts_survived(
-    value: Column, direction: str, lows: Sequence[Column], highs: Sequence[Column]
-) -> Column:
-    """How many of the nested cuts keep the value; NULL values survive none."""
-    survived = F.lit(0)
-    for low, high in zip(lows, highs):
-        kept = _kept(value, direction, low, high)
-        survived = survived + F.coalesce(kept, F.lit(False)).cast("int")
-    return survived
+def _cuts_survived(value: Column, direction: str, ends: Column, cuts: int) -> Column:
+    """How many of the nested cuts keep the value; NULL values survive none. ends: low thresholds, then high ones."""
+    lows, highs = F.slice(ends, 1, cuts), F.slice(ends, cuts + 1, cuts)
+    kept = F.zip_with(lows, highs, lambda low, high: _kept(value, direction, low, high))
+    return F.coalesce(F.size(F.filter(kept, lambda k: k)), F.lit(0))
 
 
 def revenue_summary(cells: DataFrame, goals: Sequence[str] = (fixed.OVERALL,)) -> DataFrame:
