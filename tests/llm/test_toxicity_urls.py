@@ -52,7 +52,7 @@ def test_odd_rows(spark, docs):
     got = toxicity.toxicity(docs(rows), frame).collect()
     assert len(got) == len(rows)
     score = {r["doc_id"]: r["score"] for r in got}
-    assert score[302] >= 0.3 and score[None] > 0.9 and score[300] == score[301] == score[303] < 0.1
+    assert score[302] >= 0.3 and score[None] >= 0.3 and score[300] == score[301] == score[303] < 0.1
     assert all(r["held_out"] for r in got if r["doc_id"] is None)
     none = toxicity.toxicity(docs(rows), frame.limit(0)).collect()
     assert {r["score"] for r in none} == {0.0}
