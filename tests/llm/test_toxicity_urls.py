@@ -44,8 +44,9 @@ def test_isotonic_pools():
 
 
 def test_odd_rows(spark, docs):
-    rows = [(i, f"word{i} calm text number {i * 7}", "en") for i in range(60)]
-    rows += [(100 + i, f"foul idiot{'x' * (i % 2)} text {i * 11} more", "en") for i in range(40)]
+    # No two share a run of three words: near copies count once.
+    rows = [(i, f"p{i} q{i} calm r{i} s{i} text t{i} u{i}", "en") for i in range(60)]
+    rows += [(100 + i, f"a{i} b{i} foul c{i} d{i} idiot{'x' * (i % 2)} e{i} f{i}", "en") for i in range(40)]
     rows += [(300, None), (301, ""), (302, "foul " * 50_000), (302, "foul"), (302, "foul"), (None, "foul idiot"), (303, "new")]
     labels = [(d, int(d >= 100)) for d, *_ in rows[:100]] + [(0, None), (None, 1), (3, 5), (1, 0)]
     frame = spark.createDataFrame(labels, "doc_id long, toxic int")

@@ -123,12 +123,15 @@ def learn(texts: DataFrame, most: int = PROFILE) -> dict[str, np.ndarray]:
     return {lang: np.array(grams, np.int64) for lang, grams in profiles.items()}
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = PROFILE) -> DataFrame:
-    """All columns of docs, and _lang_pred and _lang_score of the whole text."""
+def identify(
+    docs: DataFrame, profiles: dict[str, np.ndarray], most: int = PROFILE, keep_text: bool = True
+) -> DataFrame:
+    """All columns of docs, or all but the text, and _lang_pred and _lang_score of the whole text."""
     names = sorted(profiles)
     known = [profiles[n] for n in names]
     columns = [c for c in docs.columns if c not in ("_lang_pred", "_lang_score")]
     at = columns.index("text")
+    kept = [i for i in range(len(columns)) if keep_text or i != at]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,12 +147,12 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = PROFI
                 found.append(names[best])
                 scores.append(1.0 - far[best] / (most * len(own)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                [*columns, "_lang_pred", "_lang_score"],
+                [*(batch.column(i) for i in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                [*(columns[i] for i in kept), "_lang_pred", "_lang_score"],
             )
 
     source = docs.select(*(f"`{c}`" for c in columns))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in (source.schema.fields[i] for i in kept)]
     return source.mapInArrow(predict, ", ".join([*fields, "_lang_pred string", "_lang_score double"]))
 
 
@@ -165,7 +168,7 @@ def training_part(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
 def languages(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
     profiles = learn(training_part(docs, folds))
-    found = identify(docs.select("doc_id", "text"), profiles)
+    found = identify(docs.select("doc_id", "text"), profiles, keep_text=False)
     return found.select(
         "doc_id",
         F.coalesce(held_out(folds), F.lit(True)).alias("held_out"),
