@@ -25,6 +25,15 @@ def test_null_ids_repeats_and_clashing_columns(docs):
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("1", "A"), ("2", "b"), ("None", "c")]
 
 
+def test_different_texts_of_one_id_all_stay(docs):
+    rows = [(None, "a"), (None, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e"), (7, "E"), (8, "f")]
+    frame = docs(rows).withColumns({"_sha": F.lit("x"), "_keep_id": F.lit(1)})
+    kept = exact_dedup.without_copies(frame)
+    assert kept.columns == frame.columns
+    got = sorted((str(r["doc_id"]), r["text"].lower()) for r in kept.collect())
+    assert got == [("7", "d"), ("7", "e"), ("8", "f"), ("None", "a"), ("None", "b"), ("None", "c")]
+
+
 def test_empty_table(docs):
     assert exact_dedup.exact_dedup(docs([])).count() == 0
     assert exact_dedup.without_copies(docs([])).count() == 0

@@ -42,6 +42,22 @@ def test_one_document_of_each_group_stays(docs):
     assert ngram_join.near_duplicates(docs([])).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart_by_their_text(docs):
+    text = lambda name, last: " ".join(f"{name}{i}" for i in range(60)) + f" {last}"
+    rows = [
+        (1, text("a", "x")), (5, text("a", "y")),  # 5 goes here ...
+        (5, text("b", "x")), (6, text("b", "y")), (5, text("c", "x")),  # ... stays for its class and where it is alone
+        (9, text("d", "x")), (9, text("d", "y")), (9, text("d", "z")),  # one row of a class of one id
+        (None, text("e", "x")), (None, text("e", "y")), (None, text("f", "x")), (4, text("f", "y")), (None, text("g", "x")),
+        (4, None), (None, ""),
+    ]
+    kept = ngram_join.one_of_each(docs(rows)).collect()
+    got = sorted((str(r["doc_id"]), (r["text"] or "")[:1]) for r in kept)
+    assert got == [
+        ("1", "a"), ("4", ""), ("4", "f"), ("5", "b"), ("5", "c"), ("9", "d"), ("None", ""), ("None", "e"), ("None", "g"),
+    ]
+
+
 def test_bands_reach_the_recall():
     for rows in (3, 5, 8):
         bands = ngram_join.bands_for(0.8, 0.999, rows)

@@ -97,11 +97,17 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of repeated rows of one document, one."""
-    decided = settle(
-        exact_dedup(docs).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("repeats"))
+    """The documents that stay, with all their columns; of rows that repeat a doc_id and a text, one.
+
+    Rows are told apart by doc_id and the SHA-256 of the normalised text, whatever the data hold: different texts that
+    share a doc_id, or have none, all stay.
+    """
+    keep = exact_dedup(docs).filter("kept").select(
+        F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")
     )
-    keep = decided.select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    sha = F.sha2(lowered("text"), 256)
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep_id"]) & (sha == keep["_keep_sha"]), "left_semi")
-    return kept if decided.filter("repeats > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    keep, sha = settle(keep.distinct()), "_sha"
+    while sha in docs.columns:
+        sha += "_"
+    rows = docs.withColumn(sha, F.sha2(lowered("text"), 256))
+    same = rows["doc_id"].eqNullSafe(keep["_keep_id"]) & (rows[sha] == keep["_keep_sha"])
+    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)

@@ -232,7 +232,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id among the documents linked to it, over any number of
     links), copy_id (smallest doc_id with the same n-gram set), n_copies (documents with that set), n_links (other
-    sets at the threshold or above), n_grams.
+    sets at the threshold or above), n_grams; and _row_id, _row_hash, which name the row where ids repeat or are NULL,
+    and _class, which names its class (NULL where it has no n-grams).
     """
     bands = bands_for(threshold, recall, rows)
     texts = docs.select(*row_columns(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -281,19 +282,31 @@ def near_duplicates(
     labels = labels.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").drop("_node")
     labels = settle(labels.withColumn("root", F.coalesce("root", "node")))
     firsts = labels.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    labels = labels.join(firsts, "root").drop("root")
-    return sketched.select("_row_id", "node", "n_grams").join(labels, "node", "left").select(
+    labels = labels.join(firsts, "root")
+    return sketched.select("_row_id", "_row_hash", "node", "n_grams").join(labels, "node", "left").select(
         F.col("_row_id").alias("doc_id"),
         F.coalesce("class_id", "_row_id").alias("class_id"),
         F.coalesce("copy_id", "_row_id").alias("copy_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.col("n_grams").cast("long").alias("n_grams"),
+        "_row_id",
+        "_row_hash",
+        F.col("root").alias("_class"),
     )
 
 
 def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """The document with the smallest doc_id of each class, all columns. Repeated rows of it all stay."""
-    found = near_duplicates(docs, n, threshold).filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The row with the smallest doc_id of each class, NULL ids last, all columns; rows of a class that share that id go
+    by the smallest hash of their text. Repeated rows of it all stay, and so do rows without n-grams.
+    """
+    found = near_duplicates(docs, n, threshold).filter(F.col("_class").isNotNull())
+    found = settle(found.select("_row_id", "_row_hash", "class_id", "_class"))
+    # class_id is NULL only where the whole class has no id.
+    named = F.col("_row_id").eqNullSafe(F.col("class_id"))
+    firsts = found.filter(named).groupBy("_class").agg(F.min("_row_hash").alias("_first"))
+    gone = found.join(firsts, "_class").filter(~named | (F.col("_row_hash") != F.col("_first")))
+    gone = gone.select("_row_id", "_row_hash").distinct()
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].eqNullSafe(gone["_row_id"]) & (text_hash == gone["_row_hash"])
+    return docs.join(gone, same, "left_anti")

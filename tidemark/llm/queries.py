@@ -36,7 +36,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    found = ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "copy_id", "n_copies", "n_links", "n_grams")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
