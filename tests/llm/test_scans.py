@@ -47,6 +47,36 @@ def test_more_windows_than_may_be_broadcast(docs, items, monkeypatch):
     assert {r["doc_id"]: r["n_hit"] for r in got} == {1: 12, 2: 0}
 
 
+def _nodes(node):
+    yield node
+    for i in range(node.children().size()):
+        yield from _nodes(node.children().apply(i))
+
+
+def test_shuffled_windows_carry_no_text(spark, docs, items, monkeypatch):
+    """A row per window with all words of its document would grow with the square of the text."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        long = " ".join(f"w{i}" for i in range(200_000))
+        bench = [(1, TWELVE), (2, "only four words here"), (3, "w100 w101 w102"), (None, "y z")]
+        rows = [(1, f"{long} {TWELVE}"), (2, long), (2, long), (3, "no"), (None, f"y z {TWELVE}"), (3, "only four words here"), (4, None)]
+        found = decontaminate.hits(docs(rows), items(bench))
+        joins = [n for n in _nodes(found._jdf.queryExecution().sparkPlan()) if "Join" in n.nodeName()]
+        semi = [n for n in joins if n.joinType().toString() == "LeftSemi"]
+        assert len(semi) == 1
+        output = semi[0].children().apply(0).output()
+        assert not [a for a in (output.apply(i) for i in range(output.size())) if a.dataType().typeName() in ("array", "string")]
+        got = decontaminate.contamination(docs(rows), items(bench)).collect()
+        key = lambda r: tuple(map(str, r))
+        have = sorted(key((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"])) for r in got)
+        want = [(1, 200_012, 15, 2), (2, 200_000, 3, 1), (2, 200_000, 3, 1), (3, 1, 0, 0), (None, 14, 14, 1), (3, 4, 4, 1), (4, 0, 0, 0)]
+        assert have == sorted(map(key, want))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_no_items_and_no_documents(docs, items):
     got = decontaminate.contamination(docs([(1, TWELVE), (2, None)]), items([])).collect()
     assert [r["contaminated"] for r in got] == [False, False]

@@ -2,7 +2,8 @@
 
 Test items give windows of ten consecutive words (an item of fewer words gives one window of them all). Their 64-bit
 hashes are broadcast while there are at most BROADCAST_WINDOWS of them, 16 bytes each; a larger set is joined by
-shuffle. Documents' windows are hashed and probed in the scan itself. Hits are then verified: word for word, against
+shuffle, for which a window is its row, place, length and hash, and words are joined back by row for the hits alone.
+Documents' windows are hashed and probed in the scan itself. Hits are then verified: word for word, against
 the windows of the items. Everything runs in DataFrame operations.
 
 Rows: NULL texts and texts without words have no windows and are clean. Rows that repeat a doc_id are told apart by
@@ -55,22 +56,35 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     if not lengths:
         lengths = [window]
     hashes = grams.select("hash", "length").distinct()
-    if facts["n"] <= BROADCAST_WINDOWS:
+    shuffled = facts["n"] > BROADCAST_WINDOWS
+    if not shuffled:
         hashes = F.broadcast(hashes)
 
     words = docs.select(*row_columns(), words_of(lowered("text")).alias("words"))
+    words = words.withColumn("n_words", F.size("words"))
     # One array holds the windows of all lengths in use; a place in it gives back length and start.
     place, start, length = F.col("place"), F.col("place"), F.lit(lengths[0])
-    before = F.greatest(F.size("words") - (lengths[0] - 1), F.lit(0))
+    before = F.greatest(F.col("n_words") - (lengths[0] - 1), F.lit(0))
     for n in lengths[1:]:
         start = F.when(place >= before, place - before).otherwise(start)
         length = F.when(place >= before, n).otherwise(length)
-        before = before + F.greatest(F.size("words") - (n - 1), F.lit(0))
+        before = before + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
+    # A broadcast join probes in the scan, where a window only points to its document's words.
+    carried = ["_row_id", "_row_hash", "n_words"] if shuffled else ["_row_id", "_row_hash", "n_words", "words"]
     scanned = words.select(
-        "_row_id", "_row_hash", "words", F.posexplode(F.concat(*(_hashes("words", n) for n in lengths))).alias("place", "hash")
+        *carried, F.posexplode(F.concat(*(_hashes("words", n) for n in lengths))).alias("place", "hash")
     )
-    scanned = scanned.withColumns({"start": start, "length": length})
-    found = scanned.join(hashes, ["hash", "length"], "left_semi").select(
+    scanned = scanned.withColumns({"start": start, "length": length}).drop("place", "n_words")
+    found = scanned.join(hashes, ["hash", "length"], "left_semi")
+    if shuffled:
+        # One row per document with a hit meets its words; windows are cut out of them in the same task.
+        window_at = F.struct("start", "length", "hash")
+        places = found.groupBy("_row_id", "_row_hash").agg(F.collect_set(window_at).alias("places"))
+        places = places.withColumnsRenamed({"_row_id": "_hit_id", "_row_hash": "_hit_hash"})
+        same = F.col("_row_id").eqNullSafe(F.col("_hit_id")) & (F.col("_row_hash") == F.col("_hit_hash"))
+        met = words.join(places, same).select("_row_id", "_row_hash", "words", F.explode("places").alias("at"))
+        found = met.select("_row_id", "_row_hash", "words", "at.start", "at.length", "at.hash")
+    found = found.select(
         "_row_id", "_row_hash", "start", "length", "hash", F.expr("slice(words, start + 1, length)").alias("gram")
     )
     return found.join(grams, ["hash", "length", "gram"]).select("_row_id", "_row_hash", "start", "length", "item_id")
