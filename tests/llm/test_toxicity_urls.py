@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity, url_filter
 from tidemark.llm.queries import URL_RULES
@@ -43,6 +44,36 @@ def test_isotonic_pools():
     assert np.allclose(votes, [0.1, 0.25, 0.9]) and np.allclose(rates, [0, 0.5, 1])
 
 
+def test_only_near_copies_are_merged():
+    rng = np.random.default_rng(5)
+    grams = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    passage, sets = grams(200), []
+    # Sets of Jaccard 1/3 by a shared passage, a chain in steps of 0.82, copies, and empty sets.
+    sets += [np.unique(np.concatenate([passage, grams(200)])) for _ in range(100)]
+    long = grams(400)
+    sets += [np.unique(long[20 * i : 20 * i + 200]) for i in range(8)]
+    sets += [sets[3], sets[3][:-5], np.empty(0, np.uint64), np.empty(0, np.uint64), grams(1)]
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) if len(a) or len(b) else 1.0
+    want, kept = [], []
+    for i, s in enumerate(sets):
+        want.append(next((j for j in kept if jaccard(s, sets[j]) >= 0.8), i))
+        kept += [i] * (want[-1] == i)
+    got = list(toxicity.leaders(sets))
+    assert got == want and len(kept) < len(sets) and got[:100] == list(range(100)) and got[108:110] == [3, 3]
+
+
+def test_examples_that_share_phrases_all_count(spark, docs):
+    rows = [(i, f"word{i} calm text number {i * 7}", "en") for i in range(60)]
+    rows += [(100 + i, f"foul idiot{'x' * (i % 2)} text {i * 11} more", "en") for i in range(40)]
+    frame = spark.createDataFrame([(d, int(d >= 100)) for d, *_ in rows], "doc_id long, toxic int")
+    rows += [(300, None), (301, ""), (302, "foul " * 50_000), (302, "foul"), (302, "foul"), (None, "foul idiot"), (303, "new")]
+    index = toxicity.fit(docs(rows), frame)
+    learned = docs(rows).filter(~toxicity.held_out() & (F.col("doc_id") >= 100) & (F.col("doc_id") < 200))
+    assert sorted(d for d, y in zip(index.doc_id, index.label) if y == 1) == sorted(r["doc_id"] for r in learned.collect())
+    score = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs(rows), frame).collect()}
+    assert score[302] >= 0.3 and score[None] > 0.9 and score[300] == score[301] == score[303] < 0.1
+
+
 def test_odd_rows(spark, docs):
     # No two share a run of three words: near copies count once.
     rows = [(i, f"p{i} q{i} calm r{i} s{i} text t{i} u{i}", "en") for i in range(60)]

@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their first 4, 5 and 6 bytes. The model is fitted on at most SAMPLE labelled documents per label
-(those with the smallest hash of doc_id, near copies of one another taken once, at least three documents a term); the terms that speak for label 1
+(those with the smallest hash of doc_id, at least three documents a term; near copies are taken once: an example whose set of word 3-grams
+reaches a Jaccard of COPY with a kept one counts through that one's weight, and only kept ones take copies, so nothing chains); the terms that speak for label 1
 there (chi-square of at least CHI2 and a lift of at least LIFT, at most TERMS of them) span the vectors. Inverse document frequencies of the terms
 are counted over all documents.
 
@@ -12,7 +13,8 @@ Votes are weighted by cosine, and by how many documents an example stands for; t
 probability by isotonic regression over the examples themselves, each left out of its own vote. A document without any
 of the terms is as far from all examples as can be and gets the rate among such documents.
 
-The index has 2 x SAMPLE examples with TERMS terms at most, whatever the input, so each task holds a copy.
+The index has 2 x SAMPLE examples with TERMS terms at most, whatever the input, so each task holds a copy. Copies are
+told apart in one task per label, which holds the 3-grams of at most SAMPLE texts, 8 bytes each.
 
 Rows: NULL texts and texts without words have no terms. Every input row gives one row, repeated ones too. Ties among
 neighbours go by the example's place in the index. Without labels the score is 0. Labels other than 0 and 1 are left
@@ -21,6 +23,8 @@ out; a document labelled twice counts as toxic if one label says so. Documents w
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.ngram_join import bands_for, sets_of
 from tidemark.llm.packed import mixed, parts_of
 from tidemark.operators.ordering import settle
 
@@ -42,33 +47,25 @@ K = 15
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 PREFIXES = (4, 5, 6)
-#: Near copies share a MinHash value of theirs with high probability; they are told by several, one after the other.
-TWIN_HASHES = 4
+#: Jaccard of 3-gram sets from which on two examples are near copies; MinHash bands of so many rows find candidates.
+COPY = 0.8
+COPY_RECALL = 0.999
+COPY_ROWS = 5
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
 
 
-def _terms(texts: pa.Array, twins: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each part of the column: (text of each term occurrence, term hash, and TWIN_HASHES MinHash values of each
-    text's word 3-grams, as one row per text)."""
+def _terms(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each part of the column: (text of each term occurrence, term hash, number of texts)."""
     for words in parts_of(texts):
         docs, terms = [words.doc], [words.hash]
         for length in PREFIXES:
             at, hashes = words.prefixes(length)
             docs.append(words.doc[at])
             terms.append(hashes)
-        runs, bounds = words.runs(3), words.bounds()
-        least = np.zeros((words.n_texts, TWIN_HASHES), np.uint64)
-        for k in range(TWIN_HASHES if twins else 0):
-            stirred = mixed(runs + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
-            for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
-                if high - low >= 3:
-                    least[i, k] = stirred[low : high - 2].min()
-                elif high > low:
-                    least[i, k] = words.hash[low:high].sum(dtype=np.uint64)
-        yield words.first + np.concatenate(docs), np.concatenate(terms), least
+        yield words.first + np.concatenate(docs), np.concatenate(terms), words.n_texts
 
 
 def _counted(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,36 +177,80 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame,
 
 
 def _examples(sample: DataFrame) -> DataFrame:
-    """doc_id, toxic, least, terms, counts of each sampled document."""
+    """doc_id, toxic, grams (distinct word 3-grams), terms, counts of each sampled document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least, terms, counts = [], [], []
+            terms, counts = [], []
             first = 0
-            for doc, term, low in _terms(batch.column(2), twins=True):
+            for doc, term, n_texts in _terms(batch.column(2)):
                 doc, term, n = _counted(doc - first, term)
-                cuts = np.searchsorted(doc, np.arange(len(low) + 1))
-                for i in range(len(low)):
+                cuts = np.searchsorted(doc, np.arange(n_texts + 1))
+                for i in range(n_texts):
                     terms.append(term[cuts[i] : cuts[i + 1]].view(np.int64))
                     counts.append(n[cuts[i] : cuts[i + 1]])
-                least += list(low.view(np.int64))
-                first += len(low)
+                first += n_texts
+            grams = [g.view(np.int64) for g in sets_of(batch.column(2), 3)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
-                    pa.array(least, pa.list_(pa.int64())),
+                    pa.array(grams, pa.list_(pa.int64())),
                     pa.array(terms, pa.list_(pa.int64())),
                     pa.array(counts, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "toxic", "least", "terms", "counts"],
+                ["doc_id", "toxic", "grams", "terms", "counts"],
             )
 
     key = sample.schema["doc_id"].dataType.simpleString()
     return sample.select("doc_id", "toxic", "text").mapInArrow(
-        read, f"doc_id {key}, toxic int, least array<bigint>, terms array<bigint>, counts array<bigint>"
+        read, f"doc_id {key}, toxic int, grams array<bigint>, terms array<bigint>, counts array<bigint>"
     )
 
 
+def leaders(sets: list[np.ndarray], threshold: float = COPY) -> np.ndarray:
+    """For each set the first kept one that it reaches the threshold with; a set without one is kept and leads itself.
+
+    MinHash bands find candidates among the kept, the whole sets decide. Empty sets are copies of one another.
+    """
+    bands = bands_for(threshold, COPY_RECALL, COPY_ROWS)
+    count = bands * COPY_ROWS
+    rng = np.random.default_rng(11)
+    times = rng.integers(1, 2**63, count, dtype=np.uint64) | np.uint64(1)
+    plus = rng.integers(0, 2**63, count, dtype=np.uint64)
+    # Sketches four standard errors below the threshold are left out before sets are compared.
+    floor = threshold - 4 * math.sqrt(threshold * (1 - threshold) / count)
+    low = np.full((len(sets), count), np.iinfo(np.uint64).max, np.uint64)
+    size = np.array([len(s) for s in sets], np.int64)
+    leader, kept = np.arange(len(sets)), defaultdict(list)
+    for i, grams in enumerate(sets):
+        for start in range(0, len(grams), 4096):
+            np.minimum(low[i], (times[:, None] * grams[start : start + 4096] + plus[:, None]).min(axis=1), out=low[i])
+        keys = [(band, low[i, band * COPY_ROWS : (band + 1) * COPY_ROWS].tobytes()) for band in range(bands)]
+        near = np.array(sorted({j for key in keys for j in kept.get(key, ())}), np.int64)
+        near = near[np.minimum(size[near], size[i]) >= threshold * np.maximum(size[near], size[i]) - 1e-9]
+        near = near[(low[near] == low[i]).mean(axis=1) >= floor]
+        for j in near:
+            shared = len(np.intersect1d(grams, sets[j], assume_unique=True))
+            if shared >= threshold * (size[i] + size[j] - shared) - 1e-9:
+                leader[i] = j
+                break
+        else:
+            for key in keys:
+                kept[key].append(i)
+    return leader
+
+
+def _kept(table: pa.Table) -> pa.Table:
+    """doc_id of the examples that are kept, and how many each stands for, from those of one label."""
+    table = table.sort_by("doc_id")
+    grams = table.column("grams").combine_chunks()
+    values, bounds = grams.values.to_numpy().view(np.uint64), grams.offsets.to_numpy()
+    leader = leaders([values[low:high] for low, high in zip(bounds[:-1], bounds[1:])])
+    places, twins = np.unique(leader, return_counts=True)
+    doc_id = table.column("doc_id").combine_chunks().take(pa.array(places))
+    return pa.table({"doc_id": doc_id, "twins": pa.array(twins, pa.int64())})
+
+
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     """Number of documents, and of those with each term, over all of them."""
     known = _Known(terms)
@@ -236,12 +277,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms: in
     sampled, totals = _sample(docs, labels, sample)
     rows = settle(_examples(sampled).dropDuplicates(["doc_id"]))
     # Of near copies one example stays; the others count through its weight.
-    firsts = rows.select("doc_id", "toxic", "least", F.lit(1).cast("long").alias("twins"))
-    for k in range(TWIN_HASHES):
-        firsts = firsts.groupBy("toxic", F.col("least")[k]).agg(
-            F.min_by("least", "doc_id").alias("least"), F.sum("twins").alias("twins"), F.min("doc_id").alias("doc_id")
-        ).select("doc_id", "toxic", "least", "twins")
-    rows = settle(rows.drop("least").join(firsts.select("doc_id", "twins"), "doc_id"))
+    key = rows.schema["doc_id"].dataType.simpleString()
+    kept = rows.select("toxic", "doc_id", "grams").groupBy("toxic").applyInArrow(_kept, f"doc_id {key}, twins bigint")
+    rows = settle(rows.drop("grams").join(kept, "doc_id"))
     seen = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum("twins").alias("n")).collect()}
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
 
