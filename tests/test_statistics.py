@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import normal
 from tidemark.functions.alpha import bonferroni_alpha, naive_alpha
 from tidemark.operators import calibration, campaigns, sequential, shrinkage, trimming
+from tidemark.plans import shrinkage_queries
+from tidemark.sources import roles
 
 
 def delta_method(x, y):
@@ -308,3 +310,33 @@ def test_drawn_check_does_not_depend_on_partitions(spark):
     first = sorted(shrinkage.aa_beta(frame.repartition(1), prior).collect())
     assert first == sorted(shrinkage.aa_beta(frame.repartition(8), prior).collect())
     assert all(0.35 < r["a2_wins"] < 0.65 and r["false_positive"] == 0 for r in first)
+
+
+def test_drawn_verdict_counts_every_simulation(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    frame = shrinkage.aa_frame(roles.aa_wide(spark, sf_dir))
+    prior = shrinkage.priors(calibration.line_items(roles.served_items(spark, sf_dir)))
+    rows = frame.where("sim_id IS NOT NULL AND revenue <> 0").join(prior, "line_item_id")
+    rows = rows.withColumns({"bucket": F.expr("pmod(xxhash64(line_item_id), 4)"), "revenue": F.col("revenue").cast("double")}).toPandas()
+    root = np.sqrt(rows["conversions"].astype(float))
+    rows["a"] = rows["alpha"] + rows["sla_flag"] * root
+    rows["b"] = rows["beta"] + root - rows["sla_flag"] * root
+    false_positives, sims = 0, sorted(rows["sim_id"].unique())
+    for sim in sims:
+        arms = []
+        for arm in ("a1", "a2"):
+            own = rows[(rows["sim_id"] == sim) & (rows["arm"] == arm)]
+            sums = np.zeros(300)
+            for bucket, part in own.groupby("bucket"):
+                part = part.sort_values("line_item_id")
+                rng = np.random.default_rng([0, int(sim), *arm.encode(), int(bucket)])
+                draws = rng.beta(part["a"].to_numpy()[:, None], part["b"].to_numpy()[:, None], (len(part), 300))
+                sums += part["revenue"].to_numpy() @ draws
+            arms.append(sums / own["revenue"].sum())
+        wins = (arms[1] > arms[0]).mean()
+        false_positives += int(wins > 0.975 or wins < 0.025)
+    assert shrinkage_queries.aa_beta(spark, sf_dir).where("false_positive IS NULL").count() > 0
+    got = shrinkage_queries.aa_beta_verdict(spark, sf_dir).first()
+    assert (got["simulations"], got["false_positives"]) == (len(sims), false_positives)
+    assert got["fp_rate"] == pytest.approx(false_positives / len(sims), abs=1e-6)
+    assert got["verdict"] == ("SAFE" if false_positives / len(sims) <= 0.05 else "NOISY")

@@ -93,8 +93,9 @@ def aa_beta(spark, sf_dir):
 
 
 def aa_beta_verdict(spark, sf_dir):
-    """Over the simulations whose decision is clear."""
-    return rounded(op.aa_verdict(_drawn(spark, sf_dir).where("false_positive IS NOT NULL")))
+    """Over the drawn decisions of all simulations, near the bound too."""
+    frame, prior = op.aa_frame(roles.aa_wide(spark, sf_dir)), op.priors(_population(spark, sf_dir))
+    return rounded(op.aa_verdict(op.aa_beta(frame, prior, samples=300)))
 
 
 QUERIES = {
