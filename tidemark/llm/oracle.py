@@ -171,6 +171,92 @@ SELECT s.doc_id, class_id, c.copy_id, n_copies, coalesce(n_links, 0) AS n_links,
 FROM s JOIN c USING (key) JOIN classes ON node = c.copy_id LEFT JOIN degrees ON a = c.copy_id
 """
 
+# Four equal parts of integer components; one CTE per Lloyd round. Entries without a part keep their place.
+def _lloyd(rounds: int) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT vec_id, part, entry, far FROM (
+    SELECT vec_id, part, entry, far, row_number() OVER (PARTITION BY vec_id, part ORDER BY far, entry) AS n
+    FROM (SELECT p.vec_id, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS far
+          FROM pieces p JOIN book{r} b ON p.part = b.part AND p.pos = b.pos GROUP BY p.vec_id, p.part, b.entry))
+  WHERE n = 1)""")
+        if r < rounds:
+            steps.append(f"""
+mean{r} AS (SELECT n.part, n.entry, p.pos, sum(p.x)::HUGEINT AS s, count(*) AS c
+            FROM near{r} n JOIN pieces p ON p.vec_id = n.vec_id AND p.part = n.part GROUP BY n.part, n.entry, p.pos),
+book{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos,
+         CASE WHEN c IS NULL THEN b.x ELSE ((s - ((s % c) + c) % c) // c)::BIGINT END AS x
+  FROM book{r} b LEFT JOIN mean{r} m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos)""")
+    return ",".join(steps)
+
+
+_CODES = f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding, len(embedding) // 4 AS side FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (
+  SELECT vec_id, ((i - 1) // side) AS part, ((i - 1) % side) AS pos, floor(1024 * embedding[i]::DOUBLE)::BIGINT AS x
+  FROM kept, LATERAL (SELECT unnest(generate_series(1, len(embedding))) AS i)),
+start AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)),
+book0 AS MATERIALIZED (SELECT part, entry, pos, x FROM pieces JOIN start USING (vec_id)),
+{_lloyd(4)},
+codes AS (SELECT vec_id, string_agg(lower(printf('%02x', entry::INTEGER)), '' ORDER BY part) AS code, sum(far)::BIGINT AS error
+          FROM near4 GROUP BY vec_id),
+printed AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS sha FROM book4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha FROM printed) AS codebooks_sha256
+FROM kept JOIN codes USING (vec_id)
+"""
+
+# DuckDB has no CRC-32: the table of its 256 steps, folded over the bytes of each distinct word.
+_SAMPLE = f"""
+WITH steps AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(
+           list_concat([b::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+           lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT {_WORDS} AS w FROM benchmark),
+dw AS (SELECT r, unnest(w) AS word FROM d),
+iw AS (SELECT unnest(w) AS word FROM i),
+words AS (SELECT DISTINCT word FROM dw UNION SELECT DISTINCT word FROM iw),
+hashed AS (
+  SELECT word, xor(list_reduce(
+           list_concat([4294967295::BIGINT],
+                       list_transform(range(1, len(h), 2), lambda k: ('0x' || substr(h, k, 2))::BIGINT)),
+           lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word, hex(encode(word)) AS h FROM words), steps),
+ds AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (word) GROUP BY bucket),
+bt AS (SELECT bucket, count(*) AS t FROM iw JOIN hashed USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM ds) + 10000))::DOUBLE
+                / ((s + 1) * (coalesce((SELECT sum(t) FROM bt), 0) + 10000))::DOUBLE))::BIGINT AS g
+         FROM ds LEFT JOIN bt USING (bucket)),
+sums AS (SELECT r, count(*) AS n, sum(g)::BIGINT AS g FROM dw JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r),
+s AS (SELECT r, doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight,
+             ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+      FROM d LEFT JOIN sums USING (r)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM s),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN rank <= 10 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank
+FROM z LEFT JOIN ranked USING (r)
+"""
+
+_LINES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, k, lines[k] AS line,
+             translate(trim(lines[k], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM d, LATERAL (SELECT unnest(generate_series(1, len(lines))) AS k)),
+common AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+f AS (SELECT r, k, line, common.key IS NOT NULL AND l.doc_id <> last AS gone FROM l LEFT JOIN common ON l.key = common.key),
+g AS (SELECT r, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS kept
+      FROM f GROUP BY r)
+SELECT doc_id, len(lines) AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN g USING (r)
+"""
+
 SQL = {
     "op1_lm_score": _BACKOFF,
     "op2_exact_dedup": _DEDUP,
@@ -179,4 +265,7 @@ SQL = {
     "op7_url_filter": _URLS,
     "op9_mix_sources": _MIX,
     "op10_decontaminate": _LEAKS,
+    "op11_vector_codes": _CODES,
+    "op12_importance_resample": _SAMPLE,
+    "op13_line_dedup": _LINES,
 }

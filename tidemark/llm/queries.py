@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, language, licenses, lm_score, mixing, ngram_join, tokens, toxicity, url_filter
+from tidemark.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    licenses,
+    line_dedup,
+    lm_score,
+    mixing,
+    ngram_join,
+    resampling,
+    tokens,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 from tidemark.llm.oracle import SQL as SQL
 
 #: Public vocabulary of the token counts.
@@ -74,6 +88,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_exact_dedup": op2_exact_dedup,
@@ -85,4 +113,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_importance_resample": op12_importance_resample,
+    "op13_line_dedup": op13_line_dedup,
 }
