@@ -154,3 +154,11 @@ SQL["audience_view_all_days"] = with_roles(
     f"""SELECT DISTINCT c.user_id FROM cohort c JOIN identity i ON i.user_id = c.user_id AND i.is_email_verified
     WHERE c.ds BETWEEN {TODAY} - 1 AND {TODAY} AND left(upper(c.locale), 2) = 'EN' AND {HASH.format('c.user_id')}""",
 )
+SQL["audience_full_stored"] = SQL["audience_full"]
+SQL["audience_run_date_view"] = SQL["audience_view"]
+SQL["audience_replaced"] = with_roles(
+    ["cohort", "id_map"],
+    f"""SELECT 'failed' AS step, user_id FROM ({MAPPED} {HERE} AND left(upper(c.locale), 2) <> 'EN'
+      AND c.creator_tier = '2 - Beginner' AND c.is_subscriber)
+    UNION ALL SELECT 'replaced', user_id FROM ({MAPPED} {HERE} AND upper(c.locale) LIKE 'FR%')""",
+)

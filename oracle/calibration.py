@@ -407,6 +407,9 @@ SQL = {
     "weekly_sla": with_roles(
         facts, WEEK_T + f"SELECT week, {WEEK_OUT} FROM ({weekly('week', 'week, line_item_id')})"
     ),
+    "weekly_sla_stored": with_roles(
+        facts, WEEK_T + f"SELECT week, {WEEK_OUT} FROM ({weekly('week', 'week, line_item_id')})"
+    ),
     "weekly_sla_by_size": with_roles(
         facts,
         WEEK_T + f"SELECT week, adv_size_by_revenue, {WEEK_OUT} FROM ("

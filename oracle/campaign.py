@@ -101,4 +101,9 @@ SQL = {
             {even('CAST(total_dismiss AS DOUBLE) / (uu * impression)', 4)} AS dismiss_rate
           FROM campaign_frequency WHERE uu > 2 AND impression > 0 AND impression < 16)""",
     ),
+    "date_values": """SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day_code, strftime(o_orderdate, '%Y-%m-%d') AS day,
+        strftime(CAST(o_orderdate AS DATE) - INTERVAL 3 MONTH, '%Y-%m-%d') AS three_months_before,
+        CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE CAST(trunc(CAST(o_totalprice AS DOUBLE)) AS BIGINT) END AS whole,
+        CASE WHEN CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10 < 5 THEN 'treatment' ELSE 'control' END AS arm
+        FROM orders""",
 }

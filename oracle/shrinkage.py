@@ -121,8 +121,13 @@ SQL = {
     "aa_beta": with_roles(["aa_wide"], AA_NORMAL + f"SELECT sim_id, 1 AS near_normal, {CLEAR} AS false_positive FROM decided"),
     "aa_beta_verdict": with_roles(
         ["aa_wide"],
-        AA_NORMAL + f"""SELECT CAST(SUM(f) AS BIGINT) AS false_positives, COUNT(f) AS simulations, {R('avg(f)', 'fp_rate')},
-        CASE WHEN avg(f) <= 0.05 THEN 'SAFE' ELSE 'NOISY' END AS verdict FROM (SELECT {CLEAR} AS f FROM decided)""",
+        AA_NORMAL + f"""SELECT simulations, least_false_positives, most_false_positives, 1 AS drawn_within,
+        {', '.join(f"CASE WHEN {c} / simulations <= 0.05 THEN 'SAFE' ELSE 'NOISY' END AS {n}"
+                   for c, n in (('least_false_positives', 'best_verdict'), ('most_false_positives', 'worst_verdict')))}
+        FROM (SELECT COUNT(*) AS simulations,
+          CAST(SUM(CASE WHEN abs(z) - 1.959963984540054::DOUBLE > 0.6::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS least_false_positives,
+          CAST(SUM(CASE WHEN abs(z) - 1.959963984540054::DOUBLE < -0.6::DOUBLE THEN 0 ELSE 1 END) AS BIGINT) AS most_false_positives
+          FROM decided)""",
     ),
     "aa_normal_verdict": with_roles(
         ["aa_wide"],

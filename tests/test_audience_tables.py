@@ -9,11 +9,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import audience as op
-from tidemark.operators import campaigns
+from tidemark.operators import calibration, campaigns
 from tidemark.plans import audience as plan
-from tidemark.plans import audience_queries, daily
+from tidemark.plans import audience_queries, daily, weekly
 from tidemark.plans.specs import AudienceSpec, CampaignSpec, LookBack
-from tidemark.sources import roles, tables
+from tidemark.sources import catalog, roles, tables
 
 SF_DIR = "/root/testdata/sf0.001"
 RUN = roles.RUN_DATE
@@ -114,14 +114,118 @@ def test_arm_view(spark):
     assert [r[0] for r in plan.current(stored, RUN, arm="treatment").collect()] == ["a"]
 
 
-def test_catalog_table_and_drop(spark, tmp_path):
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS tide LOCATION '{tmp_path}/db'")
+@pytest.fixture(scope="module")
+def tide(spark, tmp_path_factory):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS tide LOCATION '{tmp_path_factory.mktemp('tide')}/db'")
+    return "tide"
+
+
+def test_catalog_table_is_swapped_and_dropped(spark, tide):
     frame = spark.createDataFrame([("a", dt.date(2024, 1, 1))], "user_id string, ds date")
-    tables.save_as_table(frame, "tide.audience")
-    tables.save_as_table(frame.union(frame), "tide.audience", dated=True)
-    assert spark.table("tide.audience").count() == 2
-    tables.drop_table(spark, "tide.audience")
-    assert not spark.catalog.tableExists("tide.audience")
+    catalog.replace(frame, "tide.audience")
+    # The table may be read by the job that replaces it.
+    for rows in (2, 4, 8):
+        now = spark.table("tide.audience")
+        catalog.replace(now.union(now), "tide.audience", dated=True)
+        assert spark.table("tide.audience").count() == rows
+    assert len(catalog.versions(spark, "tide.audience")) == 2
+    broken = frame.withColumn("user_id", F.raise_error(F.lit("stopped")).cast("string"))
+    with pytest.raises(Exception, match="stopped"):
+        catalog.replace(broken, "tide.audience")
+    assert spark.table("tide.audience").count() == 8 and len(catalog.versions(spark, "tide.audience")) == 2
+    catalog.drop(spark, "tide.audience")
+    assert not spark.catalog.tableExists("tide.audience") and not catalog.versions(spark, "tide.audience")
+
+
+def test_plain_table_keeps_its_rows_when_the_job_fails(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    tables.replace_table(spark.range(3), path)
+    with pytest.raises(Exception, match="stopped"):
+        tables.replace_table(spark.range(9).select(F.raise_error(F.lit("stopped")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+    tables.replace_table(spark.read.parquet(path).union(spark.range(1)), path)
+    assert spark.read.parquet(path).count() == 4 and os.listdir(tmp_path) == ["plain"]
+
+
+def test_bucketed_roles_join_without_a_shuffle(spark, role, tide):
+    names = ("cohort", "identity", "activity", "email_touch")
+    made = catalog.stored(spark, {n: (lambda n=n: role[n]) for n in names}, "tide.role", "user_id", buckets=4)
+    spec = AudienceSpec(kind="email", locale="EN", l90=(">=", 1), opened=LookBack(20, 0))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        built = plan.build(spec, made, RUN)
+        text = built._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and text.count("SortMergeJoin") == 3
+        assert text.count("PartitionFilters: [isnotnull(ds") == 4 and "Bucketed: true" in text
+        assert sorted(built.collect()) == sorted(plan.build(spec, role, RUN).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for name in names:
+        catalog.drop(spark, f"tide.role_{name}")
+
+
+def test_run_dates_prune_when_the_query_runs(spark, tide):
+    rows = [(u, dt.date(2024, 1, d)) for d in range(20, 29) for u in ("a", f"u{d}")]
+    catalog.replace(spark.createDataFrame(rows, "user_id string, ds date"), "tide.listed", dated=True)
+    for day in (21, 28):
+        dated = spark.createDataFrame([("audience", dt.date(2024, 1, day)), ("other", dt.date(2024, 1, 20))], "job string, ds date")
+        catalog.replace(dated, "tide.run_dates")
+        plan.lasting_view(spark, "tide.now", "tide.listed", "tide.run_dates")
+        now = spark.table("tide.now")
+        assert sorted(r[0] for r in now.collect()) == ["a", f"u{day}"]
+        assert "dynamicpruning" in now._jdf.queryExecution().executedPlan().toString()
+        found = catalog.with_run_date(spark.table("tide.listed"), spark.table("tide.run_dates"), "audience")
+        assert found.count() == 2
+    plan.lasting_view(spark, "tide.ever", "tide.listed")
+    assert spark.table("tide.ever").count() == 10
+    assert spark.table("tide.listed").where(catalog.today_condition("America/Los_Angeles", 2)).count() == 0
+    for name in ("now", "ever"):
+        spark.sql(f"DROP VIEW tide.{name}")
+    for name in ("listed", "run_dates"):
+        catalog.drop(spark, f"tide.{name}")
+
+
+def test_only_missing_days_run_and_empty_ones_are_marked(spark, tmp_path):
+    days = spark.createDataFrame(
+        [("x", dt.date(2025, 7, d), i) for d in (1, 3, 4, 6) for i in range(3)], "id string, ds date, v int"
+    )
+    days.write.partitionBy("ds").parquet(str(tmp_path / "in"))
+    source, path, ran = spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "out"), []
+
+    def per_day(rows):
+        ran.append(sorted(f.split("ds=")[1][:10] for f in rows.inputFiles()))
+        text = rows._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [ds" in text or "PartitionFilters: [isnotnull(ds" in text
+        return rows.groupBy("ds").agg(F.sum("v").alias("v"))
+
+    as_text = lambda found: [str(d) for d in found]
+    assert as_text(daily.run_missing(source, "2025-07-01", "2025-07-03", per_day, path)) == ["2025-07-01", "2025-07-02", "2025-07-03"]
+    assert sorted(os.listdir(tmp_path / "out" / "_empty")) == ["ds=2025-07-02"]
+    first = {r["ds"] for r in spark.read.parquet(path).collect()}
+    assert {str(d) for d in first} == {"2025-07-01", "2025-07-03"}
+    assert daily.run_missing(source, "2025-07-01", "2025-07-03", per_day, path) == [] and len(ran) == 1
+    assert as_text(daily.run_missing(source, "2025-07-02", "2025-07-06", per_day, path)) == ["2025-07-04", "2025-07-05", "2025-07-06"]
+    assert spark.read.parquet(path).agg(F.sum("v")).first()[0] == 12 and len(ran) == 2
+    read = [r["f"] for r in spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().collect()]
+    assert len(read) == 4
+
+
+def test_weeks_from_stored_days_equal_a_full_run(spark, tmp_path):
+    facts, path = roles.ad_facts(spark, SF_DIR), str(tmp_path / "days")
+    first = weekly.store_days(facts, "1997-01-01", "1997-03-31", path)
+    more = weekly.store_days(facts, "1997-03-01", "1997-05-02", path)
+    texts = lambda found: [tuple(map(str, x)) for x in found]
+    assert texts(first) == [("1997-01-01", "1997-03-31")] and texts(more) == [("1997-04-01", "1997-05-02")]
+    before = weekly.store_days(facts, "1996-12-30", "1997-05-03", path)
+    assert texts(before) == [("1996-12-30", "1996-12-31"), ("1997-05-03", "1997-05-03")]
+    assert weekly.store_days(facts, "1996-12-30", "1997-05-03", path) == []
+    os.remove(f"{path}/run=1997-05-03_1997-05-03/_SUCCESS")
+    assert texts(weekly.store_days(facts, "1997-05-01", "1997-05-03", path)) == [("1997-05-03", "1997-05-03")]
+    got = calibration.weekly_overall(weekly.weeks(spark, path, "1997-01-01", "1997-05-02"))
+    want = calibration.weekly_overall(calibration.traffic(facts, "1997-01-01", "1997-05-02", "week"))
+    pick = ["week", "conversions", "revenue", "rev_sla"]
+    for g, w in zip(got.select(pick).orderBy("week").collect(), want.select(pick).orderBy("week").collect(), strict=True):
+        assert g["week"] == w["week"] and [float(x) for x in g[1:]] == pytest.approx([float(x) for x in w[1:]])
 
 
 def test_per_day_run_and_csv(spark, tmp_path):

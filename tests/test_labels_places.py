@@ -69,10 +69,10 @@ def test_required_fields_only(spark):
         labels.parse(df, "labels", ["mood"])
 
 
-def test_parsing_stays_in_the_jvm(spark):
-    df = spark.createDataFrame([("{}",)], "labels string")
+def test_texts_go_through_python_once(spark):
+    df = spark.createDataFrame([("{}", 1)], "labels string, i int")
     plan = labels.parse(df, "labels")._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan
+    assert plan.count("ArrowEvalPython [") == 1
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +134,12 @@ LITERALS = [
     ("{'virality_potential': .5, 'event_type': 'v .5, (x) }'}", "virality_potential", 0.5),
     ("{'short_description': 'one ' 'two' ' three', 'virality_potential': 1e-3}", "virality_potential", 0.001),
     ("{'short_description': 'one ' 'two' ' three', 'virality_potential': 1e-3}", "short_description", "one two three"),
+    ("{'short_description': 'a' 'b' \"c\" 'd'\n'e' 'f' 'g' 'h' 'i'}", "short_description", "abcdefghi"),
+    ("{'short_description': " + "'x' " * 500 + "}", "short_description", "x" * 500),
+    (r"{'short_description': 'o\101\60 \u00e9'}", "short_description", "oA0 é"),
+    ("{'keywords': [['a', ('b', {'c': None})], {'d'}], 'event_type': True}", "keywords", "['A', ('B', {'C': None})], {'D'}"),
+    ("{'keywords': [['a', ('b', {'c': None})], {'d'}], 'event_type': True}", "event_type", "True"),
+    ("{'virality_potential': None, 'viral_potential': 0, 'viralityPotential': 5}", "virality_potential", 0.0),
     ("{'place_id': 0, 'event_type': 'x'}", "place_id", ""),
     ("{'place_id': '0'}", "place_id", "0"),
     ("{'place_id': 0, 'event_type': 'x", "place_id", ""),

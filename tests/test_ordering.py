@@ -25,8 +25,10 @@ def skewed(spark):
 
 def test_row_numbers_and_running_sums(skewed):
     frame, df = skewed
-    blocked = ordering.range_blocks(df, ["g", "v", "id"])
-    assert blocked.where("g = 'hot'").select(ordering.BLOCK).distinct().count() > 1
+    blocked, cut = ordering.with_blocks(df, ["g"], ["v", "id"], rows_per_block=250)
+    sizes = {r["_block"]: r["count"] for r in blocked.where("g = 'hot'").groupBy(ordering.BLOCK).count().collect()}
+    assert cut and len(sizes) >= 5 and max(sizes.values()) < 750
+    assert blocked.where("g <> 'hot'").select(ordering.BLOCK).distinct().count() == 1
     got = ordering.running(blocked, ["g"], ["v", "id"], {"rn": F.lit(1), "s": F.col("x")}).toPandas()
     want = frame.sort_values(["g", "v", "id"])
     want["rn"] = want.groupby("g").cumcount() + 1
@@ -37,9 +39,11 @@ def test_row_numbers_and_running_sums(skewed):
     assert np.allclose(both["s"], both["s_w"])
 
 
-def test_percent_ranks(skewed):
+@pytest.mark.parametrize("rows_per_block", [None, 200])
+def test_percent_ranks(skewed, rows_per_block):
     frame, df = skewed
-    got = ordering.percent_ranks(df.withColumn("v", F.when(F.col("id") % 11 != 0, F.col("v"))), "g", "v", "r", ["id"]).toPandas()
+    some_null = df.withColumn("v", F.when(F.col("id") % 11 != 0, F.col("v")))
+    got = ordering.percent_ranks(some_null, "g", "v", "r", ["id"], rows_per_block).toPandas()
     want = frame.assign(v=frame["v"].where(frame["id"] % 11 != 0, -1.0))
     rank = want.groupby("g")["v"].rank(method="min", ascending=False) - 1
     size = want.groupby("g")["v"].transform("size")
@@ -59,6 +63,47 @@ def test_exact_percentiles(skewed, spark):
     assert tuple(spark.range(1).select(ordering.exact_percentiles(empty, {"v": [0.5]})["v"][0]).first()) == (None,)
 
 
+def test_row_numbers_without_a_group_and_whole_sizes(skewed):
+    frame, df = skewed
+    for rows_per_block in (None, 100):
+        got = ordering.row_numbers(df, [], ["v", "id"], "rn", "size", rows_per_block).toPandas().sort_values("rn")
+        assert got["id"].tolist() == frame.sort_values(["v", "id"])["id"].tolist()
+        assert got["rn"].tolist() == list(range(1, 3001)) and set(got["size"]) == {3000}
+
+
+def test_ordered_work_checkpoints_no_rows(spark):
+    df = spark.range(3000).selectExpr("id % 2 AS g", "id % 97 AS v", "id")
+
+    def plan(found):
+        return found._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "LogicalRDD" not in plan(ordering.row_numbers(df, ["g"], ["v", "id"], "rn"))
+    assert "LogicalRDD" not in plan(ordering.percent_ranks(df, "g", "v", "r", ["id"]))
+    # What is kept where groups are cut are their bounds.
+    kept = [x for x in plan(ordering.row_numbers(df, ["g"], ["v", "id"], "rn", rows_per_block=100)).split("\n") if "LogicalRDD" in x]
+    assert kept and all("_bounds" in x for x in kept)
+
+
+def test_percentiles_over_wide_ranges_few_bins_and_copies(spark):
+    rng = np.random.default_rng(9)
+    values = np.concatenate([rng.lognormal(0, 6, 4000), -rng.lognormal(0, 6, 2000), np.full(3000, 7.25), [0.0, 1e300, -1e300, 1e-300]])
+    df = spark.createDataFrame(pd.DataFrame({"v": values, "w": -values})).repartition(5)
+    shares = [0.0, 0.01, 0.33, 0.5, 0.66, 0.9, 0.999, 1.0]
+    for bins in ((2, 2), (100, 16), (65_536, 4_096)):
+        got = ordering.exact_percentiles(df, {"v": shares, "w": shares}, *bins)
+        for column, own in (("v", values), ("w", -values)):
+            row = spark.range(1).select(got[column]).first()[0]
+            assert np.allclose(row, np.percentile(own, [s * 100 for s in shares]), rtol=1e-12)
+
+
+def test_percentiles_of_one_value_and_infinities(spark):
+    one = spark.createDataFrame([(3.5,), (None,)], "v double")
+    assert spark.range(1).select(ordering.exact_percentiles(one, {"v": [0.1, 1.0]})["v"]).first()[0] == [3.5, 3.5]
+    ends = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,)], "v double")
+    got = spark.range(1).select(ordering.exact_percentiles(ends, {"v": [0.0, 0.5, 1.0]})["v"]).first()[0]
+    assert got == [float("-inf"), 1.0, float("inf")]
+
+
 @pytest.mark.parametrize("n", [1, 9, 10, 25, 101])
 def test_equal_count_buckets(spark, n):
     got = [
@@ -104,8 +149,9 @@ def test_sample_is_repeatable(spark):
 def test_percent_ranks_over_block_borders_and_null_groups(spark):
     rows = [(g, v, i) for i, (g, v) in enumerate([("hot", v) for v in [5.0] * 40 + [3.0, None] * 20] + [(None, 1.0), (None, 2.0), ("one", None)])]
     df = spark.createDataFrame(rows, "g string, v double, id long").repartition(7)
-    got = {r["id"]: r["r"] for r in ordering.percent_ranks(df, "g", "v", "r", ["id"]).collect()}
+    got = {r["id"]: r["r"] for r in ordering.percent_ranks(df, "g", "v", "r", ["id"], 9).collect()}
     assert len(got) == len(rows)
+    assert got == {r["id"]: r["r"] for r in ordering.percent_ranks(df, "g", "v", "r", ["id"]).collect()}
     for g, v, i in rows:
         own = [w for h, w, _ in rows if h == g]
         before = sum(w is not None and (v is None or w > v) for w in own)

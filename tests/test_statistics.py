@@ -1,12 +1,14 @@
 """Statistics against numpy on collected small data."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import normal
-from tidemark.functions.alpha import bonferroni_alpha, naive_alpha
+from tidemark.functions.alpha import bonferroni_alpha, naive_alpha, obrien_fleming_alpha
 from tidemark.operators import calibration, campaigns, sequential, shrinkage, trimming
 from tidemark.plans import shrinkage_queries
 from tidemark.sources import roles
@@ -301,7 +303,7 @@ def test_campaign_pivots_drop_null_keys(spark):
     assert [r["surface"] for r in campaigns.overall_rates(rows).collect()] == ["S"]
 
 
-def test_drawn_check_does_not_depend_on_partitions(spark):
+def test_drawn_check_does_not_depend_on_partitions_or_batches(spark):
     frame = spark.createDataFrame(
         [(s, f"i{i}", arm, 10.0 + i, 5.0 * i, i % 2) for s in (1, 2) for i in range(60) for arm in ("a1", "a2")],
         "sim_id int, line_item_id string, arm string, conversions double, revenue double, sla_flag int",
@@ -309,34 +311,72 @@ def test_drawn_check_does_not_depend_on_partitions(spark):
     prior = frame.where("sim_id = 1 AND arm = 'a1'").select("line_item_id", F.lit(2.0).alias("alpha"), F.lit(3.0).alias("beta"))
     first = sorted(shrinkage.aa_beta(frame.repartition(1), prior).collect())
     assert first == sorted(shrinkage.aa_beta(frame.repartition(8), prior).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert first == sorted(shrinkage.aa_beta(frame.orderBy(F.desc("revenue")), prior).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert all(0.35 < r["a2_wins"] < 0.65 and r["false_positive"] == 0 for r in first)
 
 
+def test_drawn_rows_are_shuffled_as_sums_alone(spark):
+    frame = spark.createDataFrame([(1, "i", "a1", 1.0, 5.0, 1)], "sim_id int, line_item_id string, arm string, conversions double, revenue double, sla_flag int")
+    prior = frame.select("line_item_id", F.lit(2.0).alias("alpha"), F.lit(3.0).alias("beta"))
+    plan = shrinkage.aa_beta(frame, prior)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
 def test_drawn_verdict_counts_every_simulation(spark):
     sf_dir = "/root/testdata/sf0.001"
     frame = shrinkage.aa_frame(roles.aa_wide(spark, sf_dir))
     prior = shrinkage.priors(calibration.line_items(roles.served_items(spark, sf_dir)))
     rows = frame.where("sim_id IS NOT NULL AND revenue <> 0").join(prior, "line_item_id")
-    rows = rows.withColumns({"bucket": F.expr("pmod(xxhash64(line_item_id), 4)"), "revenue": F.col("revenue").cast("double")}).toPandas()
+    rows = rows.withColumn("revenue", F.col("revenue").cast("double")).toPandas()
     root = np.sqrt(rows["conversions"].astype(float))
     rows["a"] = rows["alpha"] + rows["sla_flag"] * root
     rows["b"] = rows["beta"] + root - rows["sla_flag"] * root
-    false_positives, sims = 0, sorted(rows["sim_id"].unique())
-    for sim in sims:
+    decided = {}
+    for sim in sorted(rows["sim_id"].unique()):
         arms = []
         for arm in ("a1", "a2"):
-            own = rows[(rows["sim_id"] == sim) & (rows["arm"] == arm)]
-            sums = np.zeros(300)
-            for bucket, part in own.groupby("bucket"):
-                part = part.sort_values("line_item_id")
-                rng = np.random.default_rng([0, int(sim), *arm.encode(), int(bucket)])
-                draws = rng.beta(part["a"].to_numpy()[:, None], part["b"].to_numpy()[:, None], (len(part), 300))
-                sums += part["revenue"].to_numpy() @ draws
+            own, sums = rows[(rows["sim_id"] == sim) & (rows["arm"] == arm)], 0
+            for r in own.itertuples():
+                key = hashlib.blake2b(f"0|{sim}|{arm}|{r.line_item_id}".encode(), digest_size=16).digest()
+                draws = np.random.Generator(np.random.Philox(key=np.frombuffer(key, dtype=np.uint64))).beta(r.a, r.b, 300)
+                sums = sums + np.rint(r.revenue * draws * 1e6)
             arms.append(sums / own["revenue"].sum())
         wins = (arms[1] > arms[0]).mean()
-        false_positives += int(wins > 0.975 or wins < 0.025)
-    assert shrinkage_queries.aa_beta(spark, sf_dir).where("false_positive IS NULL").count() > 0
-    got = shrinkage_queries.aa_beta_verdict(spark, sf_dir).first()
-    assert (got["simulations"], got["false_positives"]) == (len(sims), false_positives)
-    assert got["fp_rate"] == pytest.approx(false_positives / len(sims), abs=1e-6)
-    assert got["verdict"] == ("SAFE" if false_positives / len(sims) <= 0.05 else "NOISY")
+        decided[sim] = int(wins > 0.975 or wins < 0.025)
+    drawn = shrinkage.aa_beta(frame, prior)
+    assert {r["sim_id"]: r["false_positive"] for r in drawn.collect()} == decided
+    got = shrinkage.aa_verdict(drawn).first()
+    assert (got["simulations"], got["false_positives"]) == (len(decided), sum(decided.values()))
+    bounds = shrinkage_queries.aa_beta_verdict(spark, sf_dir).first()
+    assert bounds["simulations"] == len(decided) and bounds["drawn_within"] == 1
+    assert bounds["least_false_positives"] < bounds["most_false_positives"]
+    assert bounds["least_false_positives"] <= got["false_positives"] <= bounds["most_false_positives"]
+
+
+def test_alpha_policies_as_columns_equal_their_functions(spark):
+    sizes = spark.createDataFrame([("a", 700), ("b", 100), ("c", 99), ("d", 20_000)], "experiment_id string, n long")
+    for policy in (naive_alpha, bonferroni_alpha, obrien_fleming_alpha):
+        found = sequential.alpha_schedule(sizes, 100, policy)
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+        own = sequential.alpha_schedule(sizes, 100, lambda peek, n, peeks, policy=policy: policy(peek, n, peeks))
+        assert "Python" in own._jdf.queryExecution().executedPlan().toString()
+        pick = ["experiment_id", "peek", "peek_window", "last_peek", "alpha", "z"]
+        for got, want in zip(found.select(pick).orderBy(pick[:2]).collect(), own.select(pick).orderBy(pick[:2]).collect(), strict=True):
+            assert got[:4] == want[:4]
+            assert got["alpha"] == pytest.approx(want["alpha"], rel=1e-11, abs=1e-300)
+            assert got["z"] == pytest.approx(want["z"], rel=1e-11)
+
+
+def test_normal_columns_to_full_digits(spark):
+    ps = [1e-300, 1e-20, 1e-9, 0.001, 0.025, 0.0749, 0.0751, 0.3, 0.5, 0.7, 0.925, 0.975, 1 - 1e-9]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select(normal.quantile_column(F.col("p"))).collect()
+    assert [r[0] for r in got] == [pytest.approx(normal.quantile(p), rel=1e-13, abs=1e-15) for p in ps]
+    xs = [-37.0, -20.0, -8.0, -7.1, -7.0, -3.0, -1.96, -0.1, 0.0, 0.1, 1.96, 3.0, 7.0, 8.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(normal.cdf_column(F.col("x"))).collect()
+    assert [r[0] for r in got] == [pytest.approx(normal.cdf(x), rel=1e-6 if x < -7.07 else 1e-12) for x in xs]
+    odd = spark.createDataFrame([(0.0,), (1.0,), (-0.1,), (None,)], "p double").select(normal.quantile_column(F.col("p")))
+    assert [r[0] for r in odd.collect()] == [float("-inf"), float("inf"), None, None]

@@ -179,35 +179,33 @@ def _root(value: Column) -> Column:
 def with_differences(moments: DataFrame, confidence: float) -> DataFrame:
     """Intervals per arm, and difference, standard error, interval and widths between arms."""
     z = F.lit(normal.two_sided_z(confidence))
-    out = moments
-    for metric in ("cali", "perc_rev_sla"):
+    metrics = ("cali", "perc_rev_sla")
+    variances = [f"{m}_{arm}_var" for m in metrics for arm in "tc"]
+    kept = [c for c in moments.columns if c not in variances]
+    # Half widths per arm, then everything that follows from them, each in one projection.
+    halves, columns = [], []
+    for metric in metrics:
         t, c = F.col(f"{metric}_t"), F.col(f"{metric}_c")
         t_var, c_var = F.col(f"{metric}_t_var"), F.col(f"{metric}_c_var")
         difference = F.abs(t - 1) - F.abs(c - 1) if metric == "cali" else t - c
+        halves += [
+            (z * _root(t_var)).alias(f"_{metric}_t"),
+            (z * _root(c_var)).alias(f"_{metric}_c"),
+            difference.alias(f"{metric}_d"),
+            _root(t_var + c_var).alias(f"{metric}_d_se"),
+        ]
         d, se = F.col(f"{metric}_d"), F.col(f"{metric}_d_se")
-        width = F.col(f"{metric}_d_ci_width")
-        out = (
-            out.withColumns(
-                {
-                    f"{metric}_t_lo": t - z * _root(t_var),
-                    f"{metric}_t_hi": t + z * _root(t_var),
-                    f"{metric}_c_lo": c - z * _root(c_var),
-                    f"{metric}_c_hi": c + z * _root(c_var),
-                    f"{metric}_d": difference,
-                    f"{metric}_d_se": _root(t_var + c_var),
-                }
-            )
-            .withColumns(
-                {
-                    f"{metric}_d_lo": d - z * se,
-                    f"{metric}_d_hi": d + z * se,
-                    f"{metric}_d_ci_width": F.lit(2.0) * z * se,
-                }
-            )
-            .withColumn(f"{metric}_d_ci_width_rel", F.try_divide(width, F.abs(d)))
-            .drop(f"{metric}_t_var", f"{metric}_c_var")
-        )
-    return out
+        half, width = z * se, F.lit(2.0) * z * se
+        columns += [
+            *[(F.col(f"{metric}_{arm}") - F.col(f"_{metric}_{arm}")).alias(f"{metric}_{arm}_lo") for arm in "tc"],
+            *[(F.col(f"{metric}_{arm}") + F.col(f"_{metric}_{arm}")).alias(f"{metric}_{arm}_hi") for arm in "tc"],
+            d, se,
+            (d - half).alias(f"{metric}_d_lo"),
+            (d + half).alias(f"{metric}_d_hi"),
+            width.alias(f"{metric}_d_ci_width"),
+            F.try_divide(width, F.abs(d)).alias(f"{metric}_d_ci_width_rel"),
+        ]
+    return moments.select(*kept, *halves).select(*kept, *columns)
 
 
 def goal_labels(df: DataFrame) -> Column:
@@ -313,7 +311,8 @@ def totals(items: DataFrame, by: Sequence[str] = ("sim_id",)) -> DataFrame:
 
 def percentile_interval(df: DataFrame, metrics: Sequence[str], confidence: float = 0.95) -> DataFrame:
     """Mean of each metric with the length and half length of its percentile interval."""
-    df = df.select(*metrics)
+    # One row per simulation, read several times.
+    df = ordering.settle(df.select(*metrics))
     shares = [(1 - confidence) / 2, (1 + confidence) / 2]
     ends = ordering.exact_percentiles(df, {m: shares for m in metrics})
     lines = []

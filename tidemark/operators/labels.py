@@ -1,14 +1,21 @@
 """Story labels: dict-like text, often broken, to a record of fixed fields.
 
-Text that is a complete literal is read by from_json; anything else goes
-through patterns that find each field on its own. Both are built-in
-expressions, so parsing stays in the JVM.
+One vectorised pass over the texts reads those that are complete literals, by the rules of Python literals: strings
+side by side, escapes, tuples and nesting of any depth. What it returns per field is the raw text or list; for other
+texts patterns find each field on its own. Cases, numbers and times are worked out afterwards, once per field,
+whichever way the raw value came.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ast
+import sys
+import warnings
+from collections.abc import Callable, Sequence
+from typing import Any
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,106 +23,78 @@ from tidemark import fixed_values as fixed
 from tidemark.functions import dates
 from tidemark.functions import text as tx
 
-# A quoted string, written so that matching never backs up into it.
-_QUOTED = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
-# Everything up to a bare None, quoted strings passed over whole.
-_BARE_NONE = rf"""\G((?:[^'"N]++|{_QUOTED}|N(?!one\b))*+)None\b"""
-# Strings passed over whole up to a bracket, a point before a number, or a comma before a closing bracket.
-_BARE = r"""\G((?:[^'"%s]++|%s)*+)"""
-_OPEN = _BARE % (r"\(", _QUOTED) + r"\("
-_CLOSE = _BARE % (r"\)", _QUOTED) + r"\)"
-_POINT = rf"""\G((?:[^'".]++|{_QUOTED}|(?<=\d)\.|\.(?!\d))*+)\.(?=\d)"""
-_COMMA = rf"""\G((?:[^'",]++|{_QUOTED}|,(?!\s*[\]\}}\)]))*+),(?=\s*[\]\}}\)])"""
-# One string in brackets is no list.
-_ONE_IN_BRACKETS = rf"""\G((?:[^'"(]++|{_QUOTED}|\((?!\s*(?:{_QUOTED})\s*\)))*+)\(\s*({_QUOTED})\s*\)"""
-# The first two strings that stand side by side, with the same quotes.
-_BESIDE = [
-    rf"""^((?:[^'"]++|(?:{_QUOTED})(?!\s*['"]))*+{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+){q}\s*{q}""" for q in ("'", '"')
-]
-_JOINS = 4
-# Escapes that JSON has otherwise: backslashes before them are in pairs.
-_ESCAPES = [
-    (r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2"),
-    (r"(?<!\\)((?:\\\\)*)\\a", r"$1\\u0007"),
-    (r"(?<!\\)((?:\\\\)*)\\v", r"$1\\u000b"),
-    (r"(?<!\\)((?:\\\\)*)\\([^\\'\"nrtbfuxav0-7])", r"$1\\\\$2"),
-]
-_READ_KEYS = (
-    *fixed.LABEL_FIELDS,
-    "short description",
-    "long description",
-    "viral_potential",
-    "viralityPotential",
-)
-_BROKEN = "_broken"
-_SCHEMA = ", ".join(f"`{key}` string" for key in (*_READ_KEYS, _BROKEN))
-_OPTIONS = {
-    "allowSingleQuotes": "true",
-    "allowBackslashEscapingAnyCharacter": "true",
-    "columnNameOfCorruptRecord": _BROKEN,
+# Other names under which a field may stand, in the order in which they are tried.
+_ALSO = {
+    "short_description": ["short description"],
+    "long_description": ["long description"],
+    "virality_potential": ["viral_potential", "viralityPotential"],
 }
-_EMPTY_LIST = "array<string>"
+_ALSO_BROKEN = {**_ALSO, "virality_potential": ["viralityPotential"]}
 
 
-def _nothing() -> Column:
-    return F.array().cast(_EMPTY_LIST)
+# --- complete literals --------------------------------------------------------------
 
 
-def _literal(text: Column) -> Column:
-    """The record when the text is one complete literal, else NULL.
+def literal_dict(text: str) -> dict | None:
+    """The dict that a text is a complete literal of, else None."""
+    try:
+        with warnings.catch_warnings():
+            # An unknown escape stays as it is; no word about it per row.
+            warnings.simplefilter("ignore")
+            found = ast.literal_eval(text)
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
 
-    A look at the text without its strings tells whether it holds words that
-    no such literal has, and what has to be put the JSON way: None, brackets
-    of tuples, numbers that start with a point, strings side by side, escapes.
-    """
-    bare = F.regexp_replace(text, _QUOTED, "''")
-    plausible = bare.rlike(r"^\{[\s\S]*\}$") & ~bare.rlike(r"\b(?:null|true|false)\b|\w\s*\(")
-    as_json = F.when(bare.rlike(r"\bNone\b"), F.regexp_replace(text, _BARE_NONE, "$1null")).otherwise(text)
-    beside = as_json
-    for _ in range(_JOINS):
-        for pattern in _BESIDE:
-            beside = F.regexp_replace(beside, pattern, "$1")
-    as_json = F.when(bare.rlike(r"''\s*''"), beside).otherwise(as_json)
-    listed = F.regexp_replace(as_json, _ONE_IN_BRACKETS, "$1$2")
-    listed = F.regexp_replace(F.regexp_replace(listed, _OPEN, "$1["), _CLOSE, "$1]")
-    as_json = F.when(bare.rlike(r"\("), listed).otherwise(as_json)
-    as_json = F.when(bare.rlike(r",\s*[\])}]"), F.regexp_replace(as_json, _COMMA, "$1")).otherwise(as_json)
-    as_json = F.when(bare.rlike(r"(?<!\d)\.\d"), F.regexp_replace(as_json, _POINT, "$10.")).otherwise(as_json)
-    escaped = as_json
-    for pattern, put in _ESCAPES:
-        escaped = F.regexp_replace(escaped, pattern, put)
-    as_json = F.when(F.contains(text, F.lit("\\")), escaped).otherwise(as_json)
-    record = F.from_json(F.when(plausible, as_json), _SCHEMA, _OPTIONS)
-    return F.when(record[_BROKEN].isNull() & record.isNotNull() & plausible, record)
 
+def _text(record: dict, name: str) -> str:
+    value = next((v for k in (name, *_ALSO.get(name, ())) if (v := record.get(k))), "")
+    return str(value)
 
-def _filled(value: Column) -> Column:
-    return F.nullif(value, F.lit(""))
 
+def _number(record: dict, name: str) -> str:
+    value = next((v for k in (name, *_ALSO.get(name, ())) if (v := record.get(k)) is not None), "")
+    return str(value)
 
-# --- complete literals --------------------------------------------------------------
+
+def _time(record: dict, name: str) -> str | None:
+    value = record.get(name)
+    return None if value is None else str(value)
 
 
-def _list_of(value: Column) -> Column:
-    """A list field holds a list or comma-separated text."""
-    items = F.from_json(value, _EMPTY_LIST, {"allowSingleQuotes": "true"})
-    return F.when(F.startswith(value, F.lit("[")), F.coalesce(items, _nothing())).otherwise(tx.tokens(value))
+def _list(record: dict, name: str) -> list[str]:
+    value = record.get(name)
+    if isinstance(value, str):
+        value = value.split(",")
+    items = [str(v).strip() for v in value] if isinstance(value, (list, tuple, set)) else []
+    return [v for v in items if v]
 
 
-def _from_literal(r: Column) -> dict[str, Column]:
-    fields = {name: F.coalesce(_filled(r[name]), F.lit("")) for name in fixed.LABEL_TEXT_FIELDS}
-    for name in ("short_description", "long_description"):
-        fields[name] = F.coalesce(_filled(r[name]), r[name.replace("_", " ")], F.lit(""))
-    for name in fixed.LABEL_LIST_FIELDS:
-        fields[name] = F.coalesce(tx.joined_title_case(_list_of(r[name])), F.lit(""))
-    for name in fixed.LABEL_ID_FIELDS:
-        fields[name] = F.trim(F.coalesce(r[name], F.lit("")))
-    for name in fixed.LABEL_TIME_FIELDS:
-        fields[name] = dates.lenient_timestamp(r[name])
-    viral = F.coalesce(r["virality_potential"], r["viral_potential"], r["viralityPotential"])
-    fields["virality_potential"] = tx.lenient_double(viral)
-    fields["consistency"] = tx.lenient_double(r["consistency"])
-    return fields
+def _readers(fields: Sequence[str]) -> dict[str, Callable[[dict, str], Any]]:
+    kinds = [
+        (fixed.LABEL_TEXT_FIELDS, _text),
+        (fixed.LABEL_LIST_FIELDS, _list),
+        (fixed.LABEL_ID_FIELDS, lambda record, name: _text(record, name).strip()),
+        (fixed.LABEL_TIME_FIELDS, _time),
+        (fixed.LABEL_NUMBER_FIELDS, _number),
+    ]
+    return {name: read for names, read in kinds for name in names if name in fields}
+
+
+def _record(text: Column, fields: Sequence[str]) -> Column:
+    """Raw values of the fields where the text is one complete literal; `whole` tells whether it is."""
+    readers = _readers(fields)
+    types = [f"`{n}` {'array<string>' if n in fixed.LABEL_LIST_FIELDS else 'string'}" for n in readers]
+
+    @F.pandas_udf(", ".join(["whole boolean", *types]))
+    def read(texts: pd.Series) -> pd.DataFrame:
+        records = [literal_dict(t) if t else None for t in texts]
+        columns: dict[str, list] = {"whole": [r is not None for r in records]}
+        for name, reader in readers.items():
+            columns[name] = [None if r is None else reader(r, name) for r in records]
+        return pd.DataFrame(columns)
+
+    return read(text)
 
 
 # --- broken text ----------------------------------------------------------------------
@@ -125,6 +104,10 @@ def _key(name: str) -> str:
     return fixed.LABEL_KEY.format(key=name)
 
 
+def _filled(value: Column) -> Column:
+    return F.nullif(value, F.lit(""))
+
+
 def _scalar(text: Column, name: str) -> Column:
     """Value after a key: Timestamp('...'), quoted, or a bare token; NULL when there is none."""
     pattern = _key(name) + fixed.LABEL_SCALAR
@@ -138,34 +121,35 @@ def _tokens_of(text: Column, name: str) -> Column:
     inside = F.regexp_extract(text, opened + fixed.LABEL_LIST_INSIDE, 1)
     listed = F.regexp_extract_all(inside, F.lit(fixed.LABEL_QUOTED_TOKEN), F.lit(1))
     plain = _filled(F.regexp_extract(text, _key(name) + fixed.LABEL_QUOTED_TOKEN, 1))
-    return F.when(text.rlike(opened), listed).when(plain.isNotNull(), F.split(plain, ",")).otherwise(_nothing())
-
-
-def _number(text: Column, name: str) -> Column:
-    pattern = _key(name) + fixed.LABEL_NUMBER
-    return _filled(F.regexp_extract(text, pattern, 1)).try_cast("double")
+    tokens = F.when(text.rlike(opened), listed).when(plain.isNotNull(), F.split(plain, ","))
+    return F.transform(tokens.otherwise(F.array().cast("array<string>")), lambda t: F.trim(t))
+
+
+def _from_broken(text: Column, name: str) -> Column:
+    """The raw value of a field, found by its patterns."""
+    names = [name, *_ALSO_BROKEN.get(name, ())]
+    if name in fixed.LABEL_LIST_FIELDS:
+        return _tokens_of(text, name)
+    if name in fixed.LABEL_NUMBER_FIELDS:
+        return F.coalesce(*[_filled(F.regexp_extract(text, _key(n) + fixed.LABEL_NUMBER, 1)) for n in names])
+    value = F.coalesce(*[_scalar(text, n) for n in names])
+    if name in fixed.LABEL_ID_FIELDS:
+        # A bare zero or False is no id.
+        value = F.when(text.rlike(_key(name) + r"(?:-?0+(?:\.0*)?|False)\s*[,}]"), "").otherwise(value)
+    return value
 
 
-def _from_broken(text: Column) -> dict[str, Column]:
-    fields = {
-        name: F.coalesce(_scalar(text, name), F.lit(""))
-        for name in (*fixed.LABEL_TEXT_FIELDS, *fixed.LABEL_ID_FIELDS)
-    }
-    for name in ("short_description", "long_description"):
-        fields[name] = F.coalesce(_scalar(text, name), _scalar(text, name.replace("_", " ")), F.lit(""))
-    for name in fixed.LABEL_LIST_FIELDS:
-        cased = F.transform(_tokens_of(text, name), lambda t: tx.title_case(F.trim(t)))
-        fields[name] = F.array_join(cased, ", ")
-    for name in fixed.LABEL_TIME_FIELDS:
-        fields[name] = dates.lenient_timestamp(_scalar(text, name))
-    fields["virality_potential"] = F.coalesce(
-        _number(text, "virality_potential"), _number(text, "viralityPotential"), F.lit(0.0)
-    )
-    fields["consistency"] = F.coalesce(_number(text, "consistency"), F.lit(0.0))
-    return fields
+# --- the operator ------------------------------------------------------------------------
 
 
-# --- the operator ------------------------------------------------------------------------
+def _finished(raw: Column, name: str) -> Column:
+    if name in fixed.LABEL_LIST_FIELDS:
+        return F.coalesce(F.array_join(F.transform(raw, tx.title_case), ", "), F.lit(""))
+    if name in fixed.LABEL_TIME_FIELDS:
+        return dates.lenient_timestamp(raw)
+    if name in fixed.LABEL_NUMBER_FIELDS:
+        return tx.lenient_double(raw)
+    return F.coalesce(raw, F.lit(""))
 
 
 def parse(df: DataFrame, text: str, fields: Sequence[str] = tuple(fixed.LABEL_FIELDS)) -> DataFrame:
@@ -177,15 +161,18 @@ def parse(df: DataFrame, text: str, fields: Sequence[str] = tuple(fixed.LABEL_FI
     if unknown:
         raise ValueError(f"unknown label fields: {sorted(unknown)}")
     body = F.coalesce(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""), F.lit(""))
-    read = df.withColumn("_text", body).withColumn("_record", _literal(F.col("_text")))
-    whole, broken = _from_literal(F.col("_record")), _from_broken(F.col("_text"))
-    is_whole = F.col("_record").isNotNull()
-    path = (
-        F.when(F.col("_text") == "", "empty").when(is_whole, "literal").otherwise("pattern")
-    )
-    values = {name: F.when(is_whole, whole[name]).otherwise(broken[name]) for name in fields}
-    for name in set(fields) & set(fixed.LABEL_ID_FIELDS):
-        # A bare zero or False is no id.
-        nothing = F.col("_text").rlike(_key(name) + r"(?:-?0+(?:\.0*)?|False)\s*[,}]")
-        values[name] = F.when(nothing, "").otherwise(values[name])
-    return read.withColumns({**values, "parse_path": path}).drop("_text", "_record")
+    read = df.withColumn("_text", body).withColumn("_record", _record(F.col("_text"), fields))
+    whole = F.col("_record.whole")
+    path = F.when(F.col("_text") == "", "empty").when(whole, "literal").otherwise("pattern")
+    # The path is chosen here; what follows works on one raw value per field.
+    raw = {
+        f"_raw_{name}": F.when(whole, F.col(f"_record.{name}")).otherwise(_from_broken(F.col("_text"), name))
+        for name in fields
+    }
+    chosen = read.withColumns({**raw, "parse_path": path}).drop("_text", "_record", *fields)
+    finished = {name: _finished(F.col(f"_raw_{name}"), name) for name in fields}
+    kept = [c for c in chosen.columns if c != "parse_path" and c not in raw]
+    return chosen.select(*kept, *[finished[name].alias(name) for name in fields], "parse_path")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

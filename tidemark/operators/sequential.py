@@ -16,7 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import normal
-from tidemark.functions.alpha import bonferroni_alpha, naive_alpha, obrien_fleming_alpha, z_for
+from tidemark.functions.alpha import (
+    COLUMNS,
+    bonferroni_alpha,
+    naive_alpha,
+    obrien_fleming_alpha,
+    z_column,
+    z_for,
+)
 from tidemark.operators import ordering
 from tidemark.operators.ordering import BLOCK
 
@@ -31,8 +38,9 @@ Policy = Callable[[int, int, Sequence[int]], float]
 def with_alpha(peeks: DataFrame, every: int, policy: Policy) -> DataFrame:
     """Rows (peek, n, ...), one per peek of an experiment of n steps, with peek_window, last_peek, alpha and z.
 
-    The policy is any Python callable (peek, n, peeks). It runs on even batches
-    of peeks; those of one experiment need not meet.
+    The policies of functions.alpha are column expressions. Any other Python
+    callable (peek, n, peeks) runs on even batches of peeks; those of one
+    experiment need not meet.
     """
 
     @F.pandas_udf("alpha double, z double")
@@ -40,13 +48,17 @@ def with_alpha(peeks: DataFrame, every: int, policy: Policy) -> DataFrame:
         alphas = [policy(int(i), int(m), range(every, int(m) + 1, every)) for i, m in zip(peek, n)]
         return pd.DataFrame({"alpha": alphas, "z": [z_for(a) for a in alphas]})
 
-    found = peeks.withColumn("_spent", spent(F.col("peek"), F.col("n")))
+    if policy in COLUMNS:
+        alpha = COLUMNS[policy](F.col("peek"), F.col("n"), F.floor(F.col("n") / every))
+        found = peeks.withColumn("alpha", alpha).withColumn("z", z_column(F.col("alpha")))
+    else:
+        found = peeks.withColumn("_spent", spent(F.col("peek"), F.col("n"))).withColumns(
+            {"alpha": F.col("_spent.alpha"), "z": F.col("_spent.z")}
+        )
     return found.withColumns(
         {
             "peek_window": (F.col("peek") / every).cast("long"),
             "last_peek": (F.col("n") - F.col("n") % every).cast("long"),
-            "alpha": F.col("_spent.alpha"),
-            "z": F.col("_spent.z"),
         }
     ).drop("_spent")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from tidemark.operators import calibration
 TINY = 1e-6
 ITEM = "line_item_id"
 _DRAWN_AT_ONCE = 4_096
+_MICRO = 1e6
 
 
 def priors(items: DataFrame, flag: str = "sla_flag", weight: str = "conversions") -> DataFrame:
@@ -246,51 +248,61 @@ def aa_verdict(sims: DataFrame, bound: float = 0.05) -> DataFrame:
     ).withColumn("verdict", F.when(F.col("fp_rate") <= bound, "SAFE").otherwise("NOISY"))
 
 
-def aa_beta(
-    frame: DataFrame, prior: DataFrame, samples: int = 300, seed: int = 0, buckets: int = 4
-) -> DataFrame:
+def beta_draws(seed: int, sim_id: int, arm: str, item: str, a: float, b: float, samples: int) -> np.ndarray:
+    """Draws of one row: a counter-based stream that its key alone determines, wherever the row is worked on."""
+    key = hashlib.blake2b(f"{seed}|{sim_id}|{arm}|{item}".encode(), digest_size=16).digest()
+    stream = np.random.Generator(np.random.Philox(key=np.frombuffer(key, dtype=np.uint64)))
+    return stream.beta(a, b, samples)
+
+
+def aa_beta(frame: DataFrame, prior: DataFrame, samples: int = 300, seed: int = 0) -> DataFrame:
     """Per simulation: share of Beta draws in which the second arm wins, and the decision.
 
-    Items are dealt by simulation, arm and bucket; a bucket draws for all of its
-    items at once and sends one array of revenue-weighted sums. Its draws depend
-    on the bucket, the seed and the items in order alone, so the number of
-    partitions and retried tasks change nothing.
+    Every row draws from a stream of its own, keyed by seed, simulation, arm and item, so rows need not meet to be
+    drawn. A task adds up one array of revenue-weighted sums per simulation and arm for each batch of rows, in
+    millionths as integers, and Spark adds those: any cut of the rows into batches, tasks and retries gives the same.
+    Rows that repeat simulation, arm and item share their draws.
     """
 
-    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sim_id, arm, bucket = key
-        rng = np.random.default_rng([seed, int(sim_id) & 0xFFFFFFFF, *arm.encode(), int(bucket)])
-        rows = rows.sort_values(ITEM)
-        sums = np.zeros(samples)
-        for start in range(0, len(rows), _DRAWN_AT_ONCE):
-            part = rows.iloc[start : start + _DRAWN_AT_ONCE]
-            a, b = (part[c].to_numpy()[:, None] for c in ("alpha_post", "beta_post"))
-            sums += part["revenue"].to_numpy() @ rng.beta(a, b, (len(part), samples))
-        return pd.DataFrame(
-            {"sim_id": [sim_id], "arm": [arm], "draws": [sums], "revenue": [rows["revenue"].sum()]}
-        )
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for start in range(0, len(rows), _DRAWN_AT_ONCE):
+                part = rows.iloc[start : start + _DRAWN_AT_ONCE]
+                drawn = np.stack(
+                    [
+                        beta_draws(seed, r.sim_id, r.arm, r.item, r.alpha_post, r.beta_post, samples)
+                        for r in part.itertuples(index=False)
+                    ]
+                )
+                micro = np.rint(drawn * part["revenue"].to_numpy()[:, None] * _MICRO).astype(np.int64)
+                groups = part.groupby(["sim_id", "arm"], sort=False)
+                found = [(*key, micro[places].sum(axis=0)) for key, places in groups.indices.items()]
+                yield pd.DataFrame(found, columns=["sim_id", "arm", "draws"])
 
     rows = _with_known_prior(frame, prior).select(
-        "sim_id", "arm", ITEM, "alpha_post", "beta_post", F.col("revenue").cast("double"),
-        F.pmod(F.xxhash64(ITEM), F.lit(buckets)).alias("bucket"),
+        "sim_id", "arm", F.col(ITEM).cast("string").alias("item"), "alpha_post", "beta_post",
+        F.col("revenue").cast("double"),
     )
     # Rows without revenue add nothing.
-    dealt = rows.where(F.col("revenue") != 0).groupBy("sim_id", "arm", "bucket")
-    parts = dealt.applyInPandas(draw, "sim_id int, arm string, draws array<double>, revenue double")
+    rows = rows.where(F.col("revenue") != 0)
+    revenue = rows.groupBy("sim_id").agg(
+        *[F.sum(F.when(F.col("arm") == arm, F.col("revenue"))).alias(f"_r_{arm}") for arm in ("a1", "a2")]
+    )
+    drawn = rows.mapInPandas(draw, "sim_id int, arm string, draws array<long>")
     sums = (
-        parts.select("sim_id", "arm", "revenue", F.posexplode("draws").alias("draw", "value"))
+        drawn.select("sim_id", "arm", F.posexplode("draws").alias("draw", "value"))
         .groupBy("sim_id", "draw")
         .agg(
             *[
-                F.try_divide(
-                    F.sum(F.when(F.col("arm") == arm, F.col("value"))),
-                    F.sum(F.when(F.col("arm") == arm, F.col("revenue"))),
-                ).alias(arm)
+                F.sum(F.when(F.col("arm") == arm, F.col("value").cast("decimal(38,0)"))).alias(arm)
                 for arm in ("a1", "a2")
             ]
         )
     )
-    wins = sums.groupBy("sim_id").agg(F.avg((F.col("a2") > F.col("a1")).cast("int")).alias("a2_wins"))
+    share = {arm: F.try_divide(F.col(arm).cast("double"), F.col(f"_r_{arm}")) for arm in ("a1", "a2")}
+    wins = sums.join(revenue, "sim_id").groupBy("sim_id").agg(
+        F.avg((share["a2"] > share["a1"]).cast("int")).alias("a2_wins")
+    )
     outside = (F.col("a2_wins") > 0.975) | (F.col("a2_wins") < 0.025)
     return wins.withColumn("false_positive", F.coalesce(outside, F.lit(False)).cast("int"))
 
@@ -311,3 +323,29 @@ def aa_agreement(drawn: DataFrame, normal_sims: DataFrame, near: float = 0.15, c
         (F.abs(F.col("a2_wins") - expected) <= near).cast("int").alias("near_normal"),
         F.when(decided, F.col("false_positive")).alias("false_positive"),
     )
+
+
+def aa_bounds(drawn: DataFrame, normal_sims: DataFrame, bound: float = 0.05, clear: float = 0.6) -> DataFrame:
+    """Over all simulations: the fewest and most false positives that the normal check allows, and where the drawn lie.
+
+    A simulation whose normal z is within `clear` of the bound of 1.96 may be drawn to either side; the others are
+    decided. drawn_within is 1 where the drawn count lies between the two and no decided simulation was drawn otherwise.
+    """
+    both = drawn.join(normal_sims.select("sim_id", "z"), "sim_id")
+    off = F.abs("z") - normal.two_sided_z(95)
+    # Without a z nothing is decided.
+    least, most = F.coalesce(off > clear, F.lit(False)), F.coalesce(off >= -clear, F.lit(True))
+    both = both.select("false_positive", least.cast("int").alias("_least"), most.cast("int").alias("_most"))
+    sums = both.agg(
+        F.count("*").alias("simulations"),
+        F.sum("_least").alias("least_false_positives"),
+        F.sum("_most").alias("most_false_positives"),
+        F.min(F.col("false_positive").between(F.col("_least"), F.col("_most")).cast("int")).alias("drawn_within"),
+    )
+
+    def verdict(count: str) -> Column:
+        return F.when(num.ratio(F.col(count), F.col("simulations")) <= bound, "SAFE").otherwise("NOISY")
+
+    return sums.withColumns(
+        {"best_verdict": verdict("least_false_positives"), "worst_verdict": verdict("most_false_positives")}
+    )

@@ -66,7 +66,9 @@ def readouts(
     for dimension in dimensions:
         _check(wide, dimension, directions)
     cuts = sorted(float(pct) for pct in pcts)
-    wide = ordering.settle(wide.where(F.col(item).isNotNull()))
+    # Several scans follow; only the columns that they read are kept.
+    needed = [item, *dict.fromkeys((*dimensions, *calibration.PAIRED)), *_goal_column(wide)]
+    wide = ordering.settle(wide.where(F.col(item).isNotNull()).select(*needed))
     shares = [*(cut / 100 for cut in cuts), *((100 - cut) / 100 for cut in cuts)]
     thresholds = ordering.exact_percentiles(wide, {d: shares for d in dimensions})
     names, survived_cuts = [], []
@@ -89,7 +91,7 @@ def readouts(
         *[calibration.total(c).alias(c) for c in calibration.PAIRED],
     ]
     keys = ["_no", "optimization_goal", item]
-    placed = wide.select(item, *{*dimensions, *calibration.PAIRED}, *_goal_column(wide)).repartition(item)
+    placed = wide.repartition(item)
     placed = placed.withColumns({f"_ends_{d}": thresholds[d] for d in dimensions}).withColumns(survived)
     placed = placed.drop(*[f"_ends_{d}" for d in dimensions])
     rows = placed.select(

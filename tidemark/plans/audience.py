@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.functions import predicates as p
 from tidemark.operators import audience as op
 from tidemark.plans.specs import AudienceSpec, tiers_for
-from tidemark.sources import tables
+from tidemark.sources import catalog, tables
 
 Rules = Sequence[tuple[str, str, str]]
 
@@ -133,3 +133,9 @@ def current(stored: DataFrame, run_date, all_days: bool = False, arm: str | None
 
 def register_view(stored: DataFrame, name: str, run_date, **options) -> None:
     current(stored, run_date, **options).createOrReplaceTempView(name)
+
+
+def lasting_view(spark: SparkSession, name: str, table: str, run_dates: str | None = None, job: str = "audience") -> None:
+    """A view in the catalog over a dated audience table: users of every day, or of the day that run_dates holds."""
+    day = f"{tables.DAY} IN (SELECT {tables.DAY} FROM {run_dates} WHERE job = '{job}')" if run_dates else None
+    catalog.view(spark, name, table, [op.USER], day)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates
 from tidemark.functions import predicates as p
 from tidemark.operators import audience as op
+from tidemark.operators import ordering
 from tidemark.plans import audience as plan
 from tidemark.plans.specs import AudienceSpec, LookBack
-from tidemark.sources import roles, tables
+from tidemark.sources import catalog, roles, tables
 
 RUN_DATE = roles.RUN_DATE
 MOST_COUNTRIES = ",".join(f"NATION_{n}" for n in range(1, 25) if n not in (7, 9, 13))
@@ -126,6 +128,58 @@ def audience_view_all_days(spark, sf_dir):
     return plan.current(_two_days(spark, sf_dir), RUN_DATE, all_days=True, arm="treatment")
 
 
+STORED = (
+    "cohort", "identity", "activity", "feature_usage", "region_dim", "email_touch", "email_click", "deep_link",
+    "push_lookback",
+)
+
+
+def _name(kind):
+    return f"tidemark_{uuid.uuid4().hex[:8]}_{kind}"
+
+
+def full_stored(spark, sf_dir):
+    """The full audience from catalog tables bucketed by user, with a partition per day where a role has days."""
+    prefix, role = _name("role"), role_tables(spark, sf_dir)
+    made = catalog.stored(spark, {n: partial(role.__getitem__, n) for n in STORED}, prefix, op.USER, buckets=4)
+    found = ordering.settle(plan.build(SPECS["audience_full"], made, RUN_DATE, roles.PAGE_CLICK_RULES))
+    for name in STORED:
+        catalog.drop(spark, f"{prefix}_{name}")
+    return found
+
+
+def replaced(spark, sf_dir):
+    """A catalog table while it is replaced: its users after a replacement that fails half way, and after one that works."""
+    name = _name("audience")
+    catalog.replace(_built("audience_not_english", spark, sf_dir), name)
+    after = _built("audience_locale_prefix", spark, sf_dir)
+    broken = after.withColumn(op.USER, F.when(F.hash(op.USER) % 3 == 0, F.raise_error(F.lit("stopped"))).otherwise(F.col(op.USER)))
+    try:
+        catalog.replace(broken, name)
+    except Exception as error:  # the error raised above comes back in the engine's own wrapping
+        if "stopped" not in str(error):
+            raise
+    old = ordering.settle(spark.table(name).select(F.lit("failed").alias("step"), op.USER))
+    catalog.replace(after, name)
+    new = ordering.settle(spark.table(name).select(F.lit("replaced").alias("step"), op.USER))
+    catalog.drop(spark, name)
+    return old.unionByName(new)
+
+
+def run_date_view(spark, sf_dir):
+    """A view in the catalog that follows a table of run dates: the partition is found when the query runs."""
+    table, run_dates, view = _name("audience"), _name("run_dates"), _name("current")
+    catalog.replace(_two_days(spark, sf_dir), table, dated=True)
+    day = spark.range(1).select(F.lit("audience").alias("job"), dates.day(RUN_DATE).alias(tables.DAY))
+    catalog.replace(day, run_dates)
+    plan.lasting_view(spark, view, table, run_dates)
+    found = ordering.settle(spark.table(view))
+    spark.sql(f"DROP VIEW {view}")
+    for name in (table, run_dates):
+        catalog.drop(spark, name)
+    return found
+
+
 QUERIES = {
     **{name: partial(_built, name) for name in SPECS},
     "audience_clicked_union": clicked_union,
@@ -136,4 +190,7 @@ QUERIES = {
     "audience_count": audience_count,
     "audience_view": audience_view,
     "audience_view_all_days": audience_view_all_days,
+    "audience_full_stored": full_stored,
+    "audience_replaced": replaced,
+    "audience_run_date_view": run_date_view,
 }

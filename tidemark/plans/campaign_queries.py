@@ -6,6 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import dates
+from tidemark.functions import predicates as p
+from tidemark.functions import text as tx
 from tidemark.operators import campaigns as op
 from tidemark.plans.calibration_queries import rounded
 from tidemark.plans.specs import CampaignSpec
@@ -72,11 +75,26 @@ def frequency_efficiency(spark, sf_dir):
     return rounded(op.frequency_efficiency(roles.campaign_frequency(spark, sf_dir), users_above=2))
 
 
+def date_values(spark, sf_dir):
+    """Day codes read back, months before a day, hash arms and lenient whole numbers, over orders."""
+    day = F.col("o_orderdate").cast("date")
+    code = dates.day_code(day)
+    noisy = F.concat(F.lit(" "), F.col("o_totalprice").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise(""))
+    return roles.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        code.alias("day_code"),
+        dates.parse_day_code(code).cast("string").alias("day"),
+        dates.months_before(day, 3).cast("string").alias("three_months_before"),
+        tx.lenient_int(noisy).alias("whole"),
+        p.hash_arm(F.col("o_orderkey")).alias("arm"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         campaign_summary, campaign_monthly, surface_share, surface_pivot, surface_pivot_billions, action_qoq,
         overall_rates, campaign_rates, campaign_top_bottom, new_campaigns, user_distribution,
-        frequency_efficiency,
+        frequency_efficiency, date_values,
     )
 }

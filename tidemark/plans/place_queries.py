@@ -96,12 +96,17 @@ def place_labels(spark, sf_dir):
 def daily_stories(spark, sf_dir):
     """Stories per region of a range of days, written as a dated table day by day; one day is read back.
 
-    The table lies in the shared folder. The day is a partition filter of its scan.
+    The table lies in the shared folder until its day is read. A second run of a longer range adds the missing days.
     """
     path = f"{ordering.ensure_checkpoint_dir(spark)}/daily-{uuid.uuid4().hex}"
     per_day = lambda rows: rows.groupBy("ds", "place_region").agg(F.count("*").alias("stories"))
-    daily.run_days(roles.stories(spark, sf_dir), START, END, per_day, path)
-    return tables.scan_day(spark, path, DAY).select(F.col("ds").cast("string").alias("ds"), "place_region", "stories")
+    stories = roles.stories(spark, sf_dir)
+    daily.run_missing(stories, START, DAY, per_day, path)
+    daily.run_missing(stories, START, END, per_day, path)
+    day = tables.scan_day(spark, path, DAY).select(F.col("ds").cast("string").alias("ds"), "place_region", "stories")
+    found = ordering.settle(day)
+    tables.remove(spark, path)
+    return found
 
 
 def token_use(spark, sf_dir):

@@ -93,9 +93,9 @@ def aa_beta(spark, sf_dir):
 
 
 def aa_beta_verdict(spark, sf_dir):
-    """Over the drawn decisions of all simulations, near the bound too."""
+    """Over all simulations: the false positives that the normal check allows at least and at most, and the drawn ones."""
     frame, prior = op.aa_frame(roles.aa_wide(spark, sf_dir)), op.priors(_population(spark, sf_dir))
-    return rounded(op.aa_verdict(op.aa_beta(frame, prior, samples=300)))
+    return op.aa_bounds(op.aa_beta(frame, prior, samples=300), op.aa_normal(frame, prior))
 
 
 QUERIES = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,42 @@ def scan_days(spark: SparkSession, path: str, start, end) -> DataFrame:
     return between_days(spark.read.parquet(path), start, end)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path and the path for it, by the session's own settings."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job has written, on whatever file system it lies."""
+    system, place = _hadoop(spark, path)
+    system.delete(place, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, place = _hadoop(spark, path)
+    system.mkdirs(place)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Create or replace an undated table."""
-    df.write.mode("overwrite").parquet(path)
+    """Create or replace an undated table.
+
+    Rows are written beside it first and take its place by renaming, so a job that fails leaves the old rows, and df
+    may read the table it replaces. Catalog tables are swapped by sources.catalog in one step.
+    """
+    spark, side = df.sparkSession, uuid.uuid4().hex[:8]
+    staged, old = f"{path.rstrip('/')}__{side}", f"{path.rstrip('/')}__{side}_old"
+    try:
+        df.write.parquet(staged)
+    except BaseException:
+        remove(spark, staged)
+        raise
+    system, place = _hadoop(spark, path)
+    if system.exists(place):
+        system.rename(place, _hadoop(spark, old)[1])
+    system.rename(_hadoop(spark, staged)[1], place)
+    remove(spark, old)
 
 
 def replace_days(df: DataFrame, path: str, files_per_day: int | None = None) -> None:
@@ -53,16 +87,21 @@ def replace_days(df: DataFrame, path: str, files_per_day: int | None = None) ->
     )
 
 
-def save_as_table(df: DataFrame, name: str, dated: bool = False) -> None:
-    """Create or replace a catalog table."""
-    writer = df.write.mode("overwrite").format("parquet")
-    if dated:
-        writer = writer.partitionBy(DAY)
-    writer.saveAsTable(name)
+def folders(spark: SparkSession, path: str, finished: bool = False) -> list[str]:
+    """Names of the folders right under a path that hold data; finished asks for the mark of a job's end in them."""
+    system, place = _hadoop(spark, path)
+    if not system.exists(place):
+        return []
+    found = [s.getPath() for s in system.listStatus(place) if s.isDirectory()]
+    if finished:
+        found = [f for f in found if system.exists(_hadoop(spark, f"{f.toString()}/_SUCCESS")[1])]
+    return sorted(n for f in found if not (n := f.getName()).startswith(("_", ".")))
 
 
-def drop_table(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+def stored_days(spark: SparkSession, path: str) -> set[dt.date]:
+    """Days that a dated table holds, from the names of its folders alone."""
+    names = folders(spark, path)
+    return {dt.date.fromisoformat(n.split("=", 1)[1]) for n in names if n.startswith(f"{DAY}=")}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
