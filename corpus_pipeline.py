@@ -1,8 +1,8 @@
 """Corpus pipeline: each stage calls one operator and returns the documents that it leaves, as the next one's input.
 
 Stages take (spark, docs, sf_dir); what one returns is written as Parquet and read again for the next. All but the last
-return the columns of documents. NULL texts and texts without a letter go in the first stage; from then on every
-stage has the rows its operator defines for ties, repeated rows and empty tables.
+return the columns of documents. NULL texts and texts without a letter go in the first stage, which fills lang with its
+prediction where it is NULL; from then on every stage has the rows its operator defines for ties, repeated rows and empty tables.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, exact_dedup, language, mixing, ngram_join
-from tidemark.operators.ordering import ensure_checkpoint_dir
+from tidemark.operators.ordering import ensure_checkpoint_dir, settle
+from tidemark.sources.tables import remove
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter go."""
+    """Documents with a letter, their lang filled where it is NULL."""
     return language.in_a_language(docs)
 
 
@@ -54,10 +55,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, with a table in the shared folder between them."""
+    """All stages over documents, with a table in the shared folder between them that goes once the next one is written."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            remove(spark, f"{folder}/{before}")
+        before = name
+    # Ids, sizes and words taken; the texts are no longer needed.
+    mixed = settle(STAGES[-1][1](spark, docs, sf_dir))
+    remove(spark, folder)
+    return mixed
