@@ -1,10 +1,15 @@
 """Exact dedup with an extendible-hash index in the shared folder.
 
 Keys are 64-bit hashes of the lower-cased text. A directory of hash prefixes starts with one bucket and doubles as
-long as a bucket holds more keys than its capacity; only overfull buckets split, so local depths differ. Texts that
-share a hash share a chain: the group-by that fills the index has the text itself as a key, so its bytes decide, and
-copies meet in the map tasks before anything is shuffled. Owner tasks hold ranges of buckets; documents look their
-entry up by hash and chain. Everything runs in DataFrame operations.
+long as a bucket holds more keys than its capacity; only overfull buckets split, so local depths differ. The directory
+routes every document: its texts go to the entry of their bucket and hash, where bytes are compared (the text itself is
+a key of the aggregate, so copies meet in the map tasks before anything is shuffled), and different texts of one hash
+become a chain of entries, each with the id that stays, its size and the SHA-256 of its bytes. The index is stored, a
+range of buckets per owner task. A document is looked up through the directory again: bucket, hash, then along the
+chain by the digest. Everything runs in DataFrame operations.
+
+A text that many documents share is one entry; its documents find it by a broadcast of the few hot entries, so no task
+gets all of them.
 
 Rows: NULL text counts as empty. A NULL doc_id ranks below all others. Rows that repeat a doc_id and a text are one
 document and share its decision. An empty table gives an empty index and no rows. Columns beyond doc_id and text are
@@ -14,22 +19,26 @@ not read, whatever their names.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.skew import join_facts
 from tidemark.llm.text import lowered
 from tidemark.operators.ordering import settle
 
+Hash = Callable[[Column], Column]
+
 #: Keys in a bucket before it splits, and the most prefix bits of the directory (2**16 slots at most).
 CAPACITY = 50_000
 MAX_DEPTH = 16
 
 
-def keys(docs: DataFrame) -> DataFrame:
+def keys(docs: DataFrame, hasher: Hash = F.xxhash64) -> DataFrame:
     """doc_id, hash and SHA-256 of the normalised text."""
     low = docs.select("doc_id", lowered("text").alias("low"))
-    return low.select("doc_id", F.xxhash64("low").alias("hash"), F.unhex(F.sha2("low", 256)).alias("sha"))
+    return low.select("doc_id", hasher(F.col("low")).alias("hash"), F.unhex(F.sha2("low", 256)).alias("sha"))
 
 
 def directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[tuple[int, int, int]]:
@@ -53,39 +62,52 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[tup
     return sorted(buckets)
 
 
-def build_index(
-    docs: DataFrame, found: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH
-) -> tuple[DataFrame, DataFrame]:
-    """(directory, index) in the shared folder: one index row per distinct text, stored by the owner of its bucket.
+def _slot(max_depth: int) -> Column:
+    return F.shiftrightunsigned("hash", 64 - max_depth).cast("int")
+
 
-    found holds keys(docs). The driver sees one count per slot, 2**max_depth at most, whatever the input.
+def build_directory(found: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """slot, bucket, local_depth: one row per slot, 2**max_depth of them (1 MB with the default).
+
+    found holds keys(docs). The driver sees one count per slot, whatever the input.
     """
-    spark = docs.sparkSession
-    slot = F.shiftrightunsigned("hash", 64 - max_depth).cast("int")
-    counts = found.select("hash").distinct().groupBy(slot.alias("slot")).count()
+    counts = found.select("hash").distinct().groupBy(_slot(max_depth).alias("slot")).count()
     buckets = directory({r["slot"]: r["count"] for r in counts.collect()}, capacity, max_depth)
     rows = [(number, low, high, depth) for number, (low, high, depth) in enumerate(buckets)]
-    entries = spark.createDataFrame(rows, "bucket int, low int, high int, local_depth int")
-    slots = settle(entries.select("bucket", "local_depth", F.explode(F.sequence("low", F.col("high") - 1)).alias("slot")))
+    entries = found.sparkSession.createDataFrame(rows, "bucket int, low int, high int, local_depth int")
+    return settle(entries.select("bucket", "local_depth", F.explode(F.sequence("low", F.col("high") - 1)).alias("slot")))
 
-    texts = docs.select("doc_id", lowered("text").alias("low")).select("doc_id", "low", F.xxhash64("low").alias("hash"))
-    groups = texts.groupBy("hash", "low").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    index = groups.select(
-        slot.alias("slot"), "hash", F.unhex(F.sha2("low", 256)).alias("sha"), "keep_id", "group_size"
-    )
-    # The directory has 2**max_depth rows of a few bytes at most: 1 MB with the default.
-    index = index.join(F.broadcast(slots), "slot").drop("slot")
-    owned = index.repartition("bucket").withColumn(
-        "chain", F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("sha")) - 1
+
+def routed(rows: DataFrame, slots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """rows with the bucket that the directory holds for their hash."""
+    known = F.broadcast(slots.select("slot", "bucket"))
+    return rows.withColumn("slot", _slot(max_depth)).join(known, "slot").drop("slot")
+
+
+def build_index(docs: DataFrame, slots: DataFrame, max_depth: int = MAX_DEPTH, hasher: Hash = F.xxhash64) -> DataFrame:
+    """bucket, hash, chain, sha, keep_id, group_size: an entry per distinct text, in the shared folder.
+
+    Entries of a bucket lie with its owner. chain numbers the different texts of a hash.
+    """
+    texts = docs.select("doc_id", lowered("text").alias("low")).withColumn("hash", hasher(F.col("low")))
+    # The text is a key: two documents share an entry if bucket, hash and all bytes are equal.
+    entries = routed(texts, slots, max_depth).groupBy("bucket", "hash", "low").agg(
+        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
-    return slots, settle(owned)
+    entries = entries.select("bucket", "hash", F.unhex(F.sha2("low", 256)).alias("sha"), "keep_id", "group_size")
+    chain = F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("sha")) - 1
+    return settle(entries.repartition("bucket").withColumn("chain", chain))
 
 
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hasher: Hash = F.xxhash64
+) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and its bucket and chain number."""
-    found = settle(keys(docs))
-    _, index = build_index(docs, found, capacity, max_depth)
-    return found.join(index, ["hash", "sha"]).select(
+    found = settle(keys(docs, hasher))
+    slots = build_directory(found, capacity, max_depth)
+    index = build_index(docs, slots, max_depth, hasher)
+    looked_up = join_facts(routed(found, slots, max_depth), index, ["bucket", "hash", "sha"], "group_size")
+    return looked_up.select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -1,4 +1,4 @@
-"""Joins of rows to facts about their key where one key may hold a large share of the rows."""
+"""Work on keys, one of which may hold a large share of the rows: joins to facts about a key, and equal rows."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A key is hot if it holds more than one of this many rows; there are fewer hot keys than that.
 SLICES = 1_024
 
+#: Equal rows that one task deals out at a time.
+PIECE = 100_000
+
 
 def _equal(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, [rows[k].eqNullSafe(facts[f"_f_{k}"]) for k in keys])
@@ -32,3 +35,16 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], size: str
     of_cold = others.join(cold, _equal(others, cold, keys))
     drop = [f"_f_{k}" for k in keys]
     return of_hot.drop(*drop).unionByName(of_cold.drop(*drop))
+
+
+def repeated(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row as often as `times` says, numbered from 1; a row that stands for many is dealt out by several tasks.
+
+    rows are read twice: settle them before.
+    """
+    few = rows.filter(F.col(times) <= PIECE).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    pieces = F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div {PIECE}"))
+    many = rows.filter(F.col(times) > PIECE).withColumn("_piece", F.explode(pieces)).repartition("_piece")
+    first, last = F.col("_piece") * PIECE + 1, F.least(F.col(times), (F.col("_piece") + 1) * PIECE)
+    many = many.withColumn(number, F.explode(F.sequence(first, last))).drop("_piece")
+    return few.unionByName(many).drop(times)
