@@ -1,15 +1,17 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-A document gets the key -ln(u) / w: u is uniform and drawn from a hash of seed and doc_id, w is its quality weight.
+A document gets the key -ln(u) / w: u is uniform and drawn from a hash of seed, doc_id, text and a number within equal
+rows, w is its quality weight. So rows without id are drawn as others are, whatever their size.
 Within a source the documents with the smallest keys come first, as far as the source's budget of words goes. A budget
 above the source's size first takes complete epochs of all its documents and then a fractional one.
 
 The order within a source is never sorted as a whole: keys map to buckets of equal width in 1 - exp(-key), the words
 per source and bucket are summed, and only the bucket in which the budget ends is ordered. Reruns agree, as keys depend
-on seed and doc_id alone. Everything runs in DataFrame operations.
+on the rows alone. Equal rows are counted before anything is shuffled and dealt out again in pieces. Everything runs in
+DataFrame operations.
 
 Rows: NULL text has size 0. NULL is a source of its own and comes last. Sources of size 0 have target 0. Repeated rows
-count each for itself; ties in the key go by doc_id and size, NULL first. Empty tables give no rows. Other columns are
+count each for itself; ties in the key go by doc_id, text hash and number, NULL first. Empty tables give no rows. Other columns are
 not read.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.skew import repeated
 from tidemark.llm.text import size_of
 from tidemark.operators.ordering import settle
 
@@ -61,19 +64,26 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def draw(seed: str) -> Column:
-    """Uniform in (0, 1) from seed and doc_id: 52 bits of an MD5 hash, which SQL engines share."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """Uniform in (0, 1): 52 bits of an MD5 hash, which SQL engines share, of seed, doc_id, text hash and number."""
+    text = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_md5", "number")
     bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
     return (bits + F.lit(0.5)) / F.lit(float(_DRAWS))
 
 
+def _weighted(rows: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """rows with weight, 1 where none is known; rows without id need no partner and stay out of the join."""
+    if weights is None:
+        return rows.withColumn("weight", F.lit(1.0))
+    named = rows.filter("doc_id IS NOT NULL").join(weights.select("doc_id", "weight"), "doc_id", "left")
+    bare = rows.filter("doc_id IS NULL").withColumn("weight", F.lit(1.0))
+    return named.fillna(1.0, ["weight"]).unionByName(bare)
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the source, weight and sampling key of every document."""
-    rows = docs.select("doc_id", "source", size_of("text").alias("size"))
-    if weights is None:
-        rows = rows.withColumn("weight", F.lit(1.0))
-    else:
-        rows = rows.join(weights.select("doc_id", "weight"), "doc_id", "left").fillna(1.0, ["weight"])
+    rows = docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), size_of("text").alias("size"))
+    rows = settle(rows.groupBy("doc_id", "source", "text_md5", "size").agg(F.count(F.lit(1)).alias("times")))
+    rows = repeated(settle(_weighted(rows, weights)), "times", "number")
     rows = rows.withColumn("mix_key", -F.log(draw(seed)) / F.col("weight"))
     bucket = F.least(F.floor((1 - F.exp(-F.col("mix_key"))) * buckets), F.lit(buckets - 1)).cast("int")
     rows = settle(rows.withColumn("bucket", bucket))
@@ -101,7 +111,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED, buc
     sure = full.filter("bucket <> _end OR _end IS NULL").withColumn(
         "chosen", F.coalesce(F.col("bucket") < F.col("_end"), F.lit(False))
     )
-    order = Window.partitionBy("source").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source").orderBy("mix_key", "doc_id", "text_md5", "number").rowsBetween(Window.unboundedPreceding, 0)
     edge = full.filter("bucket = _end").withColumn("start", F.col("before") + F.sum("size").over(order) - F.col("size"))
     # The document in which the budget ends goes in where that leaves the sum nearer to it.
     edge = edge.withColumn(
