@@ -1,12 +1,14 @@
-"""License scans: base phrases by position, and an exact set-similarity join of text blocks with license notices.
-
-Blocks are windows of BLOCK words at every half block, so a notice of up to half a block stands whole in one of them,
-across line breaks too. A block is taken if it holds at least THRESHOLD of a notice's distinct words. Words of notices
-are ordered by their count in all documents, rarest first. A block that reaches the threshold must hold one of the
-first n - need + 1 words of the notice (prefix filter), must have at least need notice words (length filter), and the
-words left after the first common one must suffice on both sides (positional filter); what is left is verified on the
-whole sets. Nothing is sampled: the filters only drop blocks that cannot reach the threshold. Everything runs in
-DataFrame operations; the driver sees one count per word of the notices.
+"""License scans: base phrases by position, and an exact set-similarity join of text windows with license notices.
+
+A document holds a notice if any window of BLOCK consecutive words, wherever it starts, holds at least THRESHOLD of the
+notice's distinct words. Words of notices are ordered by their count in all documents, rarest first. A window that
+reaches the threshold must hold one of the first n - need + 1 words of the notice (prefix filter), so all windows that
+matter lie around the places of those words: the words up to a window's length before and after such a place are
+compared. They must hold enough notice words (length filter), also on both sides of the first common one in the global
+order (positional filter). What is left is verified on windows: a window can be moved up to its first notice word
+without losing any, so those that start at a notice word are all. Nothing is sampled: the filters only drop windows
+that cannot reach the threshold. Everything runs in DataFrame operations; the driver sees one count per word of the
+notices.
 
 Rows: NULL texts and texts without words have no labels and score 0. Rows that repeat a doc_id are told apart by
 their text. An empty table gives no rows. Other columns are not read.
@@ -78,49 +80,48 @@ def _texts(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
-def notice_blocks(
+def notice_windows(
     docs: DataFrame,
     notices: list[tuple[str, str]] = NOTICES,
     threshold: float = THRESHOLD,
     block: int = BLOCK,
 ) -> DataFrame:
-    """_row_id, _row_hash, block_start, label, containment of every block that reaches the threshold of a notice."""
+    """_row_id, _row_hash, label, containment: the best window of every notice that reaches the threshold around a place."""
     vocabulary = sorted({w for _, text in notices for w in text.split()})
     counts = word_counts(docs, vocabulary)
     known = ordered_notices(counts, notices, threshold)
     ordered = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     prefix = sorted({w for n in known for w in n.prefix})
     spark = docs.sparkSession
-    half = block // 2
     docs = docs.select(*row_columns(), words_of(lowered("text")).alias("words"))
     docs = docs.filter(F.arrays_overlap("words", _texts(prefix)))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - half - 1, F.lit(0)), F.lit(half))
-    blocks = docs.select("_row_id", "_row_hash", "words", F.explode(starts).alias("block_start"))
-    blocks = blocks.withColumn("held", F.slice("words", F.col("block_start") + 1, F.lit(block)))
-    # Of a block only the words of notices count; the intersection returns them in global order.
-    blocks = blocks.filter(F.arrays_overlap("held", _texts(prefix)))
-    blocks = blocks.select("_row_id", "_row_hash", "block_start", F.array_intersect(_texts(ordered), "held").alias("held"))
-    probes = blocks.withColumn("word", F.explode(F.array_intersect("held", _texts(prefix))))
+    places = docs.select("_row_id", "_row_hash", "words", F.posexplode("words").alias("at", "word"))
+    places = places.filter(F.col("word").isin(prefix))
+    start = F.greatest(F.col("at") - block + 1, F.lit(0))
+    around = places.select(
+        "_row_id", "_row_hash", "word", (F.col("at") - start).alias("at"),
+        F.slice("words", start + 1, F.col("at") - start + block).alias("around"),
+    )
+    # Of the surroundings only the words of notices count; the intersection returns them in global order.
+    around = around.withColumn("held", F.array_intersect(_texts(ordered), "around"))
     rows = [
-        (word, n.number, n.label, place, len(n.words), n.need, list(n.words))
+        (word, n.label, place, len(n.words), n.need, list(n.words))
         for n in known
         for place, word in enumerate(n.prefix)
     ]
-    index = spark.createDataFrame(
-        rows, "word string, number int, label string, place int, n int, need int, notice array<string>"
-    )
+    index = spark.createDataFrame(rows, "word string, label string, place int, n int, need int, notice array<string>")
     # One row per notice and prefix word: as large as the list of notices, whatever the input.
-    pairs = probes.join(F.broadcast(index), "word")
+    pairs = around.join(F.broadcast(index), "word")
     behind = F.size("held") - F.array_position("held", F.col("word"))
     pairs = pairs.filter(
         (F.size("held") >= F.col("need"))
         & (1 + F.least(F.col("n") - 1 - F.col("place"), behind) >= F.col("need"))
+        & (F.size(F.array_intersect("notice", "held")) >= F.col("need"))
     )
-    shared = F.size(F.array_intersect("notice", "held"))
-    pairs = pairs.withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
-    return pairs.select(
-        "_row_id", "_row_hash", "block_start", "label", (F.col("shared") / F.col("n")).alias("containment")
-    ).distinct()
+    starts = F.filter(F.sequence(F.lit(0), "at"), lambda i: F.array_contains("notice", F.get("around", i)))
+    shared = F.transform(starts, lambda i: F.size(F.array_intersect("notice", F.slice("around", i + 1, block))))
+    pairs = pairs.withColumn("shared", F.array_max(shared)).filter(F.col("shared") >= F.col("need"))
+    return pairs.select("_row_id", "_row_hash", "label", (F.col("shared") / F.col("n")).alias("containment"))
 
 
 def _places(phrase: str) -> Column:
@@ -160,7 +161,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_max(every).cast("long").alias("last_word"),
         labels.alias("base"),
     )
-    found = notice_blocks(docs).groupBy("_row_id", "_row_hash").agg(
+    found = notice_windows(docs).groupBy("_row_id", "_row_hash").agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best")
     )
     out = rows.join(found, same_row(rows, found), "left")
