@@ -7,7 +7,8 @@ allow takes precedence over any block; a url that no rule fits gets the componen
 
 Edges of a page: from its url to its canonical link, to the target of its meta refresh and to its og:url, relative ones
 resolved against the url's host, and from every url to its plain form (no scheme, fragment, tracking parameter,
-trailing slash or `.html`, no leading `www.`), by which different spellings of an address meet.
+trailing slash or `.html`, no leading `www.`), by which different spellings of an address meet. Urls and plain forms
+are nodes of two kinds; only urls are judged, so an address that quotes another in its path or query is judged as itself.
 
 Rows: a NULL url, or one without `://`, has empty host and path, fits no rule, has no aliases and is allowed. NULL html
 has no links. Repeated urls share a decision; each row stays. Rules of the same length: allow first. Empty tables give
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import components
 from tidemark.operators.ordering import settle
 
+#: What nodes of the edge table start with: full urls and plain forms.
+URL, FORM = "u:", "f:"
+
 #: (verdict, host, path prefix)
 Rule = tuple[str, str, str]
 
@@ -75,6 +79,10 @@ def _absolute(link: Column, url: Column) -> Column:
     )
 
 
+def _node(kind: str, name: Column) -> Column:
+    return F.concat(F.lit(kind), name)
+
+
 def _fits(rule: Rule) -> Column:
     _, host, path = rule
     return ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
@@ -89,7 +97,7 @@ def _ruled(rules: Sequence[Rule], value) -> Column:
 
 
 def alias_edges(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """a, b: urls and plain forms that stand for one another. edges: more of them, as src and dst urls."""
+    """a, b: nodes (urls and plain forms, by kind) that stand for one another. edges: more of them, as src and dst urls."""
     known = pages.select("url", "html").filter(F.col("url").contains("://"))
     html = F.coalesce("html", F.lit(""))
     links = F.array_distinct(F.array(*(F.regexp_extract(html, pattern, 1) for pattern in LINKS)))
@@ -102,8 +110,8 @@ def alias_edges(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     urls = known.select("url").unionByName(found.select(F.col("src").alias("url"))).unionByName(
         found.select(F.col("dst").alias("url"))
     )
-    spelled = urls.distinct().select(F.col("url").alias("a"), plain_form(F.col("url")).alias("b"))
-    return spelled.unionByName(found.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    spelled = urls.distinct().select(_node(URL, F.col("url")).alias("a"), _node(FORM, plain_form(F.col("url"))).alias("b"))
+    return spelled.unionByName(found.select(_node(URL, F.col("src")).alias("a"), _node(URL, F.col("dst")).alias("b")))
 
 
 def verdicts(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None) -> DataFrame:
@@ -116,12 +124,11 @@ def verdicts(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None =
     roots = stars.select(F.col("root").alias("node"), "root").distinct()
     member = stars.unionByName(roots)
     # What rules say about the urls of a component, pages or only link targets: 2 for allow, 1 for block.
-    judged = member.filter(F.col("node").contains("://")).select(
-        "root", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")
-    )
+    urls = member.filter(F.col("node").startswith(URL)).select("root", F.substr("node", F.lit(len(URL) + 1)).alias("url"))
+    judged = urls.select("root", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     said = _ruled(rules, lambda r: F.lit(2 if r[0] == "allow" else 1).cast("string")).cast("int")
     spread = judged.select("root", said.alias("said")).groupBy("root").agg(F.max("said").alias("said"))
-    member = member.join(spread.filter("said IS NOT NULL"), "root").select(F.col("node").alias("_url"), "said")
+    member = urls.join(spread.filter("said IS NOT NULL"), "root").select(F.col("url").alias("_url"), "said")
     out = rows.join(member, rows["url"] == member["_url"], "left")
     heard = F.when(F.col("said") == 2, "allow").when(F.col("said") == 1, "block")
     by = F.when(F.col("ruled").isNotNull(), "rule").when(heard.isNotNull(), "alias").otherwise("default")
