@@ -124,9 +124,16 @@ def learn(texts: DataFrame, most: int = PROFILE) -> dict[str, np.ndarray]:
 
 
 def identify(
-    docs: DataFrame, profiles: dict[str, np.ndarray], most: int = PROFILE, keep_text: bool = True
+    docs: DataFrame,
+    profiles: dict[str, np.ndarray],
+    most: int = PROFILE,
+    keep_text: bool = True,
+    unknown: str | None = "und",
 ) -> DataFrame:
-    """All columns of docs, or all but the text, and _lang_pred and _lang_score of the whole text."""
+    """All columns of docs, or all but the text, and _lang_pred and _lang_score of the whole text.
+
+    unknown is the prediction for texts with letters where no language was learned.
+    """
     names = sorted(profiles)
     known = [profiles[n] for n in names]
     columns = [c for c in docs.columns if c not in ("_lang_pred", "_lang_score")]
@@ -137,9 +144,9 @@ def identify(
         for batch in batches:
             found, scores = [], []
             for value in batch.column(at):
-                own = ranked(grams_of(value.as_py() or ""), most) if known else np.empty(0, np.int64)
-                if not len(own):
-                    found.append("und")
+                own = ranked(grams_of(value.as_py() or ""), most)
+                if not len(own) or not known:
+                    found.append(unknown if len(own) else "und")
                     scores.append(0.0)
                     continue
                 far = distances(own, known, most)
@@ -178,7 +185,10 @@ def languages(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
 
 
 def in_a_language(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """The documents that have a language, all columns; those of `und` go."""
+    """The documents whose text has a letter, all columns; lang is filled with the prediction where it is NULL.
+
+    Without anything to learn from, documents keep the lang they have.
+    """
     profiles = learn(training_part(docs, folds))
-    marked = identify(docs, profiles).filter("_lang_pred <> 'und'")
-    return marked.select(*(f"`{c}`" for c in docs.columns))
+    marked = identify(docs, profiles, unknown=None).filter("_lang_pred IS NULL OR _lang_pred <> 'und'")
+    return marked.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*(f"`{c}`" for c in docs.columns))
