@@ -18,7 +18,8 @@ told apart in one task per label, which holds the 3-grams of at most SAMPLE text
 
 Rows: NULL texts and texts without words have no terms. Every input row gives one row, repeated ones too. Ties among
 neighbours go by the example's place in the index. Without labels the score is 0. Labels other than 0 and 1 are left
-out; a document labelled twice counts as toxic if one label says so. Documents without id are never learned from.
+out; a document labelled twice counts as toxic if one label says so. Documents without id are never learned from; of texts
+that share an id the one with the smallest hash is learned from.
 """
 
 from __future__ import annotations
@@ -173,7 +174,10 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame,
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 x sample ids.
     chosen = F.broadcast(settle(chosen))
-    return docs.select("doc_id", "text").join(chosen, "doc_id"), totals
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    # Of different texts of an id the one with the smallest hash.
+    first = F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text"))
+    return texts.groupBy("doc_id", "toxic").agg(first.alias("_first")).select("doc_id", "toxic", "_first.text"), totals
 
 
 def _examples(sample: DataFrame) -> DataFrame:
@@ -275,7 +279,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms: int = TERMS, chi2: float = CHI2) -> Index:
     sampled, totals = _sample(docs, labels, sample)
-    rows = settle(_examples(sampled).dropDuplicates(["doc_id"]))
+    rows = settle(_examples(sampled))
     # Of near copies one example stays; the others count through its weight.
     key = rows.schema["doc_id"].dataType.simpleString()
     kept = rows.select("toxic", "doc_id", "grams").groupBy("toxic").applyInArrow(_kept, f"doc_id {key}, twins bigint")
