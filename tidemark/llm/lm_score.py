@@ -183,7 +183,7 @@ def _score(order: int, parts: int, alpha: float, tokens: int):
             logs[kept] = np.log(by_order[n - 1][kept] / context[kept])
             used[kept] = n
         words = np.bincount(doc, minlength=n_docs)
-        sums = np.bincount(doc, logs, n_docs)
+        sums = np.bincount(doc, logs, n_docs).astype(np.float64)
         full = np.bincount(doc, used == order, n_docs).astype(np.int64)
         empty = words == 0
         mean = np.divide(sums, words, out=np.zeros(n_docs), where=~empty)
@@ -200,11 +200,27 @@ def _score(order: int, parts: int, alpha: float, tokens: int):
     return score
 
 
-def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text, last column, squeezed for the shuffle."""
-    for batch in batches:
-        packed = [_squeezed(t.as_buffer().to_pybytes()) if t.is_valid else _EMPTY for t in batch.columns[-1].cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], ["doc_id", "row_hash", "block", "zipped"])
+def _zipped(blocks: int, block: int):
+    """Texts, last column, squeezed for the shuffle, and the block of each row, from its place.
+
+    Equal rows of a task share a place; they go on to another block whenever they fill one.
+    """
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled: dict[int, int] = {}
+        for batch in batches:
+            packed, dealt = [], []
+            for place, text in zip(batch.columns[2].to_pylist(), batch.columns[3].cast(pa.binary())):
+                data = text.as_buffer().to_pybytes() if text.is_valid else b""
+                packed.append(_squeezed(data))
+                dealt.append((place + filled.get(place, 0) // block) % blocks)
+                filled[place] = filled.get(place, 0) + len(data) + 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(dealt, pa.int64()), pa.array(packed, pa.binary())],
+                ["doc_id", "row_hash", "block", "zipped"],
+            )
+
+    return squeeze
 
 
 def _texts(table: pa.Table) -> pa.Array:
@@ -246,9 +262,10 @@ def lm_scores(
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("row_hash", F.xxhash64("text"))
-    block = F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(blocks)).cast("bigint")
-    rows = rows.select("doc_id", "row_hash", block.alias("block"), "text").mapInArrow(
-        _zipped, f"doc_id {key}, row_hash bigint, block bigint, zipped binary"
+    # Equal rows of different parts of the input are kept apart.
+    place = F.xxhash64("doc_id", "row_hash", F.spark_partition_id())
+    rows = rows.select("doc_id", "row_hash", place.alias("place"), "text").mapInArrow(
+        _zipped(blocks, block), f"doc_id {key}, row_hash bigint, block bigint, zipped binary"
     )
     rows = rows.repartition(blocks, "block")
     asked = rows.groupBy("block").applyInArrow(

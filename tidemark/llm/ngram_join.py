@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.packed import mixed, parts_of, runs_of
+from tidemark.llm.skew import join_facts
 from tidemark.llm.text import row_columns
 from tidemark.operators.ordering import settle
 
@@ -249,8 +250,8 @@ def near_duplicates(
 
     # Buckets with company, then tiles of them.
     keyed = entries.select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    keyed = keyed.join(buckets, "key")
+    buckets = settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    keyed = join_facts(keyed, buckets, ["key"], "members")
     met = keyed.join(entries.select("node", "n_grams", "sign"), "node")
     tiled = settle(_tiles(met, tile))
     groups = max(1, tiled.count() // GROUP_ROWS)
@@ -262,8 +263,11 @@ def near_duplicates(
     roots = stars.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()
     member = stars.select("node", F.col("root").alias("comp")).unionByName(roots)
     sizes = member.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    member = member.join(sizes, "comp").join(entries.select("node", "_row_id", "_row_hash"), "node")
-    texts = texts.withColumnsRenamed({"_row_id": "_text_id", "_row_hash": "_text_hash"})
+    member = join_facts(member, sizes, ["comp"], "members").join(entries.select("node", "_row_id", "_row_hash"), "node")
+    # Equal rows meet in the map tasks: one text of them is shuffled.
+    texts = texts.groupBy(F.col("_row_id").alias("_text_id"), F.col("_row_hash").alias("_text_hash")).agg(
+        F.first("text").alias("text")
+    )
     member = member.join(
         texts, member["_row_id"].eqNullSafe(texts["_text_id"]) & (member["_row_hash"] == texts["_text_hash"])
     ).drop("_text_id", "_text_hash", "_row_id", "_row_hash")
@@ -281,9 +285,12 @@ def near_duplicates(
     labels = by_class.join(degrees, by_class["node"] == degrees["a"], "left").drop("a")
     labels = labels.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").drop("_node")
     labels = settle(labels.withColumn("root", F.coalesce("root", "node")))
-    firsts = labels.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    labels = labels.join(firsts, "root")
-    return sketched.select("_row_id", "_row_hash", "node", "n_grams").join(labels, "node", "left").select(
+    firsts = labels.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    labels = settle(join_facts(labels, firsts, ["root"], "members").drop("members"))
+    rows = sketched.select("_row_id", "_row_hash", "node", "n_grams")
+    named = join_facts(rows.filter("n_grams > 0"), labels, ["node"], "n_copies")
+    found = named.unionByName(rows.filter("n_grams = 0"), allowMissingColumns=True)
+    return found.select(
         F.col("_row_id").alias("doc_id"),
         F.coalesce("class_id", "_row_id").alias("class_id"),
         F.coalesce("copy_id", "_row_id").alias("copy_id"),

@@ -44,8 +44,3 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
 
 def row_columns(text: str = "text", key: str = "doc_id") -> list[Column]:
     return [F.col(key).alias("_row_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row_hash")]
-
-
-def bytes_of(docs: DataFrame, text: str = "text") -> int:
-    """Bytes of all texts, from one aggregated scan; sizes of parts derive from it."""
-    return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
