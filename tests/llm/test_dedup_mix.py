@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import exact_dedup, mixing, skew
 from tidemark.llm.exact_dedup import directory
 
 
@@ -55,6 +55,39 @@ def test_small_buckets_give_the_same_decisions(docs):
     assert sorted(few.select(pick).collect()) == sorted(many.select(pick).collect())
 
 
+def test_texts_of_one_hash_form_a_chain_and_bytes_decide(docs):
+    rows = [(i, f"{'x' * (i % 5)} same length {i % 7}") for i in range(200)] + [(900, "A b"), (901, "a B"), (None, None), (902, "")]
+    pick = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    plain = exact_dedup.exact_dedup(docs(rows))
+    for hasher in (lambda low: F.shiftleft(F.length(low).cast("long"), 58), lambda low: F.lit(7).cast("long")):
+        forced = exact_dedup.exact_dedup(docs(rows), capacity=3, max_depth=6, hasher=hasher)
+        assert sorted(map(str, forced.select(pick).collect())) == sorted(map(str, plain.select(pick).collect()))
+        assert forced.agg(F.max("chain")).first()[0] >= 6
+    found = exact_dedup.keys(docs(rows))
+    slots = exact_dedup.build_directory(found, capacity=4, max_depth=8)
+    assert slots.count() == 256 and slots.agg(F.max("local_depth")).first()[0] >= 3
+    index = exact_dedup.build_index(docs(rows), slots, max_depth=8)
+    # Every entry lies in the bucket of its slot, and no bucket that could split holds more than its capacity.
+    routed = exact_dedup.routed(index.drop("bucket"), slots, max_depth=8).select("bucket", "hash", "sha")
+    assert routed.exceptAll(index.select("bucket", "hash", "sha")).count() == 0
+    full = index.groupBy("bucket").agg(F.countDistinct("hash").alias("n")).join(slots.dropDuplicates(["bucket"]), "bucket")
+    assert full.filter("n > 4 AND local_depth < 8").count() == 0
+
+
+def test_half_of_the_rows_equal_without_adaptive_skew_handling(spark, docs):
+    rows = [(5, "one text again and again")] * 3_000 + [(i, f"text {i % 1500}") for i in range(3_000)]
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        got = exact_dedup.exact_dedup(docs(rows).repartition(4)).collect()
+        mixed = mixing.mix(docs(rows).repartition(4)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+    same = [r for r in got if r["doc_id"] == 5]
+    assert len(got) == 6_000 and len(same) == 3_001
+    assert sum(r["group_size"] == 3_000 for r in got) == 3_000
+    assert len(mixed) == 6_000 and sum(r["taken"] for r in mixed) == pytest.approx(sum(r["size"] for r in mixed), abs=5)
+
+
 def _sources(spark, sizes):
     return spark.createDataFrame(list(sizes.items()), "source string, source_size long")
 
@@ -106,6 +139,30 @@ def test_weights_move_the_order_and_labels_may_repeat(spark, docs):
     assert share(lambda r: r["weight"] > 1) > share(lambda r: r["weight"] == 1)
 
 
+def test_rows_without_id_are_drawn_whatever_their_size(docs):
+    """A third of the rows has no id; each size is taken at about the same share."""
+    rows = [(None, " ".join(f"w{i}" for i in range(i % 9 + 1)) + f" t{i}", "en", "s") for i in range(900)]
+    rows += [(i, "a b c d e", "en", "s") for i in range(900)] + [(i, "x", "en", "other") for i in range(900, 1000)]
+    taken = [r for r in mixing.mix(docs(rows), seed="t").collect() if r["source"] == "s" and r["doc_id"] is None]
+    shares = {}
+    for r in taken:
+        shares.setdefault(r["size"], []).append(r["taken"] % (r["size"] * 2) > 0)
+    rate = sum(map(sum, shares.values())) / len(taken)
+    assert len(shares) == 9 and 0 < rate < 1
+    for own in shares.values():
+        assert abs(sum(own) / len(own) - rate) <= 3 * (rate * (1 - rate) / len(own)) ** 0.5
+    equal = docs([(None, "a b c", "en", "s")] * 400 + [(1, "x", "en", "t")] * 100)
+    part = [r["taken"] for r in mixing.mix(equal).collect() if r["source"] == "s"]
+    assert len(set(part)) == 2 and sorted(part) == sorted(r["taken"] for r in mixing.mix(equal.repartition(7)).collect() if r["source"] == "s")
+
+
+def test_pieces_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PIECE", 10)
+    rows = spark.createDataFrame([("a", 1), ("b", 10), ("c", 11), ("d", 35)], "k string, n long")
+    got = [(r["k"], r["i"]) for r in skew.repeated(rows, "n", "i").collect()]
+    assert sorted(got) == [(k, i) for k, n in (("a", 1), ("b", 10), ("c", 11), ("d", 35)) for i in range(1, n + 1)]
+
+
 def test_mix_of_nothing(docs):
     assert mixing.mix(docs([])).count() == 0
     assert [r["taken"] for r in mixing.mix(docs([(1, ""), (2, None)])).collect()] == [0, 0]

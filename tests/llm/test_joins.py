@@ -95,3 +95,37 @@ def test_backoff_against_brute_force(docs, order, keep, block):
         assert one[:3] == other[:3] and one[3] == pytest.approx(other[3], abs=1e-6)
     assert all((r["mean_log_score"] is None) == (r["n_words"] == 0) for r in got)
     assert lm_score.lm_scores(docs([])).count() == 0
+
+
+def test_half_of_the_rows_equal_and_a_hub_without_adaptive_skew_handling(spark, docs):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    own = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(60)]
+    same = (7, " ".join(rng.choice(words) for _ in range(50)))
+    rows = own + [same] * 60
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        found = ngram_join.near_duplicates(docs(rows).repartition(4)).collect()
+        scores = lm_score.lm_scores(docs(rows).repartition(4), block=2_000).collect()
+        hub = [("hub", f"n{i}") for i in range(3_000)] + [(f"n{i}", f"m{i}") for i in range(0, 3_000, 7)]
+        edges = spark.createDataFrame(hub, "a string, b string")
+        roots = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+    copies = [r for r in found if r["copy_id"] == 7 and r["n_copies"] == 60]
+    assert len(found) == 120 and len(copies) == 60 and {r["class_id"] for r in copies} == {7}
+    want = sorted((d, n, full) for (d, _), (n, full, _) in zip(rows, brute.backoff([t for _, t in rows], 3, 0.4, 2)))
+    assert sorted((r["doc_id"], r["n_words"], r["n_full"]) for r in scores) == want
+    assert set(roots.values()) == {"hub"} and len(roots) == 3_000 + len(range(0, 3_000, 7))
+
+
+def test_equal_rows_fill_several_blocks():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1] * 50 + [2]), pa.array([9] * 50 + [8]), pa.array([5] * 50 + [-4]), pa.array(["x" * 99] * 50 + [None])],
+        ["doc_id", "row_hash", "place", "text"],
+    )
+    out = next(lm_score._zipped(10, 1_000)(iter([batch])))
+    sizes = [out.column(2).to_pylist()[:50].count(b) for b in range(10)]
+    assert sizes == [0, 0, 0, 0, 0, 10, 10, 10, 10, 10] and out.column(2)[50].as_py() == 6

@@ -1,4 +1,6 @@
 import random
+import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -25,6 +27,59 @@ def test_profiles_by_hand():
     assert len(language.grams_of("12 !? \n")) == 0 and len(language.grams_of("")) == 0
 
 
+def _counts(text):
+    found, word = Counter(), ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            padded = f" {word} "
+            found.update(word)
+            for n in (2, 3):
+                found.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+            word = ""
+    return found
+
+
+def _ranks(counts, most):
+    code = lambda gram: tuple([0] * (3 - len(gram)) + [1 if c == " " else ord(c) + 2 for c in gram])
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:most]
+
+
+def test_predictions_equal_brute_force(spark):
+    """Profiles, distances and scores in plain Python, on the documents of the small tables and odd texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10_001, "Ünïcode façade ДОМ дом", None), (10_002, "a", "en"), (10_003, "1 a 2 b", None), (10_004, None, "en"), (10_005, "x" * 5_000, None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    rows, most, totals = docs.collect(), language.PROFILE, {}
+    for r in rows:
+        if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % language.FOLDS:
+            totals.setdefault(r["lang"], Counter()).update(_counts(r["text"] or ""))
+    profiles = {lang: {g: i for i, g in enumerate(_ranks(n, most))} for lang, n in totals.items() if n}
+    want = {}
+    for r in rows:
+        own = _ranks(_counts(r["text"] or ""), most)
+        if not own:
+            want[r["doc_id"]] = ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - i) if g in p else most for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want[r["doc_id"]] = (best, 1 - far[best] / (most * len(own)))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.languages(docs).collect()}
+    assert got.keys() == want.keys()
+    for doc_id, (lang, score) in want.items():
+        assert got[doc_id][0] == lang and got[doc_id][1] == pytest.approx(score), doc_id
+
+
+def test_stage_without_anything_to_learn_keeps_its_texts(docs):
+    rows = docs([(1, "some text"), (2, "1 2 3"), (3, None), (4, "ещё текст"), (5, "")])
+    kept = {r["doc_id"]: r["lang"] for r in language.in_a_language(rows).collect()}
+    assert kept == {1: None, 4: None}
+    learned = docs([(i, "the and of with that", "en") for i in range(10)] + [(20, "the of and", None), (21, "?", "en")])
+    assert {r["lang"] for r in language.in_a_language(learned).collect()} == {"en"}
+    assert language.in_a_language(learned).count() == 11
+
+
 def test_language_of_odd_rows(docs):
     rows = [(i, "der die das und nicht", "de") for i in range(10)] + [(20 + i, "the and of with that", "en") for i in range(10)]
     rows += [(100, None, "de"), (101, "1 2 3"), (102, ""), (103, "the of and " * 30_000), (None, "und das"), (104, "ДОМ")]

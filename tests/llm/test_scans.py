@@ -113,22 +113,41 @@ def test_base_phrases(docs):
     assert licenses.scan(docs([])).count() == 0
 
 
-def test_blocks_against_all_sets(docs):
+def _best_windows(text, threshold=0.9, block=64):
+    """label -> largest share of a notice in any window of the text."""
+    w, best = brute.words(text), {}
+    for label, notice in licenses.NOTICES:
+        words = set(notice.split())
+        for start in range(len(w)):
+            share = len(words & set(w[start : start + block])) / len(words)
+            if share >= threshold - 1e-9:
+                best[label] = max(best.get(label, 0), share)
+    return best
+
+
+def test_windows_against_all_sets(docs):
     notices = [n.split() for _, n in licenses.NOTICES]
     rows = []
     for i, (_, notice) in enumerate(licenses.NOTICES):
         w = notice.split()
         for cut in range(3):
             rows.append((10 * i + cut, "pad " * (7 * i) + " ".join(w[cut:]).title() + " and\nmore" * (5 * cut + 1)))
+        # Spread over up to a window and one word more.
+        for wide in (60, 64, 65):
+            rows.append((10 * i + wide % 7 + 3, "pad " * i + " ".join(w[:3]) + " x" * (wide - len(w)) + " " + " ".join(w[3:])))
     rows.append((999, " ".join(w for n in notices for w in n) * 3))
-    got = {(r["_row_id"], r["block_start"], r["label"]) for r in licenses.notice_blocks(docs(rows)).collect()}
-    want = set()
-    for doc_id, text in rows:
-        w = brute.words(text)
-        for start in range(0, max(len(w) - 32 - 1, 0) + 1, 32):
-            held = set(w[start : start + 64])
-            for label, notice in licenses.NOTICES:
-                words = set(notice.split())
-                if len(words & held) >= -(-9 * len(words) // 10):
-                    want.add((doc_id, start, label))
+    rows.append((998, "the terms of the software " * 200))
+    got = {}
+    for r in licenses.notice_windows(docs(rows)).collect():
+        own = got.setdefault(r["_row_id"], {})
+        own[r["label"]] = max(own.get(r["label"], 0), r["containment"])
+    want = {doc_id: best for doc_id, text in rows if (best := _best_windows(text))}
     assert got == want and len(want) > 12
+
+
+def test_labels_do_not_depend_on_what_stands_before(docs):
+    notice = licenses.NOTICES[5][1].split()
+    spread = " ".join(f"{w} x x x x" for w in notice[:-1]) + f" {notice[-1]}"
+    assert len(spread.split()) <= 64
+    rows = [(n, "pad " * n + spread) for n in range(130)]
+    assert {r["labels"] for r in licenses.scan(docs(rows)).collect()} == {"lgpl"}

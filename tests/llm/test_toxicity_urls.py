@@ -131,3 +131,69 @@ def test_decisions_spread_to_aliases(spark):
         1: ("block", "alias"), 2: ("block", "alias"), 3: ("allow", "alias"), 4: ("block", "rule"),
         5: ("allow", "default"), 6: ("block", "alias"), 7: ("block", "alias"),
     }
+
+
+def test_urls_that_quote_urls_are_judged_as_themselves(spark):
+    rows = [
+        (1, "http://share.net/?u=http://m.com/de/1", None), (2, "http://arch.net/web/http://foo.com/de/x", None),
+        (3, "http://share.net/?u=http://m.com/de/1#x", None), (4, "http://m.com/de/1", None),
+        (5, "http://arch.net/http://c.org/ok", '<meta property="og:url" content="http://foo.com/de/y">'),
+        (6, "http://x.net/f:http://foo.com/de/x", None), (7, "u:http://foo.com/de/x", None),
+    ]
+    got = {r["page_id"]: (r["verdict"], r["by"]) for r in url_filter.verdicts(_pages(spark, rows), URL_RULES).collect()}
+    assert got == {
+        1: ("allow", "default"), 2: ("allow", "default"), 3: ("allow", "default"), 4: ("block", "rule"),
+        5: ("block", "alias"), 6: ("allow", "default"), 7: ("block", "rule"),
+    }
+
+
+def test_components_against_brute_force_with_quoted_urls(spark):
+    rng = np.random.default_rng(7)
+    hosts, paths = ["a.net", "b.com", "www.a.net", "c.org"], ["/de/1", "/fr/2", "/p", "/p/", "/web/http://b.com/de/1", "?u=http://c.org/x", "?u=http://b.com/de/1&ref=2"]
+    link = ('<link rel="canonical" href="{}">', "<link href='{}' rel='canonical'>", '<meta http-equiv="refresh" content="1;url={}">', '<meta property="og:url" content="{}">')
+    pick = lambda: f"http://{rng.choice(hosts)}{rng.choice(paths)}"
+    rows = [(i, pick(), rng.choice(link).format(pick()) if rng.random() < 0.15 else None) for i in range(40)]
+    import re
+
+    nodes, parent = {}, {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def plain(url):
+        host, path, query = re.match(r"http://([^/?#]*)([^?#]*)\??(.*)", url).groups()
+        kept = sorted(q for q in query.split("&") if q and not re.match(r"ref(=|$)", q))
+        return ("form", re.sub(r"^www\.", "", host) + re.sub(r"/$", "", path) + ("?" + "&".join(kept) if kept else ""))
+
+    def ruled(url):
+        host, path = re.match(r"http://([^/?#]*)([^?#]*)", url).groups()
+        fits = [(len(h + p), v) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    urls = set()
+    for _, url, html in rows:
+        to = re.search(r"http://[^\"']*(?=['\"])", html).group() if html else None
+        for u in filter(None, (url, to)):
+            urls.add(u)
+            parent[find(u)] = find(plain(u))
+        if to:
+            parent[find(url)] = find(to)
+    for u in urls:
+        if ruled(u):
+            nodes.setdefault(find(u), set()).add(ruled(u))
+    got = {r["page_id"]: r["verdict"] for r in url_filter.verdicts(_pages(spark, rows), URL_RULES).collect()}
+    for page_id, url, _ in rows:
+        said = nodes.get(find(url), set())
+        assert got[page_id] == (ruled(url) or ("allow" if "allow" in said or not said else "block")), url
+
+
+def test_of_texts_that_share_an_id_the_smallest_hash_is_learned(spark, docs):
+    rows = [(i, f"calm{i} text{i}", "en") for i in range(20)] + [(100 + i, f"foul{i} idiot word{i}", "en") for i in range(8)] * 1
+    rows += [(103, f"other text {n}", "en") for n in range(5)]
+    frame = spark.createDataFrame([(d, int(d >= 100)) for d in {r[0] for r in rows}], "doc_id long, toxic int")
+    first = {tuple(r) for r in toxicity._sample(docs(rows).repartition(1), frame, 100)[0].collect()}
+    assert first == {tuple(r) for r in toxicity._sample(docs(rows[::-1]).repartition(5), frame, 100)[0].collect()}
+    assert len(first) == len({r[0] for r in first})

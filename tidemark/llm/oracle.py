@@ -15,7 +15,8 @@ FROM d WINDOW g AS (PARTITION BY low)
 
 _MIX = """
 WITH RECURSIVE d AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS h,
+         row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) AS n,
          len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
@@ -37,12 +38,12 @@ plan AS (SELECT s.source, s.source_size, r.target, floor(r.target / greatest(s.s
          WHERE r.n = (SELECT max(n) FROM rounds)),
 q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 keyed AS (
-  SELECT d.doc_id, d.source, d.size,
-         -ln((('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE)
+  SELECT d.doc_id, d.source, d.size, d.h, d.n,
+         -ln((('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '') || ':' || h || ':' || n), 1, 13))::BIGINT + 0.5::DOUBLE)
              / 4503599627370496.0::DOUBLE)
          / CASE q.quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS k
   FROM d LEFT JOIN q ON d.doc_id = q.doc_id),
-run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, size
+run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, h, n
                                   ROWS UNBOUNDED PRECEDING) - size AS start FROM keyed)
 SELECT doc_id, size, plan.source_size, plan.target,
        (size * (epochs + CASE WHEN start < target - epochs * plan.source_size
@@ -71,7 +72,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_NOTICES = ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in NOTICES)
+_NOTICES = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text) in enumerate(NOTICES))
 
 _LICENSES = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -81,11 +82,14 @@ base AS (SELECT doc_id, label, k - 1 AS place FROM d, ph,
          LATERAL (SELECT unnest(generate_series(1, len(w) - len(phrase) + 1)) AS k)
          WHERE len(w) >= len(phrase) AND w[k:k + len(phrase) - 1] = phrase),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM base GROUP BY doc_id),
-notices AS (SELECT label, list_distinct(words) AS words FROM (VALUES {_NOTICES}) AS t(label, words)),
-blocks AS (SELECT doc_id, list_distinct(w[k + 1:k + 64]) AS held FROM d,
-           LATERAL (SELECT unnest(generate_series(0, greatest(len(w) - 33, 0), 32)) AS k)),
-found AS (SELECT doc_id, label, len(list_intersect(held, words)) / len(words) AS share FROM blocks, notices
-          WHERE len(list_intersect(held, words)) >= ceil(0.9 * len(words) - 1e-9)),
+notices AS (SELECT number, label, list_distinct(words) AS words FROM (VALUES {_NOTICES}) AS t(number, label, words)),
+terms AS (SELECT number, label, len(words) AS n, unnest(words) AS word FROM notices),
+spots AS (SELECT doc_id, k, w[k] AS word FROM d, LATERAL (SELECT unnest(generate_series(1, len(w))) AS k)),
+held AS (SELECT doc_id, number, label, n, k, spots.word FROM spots JOIN terms ON terms.word = spots.word),
+-- Every window of 64 words that starts at a word of the notice: others hold no more than the next of these.
+found AS (SELECT DISTINCT a.doc_id, a.label, count(DISTINCT b.word) / a.n AS share
+          FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.number = b.number AND b.k BETWEEN a.k AND a.k + 63
+          GROUP BY a.doc_id, a.number, a.label, a.n, a.k HAVING count(DISTINCT b.word) >= ceil(0.9 * a.n - 1e-9)),
 best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
 bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id),
 al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
@@ -105,10 +109,20 @@ WITH RECURSIVE rules AS (
   SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(verdict, rhost, rpath)),
 p AS (SELECT page_id, url, html, {_HOST} AS host, {_PATH} AS path FROM pages),
-known AS (SELECT DISTINCT url FROM p WHERE url LIKE '%://%'),
-links AS (SELECT url AS src, regexp_extract(html, '<link[^>]*rel="canonical"[^>]*href="([^"]+)"', 1, 'is') AS dst FROM p
-          WHERE url LIKE '%://%'),
-found AS (SELECT DISTINCT src, dst FROM links WHERE dst LIKE '%://%'),
+known AS (SELECT DISTINCT url, html FROM p WHERE url LIKE '%://%'),
+links AS (SELECT DISTINCT url, trim(unnest([
+            regexp_extract(html, '<link\\b[^>]*\\brel=["'']?canonical\\b[^>]*\\bhref=["'']([^"'']+)', 1, 'is'),
+            regexp_extract(html, '<link\\b[^>]*\\bhref=["'']([^"'']+)["''][^>]*\\brel=["'']?canonical\\b', 1, 'is'),
+            regexp_extract(html, '<meta\\b[^>]*\\bhttp-equiv=["'']?refresh\\b[^>]*\\bcontent=["''][^"'']*?url=([^"''>]+)', 1, 'is'),
+            regexp_extract(html, '<meta\\b[^>]*\\bproperty=["'']?og:url\\b[^>]*\\bcontent=["'']([^"'']+)', 1, 'is')])) AS link
+          FROM known),
+found AS (SELECT DISTINCT url AS src, CASE
+            WHEN link LIKE '%://%' THEN link
+            WHEN link LIKE '//%' THEN regexp_extract(url, '^(.*?)://', 1, 's') || ':' || link
+            WHEN link LIKE '/%' THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || link
+            ELSE regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's')
+                 || coalesce(nullif(regexp_replace({_PATH}, '[^/]*$', ''), ''), '/') || link END AS dst
+          FROM links WHERE link <> ''),
 urls AS (SELECT url FROM known UNION SELECT dst FROM found),
 plain AS (SELECT url, regexp_replace({_HOST}, '^www\\.', '')
                       || regexp_replace({_PATH}, '(/index\\.html?|\\.html?|/)$', '')
@@ -116,7 +130,8 @@ plain AS (SELECT url, regexp_replace({_HOST}, '^www\\.', '')
           FROM (SELECT url, list_filter(string_split(regexp_extract(url, '^.*?://[^?#]*\\?([^#]*)', 1, 's'), '&'),
                             lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')) AS q
                 FROM urls)),
-pairs AS (SELECT url AS a, form AS b FROM plain UNION SELECT src, dst FROM found),
+-- Addresses and plain forms are nodes of two kinds: a form may quote an address.
+pairs AS (SELECT 'u:' || url AS a, 'f:' || form AS b FROM plain UNION SELECT 'u:' || src, 'u:' || dst FROM found),
 edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a),
 comp AS (SELECT node, min(seen) AS root FROM reach GROUP BY node),
@@ -126,9 +141,9 @@ ranked AS (SELECT u.url, verdict, rhost || rpath AS rule,
            WHERE (host = rhost OR suffix(host, '.' || rhost)) AND prefix(path, rpath)),
 best AS (SELECT * FROM ranked WHERE n = 1),
 spread AS (SELECT root, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict
-           FROM best JOIN comp ON comp.node = best.url GROUP BY root)
+           FROM best JOIN comp ON comp.node = 'u:' || best.url GROUP BY root)
 SELECT p.page_id, host, path, rule, coalesce(best.verdict, spread.verdict, 'allow') AS verdict
-FROM p LEFT JOIN best ON p.url = best.url LEFT JOIN comp ON comp.node = p.url LEFT JOIN spread ON spread.root = comp.root
+FROM p LEFT JOIN best ON p.url = best.url LEFT JOIN comp ON comp.node = 'u:' || p.url LEFT JOIN spread ON spread.root = comp.root
 """
 
 _BACKOFF = f"""
