@@ -2,12 +2,13 @@
 
 A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of at least MIN_CHARS code points that
 occur in at least MIN_DOCS documents keep their lines in the largest doc_id only. Keys travel as two 64-bit hashes with
-different seeds. They are dealt to tasks by ranges of the hash and sorted there by document, largest first, and
-position: the first document in that order keeps its lines, and what follows goes once a third document is seen.
+different seeds; keys equal in both count as equal. They are dealt to tasks by equal ranges of the hash (hashes are uniform, so no sample is needed) and
+sorted there by key and document, largest first, and position: the first document in that order keeps its lines, and
+what follows goes once a third document is seen.
 
 A key that holds more than one of SLICES lines would make one task the slowest. Such keys are told from a sample of one
-row in SAMPLE; whether one is found changes the plan, not the result. Their documents are counted in two steps, both
-pre-aggregated, and their few facts are broadcast to their lines.
+row in SAMPLE; whether one is found changes the plan, not the result. Lines of these keys are kept aside, their
+documents are counted in two steps, both pre-aggregated, and their few facts are broadcast to the lines.
 
 What comes back is no text but the gaps of the keep bitmap: the number of kept lines before each dropped one, and after
 the last. `kept_lines` applies them.
@@ -30,6 +31,8 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 #: One row in this many is looked at to find keys that a single task should not get.
 SAMPLE = 64
+#: Bits of a hash that number its range.
+RANGE_BITS = 16
 _KEY = ["h1", "h2"]
 
 
@@ -41,13 +44,16 @@ def lines_of(text: str | Column) -> Column:
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """h1, h2, _row_id, _row_hash, at: hashes, document, text hash and position of each line long enough."""
-    low = docs.select(
-        F.col("doc_id").alias("_row_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row_hash"),
-        lowered("text").alias("low"),
+    rows = docs.select(
+        F.col("doc_id").alias("_row_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row_hash"), "text"
     )
-    lines = low.select("_row_id", "_row_hash", F.posexplode(F.split("low", "\n", -1)).alias("at", "line"))
-    key = lines.select("_row_id", "_row_hash", "at", F.btrim("line", F.lit(BLANKS)).alias("key"))
-    return key.filter(F.length("key") >= min_chars).select(
+    lines = rows.select("_row_id", "_row_hash", F.posexplode(lines_of("text")).alias("at", "line"))
+    inner = lines.select("_row_id", "_row_hash", "at", F.btrim("line", F.lit(BLANKS)).alias("inner"))
+    inner = inner.filter(F.length("inner") >= min_chars)
+    # Where every character is ASCII, plain lower-casing is the same and much cheaper.
+    plain = F.octet_length("inner") == F.length("inner")
+    key = inner.select("_row_id", "_row_hash", "at", F.when(plain, F.lower("inner")).otherwise(lowered("inner")).alias("key"))
+    return key.select(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "_row_id", "_row_hash", "at"
     )
 
@@ -62,24 +68,27 @@ def hot_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """_row_id, _row_hash, at of the lines that go."""
-    lines = line_keys(docs, min_chars)
-    hot = F.broadcast(settle(hot_keys(docs, min_chars)))
-
-    # Equal keys meet in one range of hashes; the window works along the sorted range.
-    cold = lines.join(hot, _KEY, "left_anti").repartitionByRange(*_KEY)
-    key = Window.partitionBy(*_KEY)
+    lines, pick = line_keys(docs, min_chars), ["_row_id", "_row_hash", "at"]
+    hot = settle(hot_keys(docs, min_chars))
+    some_hot = not hot.isEmpty()
+    cold = lines.join(F.broadcast(hot), _KEY, "left_anti") if some_hot else lines
+
+    # A range of hashes lies in one task; the windows work along its sorted rows.
+    cold = cold.withColumn("range", F.shiftrightunsigned("h1", 64 - RANGE_BITS).cast("int")).repartition("range")
+    key = Window.partitionBy("range", *_KEY)
     seen = cold.withColumn("nth", F.dense_rank().over(key.orderBy(F.col("_row_id").desc_nulls_last())))
-    seen = seen.withColumn("docs", F.max("nth").over(key)) if min_docs > 2 else seen.withColumn("docs", F.col("nth"))
-    cold_drops = seen.filter((F.col("nth") > 1) & (F.col("docs") >= min_docs))
+    seen = seen.withColumn("docs", F.max("nth").over(key))
+    drops = seen.filter((F.col("nth") > 1) & (F.col("docs") >= min_docs)).select(*pick)
+    if not some_hot:
+        return drops
 
-    ours = lines.join(hot, _KEY)
+    ours = settle(lines.join(F.broadcast(hot), _KEY))
     holders = ours.groupBy(*_KEY, "_row_id").agg(F.lit(1).alias("one"))
     facts = holders.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("docs"), F.max("_row_id").alias("last"))
     # As many rows as there are hot keys.
     facts = F.broadcast(settle(facts.filter(F.col("docs") >= min_docs)))
     hot_drops = ours.join(facts, _KEY).filter(~F.col("_row_id").eqNullSafe(F.col("last")))
-    pick = ["_row_id", "_row_hash", "at"]
-    return cold_drops.select(*pick).unionByName(hot_drops.select(*pick))
+    return drops.unionByName(hot_drops.select(*pick))
 
 
 def kept_lines(lines: Column, gaps: Column) -> Column:
