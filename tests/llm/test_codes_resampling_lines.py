@@ -169,7 +169,7 @@ def test_kth_key_is_that_of_a_sort(spark, docs):
     rows = resampling.scored(docs(_texts(200, random.Random(8), "a b".split())), docs([]))
     keys = sorted(tuple(r["_key"]) for r in rows.collect())
     for k in (1, 77, 200):
-        assert resampling.kth_key(rows, k, pivots=3) == keys[k - 1]
+        assert resampling.kth_key(rows, k, 200, pivots=3) == keys[k - 1]
 
 
 # --- line dedup ---------------------------------------------------------------------------
@@ -240,7 +240,8 @@ def test_lines_of_nothing(docs):
 # --- joins to facts of a hot key ------------------------------------------------------------
 
 
-def test_rows_of_hot_and_other_keys_meet_their_facts(spark):
+def test_rows_of_hot_and_other_keys_meet_their_facts(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 100)
     keys = [None] * 5_000 + [1] * 3_000 + list(range(2, 3_000))
     rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i long").repartition(5).checkpoint()
     facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("i").alias("s")).checkpoint()
@@ -251,3 +252,5 @@ def test_rows_of_hot_and_other_keys_meet_their_facts(spark):
     assert len(got) == len(keys) and all(r["s"] == sums[r["k"]] for r in got)
     plan = skew.join_facts(rows, facts, ["k"], "n")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=broadcast") >= 2
+    monkeypatch.setattr(skew, "LEAST", 10_000)
+    assert sorted(map(str, got)) == sorted(map(str, skew.join_facts(rows, facts, ["k"], "n").collect()))

@@ -135,21 +135,26 @@ def _literal(key: Any) -> Column:
     return F.struct(*[F.lit(v).alias(n) for n, v in zip(("score", "no_id", "id", "hash", "row"), key)])
 
 
-def kth_key(rows: DataFrame, k: int, pivots: int = PIVOTS, seed: int = 0) -> Any:
-    """The k-th smallest _key, k from 1; rows must be settled and hold at least k.
+def kth_key(rows: DataFrame, k: int, n: int, pivots: int = PIVOTS, seed: int = 0) -> Any:
+    """The k-th smallest _key, k from 1, of n settled rows.
 
-    Each pass brings `pivots` keys and two counts for each of them to the driver.
+    Each pass brings about `pivots` keys, drawn by hash, and two counts for each of them to the driver.
     """
     key = F.col("_key")
-    low, high, before, turn = None, None, 0, 0
+    low, high, before, upto, turn = None, None, 0, n, 0
     while True:
         left = rows
         if low is not None:
             left = left.filter(key > _literal(low))
         if high is not None:
             left = left.filter(key < _literal(high))
-        drawn = left.select("_key").orderBy(F.xxhash64(F.lit(seed), F.lit(turn), "_key"), "_key").limit(pivots)
-        keys = sorted(tuple(r["_key"]) for r in drawn.collect())
+        # Each open row is drawn with the same chance, so that few keys travel however many tasks there are.
+        chance = int(min(1.0, pivots / (upto - before)) * _HASHES)
+        drawn = left.filter(F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "_key"), F.lit(_HASHES)) < chance)
+        keys = sorted(tuple(r["_key"]) for r in drawn.select("_key").collect())
+        turn += 1
+        if not keys:
+            continue
         sides = [F.count_if(test) for p in keys for test in (key < _literal(p), key == _literal(p))]
         counts = left.agg(*[c.alias(f"c{i}") for i, c in enumerate(sides)]).first()
         base = before
@@ -160,9 +165,8 @@ def kth_key(rows: DataFrame, k: int, pivots: int = PIVOTS, seed: int = 0) -> Any
             if less + equal < k:
                 low, before = p, less + equal
             else:
-                high = p
+                high, upto = p, less
                 break
-        turn += 1
 
 
 def resample(
@@ -178,11 +182,12 @@ def resample(
     """One row per document: doc_id, n_features, weight, score and rank; rank is NULL where it is not drawn."""
     rows = scored(docs, target, runs, buckets, seed)
     fit = rows.filter(F.col("n_words") >= min_words)
-    k = percent * fit.count() // 100
+    n = fit.count()
+    k = percent * n // 100
     out = ["doc_id", "n_features", "weight", "score"]
     if k == 0:
         return rows.select(*out, F.lit(None).cast("long").alias("rank"))
-    last = _literal(kth_key(fit, k, pivots))
+    last = _literal(kth_key(fit, k, n, pivots))
     won = (F.col("n_words") >= min_words) & (F.col("_key") <= last)
     ranked = row_numbers(rows.filter(won), [], ["_key"], "rank").select(*out, "rank")
     return ranked.unionByName(rows.filter(~won).select(*out, F.lit(None).cast("long").alias("rank")))
