@@ -4,7 +4,8 @@ S(w | context) = count(context w) / count(context) if the n-gram occurs at least
 times the score with a context shorter by one word, down to count(w) / N. A document's score is the sum of log S over
 its words, its mean the sum per word.
 
-Documents are dealt to blocks by hash. Each block explodes its texts into n-grams of orders 1 to ORDER and sends every
+Documents are dealt to blocks by hash; equal rows are kept apart by the part of the input that holds them, and go on to
+another block whenever they fill one. Each block explodes its texts into n-grams of orders 1 to ORDER and sends every
 distinct n-gram hash once, with its count, to the part of the count table that its hash names: the same n-gram in a
 third of all documents is one row per block, so no part gets more of it than there are blocks. The parts sum the
 counts and return, to each block and in the order in which it asked, the corpus counts. The block joins them to its
