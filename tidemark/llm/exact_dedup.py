@@ -124,12 +124,16 @@ def without_copies(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id and the SHA-256 of the normalised text, whatever the data hold: different texts that
     share a doc_id, or have none, all stay.
     """
-    keep = exact_dedup(docs).filter("kept").select(
+    kept = exact_dedup(docs).filter("kept").select(
         F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")
     )
-    keep, sha = settle(keep.distinct()), "_sha"
+    kept, sha = settle(kept), "_sha"
+    keep = settle(kept.distinct())
+    repeats = kept.count() > keep.count()
     while sha in docs.columns:
         sha += "_"
     rows = docs.withColumn(sha, F.sha2(lowered("text"), 256))
     same = rows["doc_id"].eqNullSafe(keep["_keep_id"]) & (rows[sha] == keep["_keep_sha"])
-    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)
+    left = rows.join(keep, same, "left_semi")
+    # Texts are shuffled once more only where rows repeat a doc_id and a text.
+    return (left.dropDuplicates(["doc_id", sha]) if repeats else left).drop(sha)
