@@ -1,6 +1,7 @@
 """Statistics against numpy on collected small data."""
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -129,6 +130,17 @@ def test_trim_grid_equals_trimming_then_reading(wide):
     assert trimming.estimates(cells).count() == 6
 
 
+def test_trim_grid_deals_more_tasks_to_more_rows(wide, monkeypatch):
+    frame, df = wide
+    monkeypatch.setattr(trimming, "SUMS_PER_TASK", 10)
+    cells = trimming.readouts(df, ["impressions_control"], ["left", "both"], [0, 5, 20])
+    dealt = re.findall(r"hashpartitioning\(line_item_id#\d+, (\d+)\), REPARTITION_BY_NUM", cells._jdf.queryExecution().toString())
+    assert dealt and int(dealt[0]) == len(frame) * 3 * 2 // 10
+    row = cells.where("direction = 'both' AND pct_cut = 20 AND optimization_goal = 'Overall'").first()
+    v = frame["impressions_control"]
+    assert row["rows_kept"] == ((v >= np.percentile(v, 20)) & (v <= np.percentile(v, 80))).sum()
+
+
 def test_trim_checks(wide):
     _, df = wide
     with pytest.raises(ValueError):

@@ -1,7 +1,9 @@
 """Dropping the tails of a dimension, and how the read-out changes with the cut.
 
 Each row is sent once to the partition of its line item and only there spread
-over the cuts that keep it, so the shuffle does not grow with the grid. Cells then meet as merged moments, a handful of rows.
+over the cuts that keep it, so the shuffle does not grow with the grid. Partitions
+grow in number with the rows, so that a task's sums do not grow with the input.
+Cells then meet as merged moments, a handful of rows.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from tidemark.operators import calibration, ordering
 DIRECTIONS = ("left", "right", "both")
 CELL = ("dimension", "direction", "pct_cut", "optimization_goal")
 UNCUT = "none"
+#: Sums per item and series that one task holds at most, about, however many rows there are.
+SUMS_PER_TASK = 400_000
 
 
 def _check(df: DataFrame, dimension: str, directions: Sequence[str]) -> None:
@@ -91,7 +95,10 @@ def readouts(
         *[calibration.total(c).alias(c) for c in calibration.PAIRED],
     ]
     keys = ["_no", "optimization_goal", item]
-    placed = wide.repartition(item)
+    # A row becomes a sum in every series, overall and for its goal. A count that is given is kept as it is.
+    most = wide.count() * len(names) * (1 + len(_goal_column(wide)))
+    parts = max(wide.sparkSession.sparkContext.defaultParallelism, -(-most // SUMS_PER_TASK))
+    placed = wide.repartition(parts, item)
     placed = placed.withColumns({f"_ends_{d}": thresholds[d] for d in dimensions}).withColumns(survived)
     placed = placed.drop(*[f"_ends_{d}" for d in dimensions])
     rows = placed.select(
@@ -99,8 +106,17 @@ def readouts(
     ).select("*", F.inline("_series"))
     rows = rows.drop("optimization_goal").withColumnRenamed("_goal", "optimization_goal")
     survived = rows.where(F.col("_cuts") > 0).groupBy(*keys, "_cuts").agg(*sums)
-    spread = survived.withColumn("_cut", F.explode(F.sequence(F.lit(1), F.col("_cuts"))))
-    items = spread.groupBy(*keys, "_cut").agg(*sums)
+    # From the rows that survive most cuts to those that survive least, an item's running sums are its sums in the cuts
+    # from the next lower number of survived ones up: they go to the cells at once and no task holds them per cut.
+    nested = Window.partitionBy(*keys).orderBy(F.desc("_cuts"))
+    upto = nested.rowsBetween(Window.unboundedPreceding, 0)
+    summed = survived.select(
+        *keys,
+        *[F.sum(c).over(upto).alias(c) for c in ("_rows", *calibration.PAIRED)],
+        (F.lead("_cuts", 1, 0).over(nested) + 1).alias("_first"),
+        "_cuts",
+    )
+    items = summed.withColumn("_cut", F.explode(F.sequence(F.col("_first"), F.col("_cuts"))))
     moments = items.groupBy("_no", "optimization_goal", "_cut").agg(
         *calibration.arm_moments(),
         F.sum("_rows").alias("rows_kept"),
