@@ -141,6 +141,23 @@ def test_trim_grid_deals_more_tasks_to_more_rows(wide, monkeypatch):
     assert row["rows_kept"] == ((v >= np.percentile(v, 20)) & (v <= np.percentile(v, 80))).sum()
 
 
+def test_trim_estimates_hold_no_sums_per_item_and_cut(wide):
+    frame, df = wide
+    frame = pd.concat([frame, frame.assign(bid_strategy="C", impressions_control=frame["impressions_control"] * 3)])
+    cells = trimming.readouts(
+        df.unionByName(df.withColumns({"bid_strategy": F.lit("C"), "impressions_control": F.col("impressions_control") * 3})),
+        ["impressions_control"], ["right"], [0, 10, 30, 60],
+    )
+    found = trimming.estimates(cells)
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", found._jdf.queryExecution().executedPlan().toString())
+    assert any("line_item_id" in k for k in keys)
+    assert not [k for k in keys if "line_item_id" in k and "_cut#" in k]
+    v = frame["impressions_control"]
+    for row in found.collect():
+        _, d, width = readout(frame[v <= np.percentile(v, 100 - row["pct_cut"])])
+        assert row["cali_d"] == pytest.approx(d) and row["cali_d_hi"] - row["cali_d_lo"] == pytest.approx(width)
+
+
 def test_trim_checks(wide):
     _, df = wide
     with pytest.raises(ValueError):
