@@ -57,6 +57,59 @@ AA_NORMAL = AA + POP + prior("pop") + f""", arms AS (SELECT sim_id, arm,
   decided AS (SELECT *, CAST(abs(z) > 1.959963984540054::DOUBLE AS INTEGER) AS false_positive FROM pairs)"""
 # Draws agree with the normal check everywhere, and with its decision where that is clear of the bound.
 CLEAR = "CASE WHEN abs(abs(z) - 1.959963984540054::DOUBLE) > 0.6::DOUBLE THEN false_positive END"
+TRIES, SLOTS = 8, 25
+
+
+def mixed(columns: dict[str, tuple[str, str]], source: str) -> str:
+    """Columns of uniforms from hashes of key and counter: name to (counter, where it is wanted). A subquery per step."""
+    steps = (
+        lambda n, c: f"xor((k0 + {c} * 2654435769::UBIGINT) % 4294967296::UBIGINT, k1)",
+        lambda n, c: f"(xor({n}, {n} >> 16) * 2146121005::UBIGINT) % 4294967296::UBIGINT",
+        lambda n, c: f"(xor({n}, {n} >> 15) * 2221713035::UBIGINT) % 4294967296::UBIGINT",
+        lambda n, c: f"(CAST(xor({n}, {n} >> 16) AS DOUBLE) + 0.5::DOUBLE) / 4294967296::DOUBLE",
+    )
+    for i, step in enumerate(steps):
+        found = ", ".join(f"CASE WHEN {w} THEN {step(n, c)} END AS {n}" for n, (c, w) in columns.items())
+        source = f"SELECT *, {found} FROM ({source})" if i == 0 else f"SELECT * REPLACE ({found}) FROM ({source})"
+    return source
+
+
+def gamma_tries(source: str) -> str:
+    """Logarithms l_x and l_y of gamma draws of shapes x and y by Marsaglia and Tsang, as in shrinkage.hashed_draws."""
+    sql = f"SELECT *, NULL::DOUBLE AS l_x, NULL::DOUBLE AS l_y, 1::DOUBLE AS v_x, 1::DOUBLE AS v_y FROM ({source})"
+    for t in range(TRIES):
+        sql = mixed({f"u{i}_{g}": (f"(c_{g} + {3 * t + i})", f"l_{g} IS NULL") for g in "xy" for i in range(3)}, sql)
+        x = ", ".join(f"CASE WHEN l_{g} IS NULL THEN sqrt(-2 * ln(u0_{g})) * cos(2 * pi() * u1_{g}) END AS u0_{g}" for g in "xy")
+        v = ", ".join(f"CASE WHEN l_{g} IS NULL THEN 1 + u0_{g} / sqrt(9 * d_{g}) END AS v_{g}" for g in "xy")
+        log_v = {g: f"3 * ln(greatest(v_{g}, 1e-300::DOUBLE))" for g in "xy"}
+        taken = ", ".join(
+            f"""CASE WHEN l_{g} IS NOT NULL THEN l_{g} WHEN v_{g} > 0
+              AND ln(u2_{g}) < u0_{g} * u0_{g} / 2 + d_{g} * (1 - v_{g} * v_{g} * v_{g} + {log_v[g]}) THEN {log_v[g]} END AS l_{g}"""
+            for g in "xy"
+        )
+        for columns in (x, v, taken):
+            sql = f"SELECT * REPLACE ({columns}) FROM ({sql})"
+        sql = f"SELECT * EXCLUDE ({', '.join(f'u{i}_{g}' for g in 'xy' for i in range(3))}) FROM ({sql})"
+    sql = mixed({f"w_{g}": (f"(c_{g} + {3 * TRIES})", f"{g} < 1") for g in "xy"}, sql)
+    logs = ", ".join(f"coalesce(l_{g}, 0) + ln(d_{g}) + CASE WHEN {g} < 1 THEN ln(w_{g}) / {g} ELSE 0 END AS l_{g}" for g in "xy")
+    return f"SELECT * REPLACE ({logs}) FROM ({sql})"
+
+
+# 300 draws per row, keyed by seed 0, simulation, arm and item; their sums in millionths are whole numbers.
+DRAWN = f""", keyed AS (SELECT sim_id, arm, CAST(revenue AS DOUBLE) AS revenue, alpha_post AS x, beta_post AS y,
+      md5('0|' || CAST(sim_id AS VARCHAR) || '|' || arm || '|' || CAST(line_item_id AS VARCHAR)) AS h
+    FROM ({posterior('aa', 'JOIN')}) WHERE sim_id IS NOT NULL AND revenue <> 0),
+  draws AS (SELECT sim_id, arm, revenue, x, y, draw, ('0x' || substr(h, 1, 8))::UBIGINT AS k0, ('0x' || substr(h, 9, 8))::UBIGINT AS k1,
+      CAST(draw * {2 * SLOTS} AS UBIGINT) AS c_x, CAST(draw * {2 * SLOTS} + {SLOTS} AS UBIGINT) AS c_y,
+      CASE WHEN x < 1 THEN x + 1 ELSE x END - 1::DOUBLE / 3 AS d_x, CASE WHEN y < 1 THEN y + 1 ELSE y END - 1::DOUBLE / 3 AS d_y
+    FROM keyed, range(300) r(draw)),
+  micro AS (SELECT sim_id, arm, draw,
+      CAST(round_even(1 / (1 + exp(least(l_y - l_x, 700::DOUBLE))) * revenue * 1e6::DOUBLE, 0) AS BIGINT) AS m FROM ({gamma_tries('SELECT * FROM draws')})),
+  sums AS (SELECT sim_id, draw, CAST(SUM(CASE WHEN arm = 'a1' THEN m END) AS DOUBLE) AS s1, CAST(SUM(CASE WHEN arm = 'a2' THEN m END) AS DOUBLE) AS s2
+    FROM micro GROUP BY 1, 2),
+  weights AS (SELECT sim_id, SUM(CASE WHEN arm = 'a1' THEN revenue END) AS r1, SUM(CASE WHEN arm = 'a2' THEN revenue END) AS r2 FROM keyed GROUP BY 1),
+  wins AS (SELECT s.sim_id, avg(CAST(s2 / r2 > s1 / r1 AS INTEGER)) AS a2_wins FROM sums s JOIN weights w ON w.sim_id = s.sim_id GROUP BY 1),
+  drawn AS (SELECT sim_id, CASE WHEN a2_wins > 0.975::DOUBLE OR a2_wins < 0.025::DOUBLE THEN 1 ELSE 0 END AS drawn_positive FROM wins)"""
 served = ["served_items"]
 
 SQL = {
@@ -121,13 +174,16 @@ SQL = {
     "aa_beta": with_roles(["aa_wide"], AA_NORMAL + f"SELECT sim_id, 1 AS near_normal, {CLEAR} AS false_positive FROM decided"),
     "aa_beta_verdict": with_roles(
         ["aa_wide"],
-        AA_NORMAL + f"""SELECT simulations, least_false_positives, most_false_positives, 1 AS drawn_within,
+        AA_NORMAL + DRAWN + f"""SELECT simulations, least_false_positives, most_false_positives, drawn_within,
+        CAST(false_positives AS BIGINT) AS false_positives, {R('false_positives / simulations', 'fp_rate')},
         {', '.join(f"CASE WHEN {c} / simulations <= 0.05 THEN 'SAFE' ELSE 'NOISY' END AS {n}"
-                   for c, n in (('least_false_positives', 'best_verdict'), ('most_false_positives', 'worst_verdict')))}
-        FROM (SELECT COUNT(*) AS simulations,
-          CAST(SUM(CASE WHEN abs(z) - 1.959963984540054::DOUBLE > 0.6::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS least_false_positives,
-          CAST(SUM(CASE WHEN abs(z) - 1.959963984540054::DOUBLE < -0.6::DOUBLE THEN 0 ELSE 1 END) AS BIGINT) AS most_false_positives
-          FROM decided)""",
+                   for c, n in (('false_positives', 'verdict'), ('least_false_positives', 'best_verdict'), ('most_false_positives', 'worst_verdict')))}
+        FROM (SELECT COUNT(*) AS simulations, CAST(SUM(least) AS BIGINT) AS least_false_positives, CAST(SUM(most) AS BIGINT) AS most_false_positives,
+          MIN(CAST(drawn_positive BETWEEN least AND most AS INTEGER)) AS drawn_within, SUM(drawn_positive) AS false_positives
+          FROM (SELECT drawn_positive,
+              CASE WHEN abs(z) - 1.959963984540054::DOUBLE > 0.6::DOUBLE THEN 1 ELSE 0 END AS least,
+              CASE WHEN abs(z) - 1.959963984540054::DOUBLE < -0.6::DOUBLE THEN 0 ELSE 1 END AS most
+            FROM drawn JOIN decided ON decided.sim_id = drawn.sim_id))""",
     ),
     "aa_normal_verdict": with_roles(
         ["aa_wide"],

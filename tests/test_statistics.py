@@ -386,6 +386,48 @@ def test_drawn_verdict_counts_every_simulation(spark):
     assert bounds["least_false_positives"] <= got["false_positives"] <= bounds["most_false_positives"]
 
 
+def test_hashed_draws_follow_the_beta():
+    for a, b in ((0.3, 0.4), (1.0, 1.0), (2.5, 0.2), (5.0, 9.0), (40.0, 33.0)):
+        rows = pd.DataFrame({"sim_id": 3, "arm": "a1", "item": [f"i{i}" for i in range(500)], "alpha_post": a, "beta_post": b})
+        drawn = shrinkage.hashed_draws(rows, 0, 300)
+        mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
+        assert abs(drawn.mean() - mean) < 5 * np.sqrt(var / drawn.size)
+        assert drawn.var() == pytest.approx(var, rel=0.03)
+        want = np.quantile(np.random.default_rng(1).beta(a, b, drawn.size), [0.05, 0.25, 0.5, 0.75, 0.95])
+        assert np.quantile(drawn, [0.05, 0.25, 0.5, 0.75, 0.95]) == pytest.approx(want, abs=0.01)
+        assert (shrinkage.hashed_draws(rows.iloc[200:300], 0, 300) == drawn[200:300]).all()
+    assert (shrinkage.hashed_draws(rows.assign(beta_post=np.nan), 0, 10) == 0).all()
+    with pytest.raises(ValueError):
+        shrinkage.hashed_draws(rows.assign(beta_post=0.0), 0, 10)
+
+
+def test_drawn_verdict_returns_the_drawn_false_positives(spark):
+    """Simulation 1 differs clearly, 2 does not, 3 has a z near the bound; all are counted by their own draws."""
+    made = [
+        (sim, f"i{i}", arm, 30.0, 5.0 + i, int(arm == "a2" and i < high))
+        for sim, high in ((1, 40), (2, 0), (3, 5)) for i in range(40) for arm in ("a1", "a2")
+    ]
+    frame = spark.createDataFrame(made, "sim_id int, line_item_id string, arm string, conversions double, revenue double, sla_flag int")
+    prior = frame.where("sim_id = 1 AND arm = 'a1'").select("line_item_id", F.lit(2.0).alias("alpha"), F.lit(3.0).alias("beta"))
+    decided = {}
+    for sim in (1, 2, 3):
+        arms = {}
+        for arm in ("a1", "a2"):
+            own = pd.DataFrame([r for r in made if r[0] == sim and r[2] == arm], columns=["sim_id", "item", "arm", "conv", "rev", "flag"])
+            root = np.sqrt(own["conv"])
+            own["alpha_post"], own["beta_post"] = 2 + own["flag"] * root, 3 + root - own["flag"] * root
+            drawn = shrinkage.hashed_draws(own, 0, 300)
+            arms[arm] = (drawn * own["rev"].to_numpy()[:, None]).sum(axis=0) / own["rev"].sum()
+        wins = (arms["a2"] > arms["a1"]).mean()
+        decided[sim] = int(wins > 0.975 or wins < 0.025)
+    assert (decided[1], decided[2]) == (1, 0)
+    drawn = shrinkage.aa_beta(frame, prior, draws=shrinkage.hashed_draws, drawn_at_once=7)
+    assert {r["sim_id"]: r["false_positive"] for r in drawn.collect()} == decided
+    row = shrinkage.aa_bounds(drawn, shrinkage.aa_normal(frame, prior)).first()
+    assert (row["simulations"], row["false_positives"], row["verdict"]) == (3, sum(decided.values()), "NOISY")
+    assert row["fp_rate"] == pytest.approx(sum(decided.values()) / 3)
+
+
 def test_alpha_policies_as_columns_equal_their_functions(spark):
     sizes = spark.createDataFrame([("a", 700), ("b", 100), ("c", 99), ("d", 20_000)], "experiment_id string, n long")
     for policy in (naive_alpha, bonferroni_alpha, obrien_fleming_alpha):

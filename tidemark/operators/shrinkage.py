@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -255,25 +255,94 @@ def beta_draws(seed: int, sim_id: int, arm: str, item: str, a: float, b: float,
     return stream.beta(a, b, samples)
 
 
-def aa_beta(frame: DataFrame, prior: DataFrame, samples: int = 300, seed: int = 0) -> DataFrame:
+def stream_draws(rows: pd.DataFrame, seed: int, samples: int) -> np.ndarray:
+    """beta_draws of every row: one line of draws each."""
+    return np.stack(
+        [beta_draws(seed, r.sim_id, r.arm, r.item, r.alpha_post, r.beta_post, samples) for r in rows.itertuples(index=False)]
+    )
+
+
+#: Tries of a gamma draw; each is taken with a chance of 0.95 or more.
+GAMMA_TRIES = 8
+_SLOTS = 3 * GAMMA_TRIES + 1
+_WEYL = 0x9E3779B9
+
+
+def _uniforms(counters: np.ndarray, keys: np.ndarray, slot: int) -> np.ndarray:
+    """Between 0 and 1, from a 32-bit integer hash of key and counter; products wrap."""
+    x = (counters + np.uint32(slot * _WEYL % 2**32)) ^ keys
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    return (x + 0.5) / 2.0**32
+
+
+def _log_gamma_draws(shape: np.ndarray, keys: np.ndarray, samples: int, first: int) -> np.ndarray:
+    """Logarithms of gamma draws by Marsaglia and Tsang, a line per shape; first is the slot of a line's first uniform."""
+    slots = (np.arange(samples) * 2 * _SLOTS + first) * _WEYL % 2**32
+    counters, masks = keys[:, :1] + slots.astype(np.uint32), keys[:, 1:]
+    d = (np.where(shape < 1, shape + 1, shape) - 1 / 3)[:, None]
+    found = np.zeros(counters.shape)
+    # All draws first, then those that are not yet taken.
+    at: tuple = (slice(None),)
+    for attempt in range(GAMMA_TRIES):
+        here, own, scale = counters[at], masks[at[0]], d[at[0]]
+        if attempt:
+            own, scale = own[:, 0], scale[:, 0]
+        u, turn, w = (_uniforms(here, own, 3 * attempt + i) for i in range(3))
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * turn)
+        v = 1 + x / np.sqrt(9 * scale)
+        log_v = 3 * np.log(np.maximum(v, 1e-300))
+        taken = (v > 0) & (np.log(w) < x * x / 2 + scale * (1 - v * v * v + log_v))
+        found[at] = np.where(taken, log_v, 0)
+        at = np.nonzero(~taken) if attempt == 0 else tuple(i[~taken] for i in at)
+    found += np.log(d)
+    small = np.flatnonzero(shape < 1)
+    found[small] += np.log(_uniforms(counters[small], masks[small], 3 * GAMMA_TRIES)) / shape[small, None]
+    return found
+
+
+def hashed_draws(rows: pd.DataFrame, seed: int, samples: int) -> np.ndarray:
+    """Beta draws from integer hashes of each row's key and a counter: any engine with md5 can repeat them.
+
+    Rows without a posterior draw 0, so that they add as little as in aa_normal.
+    """
+    a, b = (rows[c].to_numpy(dtype=float) for c in ("alpha_post", "beta_post"))
+    if (a <= 0).any() or (b <= 0).any():
+        raise ValueError("alpha_post or beta_post is 0 or less")
+    known = ~(np.isnan(a) | np.isnan(b))
+    a, b = np.where(known, a, 1.0), np.where(known, b, 1.0)
+    texts = (f"{seed}|{r.sim_id}|{r.arm}|{r.item}" for r in rows.itertuples(index=False))
+    keys = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest()[:8] for t in texts), dtype=">u4")
+    keys = keys.astype(np.uint32).reshape(-1, 2)
+    log_x, log_y = _log_gamma_draws(a, keys, samples, 0), _log_gamma_draws(b, keys, samples, _SLOTS)
+    return known[:, None] / (1 + np.exp(np.minimum(log_y - log_x, 700)))
+
+
+def aa_beta(
+    frame: DataFrame,
+    prior: DataFrame,
+    samples: int = 300,
+    seed: int = 0,
+    draws: Callable[[pd.DataFrame, int, int], np.ndarray] = stream_draws,
+    drawn_at_once: int = _DRAWN_AT_ONCE,
+) -> DataFrame:
     """Per simulation: share of Beta draws in which the second arm wins, and the decision.
 
     Every row draws from a stream of its own, keyed by seed, simulation, arm and item, so rows need not meet to be
     drawn. A task adds up one array of revenue-weighted sums per simulation and arm for each batch of rows, in
     millionths as integers, and Spark adds those: any cut of the rows into batches, tasks and retries gives the same.
-    Rows that repeat simulation, arm and item share their draws.
+    Rows that repeat simulation, arm and item share their draws. draws makes them: from numpy's streams, or with
+    hashed_draws from hashes that SQL can repeat.
     """
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for start in range(0, len(rows), _DRAWN_AT_ONCE):
-                part = rows.iloc[start : start + _DRAWN_AT_ONCE]
-                drawn = np.stack(
-                    [
-                        beta_draws(seed, r.sim_id, r.arm, r.item, r.alpha_post, r.beta_post, samples)
-                        for r in part.itertuples(index=False)
-                    ]
-                )
+            for start in range(0, len(rows), drawn_at_once):
+                part = rows.iloc[start : start + drawn_at_once]
+                drawn = draws(part, seed, samples)
                 micro = np.rint(drawn * part["revenue"].to_numpy()[:, None] * _MICRO).astype(np.int64)
                 groups = part.groupby(["sim_id", "arm"], sort=False)
                 found = [(*key, micro[places].sum(axis=0)) for key, places in groups.indices.items()]
@@ -326,7 +395,7 @@ def aa_agreement(drawn: DataFrame, normal_sims: DataFrame, near: float = 0.15, c
 
 
 def aa_bounds(drawn: DataFrame, normal_sims: DataFrame, bound: float = 0.05, clear: float = 0.6) -> DataFrame:
-    """Over all simulations: the fewest and most false positives that the normal check allows, and where the drawn lie.
+    """Over all simulations: the drawn false positives with their verdict, and the fewest and most that the normal check allows.
 
     A simulation whose normal z is within `clear` of the bound of 1.96 may be drawn to either side; the others are
     decided. drawn_within is 1 where the drawn count lies between the two and no decided simulation was drawn otherwise.
@@ -335,17 +404,24 @@ def aa_bounds(drawn: DataFrame, normal_sims: DataFrame, bound: float = 0.05, cle
     off = F.abs("z") - normal.two_sided_z(95)
     # Without a z nothing is decided.
     least, most = F.coalesce(off > clear, F.lit(False)), F.coalesce(off >= -clear, F.lit(True))
+    drawn_ones, rate = F.sum("false_positive").alias("false_positives"), F.avg("false_positive").alias("fp_rate")
     both = both.select("false_positive", least.cast("int").alias("_least"), most.cast("int").alias("_most"))
     sums = both.agg(
         F.count("*").alias("simulations"),
         F.sum("_least").alias("least_false_positives"),
         F.sum("_most").alias("most_false_positives"),
         F.min(F.col("false_positive").between(F.col("_least"), F.col("_most")).cast("int")).alias("drawn_within"),
+        drawn_ones,
+        rate,
     )
 
     def verdict(count: str) -> Column:
         return F.when(num.ratio(F.col(count), F.col("simulations")) <= bound, "SAFE").otherwise("NOISY")
 
     return sums.withColumns(
-        {"best_verdict": verdict("least_false_positives"), "worst_verdict": verdict("most_false_positives")}
+        {
+            "verdict": verdict("false_positives"),
+            "best_verdict": verdict("least_false_positives"),
+            "worst_verdict": verdict("most_false_positives"),
+        }
     )
