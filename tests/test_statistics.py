@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import normal
 from tidemark.functions.alpha import bonferroni_alpha, naive_alpha, obrien_fleming_alpha
-from tidemark.operators import calibration, campaigns, sequential, shrinkage, trimming
-from tidemark.plans import shrinkage_queries
+from tidemark.operators import calibration, campaigns, ordering, sequential, shrinkage, trimming
+from tidemark.plans import calibration_queries, shrinkage_queries
 from tidemark.sources import roles
 
 
@@ -158,6 +158,50 @@ def test_trim_estimates_hold_no_sums_per_item_and_cut(wide):
         assert row["cali_d"] == pytest.approx(d) and row["cali_d_hi"] - row["cali_d_lo"] == pytest.approx(width)
 
 
+def _fact_tables(spark, folder):
+    """200 orders of 3 lines, over 20 items and 40 accounts, all of them shipped while the experiment ran."""
+    spark.range(40).selectExpr("id AS c_custkey", "'MACHINERY' AS c_mktsegment").write.parquet(f"{folder}/customer.parquet")
+    spark.range(200).selectExpr(
+        "id AS o_orderkey", "id % 40 AS o_custkey", "timestamp'1995-12-28' AS o_orderdate",
+        "element_at(array('1-URGENT', '2-HIGH', '3-MEDIUM'), cast(1 + id % 3 as int)) AS o_orderpriority",
+    ).write.parquet(f"{folder}/orders.parquet")
+    spark.range(600).selectExpr(
+        "cast(floor(id / 3) as bigint) AS l_orderkey", "1 + id % 20 AS l_partkey", "1 + id % 6 AS l_suppkey",
+        "cast(2 + id % 3 as int) AS l_linenumber", "cast(1 + id % 11 as double) AS l_quantity",
+        "cast(100 + id as double) AS l_extendedprice", "0D AS l_discount", "timestamp'1997-03-01' AS l_shipdate",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+
+
+@pytest.mark.parametrize("query", ["trim_estimates", "trim_rows"])
+def test_trim_queries_roll_up_in_more_partitions_for_more_rows(spark, tmp_path, monkeypatch, query):
+    folder, kept, settle = str(tmp_path), [], ordering.settle
+    _fact_tables(spark, folder)
+
+    def noted(*args):
+        kept.append(settle(*args))
+        return kept[-1]
+
+    monkeypatch.setattr(ordering, "settle", noted)
+    run = calibration_queries.QUERIES[query]
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    few = sorted(map(str, run(spark, folder).collect()))
+    monkeypatch.setattr(ordering, "ROWS_PER_PARTITION", 60)
+    many = sorted(map(str, run(spark, folder).collect()))
+    assert [df.rdd.getNumPartitions() for df in kept] == [4, 600 // 60]
+    assert few and few == many
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_settling_puts_the_settings_back_after_a_failure(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_PARTITION", 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    failing = spark.range(9).groupBy((F.col("id") % 3).alias("k")).agg(F.raise_error(F.first(F.lit("no"))).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        ordering.settle(failing, 9)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_trim_checks(wide):
     _, df = wide
     with pytest.raises(ValueError):

@@ -41,10 +41,10 @@ def _kept(value: Column, direction: str, low: Column, high: Column) -> Column:
     return (value >= low) & (value <= high)
 
 
-def trim(wide: DataFrame, dimension: str, pct: float, direction: str = "left") -> DataFrame:
-    """Rows outside the cut tail(s); rows with a NULL dimension fall out."""
+def trim(wide: DataFrame, dimension: str, pct: float, direction: str = "left", rows_read: int = 0) -> DataFrame:
+    """Rows outside the cut tail(s); rows with a NULL dimension fall out. rows_read: how many wide is made from, if known."""
     _check(wide, dimension, [direction])
-    wide = ordering.settle(wide)
+    wide = ordering.settle(wide, rows_read)
     ends = ordering.exact_percentiles(wide, {dimension: [pct / 100, (100 - pct) / 100]})[dimension]
     return wide.where(_kept(F.col(dimension).cast("double"), direction, ends[0], ends[1]))
 
@@ -57,6 +57,7 @@ def readouts(
     goals: Sequence[str] | None = None,
     confidence: float = 95,
     item: str = "line_item_id",
+    rows_read: int = 0,
 ) -> DataFrame:
     """A/B read-out of every grid cell and, with direction 'none', of the uncut rows.
 
@@ -66,13 +67,14 @@ def readouts(
 
     rows_kept, revenue_kept and conversions_kept are those of the whole cell.
     Cells left with fewer than two rows are dropped.
+    rows_read: how many rows wide is made from, if known; its roll-up is dealt to more tasks if they are many.
     """
     for dimension in dimensions:
         _check(wide, dimension, directions)
     cuts = sorted(float(pct) for pct in pcts)
     # Several scans follow; only the columns that they read are kept.
     needed = [item, *dict.fromkeys((*dimensions, *calibration.PAIRED)), *_goal_column(wide)]
-    wide = ordering.settle(wide.where(F.col(item).isNotNull()).select(*needed))
+    wide = ordering.settle(wide.where(F.col(item).isNotNull()).select(*needed), rows_read)
     shares = [*(cut / 100 for cut in cuts), *((100 - cut) / 100 for cut in cuts)]
     thresholds = ordering.exact_percentiles(wide, {d: shares for d in dimensions})
     names, survived_cuts = [], []
