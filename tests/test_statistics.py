@@ -472,6 +472,79 @@ def test_drawn_verdict_returns_the_drawn_false_positives(spark):
     assert row["fp_rate"] == pytest.approx(sum(decided.values()) / 3)
 
 
+def _odd_rows(n):
+    """Shapes from tiny to huge on either side, unknown ones, and amounts of either sign from far below a millionth up."""
+    rng = np.random.default_rng(8)
+
+    def shapes():
+        kinds = [
+            rng.uniform(5e-6, 4e-5, n), rng.uniform(1, 40, n), rng.uniform(0.01, 1, n), 10 ** rng.uniform(-9, 0, n),
+            10 ** rng.uniform(0, 6, n), np.ones(n), 10 ** rng.uniform(-3, -1.5, n),
+        ]
+        return np.choose(rng.integers(0, len(kinds), n), kinds)
+
+    rows = pd.DataFrame({"sim_id": 1, "arm": "a1", "item": [f"i{i}" for i in range(n)], "alpha_post": shapes(), "beta_post": shapes()})
+    rows["revenue"] = np.where(rng.random(n) < 0.2, -1, 1) * 10 ** rng.uniform(-8, 7, n)
+    rows.loc[rng.random(n) < 0.05, "alpha_post"] = np.nan
+    return rows
+
+
+def test_sums_of_hashed_draws_are_those_of_each_draw():
+    rows = _odd_rows(1_500)
+    want = np.rint(shrinkage.hashed_draws(rows, 0, 300) * rows["revenue"].to_numpy()[:, None] * 1e6).astype(np.int64)
+    lines, got = np.arange(len(rows)), np.zeros_like(want)
+    shrinkage.hashed_sums(rows, lines, got, 0, 256)
+    # Where neither shape is below 1 the last bit of a draw may differ, and with it a millionth.
+    assert np.abs(got - want).max() <= 1 and (got != want).mean() < 1e-4
+    assert (got == want)[rows[["alpha_post", "beta_post"]].min(axis=1) < 1].all()
+    backwards = np.zeros_like(want)
+    shrinkage.hashed_sums(rows.iloc[::-1], lines, backwards, 0, 7)
+    assert (backwards[::-1] == got).all()
+    codes, totals = lines // 100, np.zeros((15, 300), dtype=np.int64)
+    shrinkage.hashed_sums(rows, codes, totals, 0, 256)
+    assert (totals == got.reshape(15, 100, 300).sum(axis=1)).all()
+
+
+def test_few_hashed_draws_of_flag_priors_need_logarithms(monkeypatch):
+    """A prior from a flag has a tiny shape, so that nearly all draws are 0 or 1 to the last millionth."""
+    n, worked_out = 400, []
+    rows = pd.DataFrame({"sim_id": 1, "arm": "a1", "item": [f"i{i}" for i in range(n)], "conversions": 30.0, "revenue": 900.0})
+    flag = np.arange(n) % 2
+    rows["alpha_post"], rows["beta_post"] = np.where(flag, 11.0, 2e-5), np.where(flag, 2e-5, 11.0)
+    logs = shrinkage._log_gamma_draws
+
+    def counted(shape, keys, samples, first):
+        worked_out.append(len(shape) * samples)
+        return logs(shape, keys, samples, first)
+
+    monkeypatch.setattr(shrinkage, "_log_gamma_draws", counted)
+    (found,) = shrinkage.task_sums(iter([rows]), 300, 0, shrinkage.hashed_draws, 256)
+    assert 0 < sum(worked_out) < 0.01 * 2 * 300 * n
+    want = np.rint(shrinkage.hashed_draws(rows, 0, 300) * 900 * 1e6).astype(np.int64).sum(axis=0)
+    assert (found["draws"][0] == want).all() and found["revenue"][0] == 900 * n
+
+
+@pytest.mark.parametrize("draws", [shrinkage.hashed_draws, shrinkage.stream_draws])
+def test_a_task_hands_on_one_sum_per_simulation_and_arm(draws):
+    rows = _odd_rows(600).dropna()
+    rows["sim_id"], rows["arm"] = np.arange(len(rows)) % 2, np.where(np.arange(len(rows)) % 3, "a1", "a2")
+    batches = [rows.iloc[i : i + 20] for i in range(0, len(rows), 20)] + [rows.iloc[:0]]
+    (found,) = shrinkage.task_sums(iter(batches), 30, 0, draws, 7)
+    assert len(found) == 4
+    for r in found.itertuples():
+        own = rows[(rows["sim_id"] == r.sim_id) & (rows["arm"] == r.arm)]
+        want = np.rint(draws(own, 0, 30) * own["revenue"].to_numpy()[:, None] * 1e6).astype(np.int64).sum(axis=0)
+        assert np.abs(r.draws - want).max() <= 3 and r.revenue == pytest.approx(own["revenue"].sum())
+
+
+def test_sums_are_handed_on_before_they_pass_64_bits():
+    n = 60
+    rows = pd.DataFrame({"sim_id": 1, "arm": "a1", "item": [f"i{i}" for i in range(n)], "alpha_post": 9.0, "beta_post": 1e-9, "revenue": 1e12})
+    found = pd.concat(shrinkage.task_sums(iter([rows]), 5, 0, shrinkage.hashed_draws, 256))
+    assert len(found) > 1
+    assert sum(int(draws[0]) for draws in found["draws"]) == n * 10**18 and found["revenue"].sum() == n * 1e12
+
+
 def test_alpha_policies_as_columns_equal_their_functions(spark):
     sizes = spark.createDataFrame([("a", 700), ("b", 100), ("c", 99), ("d", 20_000)], "experiment_id string, n long")
     for policy in (naive_alpha, bonferroni_alpha, obrien_fleming_alpha):

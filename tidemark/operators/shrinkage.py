@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -19,6 +20,8 @@ TINY = 1e-6
 ITEM = "line_item_id"
 _DRAWN_AT_ONCE = 4_096
 _MICRO = 1e6
+# Sums that a task keeps, and how large all of them may become together: they are 64-bit integers.
+_MOST_SUMS, _MOST_MICRO = 2_097_152, 2.0**62
 
 
 def priors(items: DataFrame, flag: str = "sla_flag", weight: str = "conversions") -> DataFrame:
@@ -298,27 +301,271 @@ def _log_gamma_draws(shape: np.ndarray, keys: np.ndarray, samples: int, first: i
         taken = (v > 0) & (np.log(w) < x * x / 2 + scale * (1 - v * v * v + log_v))
         found[at] = np.where(taken, log_v, 0)
         at = np.nonzero(~taken) if attempt == 0 else tuple(i[~taken] for i in at)
+        if not len(at[0]):
+            break
     found += np.log(d)
     small = np.flatnonzero(shape < 1)
     found[small] += np.log(_uniforms(counters[small], masks[small], 3 * GAMMA_TRIES)) / shape[small, None]
     return found
 
 
-def hashed_draws(rows: pd.DataFrame, seed: int, samples: int) -> np.ndarray:
-    """Beta draws from integer hashes of each row's key and a counter: any engine with md5 can repeat them.
+def _hash_keys(rows: pd.DataFrame, seed: int) -> np.ndarray:
+    """Two 32-bit integers per row, from the md5 of its key; the column key has its bytes where Spark made them."""
+    if "key" in rows:
+        found = rows["key"]
+    else:
+        texts = (f"{seed}|{r.sim_id}|{r.arm}|{r.item}" for r in rows.itertuples(index=False))
+        found = (hashlib.md5(t.encode()).digest()[:8] for t in texts)
+    return np.frombuffer(b"".join(found), dtype=">u4").astype(np.uint32).reshape(-1, 2)
 
-    Rows without a posterior draw 0, so that they add as little as in aa_normal.
-    """
+
+def _shapes(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both shapes, 1 where one of them is not known, and whether both are."""
     a, b = (rows[c].to_numpy(dtype=float) for c in ("alpha_post", "beta_post"))
     if (a <= 0).any() or (b <= 0).any():
         raise ValueError("alpha_post or beta_post is 0 or less")
     known = ~(np.isnan(a) | np.isnan(b))
-    a, b = np.where(known, a, 1.0), np.where(known, b, 1.0)
-    texts = (f"{seed}|{r.sim_id}|{r.arm}|{r.item}" for r in rows.itertuples(index=False))
-    keys = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest()[:8] for t in texts), dtype=">u4")
-    keys = keys.astype(np.uint32).reshape(-1, 2)
+    return np.where(known, a, 1.0), np.where(known, b, 1.0), known
+
+
+def _beta_of_logs(log_x: np.ndarray, log_y: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.minimum(log_y - log_x, 700)))
+
+
+def hashed_draws(rows: pd.DataFrame, seed: int, samples: int) -> np.ndarray:
+    """Beta draws from integer hashes of each row's key and a counter: any engine with md5 can repeat them.
+
+    Rows without a posterior draw 0, so that they add as little as in aa_normal.
+    """
+    a, b, known = _shapes(rows)
+    keys = _hash_keys(rows, seed)
     log_x, log_y = _log_gamma_draws(a, keys, samples, 0), _log_gamma_draws(b, keys, samples, _SLOTS)
-    return known[:, None] / (1 + np.exp(np.minimum(log_y - log_x, 700)))
+    return known[:, None] * _beta_of_logs(log_x, log_y)
+
+
+# Sums of these draws without most of their logarithms: arrays that stay in the processor's cache, written in place.
+_LINES, _LIGHT_LINES, _PENDING = 64, 128, 32_768
+# The sine of a turn of a quarter at most by its series, to 1e-16.
+_SINE = [(-1) ** k * (2 * math.pi) ** (2 * k + 1) / math.factorial(2 * k + 1) for k in range(11)]
+# No normal draw is beyond 6.77, no logarithm of a uniform below -22.88: they have 32 bits.
+_MOST_NORMAL, _LEAST_LOG = 6.77, -22.88
+
+
+def _steps(samples: int, slot: int) -> np.ndarray:
+    return ((np.arange(samples) * 2 * _SLOTS + slot) * _WEYL % 2**32).astype(np.uint32)
+
+
+def _mix(keys: np.ndarray, steps: np.ndarray, x: np.ndarray, spare: np.ndarray) -> None:
+    """The hash of _uniforms into x, a line per key."""
+    np.add(keys[:, :1], steps, out=x)
+    np.bitwise_xor(x, keys[:, 1:], out=x)
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None)):
+        np.right_shift(x, np.uint32(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        if factor is not None:
+            np.multiply(x, np.uint32(factor), out=x)
+
+
+def _single(keys: np.ndarray, steps: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Keys of single draws, at lines and places, as if each were the first of a line of its own."""
+    lines, places = at
+    return np.stack([keys[lines, 0] + steps[places], keys[lines, 1]], axis=1)
+
+
+class _Gammas:
+    """First tries of _log_gamma_draws for shapes of 1 and more, not as logarithms, and the places of those not taken.
+
+    Its arrays are used again by the next call.
+    """
+
+    def __init__(self, lines: int, samples: int):
+        self.steps = [_steps(samples, slot) for slot in range(3)]
+        self.integers = [np.empty((lines, samples), dtype=np.uint32) for _ in range(2)]
+        self.doubles = [np.empty((lines, samples)) for _ in range(5)]
+
+    def __call__(self, shape: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits, spare = (i[: len(shape)] for i in self.integers)
+        x, turn, series, v, w = (i[: len(shape)] for i in self.doubles)
+        d = (shape - 1 / 3)[:, None]
+
+        def uniform(slot: int, out: np.ndarray) -> None:
+            _mix(keys, self.steps[slot], bits, spare)
+            np.add(bits, 0.5, out=out)
+            np.multiply(out, 2.0**-32, out=out)
+
+        uniform(0, x)
+        np.log(x, out=x)
+        np.multiply(x, -2.0, out=x)
+        np.sqrt(x, out=x)
+        # cos(2 pi t) = sin(2 pi (|t - 1/2| - 1/4))
+        uniform(1, turn)
+        np.subtract(turn, 0.5, out=turn)
+        np.abs(turn, out=turn)
+        np.subtract(turn, 0.25, out=turn)
+        np.multiply(turn, turn, out=v)
+        np.multiply(v, _SINE[-1], out=series)
+        for term in _SINE[-2:0:-1]:
+            np.add(series, term, out=series)
+            np.multiply(series, v, out=series)
+        np.add(series, _SINE[0], out=series)
+        np.multiply(series, turn, out=series)
+        np.multiply(x, series, out=x)
+        np.multiply(x, 1 / np.sqrt(9 * d), out=v)
+        np.add(v, 1.0, out=v)
+        uniform(2, w)
+        # Marsaglia and Tsang's squeeze takes nine of ten draws as the logarithms would.
+        np.multiply(x, x, out=turn)
+        np.multiply(turn, turn, out=series)
+        np.multiply(series, 0.0331, out=series)
+        np.add(series, w, out=series)
+        at = np.flatnonzero((series >= 1) | (v <= 0))
+        own, scale = v.ravel()[at], d[at // v.shape[1], 0]
+        log_v = 3 * np.log(np.maximum(own, 1e-300))
+        taken = (own > 0) & (np.log(w.ravel()[at]) < turn.ravel()[at] / 2 + scale * (1 - own * own * own + log_v))
+        np.multiply(v, v, out=series)
+        np.multiply(series, v, out=series)
+        np.multiply(series, d, out=series)
+        return series, at[~taken]
+
+
+def _micro(drawn: np.ndarray, revenue: np.ndarray) -> np.ndarray:
+    return np.rint(drawn * revenue * _MICRO).astype(np.int64)
+
+
+def _sum_lines(totals: np.ndarray, codes: np.ndarray, micro: np.ndarray) -> None:
+    """Adds lines to the totals of their codes, which ascend."""
+    starts = np.flatnonzero(np.diff(codes, prepend=-1))
+    totals[codes[starts]] += np.add.reduceat(micro, starts, axis=0)
+
+
+def drawn_sums(
+    rows: pd.DataFrame, codes: np.ndarray, totals: np.ndarray, seed: int, held: int, draws: Callable[[pd.DataFrame, int, int], np.ndarray]
+) -> None:
+    """Adds the draws of rows, weighted by revenue, in millionths to the totals of their codes, which ascend."""
+    for start in range(0, len(rows), held):
+        part = rows.iloc[start : start + held]
+        micro = _micro(draws(part, seed, totals.shape[1]), part["revenue"].to_numpy()[:, None])
+        _sum_lines(totals, codes[start : start + held], micro)
+
+
+def hashed_sums(rows: pd.DataFrame, codes: np.ndarray, totals: np.ndarray, seed: int, held: int) -> None:
+    """drawn_sums of hashed_draws, in a small part of the time.
+
+    A gamma draw of a shape s below 1 is one of s + 1 times w ** (1 / s) for a uniform w. Where s is tiny (a prior from a
+    flag has one such shape) that is next to nothing unless w is next to 1, and the Beta draw adds nothing, or all of the
+    revenue, to the last millionth. From the least and greatest logarithms of the other factors follows a bound for w
+    up to which that is certain; each draw's w is compared with it, and draws beyond are worked out as hashed_draws does.
+    """
+    samples = totals.shape[1]
+    a, b, known = _shapes(rows)
+    keys, revenue = _hash_keys(rows, seed), rows["revenue"].to_numpy()
+    small, large, whole = np.minimum(a, b), np.maximum(a, b), b < a
+    shifted, other = small + 2 / 3, np.where(large < 1, large + 1, large) - 1 / 3
+    most = np.log(shifted) + 3 * np.log1p(_MOST_NORMAL / np.sqrt(9 * shifted))
+    least = np.log(other) + 2 * _LEAST_LOG / other - 1 + np.where(large < 1, _LEAST_LOG / large, 0)
+    # 1 / (1 + exp(-38)) is 1; a share below exp(-clear) of the revenue is less than half a millionth.
+    clear = np.where(whole, 38.0, np.log(np.maximum(np.abs(revenue) * _MICRO / 0.4, 1.0))) + 1
+    reach = np.maximum(small * (clear + most - least), 0)
+    light = known & (small < 1) & (reach < 0.2)
+    steps = _steps(samples, 0)
+
+    at = np.flatnonzero(light)
+    full = np.where(whole & light, _micro(1.0, revenue), 0)
+    whole_sums = np.zeros(len(totals), dtype=np.int64)
+    np.add.at(whole_sums, codes[at], full[at])
+    totals += whole_sums[:, None]
+    bound = np.floor(np.exp(-reach[at]) * 2.0**32 - 2).astype(np.uint32)[:, None]
+    boost = keys[at]
+    boost[:, 0] += ((np.where(whole[at], _SLOTS, 0) + 3 * GAMMA_TRIES) * _WEYL % 2**32).astype(np.uint32)
+    bits, spare = (np.empty((min(held, _LIGHT_LINES), samples), dtype=np.uint32) for _ in range(2))
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def put_off(of: np.ndarray, found: np.ndarray) -> None:
+        lines, places = np.divmod(found, samples)
+        pending.append((of[lines], places))
+        if sum(len(i) for i, _ in pending) >= _PENDING:
+            work_out()
+
+    def work_out() -> None:
+        lines, places = (np.concatenate(i) for i in zip(*pending, strict=True))
+        pending.clear()
+        own = _single(keys, steps, (lines, places))
+        logs = (_log_gamma_draws(shape[lines], own, 1, first)[:, 0] for shape, first in ((a, 0), (b, _SLOTS)))
+        np.add.at(totals, (codes[lines], places), _micro(_beta_of_logs(*logs), revenue[lines]) - full[lines])
+
+    for start in range(0, len(at), len(bits)):
+        part = slice(start, start + len(bits))
+        x, y = (i[: len(boost[part])] for i in (bits, spare))
+        _mix(boost[part], steps, x, y)
+        put_off(at[part], np.flatnonzero(x >= bound[part]))
+
+    of_one = (a >= 1) & (b >= 1)
+    at, lines = np.flatnonzero(known & ~light & of_one), min(held, _LINES)
+    gammas = _Gammas(2 * lines, samples)
+    second = keys + np.array([_SLOTS * _WEYL % 2**32, 0], dtype=np.uint32)
+    for start in range(0, len(at), lines):
+        part = at[start : start + lines]
+        drawn, failed = gammas(np.concatenate([a[part], b[part]]), np.concatenate([keys[part], second[part]]))
+        x, y = np.split(drawn, 2)
+        np.add(x, y, out=y)
+        np.divide(x, y, out=x)
+        failed = np.unique(failed % x.size)
+        x.ravel()[failed] = 0
+        put_off(part, failed)
+        _sum_lines(totals, codes[part], _micro(x, revenue[part, None]))
+    at = np.flatnonzero(known & ~light & ~of_one)
+    for start in range(0, len(at), lines):
+        part = at[start : start + lines]
+        logs = (_log_gamma_draws(shape[part], keys[part], samples, first) for shape, first in ((a, 0), (b, _SLOTS)))
+        _sum_lines(totals, codes[part], _micro(_beta_of_logs(*logs), revenue[part, None]))
+    if pending:
+        work_out()
+
+
+def _pieces(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows in order, cut where the sums of a piece could pass 64 bits."""
+    filled = np.nan_to_num(np.cumsum(np.abs(rows["revenue"].to_numpy())) * _MICRO // (_MOST_MICRO / 2))
+    ends = [0, *(np.flatnonzero(np.diff(filled)) + 1), len(rows)]
+    for start, end in zip(ends[:-1], ends[1:], strict=True):
+        if end > start:
+            yield rows.iloc[start:end]
+
+
+def task_sums(
+    batches: Iterator[pd.DataFrame], samples: int, seed: int, draws: Callable[[pd.DataFrame, int, int], np.ndarray], drawn_at_once: int
+) -> Iterator[pd.DataFrame]:
+    """Revenue and draws weighted by it, summed per simulation and arm over all batches of a task.
+
+    Sums are handed on before the end where there are many or they could pass 64 bits.
+    """
+    kept: dict[tuple, list] = {}
+    weight = 0.0
+
+    def found() -> pd.DataFrame:
+        return pd.DataFrame([(*key, *sums) for key, sums in kept.items()], columns=["sim_id", "arm", "revenue", "draws"])
+
+    for rows in (piece for batch in batches for piece in _pieces(batch)):
+        codes = rows.groupby(["sim_id", "arm"], sort=False).ngroup().to_numpy()
+        order = np.argsort(codes, kind="stable")
+        rows, codes = rows.iloc[order], codes[order]
+        revenue = rows["revenue"].to_numpy()
+        more = float(np.abs(revenue).sum()) * _MICRO
+        if kept and (weight + more > _MOST_MICRO or len(kept) * samples > _MOST_SUMS):
+            yield found()
+            kept, weight = {}, 0.0
+        weight += more
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        totals = np.zeros((len(starts), samples), dtype=np.int64)
+        if draws is hashed_draws:
+            hashed_sums(rows, codes, totals, seed, drawn_at_once)
+        else:
+            drawn_sums(rows, codes, totals, seed, drawn_at_once, draws)
+        firsts = rows.iloc[starts]
+        keys = zip(firsts["sim_id"], firsts["arm"], strict=True)
+        for key, *sums in zip(keys, np.add.reduceat(revenue, starts), totals, strict=True):
+            kept[key] = [x + y for x, y in zip(kept[key], sums, strict=True)] if key in kept else sums
+    if kept:
+        yield found()
 
 
 def aa_beta(
@@ -332,46 +579,36 @@ def aa_beta(
     """Per simulation: share of Beta draws in which the second arm wins, and the decision.
 
     Every row draws from a stream of its own, keyed by seed, simulation, arm and item, so rows need not meet to be
-    drawn. A task adds up one array of revenue-weighted sums per simulation and arm for each batch of rows, in
-    millionths as integers, and Spark adds those: any cut of the rows into batches, tasks and retries gives the same.
-    Rows that repeat simulation, arm and item share their draws. draws makes them: from numpy's streams, or with
-    hashed_draws from hashes that SQL can repeat.
+    drawn. A task keeps the revenue and one array of revenue-weighted sums per simulation and arm, the array in millionths
+    as integers, and Spark adds those: any cut of the rows into batches, tasks and retries gives the same. Rows that
+    repeat simulation, arm and item share their draws. draws makes them: from numpy's streams, or with hashed_draws from
+    hashes that SQL can repeat.
     """
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for start in range(0, len(rows), drawn_at_once):
-                part = rows.iloc[start : start + drawn_at_once]
-                drawn = draws(part, seed, samples)
-                micro = np.rint(drawn * part["revenue"].to_numpy()[:, None] * _MICRO).astype(np.int64)
-                groups = part.groupby(["sim_id", "arm"], sort=False)
-                found = [(*key, micro[places].sum(axis=0)) for key, places in groups.indices.items()]
-                yield pd.DataFrame(found, columns=["sim_id", "arm", "draws"])
-
+        return task_sums(batches, samples, seed, draws, drawn_at_once)
+
+    item = F.col(ITEM).cast("string")
+    if draws is hashed_draws:
+        # As in _hash_keys, which needs far more time.
+        text = F.concat_ws("|", F.lit(str(seed)), F.col("sim_id").cast("string"), "arm", item)
+        item = F.substring(F.unhex(F.md5(text.cast("binary"))), 1, 8).alias("key")
+    else:
+        item = item.alias("item")
     rows = _with_known_prior(frame, prior).select(
-        "sim_id", "arm", F.col(ITEM).cast("string").alias("item"), "alpha_post", "beta_post",
-        F.col("revenue").cast("double"),
+        "sim_id", "arm", item, "alpha_post", "beta_post", F.col("revenue").cast("double")
     )
-    # Rows without revenue add nothing.
-    rows = rows.where(F.col("revenue") != 0)
-    revenue = rows.groupBy("sim_id").agg(
-        *[F.sum(F.when(F.col("arm") == arm, F.col("revenue"))).alias(f"_r_{arm}") for arm in ("a1", "a2")]
-    )
-    drawn = rows.mapInPandas(draw, "sim_id int, arm string, draws array<long>")
+    # Rows without revenue add nothing, those of no arm belong to neither.
+    rows = rows.where((F.col("revenue") != 0) & F.col("arm").isNotNull())
+    drawn = rows.mapInPandas(draw, "sim_id int, arm string, revenue double, draws array<long>")
+    value = {"": F.col("value").cast("decimal(38,0)"), "_r_": F.col("revenue")}
     sums = (
-        drawn.select("sim_id", "arm", F.posexplode("draws").alias("draw", "value"))
+        drawn.select("sim_id", "arm", "revenue", F.posexplode("draws").alias("draw", "value"))
         .groupBy("sim_id", "draw")
-        .agg(
-            *[
-                F.sum(F.when(F.col("arm") == arm, F.col("value").cast("decimal(38,0)"))).alias(arm)
-                for arm in ("a1", "a2")
-            ]
-        )
+        .agg(*[F.sum(F.when(F.col("arm") == arm, v)).alias(f"{k}{arm}") for arm in ("a1", "a2") for k, v in value.items()])
     )
     share = {arm: F.try_divide(F.col(arm).cast("double"), F.col(f"_r_{arm}")) for arm in ("a1", "a2")}
-    wins = sums.join(revenue, "sim_id").groupBy("sim_id").agg(
-        F.avg((share["a2"] > share["a1"]).cast("int")).alias("a2_wins")
-    )
+    wins = sums.groupBy("sim_id").agg(F.avg((share["a2"] > share["a1"]).cast("int")).alias("a2_wins"))
     outside = (F.col("a2_wins") > 0.975) | (F.col("a2_wins") < 0.025)
     return wins.withColumn("false_positive", F.coalesce(outside, F.lit(False)).cast("int"))
 
