@@ -545,6 +545,28 @@ def test_sums_are_handed_on_before_they_pass_64_bits():
     assert sum(int(draws[0]) for draws in found["draws"]) == n * 10**18 and found["revenue"].sum() == n * 1e12
 
 
+def test_prior_joined_side_by_side_is_the_prior_of_both_arms(spark):
+    n = 60
+    rng = np.random.default_rng(5)
+    wide = pd.DataFrame({"iteration_id": np.arange(n) % 2, "line_item_id": [f"li{i % 30}" for i in range(n)]})
+    for a in ("a1", "a2"):
+        wide[f"conv_{a}"] = rng.integers(0, 80, n).astype(float)
+        wide[f"pred_conv_{a}"] = wide[f"conv_{a}"] * rng.uniform(0.5, 1.5, n)
+        wide[f"rev_{a}"] = np.where(rng.random(n) < 0.2, 0, rng.uniform(1, 50, n))
+    df = spark.createDataFrame(wide).withColumn("iteration_id", F.expr("CASE WHEN line_item_id <> 'li7' THEN cast(iteration_id as int) END"))
+    frame = shrinkage.aa_frame(df)
+    known = shrinkage.priors(frame.where("arm = 'a1' AND sim_id = 0 AND line_item_id <> 'li4'"))
+    # A prior that comes twice counts twice, either way.
+    prior = known.unionAll(known.where("line_item_id = 'li8'"))
+    both = shrinkage.known_aa_frame(df, prior)
+    draw = {"samples": 50, "draws": shrinkage.hashed_draws}
+    assert sorted(shrinkage.aa_beta(both, None, **draw).collect()) == sorted(shrinkage.aa_beta(frame, prior, **draw).collect())
+    got, want = (x.orderBy("sim_id").collect() for x in (shrinkage.aa_normal(both, None), shrinkage.aa_normal(frame, prior)))
+    assert len(got) == len(want) > 0
+    for g, w in zip(got, want, strict=True):
+        assert list(g) == pytest.approx(list(w))
+
+
 def test_alpha_policies_as_columns_equal_their_functions(spark):
     sizes = spark.createDataFrame([("a", 700), ("b", 100), ("c", 99), ("d", 20_000)], "experiment_id string, n long")
     for policy in (naive_alpha, bonferroni_alpha, obrien_fleming_alpha):

@@ -189,8 +189,8 @@ def id_overlap(left: DataFrame, right: DataFrame, key: str = ITEM) -> DataFrame:
 # --- A/A checks ------------------------------------------------------------------------
 
 
-def aa_frame(wide: DataFrame, arms: Sequence[str] = ("a1", "a2")) -> DataFrame:
-    """Arms of an A/A split from side by side to one row per simulation, item and arm."""
+def aa_frame(wide: DataFrame, arms: Sequence[str] = ("a1", "a2"), keep: Sequence[str] = ()) -> DataFrame:
+    """Arms of an A/A split from side by side to one row per simulation, item and arm, with the columns to keep."""
     lines = [
         F.struct(
             F.lit(a).alias("arm"),
@@ -200,16 +200,28 @@ def aa_frame(wide: DataFrame, arms: Sequence[str] = ("a1", "a2")) -> DataFrame:
         )
         for a in arms
     ]
-    stacked = wide.select(F.col("iteration_id").alias("sim_id"), ITEM, F.inline(F.array(*lines)))
+    stacked = wide.select(F.col("iteration_id").alias("sim_id"), ITEM, *keep, F.inline(F.array(*lines)))
     return calibration.with_sla(stacked)
 
 
-def _with_known_prior(frame: DataFrame, prior: DataFrame) -> DataFrame:
-    """Items without a prior are left out (id_overlap tells how many), and rows of no simulation."""
-    return calibration.keyed(frame, ["sim_id"]).join(prior, ITEM).withColumns(_posterior())
+def known_aa_frame(wide: DataFrame, prior: DataFrame, arms: Sequence[str] = ("a1", "a2")) -> DataFrame:
+    """aa_frame of the items with a prior, and that prior: joined side by side, where there are half the rows.
+
+    Checks of the same frame share its shuffle.
+    """
+    return aa_frame(wide.join(prior, ITEM), arms, keep=("alpha", "beta"))
+
+
+def _with_known_prior(frame: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """Items without a prior are left out (id_overlap tells how many), and rows of no simulation.
+
+    None: the frame has its prior (known_aa_frame).
+    """
+    known = calibration.keyed(frame, ["sim_id"])
+    return (known if prior is None else known.join(prior, ITEM)).withColumns(_posterior())
 
 
-def aa_normal(frame: DataFrame, prior: DataFrame, confidence: float = 95) -> DataFrame:
+def aa_normal(frame: DataFrame, prior: DataFrame | None, confidence: float = 95) -> DataFrame:
     """Per simulation: revenue-weighted posterior means of both arms and whether they differ.
 
     The weighted sum of independent Beta rates is taken as normal, with mean
@@ -522,12 +534,13 @@ def hashed_sums(rows: pd.DataFrame, codes: np.ndarray, totals: np.ndarray, seed:
         work_out()
 
 
-def _pieces(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Rows in order, cut where the sums of a piece could pass 64 bits."""
-    filled = np.nan_to_num(np.cumsum(np.abs(rows["revenue"].to_numpy())) * _MICRO // (_MOST_MICRO / 2))
-    ends = [0, *(np.flatnonzero(np.diff(filled)) + 1), len(rows)]
-    for start, end in zip(ends[:-1], ends[1:], strict=True):
-        if end > start:
+def _pieces(batch: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """Rows in order, so many at most, cut where the sums of a piece could pass 64 bits."""
+    for first in range(0, len(batch), most):
+        rows = batch.iloc[first : first + most]
+        filled = np.nan_to_num(np.cumsum(np.abs(rows["revenue"].to_numpy())) * _MICRO // (_MOST_MICRO / 2))
+        ends = [0, *(np.flatnonzero(np.diff(filled)) + 1), len(rows)]
+        for start, end in zip(ends[:-1], ends[1:], strict=True):
             yield rows.iloc[start:end]
 
 
@@ -540,23 +553,28 @@ def task_sums(
     """
     kept: dict[tuple, list] = {}
     weight = 0.0
+    hashed = draws is hashed_draws
 
     def found() -> pd.DataFrame:
         return pd.DataFrame([(*key, *sums) for key, sums in kept.items()], columns=["sim_id", "arm", "revenue", "draws"])
 
-    for rows in (piece for batch in batches for piece in _pieces(batch)):
+    # hashed_sums cuts its rows itself.
+    for rows in (piece for batch in batches for piece in _pieces(batch, max(len(batch), 1) if hashed else drawn_at_once)):
         codes = rows.groupby(["sim_id", "arm"], sort=False).ngroup().to_numpy()
         order = np.argsort(codes, kind="stable")
         rows, codes = rows.iloc[order], codes[order]
         revenue = rows["revenue"].to_numpy()
         more = float(np.abs(revenue).sum()) * _MICRO
+        if not hashed and rows[["alpha_post", "beta_post"]].isna().any(axis=None):
+            # A draw that is not known becomes the smallest integer, which Spark alone can add to another.
+            more = math.inf
         if kept and (weight + more > _MOST_MICRO or len(kept) * samples > _MOST_SUMS):
             yield found()
             kept, weight = {}, 0.0
         weight += more
         starts = np.flatnonzero(np.diff(codes, prepend=-1))
         totals = np.zeros((len(starts), samples), dtype=np.int64)
-        if draws is hashed_draws:
+        if hashed:
             hashed_sums(rows, codes, totals, seed, drawn_at_once)
         else:
             drawn_sums(rows, codes, totals, seed, drawn_at_once, draws)
@@ -570,7 +588,7 @@ def task_sums(
 
 def aa_beta(
     frame: DataFrame,
-    prior: DataFrame,
+    prior: DataFrame | None,
     samples: int = 300,
     seed: int = 0,
     draws: Callable[[pd.DataFrame, int, int], np.ndarray] = stream_draws,

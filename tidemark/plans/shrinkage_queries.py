@@ -94,9 +94,9 @@ def aa_beta(spark, sf_dir):
 
 def aa_beta_verdict(spark, sf_dir):
     """Over all simulations: the drawn false positives, their rate and verdict, and those that the normal check allows."""
-    frame, prior = op.aa_frame(roles.aa_wide(spark, sf_dir)), op.priors(_population(spark, sf_dir))
-    drawn = op.aa_beta(frame, prior, samples=300, draws=op.hashed_draws, drawn_at_once=256)
-    return rounded(op.aa_bounds(drawn, op.aa_normal(frame, prior)))
+    frame = op.known_aa_frame(roles.aa_wide(spark, sf_dir), op.priors(_population(spark, sf_dir)))
+    drawn = op.aa_beta(frame, None, samples=300, draws=op.hashed_draws, drawn_at_once=256)
+    return rounded(op.aa_bounds(drawn, op.aa_normal(frame, None)))
 
 
 QUERIES = {
